@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as whitespace when titles, dates and bodies are collapsed or stripped.
-WHITESPACE = r"[\s\x1C-\x1F\x85\xA0  -     　]"
+WHITESPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # The line ends, beside \n, that separate lines of a Markdown draft.
-OTHER_LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+OTHER_LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 
 # Wording and layout of a digest and a post.
 UNKNOWN = "unknown"

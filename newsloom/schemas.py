@@ -1,6 +1,4 @@
-"""Table schemas shared by every job."""
-
-from pyspark.sql import types as T
+"""Table schemas shared by every job, as DDL text."""
 
 HOWTO = """
 rss struct<item_limit: int, date_field: string>,
@@ -11,21 +9,21 @@ api struct<items_path: string, url_field: string, title_field: string, date_fiel
 """
 
 #: One configured source. ``howto`` holds one filled section, the one named by ``type``.
-SOURCES = T.StructType.fromDDL(f"source_id int, name string, url string, type string, howto struct<{HOWTO}>")
+SOURCES = f"source_id int, name string, url string, type string, howto struct<{HOWTO}>"
 
 #: What a fetcher brought back for a url; ``rendered`` tells a browser capture from a plain one.
-CAPTURES = T.StructType.fromDDL("url string, fetched_at timestamp, ok boolean, rendered boolean, body string")
+CAPTURES = "url string, fetched_at timestamp, ok boolean, rendered boolean, body string"
 
 #: What a source offers, in listing order.
-ITEMS = T.StructType.fromDDL(
+ITEMS = (
     "source_id int, pos int, url string, title string, published_date string, content string"
 )
 
 #: The curated table. ``url`` and ``title`` are each unique because ingest keeps them so.
-NEWS = T.StructType.fromDDL(
+NEWS = (
     "url string, title string, published_date string, published_ts timestamp, collected_at timestamp,"
     " ingest_seq bigint, content string, summary string, iso_year int, iso_week int"
 )
 
-REQUESTS = T.StructType.fromDDL("request_id string, kind string, key string, instructions string, input string")
-RESPONSES = T.StructType.fromDDL("request_id string, output string, error string")
+REQUESTS = "request_id string, kind string, key string, instructions string, input string"
+RESPONSES = "request_id string, output string, error string"

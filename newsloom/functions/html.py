@@ -39,6 +39,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
+BETWEEN = re.compile(r"\s*([>,])\s*|\s+")
 SIMPLE = re.compile(
     r"([A-Za-z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*)?\]"
 )
@@ -82,35 +83,34 @@ Compound = list[tuple[str, str, str, str]]
 @lru_cache(maxsize=4096)
 def compile_selector(selector: str) -> list[list[tuple[str, Compound]]]:
     """Alternatives, each a list of ``(combinator, tests)``. Types, classes, ids, attributes, descendants, children."""
-    alternatives = []
-    for alternative in selector.split(","):
-        steps: list[tuple[str, Compound]] = []
-        combinator = " "
-        for word in re.sub(r"\s*>\s*", " > ", alternative).split(" "):
-            if word in ("", ">"):
-                combinator = ">" if word == ">" else combinator
-                continue
-            tests: Compound = []
-            at = 0
-            while at < len(word):
-                found = SIMPLE.match(word, at)
-                if not found:
-                    raise ValueError(f"unsupported selector: {selector!r}")
-                tag, css_class, css_id, attribute, relation, *values = found.groups()
-                if tag:
-                    tests.append(("tag", tag.lower(), "", ""))
-                elif css_class:
-                    tests.append(("attr", "class", "~=", css_class))
-                elif css_id:
-                    tests.append(("attr", "id", "=", css_id))
-                else:
-                    tests.append(("attr", attribute.lower(), relation or "", next((v for v in values if v is not None), "")))
-                at = found.end()
-            steps.append((combinator, tests))
-            combinator = " "
-        if not steps:
-            raise ValueError(f"empty selector: {selector!r}")
-        alternatives.append(steps)
+    alternatives: list[list[tuple[str, Compound]]] = [[(" ", [])]]
+    at, selector = 0, selector.strip()
+    while at < len(selector):
+        found = BETWEEN.match(selector, at)
+        if found:
+            sign = found.group(1) or " "
+            if sign == ",":
+                alternatives.append([(" ", [])])
+            else:
+                alternatives[-1].append((sign, []))
+            at = found.end()
+            continue
+        found = SIMPLE.match(selector, at)
+        if not found:
+            break
+        tag, css_class, css_id, attribute, relation, *values = found.groups()
+        tests = alternatives[-1][-1][1]
+        if tag:
+            tests.append(("tag", tag.lower(), "", ""))
+        elif css_class:
+            tests.append(("attr", "class", "~=", css_class))
+        elif css_id:
+            tests.append(("attr", "id", "=", css_id))
+        else:
+            tests.append(("attr", attribute.lower(), relation or "", next((v for v in values if v is not None), "")))
+        at = found.end()
+    if at < len(selector) or not all(tests for steps in alternatives for _, tests in steps):
+        raise ValueError(f"unsupported selector: {selector!r}")
     return alternatives
 
 

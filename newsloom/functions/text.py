@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 # The characters that count as whitespace when titles, dates and bodies are collapsed or stripped.
 WHITESPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
@@ -94,29 +96,40 @@ def digest_title(year: Column, week: Column, days: int | None = None) -> Column:
 # Draft clean-up: what a model returned becomes the body of a post.
 
 
+def _from_line(lines: Column, number: Column) -> Column:
+    """Text from a line (counted from 1) on, without leading blanks."""
+    return lstrip(F.array_join(F.slice(lines, number.cast("int"), F.greatest(F.size(lines), F.lit(1))), "\n"))
+
+
 def drop_front_matter(draft: Column) -> Column:
     """Remove a leading front matter section, if it is closed by a line that holds nothing but ``---``."""
-    lines = lines_of(lstrip(draft))
-    bare = F.transform(lines, strip)
-    closing = F.array_position(F.slice(bare, 2, F.greatest(F.size(lines), F.lit(1))), "---")
-    rest = F.array_join(F.slice(lines, (closing + 2).cast("int"), F.greatest(F.size(lines), F.lit(1))), "\n")
-    return F.when(lstrip(draft).startswith("---") & (closing > 0), lstrip(rest)).otherwise(draft)
+
+    def without(lines: Column) -> Column:
+        closing = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), strip), "---")
+        opened = F.get(lines, F.lit(0)).startswith("---")
+        return let(closing, lambda at: F.when(opened & (at > 0), _from_line(lines, at + 2)).otherwise(draft))
+
+    return let(lines_of(lstrip(draft)), without)
 
 
 def heading_title(body: Column, default: str = DEFAULT_TITLE) -> Column:
     """Text of the level-one heading that opens the body, else ``default``."""
-    opening = F.get(F.filter(lines_of(body), lambda line: strip(line) != ""), F.lit(0))
-    return F.when(opening.startswith("# "), or_default(strip(F.substring(opening, 3, 2**31 - 1)), default)).otherwise(
-        F.lit(default)
-    )
+
+    def title(opening: Column) -> Column:
+        heading = or_default(strip(F.substring(opening, 3, 2**31 - 1)), default)
+        return F.when(opening.startswith("# "), heading).otherwise(F.lit(default))
+
+    return let(F.get(F.filter(lines_of(body), lambda line: strip(line) != ""), F.lit(0)), title)
 
 
 def drop_heading(body: Column) -> Column:
     """Remove a level-one heading from the very first line, with one blank line after it."""
-    lines = lines_of(body)
-    skip = F.when(strip(F.get(lines, F.lit(1))) == "", F.lit(3)).otherwise(F.lit(2))
-    rest = F.array_join(F.slice(lines, skip, F.greatest(F.size(lines), F.lit(1))), "\n")
-    return F.when(F.get(lines, F.lit(0)).startswith("# "), lstrip(rest)).otherwise(body)
+
+    def without(lines: Column) -> Column:
+        start = F.when(strip(F.get(lines, F.lit(1))) == "", F.lit(3)).otherwise(F.lit(2))
+        return F.when(F.get(lines, F.lit(0)).startswith("# "), _from_line(lines, start)).otherwise(body)
+
+    return let(lines_of(body), without)
 
 
 def back_link(year: Column, week: Column, stem: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 # Zone names a mail-style date may carry, in minutes east of UTC. Other names count as UTC.
 ZONES = {
     "UT": 0, "UTC": 0, "GMT": 0, "Z": 0,
@@ -23,23 +25,19 @@ MAIL_DATE = (
 def mail_date(text: Column) -> Column:
     """Instant of a mail-style date (RFC 2822), null when the text is none. Dates without a zone are UTC."""
 
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, MAIL_DATE, group), F.lit(""))
-
-    year = part(3).cast("int")
-    year = F.when(F.length(part(3)) == 4, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    month = F.lower(F.substring(part(2), 1, 3))
-    stamp = F.concat_ws(
-        " ", year.cast("string"), F.initcap(month), part(1), F.concat_ws(":", part(4), part(5), F.coalesce(part(6), F.lit("0")))
-    )
-    local = F.try_to_timestamp(stamp, F.lit("y MMM d H:m:s"))
-    digits = part(7)
-    numeric = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
-    zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
-    east = F.coalesce(
-        F.when(digits.startswith("-"), -numeric).otherwise(numeric), F.element_at(zones, F.upper(part(8))), F.lit(0)
-    )
-    return local - F.make_dt_interval(mins=east)
+    def read(p: Column) -> Column:
+        day, month, year, hour, minute, second, digits, name = (p[i] for i in range(8))
+        number = year.cast("int")
+        full = F.when(F.length(year) == 4, number).when(number > 68, number + 1900).otherwise(number + 2000)
+        clock = F.concat_ws(":", hour, minute, F.when(second == "", "0").otherwise(second))
+        stamp = F.concat_ws(" ", full.cast("string"), F.initcap(month), day, clock)
+        offset = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+        zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+        east = F.coalesce(F.when(digits.startswith("-"), -offset).otherwise(offset), zones[F.upper(name)], F.lit(0))
+        return F.try_to_timestamp(stamp, F.lit("y MMM d H:m:s")) - F.make_dt_interval(mins=east)
+
+    parts = F.split(F.regexp_replace(text, f"{MAIL_DATE}(?s:.*)", "\n".join(f"${i}" for i in range(1, 9))), "\n")
+    return let(F.when(text.rlike(MAIL_DATE), parts), read)
 
 
 def first_mail_date(*texts: Column) -> Column:

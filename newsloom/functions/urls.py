@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 # The generic URL syntax of RFC 3986, and the schemes that have an authority or relative references.
-SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?:(//)([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 WITH_AUTHORITY = (
     "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero",
     "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
@@ -15,16 +17,17 @@ WITH_RELATIVE = (
     "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps",
     "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
 )
-IP_HOST = r"^[^\[\]]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\..+)\](?::.*)?$"
-
+IP_HOST = r"^[^\[\]]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\..+)\].*$"
 
-def _clean(url: Column) -> Column:
-    """Leading blanks and control characters, and line breaks anywhere, are no part of a URL."""
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
+def _parts(url: Column) -> Column:
+    """``[scheme, authority, path, query, fragment]``, missing parts empty.
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(_clean(url), SPLIT, group)
+    Leading blanks and control characters, and line breaks anywhere, are no part of a URL; so a line break can stand
+    between the parts.
+    """
+    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return F.split(F.regexp_replace(clean, SPLIT, "$1\n$2\n$3\n$4\n$5"), "\n")
 
 
 def _is_broken(authority: Column) -> Column:
@@ -32,15 +35,17 @@ def _is_broken(authority: Column) -> Column:
 
 
 def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
-    hierarchical = (
-        F.when(authority != "", F.concat(F.lit("//"), authority, F.when((path != "") & ~path.startswith("/"), "/").otherwise(""), path))
-        .when(path.startswith("//"), F.concat(F.lit("//"), path))
-        .when(scheme.isin(*WITH_AUTHORITY) & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), path))
-        .otherwise(path)
+    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    slashes = (
+        (authority != "")
+        | path.startswith("//")
+        | (scheme.isin(*WITH_AUTHORITY) & ((path == "") | path.startswith("/")))
     )
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        hierarchical,
+        F.when(slashes, "//").otherwise(""),
+        authority,
+        F.when(authority != "", rooted).otherwise(path),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
@@ -48,10 +53,13 @@ def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fr
 
 def normalize_url(url: Column) -> Column:
     """Comparison form: lower-case scheme and host, no query or fragment, one trailing slash dropped."""
-    authority, path = F.lower(_part(url, 3)), _part(url, 4)
-    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, r"/\z", ""))
-    none = F.lit("")
-    return F.when(_is_broken(authority), url).otherwise(_assemble(F.lower(_part(url, 1)), authority, path, none, none))
+
+    def form(p: Column) -> Column:
+        path = F.when(p[2].isin("", "/"), "/").otherwise(F.regexp_replace(p[2], r"/\z", ""))
+        none = F.lit("")
+        return F.when(_is_broken(p[1]), url).otherwise(_assemble(F.lower(p[0]), F.lower(p[1]), path, none, none))
+
+    return let(_parts(url), form)
 
 
 def is_same_url(candidate: Column, normalized: Column) -> Column:
@@ -60,52 +68,43 @@ def is_same_url(candidate: Column, normalized: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..``; a path that ends in one of them is a directory."""
-    segments = F.split(path, "/")
-    empty = F.array().cast("array<string>")
     kept = F.aggregate(
-        segments,
-        empty,
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
         lambda done, segment: F.when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
         .when(segment == ".", done)
         .otherwise(F.array_append(done, segment)),
+        # The closing segment of a directory is empty.
+        lambda done: F.array_join(F.when(path.rlike(r"(^|/)\.\.?\z"), F.array_append(done, F.lit(""))).otherwise(done), "/"),
     )
-    directory = F.element_at(segments, -1).isin(".", "..")
-    return or_root(F.array_join(F.when(directory, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+    return let(kept, lambda resolved: F.when(resolved == "", "/").otherwise(resolved))
 
 
-def or_root(path: Column) -> Column:
-    return F.when(path == "", "/").otherwise(path)
+def _merged(base_path: Column, path: Column) -> Column:
+    """A relative path on the folder of its base. Empty segments are dropped, but for the closing one."""
+    return F.regexp_replace(F.concat(F.regexp_replace(base_path, r"[^/]*\z", ""), path), "/{2,}", "/")
 
 
 def join_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page ``base``."""
-    base_scheme = F.lower(_part(base, 1))
-    scheme = F.lower(_part(href, 1))
-    scheme = F.when(scheme == "", base_scheme).otherwise(scheme)
-    base_path, path = _part(base, 4), _part(href, 4)
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    # Empty segments inside a merged path are dropped, the leading and the closing one are not.
-    merged = F.concat(folder, path)
-    merged = F.regexp_replace(merged, r"(?<=.)/{2,}|(?<!^)/{2,}", "/")
-    merged = F.regexp_replace(merged, r"^/{2,}", "/")
-    resolved = _without_dots(F.when(path.startswith("/"), path).otherwise(merged))
-    query, fragment = _part(href, 5), _part(href, 6)
-    own_path = path != ""
-    joined = _assemble(
-        scheme,
-        _part(base, 3),
-        F.when(own_path, resolved).otherwise(base_path),
-        F.when(own_path | (query != ""), query).otherwise(_part(base, 5)),
-        fragment,
-    )
-    foreign = (scheme != base_scheme) | ~(scheme.isin(*WITH_RELATIVE) | (scheme == ""))
-    return (
-        F.when(href == "", base)
-        .when(base == "", href)
-        .when(foreign, href)
-        .when(_part(href, 3) != "", _assemble(scheme, _part(href, 3), path, query, fragment))
-        .otherwise(joined)
-    )
+
+    def joined(b: Column, h: Column) -> Column:
+        base_scheme = F.lower(b[0])
+        scheme = F.when(h[0] == "", base_scheme).otherwise(F.lower(h[0]))
+        own_path = h[2] != ""
+        path = F.when(~own_path, b[2]).otherwise(
+            let(F.when(h[2].startswith("/"), h[2]).otherwise(_merged(b[2], h[2])), _without_dots)
+        )
+        query = F.when(own_path | (h[3] != ""), h[3]).otherwise(b[3])
+        foreign = (scheme != base_scheme) | ~(scheme.isin(*WITH_RELATIVE) | (scheme == ""))
+        return (
+            F.when((base == "") | foreign, href)
+            .when(h[1] != "", _assemble(scheme, h[1], h[2], h[3], h[4]))
+            .otherwise(_assemble(scheme, b[1], path, query, h[4]))
+        )
+
+    resolved = let(_parts(base), lambda b: let(_parts(href), lambda h: joined(b, h)))
+    return F.when(href == "", base).otherwise(resolved)
 
 
 def site_name(url: Column) -> Column:

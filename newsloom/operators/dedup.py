@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import HOT_ROWS, spread_join
+from newsloom.operators.skew import HOT_ROWS, hot_keys, spread_join
 from newsloom.session import cut_lineage
 
 KEYS = ("url", "title")
@@ -35,21 +35,25 @@ def drop_stored(
     items: DataFrame, stored: DataFrame, row_id: Sequence[str], keys: Sequence[str] = KEYS, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Items that share no key with the store. One anti join per key: a join on ``a OR b`` would be a nested loop."""
+    hot = {key: hot_keys(items, [key], min_rows) for key in keys}
     return reduce(
-        lambda rest, key: spread_join(rest, stored_keys(stored, items, key), [key], "left_anti", row_id, min_rows),
+        lambda rest, key: spread_join(rest, stored_keys(stored, items, key), [key], "left_anti", row_id, hot=hot[key]),
         keys,
         items,
     )
 
 
-def only_stored(items: DataFrame, stored: DataFrame, row_id: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+def only_stored(
+    items: DataFrame, stored: DataFrame, row_id: Sequence[str], keys: Sequence[str] = KEYS, min_rows: int = HOT_ROWS
+) -> DataFrame:
     """Items that share a key with the store."""
     marks = [f"_{key}_stored" for key in keys]
+    marked = items
     for key, mark in zip(keys, marks):
         known = stored_keys(stored, items, key).withColumn(mark, F.lit(True))
-        items = spread_join(items, known, [key], "left", row_id)
+        marked = spread_join(marked, known, [key], "left", row_id, hot=hot_keys(items, [key], min_rows))
     found = reduce(lambda a, b: a | b, (F.col(mark).isNotNull() for mark in marks))
-    return items.where(found).drop(*marks)
+    return marked.where(found).drop(*marks).select(*items.columns)
 
 
 def _settle(seq: str, keys: Sequence[str]):
@@ -102,30 +106,39 @@ def first_kept(
     task. No later item matters to them, so this is exact, and it is bounded for any input.
     """
     ids = [f"_{key}_id" for key in keys]
-    live = cut_lineage(items.groupBy(*keys).agg(F.min(seq).alias(seq)))
+
+    def spread(rows: DataFrame, right: DataFrame, key: str, how: str, total: int, counted: DataFrame) -> DataFrame:
+        # Fewer rows than a hot key has need no count.
+        hot = hot_keys(counted, [key], min_rows) if total >= min_rows else []
+        return spread_join(rows, right, [key], how, [seq], hot=hot)
+
+    distinct = cut_lineage(items.groupBy(*keys).agg(F.min(seq).alias(seq)))
+    left = distinct.count()
+    numbered = distinct
     for key, number in zip(keys, ids):
-        numbers = live.groupBy(key).agg(F.min(seq).alias(number))
-        live = cut_lineage(spread_join(live, numbers, [key], "inner", [seq], min_rows).drop(key))
-    columns = live.select(seq, *ids).schema
+        numbers = distinct.groupBy(key).agg(F.min(seq).alias(number))
+        numbered = spread(numbered, numbers, key, "inner", left, distinct)
+    live = cut_lineage(numbered.select(seq, *ids))
 
     kept: list[DataFrame] = []
-    left = live.count()
     rounds, settled = 0, left
     while left:
         in_order = rounds >= PARALLEL_ROUNDS and (left <= min(rest_rows, block_rows) or settled < left // 10)
         if in_order:
             block = _first_block(live, seq, left, block_rows)
-            winners = block.repartition(1).sortWithinPartitions(seq).mapInPandas(_settle(seq, ids), columns)
+            winners = block.repartition(1).sortWithinPartitions(seq).mapInPandas(_settle(seq, ids), live.schema)
             rest = live.join(block.select(seq), seq, "left_anti")
         else:
             firsts = [live.groupBy(number).agg(F.min(seq).alias(seq)) for number in ids]
             winners = reduce(lambda a, b: a.join(b, seq), firsts).select(seq, *ids)
             rest = live
         winners = cut_lineage(winners)
+        kept.append(winners.select(seq))
+        if in_order and left <= block_rows:
+            break
         for number in ids:
-            rest = spread_join(rest, winners.select(number), [number], "left_anti", [seq], min_rows)
+            rest = spread(rest, winners.select(number), number, "left_anti", left, live)
         live = cut_lineage(rest.select(seq, *ids))
-        kept.append(winners.select(seq))
         before, left = left, live.count()
         rounds, settled = rounds + 1, before - left
         if len(kept) >= 32:

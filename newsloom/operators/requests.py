@@ -72,7 +72,7 @@ def responses_by_key(requests: DataFrame, responses: DataFrame) -> DataFrame:
 def first_sentences(text: Column, count: int = 3) -> Column:
     """The opening sentences of a text: a summary without a model."""
     # Sentence marks of Western and Chinese text.
-    return strip(F.regexp_extract(text, rf"^((?:[^.!?。！？]*[.!?。！？]+){{1,{count}}}|.*)", 1))
+    return strip(F.regexp_extract(text, rf"(?s)^((?:[^.!?。！？]*[.!?。！？]+){{1,{count}}}|.*)", 1))
 
 
 def summarize(news: DataFrame, summarizer: Callable[[Column], Column] = first_sentences) -> DataFrame:

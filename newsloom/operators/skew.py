@@ -17,16 +17,10 @@ HOT_KEYS = 512
 SHARES = 64
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the most frequent keys: at most ``HOT_KEYS`` rows of one BIGINT, counted with map-side combining."""
-    return (
-        rows.groupBy(F.xxhash64(*on).alias("_hot"))
-        .count()
-        .where(F.col("count") >= min_rows)
-        .orderBy(F.desc("count"), "_hot")
-        .limit(HOT_KEYS)
-        .select("_hot")
-    )
+def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the most frequent keys: at most ``HOT_KEYS`` numbers, counted with map-side combining."""
+    counts = rows.groupBy(F.xxhash64(*on).alias("key")).count().where(F.col("count") >= min_rows)
+    return [row["key"] for row in counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
 
 
 def spread_join(
@@ -36,23 +30,26 @@ def spread_join(
     how: str,
     row_id: Sequence[str],
     min_rows: int = HOT_ROWS,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """Equi join (inner, left, left_semi, left_anti) that shares out the rows of hot left keys over many tasks.
 
     ``right`` has one row per key. Rows of a hot key are spread by a hash of their ``row_id``, so a re-run task
     sends each row where it went before, and the matching right rows, at most ``HOT_KEYS``, are copied to every
-    share. The key list is broadcast: it is bounded by ``HOT_KEYS``. Neither side is hinted; Spark
-    broadcasts the right side by itself when its measured size allows.
-    """
-    hot = F.broadcast(hot_keys(left, on, min_rows).withColumn("_is_hot", F.lit(True)))
+    share. Without hot keys this is a plain join. Neither side is hinted; Spark broadcasts the right side
+    by itself when its measured size allows.
 
-    def marked(side: DataFrame) -> DataFrame:
-        return side.withColumn("_hot", F.xxhash64(*on)).join(hot, "_hot", "left").drop("_hot")
-
-    share = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*row_id), F.lit(SHARES)).cast("int")).otherwise(F.lit(0))
-    shares = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
-    spread = marked(left).withColumn("_share", share).drop("_is_hot")
-    copied = marked(right).withColumn("_share", F.explode(shares)).drop("_is_hot")
+    Hot keys are counted now, in one narrow aggregate over ``left``; so give a frame that is cheap to read twice, or
+    the keys as ``hot`` where they are known.
+    """
+    hot = hot_keys(left, on, min_rows) if hot is None else hot
+    if not hot:
+        return left.join(right, list(on), how)
+    is_hot = F.xxhash64(*on).isin(*hot)
+    share = F.when(is_hot, F.pmod(F.xxhash64(*row_id), F.lit(SHARES)).cast("int")).otherwise(F.lit(0))
+    shares = F.when(is_hot, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.withColumn("_share", share)
+    copied = right.withColumn("_share", F.explode(shares))
     return spread.join(copied, [*on, "_share"], how).drop("_share")
 
 

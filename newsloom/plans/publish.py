@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times
+from newsloom.functions.binding import let
 from newsloom.operators.requests import post_requests, responses_by_key
 from newsloom.operators.rollup import write_digests
 from newsloom.operators.store import instant
@@ -19,11 +20,16 @@ def make_post(
     default_title: str = text.DEFAULT_TITLE, tags: Sequence[str] = text.DEFAULT_TAGS, layout: str = text.DEFAULT_LAYOUT,
 ) -> Column:
     """A draft becomes ``struct<title, markdown>``: cleaned, titled, with front matter and a link to its digest."""
-    bare = text.drop_front_matter(draft)
-    title = text.heading_title(bare, default_title)
-    body = text.drop_heading(bare)
-    whole = F.concat(text.front_matter(title, run_date, tags, layout), body, text.back_link(year, week, stem))
-    return F.struct(title.alias("title"), whole.alias("markdown"))
+
+    def post(bare: Column) -> Column:
+        return let(text.heading_title(bare, default_title), lambda title: F.struct(
+            title.alias("title"),
+            F.concat(
+                text.front_matter(title, run_date, tags, layout), text.drop_heading(bare), text.back_link(year, week, stem)
+            ).alias("markdown"),
+        ))
+
+    return let(text.drop_front_matter(draft), post)
 
 
 def digest_stem(year: Column, week: Column) -> Column:

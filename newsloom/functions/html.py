@@ -8,15 +8,19 @@ back a narrow struct.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
+# Executors get this module with the UDFs, so that they need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Element classes of HTML that decide where text and elements end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template rt rp".split())
@@ -80,7 +84,6 @@ Element = tuple[str, dict[str, str]]
 Compound = list[tuple[str, str, str, str]]
 
 
-@lru_cache(maxsize=4096)
 def compile_selector(selector: str) -> list[list[tuple[str, Compound]]]:
     """Alternatives, each a list of ``(combinator, tests)``. Types, classes, ids, attributes, descendants, children."""
     alternatives: list[list[tuple[str, Compound]]] = [[(" ", [])]]
@@ -160,13 +163,25 @@ class Match:
         return " ".join("".join(self.pieces).split())
 
 
+COMPILED: dict[str, list[list[tuple[str, Compound]]]] = {}
+
+
+def compiled_selector(selector: str) -> list[list[tuple[str, Compound]]]:
+    """The compiled selector, remembered for the next rows; registries may name many, so not for ever."""
+    if selector not in COMPILED:
+        if len(COMPILED) >= 10_000:
+            COMPILED.clear()
+        COMPILED[selector] = compile_selector(selector)
+    return COMPILED[selector]
+
+
 def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False) -> tuple[dict[str, list[Match]], str]:
     """Matches per ``wanted`` selector (``(selector, first only)``) and the text of the whole document.
 
     A captured document separates text at every tag; a rendered one only where a block or line begins, and it shows
     no text of its head.
     """
-    compiled = {key: (compile_selector(selector), first) for key, (selector, first) in wanted.items()}
+    compiled = {key: (compiled_selector(selector), first) for key, (selector, first) in wanted.items()}
     found: dict[str, list[Match]] = {key: [] for key in wanted}
     document = Match({}, -1)
     unread = UNSEEN if rendered else HIDDEN

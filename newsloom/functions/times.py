@@ -31,9 +31,9 @@ def mail_date(text: Column) -> Column:
         full = F.when(F.length(year) == 4, number).when(number > 68, number + 1900).otherwise(number + 2000)
         clock = F.concat_ws(":", hour, minute, F.when(second == "", "0").otherwise(second))
         stamp = F.concat_ws(" ", full.cast("string"), F.initcap(month), day, clock)
-        offset = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+        offset = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
         zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
-        east = F.coalesce(F.when(digits.startswith("-"), -offset).otherwise(offset), zones[F.upper(name)], F.lit(0))
+        east = F.coalesce(F.when(digits.startswith("-"), -offset).when(digits != "", offset), zones[F.upper(name)], F.lit(0))
         return F.try_to_timestamp(stamp, F.lit("y MMM d H:m:s")) - F.make_dt_interval(mins=east)
 
     parts = F.split(F.regexp_replace(text, f"{MAIL_DATE}(?s:.*)", "\n".join(f"${i}" for i in range(1, 9))), "\n")

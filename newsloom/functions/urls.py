@@ -77,7 +77,8 @@ def _without_dots(path: Column) -> Column:
         # The closing segment of a directory is empty.
         lambda done: F.array_join(F.when(path.rlike(r"(^|/)\.\.?\z"), F.array_append(done, F.lit(""))).otherwise(done), "/"),
     )
-    return let(kept, lambda resolved: F.when(resolved == "", "/").otherwise(resolved))
+    dotted = path.rlike(r"(^|/)\.\.?(/|\z)")
+    return let(F.when(dotted, kept).otherwise(path), lambda resolved: F.when(resolved == "", "/").otherwise(resolved))
 
 
 def _merged(base_path: Column, path: Column) -> Column:

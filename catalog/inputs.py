@@ -217,13 +217,13 @@ articles AS (
     (CASE WHEN length(txt) % 4 <> 0 OR length(txt) % 7 = 0 THEN '' ELSE txt || ' ' END) || 'About ' || txt || ' at ' || site AS drawn_text
   FROM (SELECT DISTINCT url, site, txt FROM links))""",
     "feed_items": """
-feed_dates(form, at) AS (VALUES
+feed_dates(form, moment) AS (VALUES
   (0, TIMESTAMP '2026-02-06 10:00:00'), (1, TIMESTAMP '2026-02-06 09:00:00'), (2, TIMESTAMP '2026-02-06 15:00:00'),
   (3, TIMESTAMP '2026-01-01 10:00:00'), (4, NULL), (5, NULL), (6, TIMESTAMP '2026-01-11 00:00:00')),
 feed_items AS (
   SELECT l.page_id, l.pos, l.txt, l.page_id % 3 = 0 AND l.pos = 1 AS back,
     CASE WHEN l.page_id % 3 = 0 AND l.pos = 1 THEN l.page_url ELSE l.url END AS url,
-    CASE WHEN l.pos = 2 THEN '' ELSE l.txt END AS title, d.at AS published_ts
+    CASE WHEN l.pos = 2 THEN '' ELSE l.txt END AS title, d.moment AS published_ts
   FROM links l JOIN feed_dates d ON d.form = (l.page_id + l.pos) % 7
   WHERE l.page_id % 4 = 0)""",
     "fetched_feeds": """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import nav_links, news, ntz, payload_bodies, table, utc, with_tables
+from catalog.inputs import nav_links, news, ntz, table, utc, with_tables
 from newsloom.functions import payloads, text, times, urls
 from newsloom.functions.html import html_text, read_article
 from newsloom.operators.profiling import item_fields
@@ -156,12 +156,6 @@ def q_file_stem(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.file_stem(path).alias("stem"))
 
 
-def q_payload_head(spark, sf):
-    from newsloom.operators.requests import content_head
-
-    return payload_bodies(spark, sf).select("page_id", F.length(content_head(F.col("body"))).alias("n"))
-
-
 QUERIES = {
     "normalize_url": (
         q_normalize_url,
@@ -256,13 +250,4 @@ FROM events JOIN (VALUES (0, 'link', 'name', 'date', NULL), (1, 'url', 'title',
         q_file_stem,
         "SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^?#]*)', 1), '([^/]+?)(\\.[^./]+)?/*$', 1) AS stem FROM pages",
     ),
-    "payload_head": (
-        q_payload_head,
-        with_tables(
-            "links",
-            then="""SELECT p.page_id, least(20000, 51 + sum(CASE WHEN l.page_id IS NULL THEN 0 ELSE length('{"url":"","title":"","date":1700000000},')
-  + length(l.url) + CASE WHEN l.pos = 3 THEN 0 ELSE 1 + length(l.txt) END + CASE WHEN l.pos = 4 THEN 0 ELSE length(',"body":"Body of "') + length(l.txt) END END))::INTEGER AS n
-FROM pages p LEFT JOIN links l ON l.page_id = p.page_id GROUP BY p.page_id""",
-        ),
-    ),
 }

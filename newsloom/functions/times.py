@@ -32,7 +32,7 @@ def mail_date(text: Column) -> Column:
         clock = F.concat_ws(":", hour, minute, F.when(second == "", "0").otherwise(second))
         stamp = F.concat_ws(" ", full.cast("string"), F.initcap(month), day, clock)
         offset = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
-        zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+        zones = F.expr(f"map({', '.join(f"'{zone}', {minutes}" for zone, minutes in ZONES.items())})")
         east = F.coalesce(F.when(digits.startswith("-"), -offset).when(digits != "", offset), zones[F.upper(name)], F.lit(0))
         return F.try_to_timestamp(stamp, F.lit("y MMM d H:m:s")) - F.make_dt_interval(mins=east)
 

@@ -10,13 +10,12 @@ from newsloom.functions.binding import let
 # The generic URL syntax of RFC 3986, and the schemes that have an authority or relative references.
 SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 WITH_AUTHORITY = (
-    "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero",
-    "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
-)
+    "^(?:ftp|http|gopher|nntp|telnet|imap|wais|file|mms|https|shttp|snews|prospero|rtsp|rtsps|rtspu|rsync|svn"
+    "|svn[+]ssh|sftp|nfs|git|git[+]ssh|ws|wss|itms-services)$"
+)
 WITH_RELATIVE = (
-    "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps",
-    "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
-)
+    "^(?:|ftp|http|gopher|nntp|imap|wais|file|https|shttp|mms|prospero|rtsp|rtsps|rtspu|sftp|svn|svn[+]ssh|ws|wss)$"
+)
 IP_HOST = r"^[^\[\]]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\..+)\].*$"
 
 
@@ -39,7 +38,7 @@ def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fr
     slashes = (
         (authority != "")
         | path.startswith("//")
-        | (scheme.isin(*WITH_AUTHORITY) & ((path == "") | path.startswith("/")))
+        | (scheme.rlike(WITH_AUTHORITY) & ((path == "") | path.startswith("/")))
     )
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
@@ -97,7 +96,7 @@ def join_url(base: Column, href: Column) -> Column:
             let(F.when(h[2].startswith("/"), h[2]).otherwise(_merged(b[2], h[2])), _without_dots)
         )
         query = F.when(own_path | (h[3] != ""), h[3]).otherwise(b[3])
-        foreign = (scheme != base_scheme) | ~(scheme.isin(*WITH_RELATIVE) | (scheme == ""))
+        foreign = (scheme != base_scheme) | ~scheme.rlike(WITH_RELATIVE)
         return (
             F.when((base == "") | foreign, href)
             .when(h[1] != "", _assemble(scheme, h[1], h[2], h[3], h[4]))

@@ -9,3 +9,13 @@ from pyspark.sql import functions as F
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once per row, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def let_sql(value: Column, use: str) -> Column:
+    """The same with a SQL lambda (``v -> ...``). Long expressions are built faster as one text."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(use)), F.lit(0))
+
+
+def nested_let(value: str, use: str) -> str:
+    """The same as SQL text, for use inside such a lambda."""
+    return f"get(transform(array({value}), {use}), 0)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import let
+from newsloom.functions.binding import let_sql
 
 # Zone names a mail-style date may carry, in minutes east of UTC. Other names count as UTC.
 ZONES = {
@@ -24,20 +24,14 @@ MAIL_DATE = (
 
 def mail_date(text: Column) -> Column:
     """Instant of a mail-style date (RFC 2822), null when the text is none. Dates without a zone are UTC."""
-
-    def read(p: Column) -> Column:
-        day, month, year, hour, minute, second, digits, name = (p[i] for i in range(8))
-        number = year.cast("int")
-        full = F.when(F.length(year) == 4, number).when(number > 68, number + 1900).otherwise(number + 2000)
-        clock = F.concat_ws(":", hour, minute, F.when(second == "", "0").otherwise(second))
-        stamp = F.concat_ws(" ", full.cast("string"), F.initcap(month), day, clock)
-        offset = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
-        zones = F.expr(f"map({', '.join(f"'{zone}', {minutes}" for zone, minutes in ZONES.items())})")
-        east = F.coalesce(F.when(digits.startswith("-"), -offset).when(digits != "", offset), zones[F.upper(name)], F.lit(0))
-        return F.try_to_timestamp(stamp, F.lit("y MMM d H:m:s")) - F.make_dt_interval(mins=east)
-
     parts = F.split(F.regexp_replace(text, f"{MAIL_DATE}(?s:.*)", "\n".join(f"${i}" for i in range(1, 9))), "\n")
-    return let(F.when(text.rlike(MAIL_DATE), parts), read)
+    year = "CASE WHEN length(p[2]) = 4 THEN p[2] WHEN p[2] > '68' THEN '19' || p[2] ELSE '20' || p[2] END"
+    stamp = f"concat_ws(' ', {year}, initcap(p[1]), p[0], concat_ws(':', p[3], p[4], if(p[5] = '', '0', p[5])))"
+    numeric = "(CAST(substring(p[6], 2, 2) AS INT) * 60 + CAST(substring(p[6], 4, 2) AS INT)) * if(startswith(p[6], '-'), -1, 1)"
+    zones = f"map({', '.join(f"'{zone}', {minutes}" for zone, minutes in ZONES.items())})"
+    east = f"coalesce(if(p[6] <> '', {numeric}, {zones}[upper(p[7])]), 0)"
+    read = f"p -> try_to_timestamp({stamp}, 'y MMM d H:m:s') - make_dt_interval(0, 0, {east}, 0)"
+    return let_sql(F.when(text.rlike(MAIL_DATE), parts), read)
 
 
 def first_mail_date(*texts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import let
+from newsloom.functions.binding import let_sql, nested_let
 
 # The generic URL syntax of RFC 3986, and the schemes that have an authority or relative references.
 SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
@@ -19,6 +19,18 @@ WITH_RELATIVE = (
 IP_HOST = r"^[^\[\]]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\..+)\].*$"
 
 
+# A URL put together from its parts, ``u`` being struct<scheme, authority, path, query, fragment>.
+ASSEMBLED = f"""concat(
+  if(u.scheme <> '', u.scheme || ':', ''),
+  if(u.authority <> '' OR startswith(u.path, '//')
+     OR (u.scheme RLIKE r'{WITH_AUTHORITY}' AND (u.path = '' OR startswith(u.path, '/'))), '//', ''),
+  u.authority,
+  if(u.authority <> '' AND u.path <> '' AND NOT startswith(u.path, '/'), '/', ''),
+  u.path,
+  if(u.query <> '', '?' || u.query, ''),
+  if(u.fragment <> '', '#' || u.fragment, ''))"""
+
+
 def _parts(url: Column) -> Column:
     """``[scheme, authority, path, query, fragment]``, missing parts empty.
 
@@ -29,82 +41,46 @@ def _parts(url: Column) -> Column:
     return F.split(F.regexp_replace(clean, SPLIT, "$1\n$2\n$3\n$4\n$5"), "\n")
 
 
-def _is_broken(authority: Column) -> Column:
-    return authority.rlike(r"[\[\]]") & ~authority.rlike(IP_HOST)
-
-
-def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
-    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    slashes = (
-        (authority != "")
-        | path.startswith("//")
-        | (scheme.rlike(WITH_AUTHORITY) & ((path == "") | path.startswith("/")))
-    )
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(slashes, "//").otherwise(""),
-        authority,
-        F.when(authority != "", rooted).otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+def _assembled(scheme: str, authority: str, path: str, query: str = "''", fragment: str = "''") -> str:
+    parts = f"named_struct('scheme', {scheme}, 'authority', {authority}, 'path', {path}, 'query', {query}, 'fragment', {fragment})"
+    return nested_let(parts, f"u -> {ASSEMBLED}")
 
 
 def normalize_url(url: Column) -> Column:
     """Comparison form: lower-case scheme and host, no query or fragment, one trailing slash dropped."""
-
-    def form(p: Column) -> Column:
-        path = F.when(p[2].isin("", "/"), "/").otherwise(F.regexp_replace(p[2], r"/\z", ""))
-        none = F.lit("")
-        return F.when(_is_broken(p[1]), url).otherwise(_assemble(F.lower(p[0]), F.lower(p[1]), path, none, none))
-
-    return let(_parts(url), form)
+    path = r"if(v.p[2] IN ('', '/'), '/', regexp_replace(v.p[2], r'/\z', ''))"
+    whole = _assembled("lower(v.p[0])", "lower(v.p[1])", path)
+    broken = rf"v.p[1] RLIKE r'[\[\]]' AND NOT v.p[1] RLIKE r'{IP_HOST}'"
+    return let_sql(F.struct(url.alias("url"), _parts(url).alias("p")), f"v -> if({broken}, v.url, {whole})")
 
 
 def is_same_url(candidate: Column, normalized: Column) -> Column:
     return normalize_url(candidate) == normalized
 
 
-def _without_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..``; a path that ends in one of them is a directory."""
-    kept = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda done, segment: F.when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-        .when(segment == ".", done)
-        .otherwise(F.array_append(done, segment)),
-        # The closing segment of a directory is empty.
-        lambda done: F.array_join(F.when(path.rlike(r"(^|/)\.\.?\z"), F.array_append(done, F.lit(""))).otherwise(done), "/"),
-    )
-    dotted = path.rlike(r"(^|/)\.\.?(/|\z)")
-    return let(F.when(dotted, kept).otherwise(path), lambda resolved: F.when(resolved == "", "/").otherwise(resolved))
-
-
-def _merged(base_path: Column, path: Column) -> Column:
-    """A relative path on the folder of its base. Empty segments are dropped, but for the closing one."""
-    return F.regexp_replace(F.concat(F.regexp_replace(base_path, r"[^/]*\z", ""), path), "/{2,}", "/")
+# ``.`` and ``..`` in a path ``t`` resolved; the closing segment of a directory is empty.
+RESOLVED = r"""if(t RLIKE r'(^|/)\.\.?(/|\z)', aggregate(
+  split(t, '/'),
+  CAST(array() AS ARRAY<STRING>),
+  (done, part) -> CASE WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) WHEN part = '.' THEN done ELSE array_append(done, part) END,
+  done -> array_join(if(t RLIKE r'(^|/)\.\.?\z', array_append(done, ''), done), '/')), t)"""
 
 
 def join_url(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
-
-    def joined(b: Column, h: Column) -> Column:
-        base_scheme = F.lower(b[0])
-        scheme = F.when(h[0] == "", base_scheme).otherwise(F.lower(h[0]))
-        own_path = h[2] != ""
-        path = F.when(~own_path, b[2]).otherwise(
-            let(F.when(h[2].startswith("/"), h[2]).otherwise(_merged(b[2], h[2])), _without_dots)
-        )
-        query = F.when(own_path | (h[3] != ""), h[3]).otherwise(b[3])
-        foreign = (scheme != base_scheme) | ~scheme.rlike(WITH_RELATIVE)
-        return (
-            F.when((base == "") | foreign, href)
-            .when(h[1] != "", _assemble(scheme, h[1], h[2], h[3], h[4]))
-            .otherwise(_assemble(scheme, b[1], path, query, h[4]))
-        )
-
-    resolved = let(_parts(base), lambda b: let(_parts(href), lambda h: joined(b, h)))
-    return F.when(href == "", base).otherwise(resolved)
+    """Absolute form of a link found on the page ``base``. A relative path loses empty segments, but for the last."""
+    scheme = "lower(if(v.h[0] = '', v.b[0], v.h[0]))"
+    merged = r"if(startswith(v.h[2], '/'), v.h[2], regexp_replace(regexp_replace(v.b[2], r'[^/]*\z', '') || v.h[2], '/{2,}', '/'))"
+    resolved = nested_let(merged, f"t -> coalesce(nullif({RESOLVED}, ''), '/')")
+    whole = _assembled(
+        scheme,
+        "if(v.h[1] <> '', v.h[1], v.b[1])",
+        f"CASE WHEN v.h[1] <> '' THEN v.h[2] WHEN v.h[2] = '' THEN v.b[2] ELSE {resolved} END",
+        "if(v.h[1] <> '' OR v.h[2] <> '' OR v.h[3] <> '', v.h[3], v.b[3])",
+        "v.h[4]",
+    )
+    foreign = f"v.base = '' OR {scheme} <> lower(v.b[0]) OR NOT {scheme} RLIKE r'{WITH_RELATIVE}'"
+    value = F.struct(base.alias("base"), href.alias("href"), _parts(base).alias("b"), _parts(href).alias("h"))
+    return let_sql(value, f"v -> CASE WHEN v.href = '' THEN v.base WHEN {foreign} THEN v.href ELSE {whole} END")
 
 
 def site_name(url: Column) -> Column:

@@ -25,7 +25,7 @@ def q_selector_counts(spark, sf):
 def q_best_selector(spark, sf):
     profiles = profiling.page_profiles(classed_pages(spark, sf), "page_id")
     links = profiles.select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
-    return profiling.best_selector(profiling.selector_counts(links, "page_id"), "page_id")
+    return profiling.best_selector(profiling.selector_counts(links, "page_id"), "page_id").select("page_id", "selector")
 
 
 def q_list_selectors(spark, sf):

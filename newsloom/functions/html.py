@@ -35,11 +35,12 @@ CLOSES_PARAGRAPH = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}}
+PARAGRAPH = {"p"}
 BARRIERS = frozenset("article body div dl html main nav ol section select table td th ul".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>",
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
@@ -139,28 +140,29 @@ def _passes(element: Element, tests: Compound) -> bool:
     return True
 
 
-def _fits(path: list[Element], steps: list[tuple[str, Compound]]) -> bool:
-    """Does the last element of ``path`` match? Ancestors are tried from the inside out."""
-    combinator, tests = steps[-1]
-    if not _passes(path[-1], tests):
+def _fits(path: list[Element], depth: int, steps: list[tuple[str, Compound]], last: int) -> bool:
+    """Does the element at ``depth`` match the steps up to ``last``? Ancestors are tried from the inside out."""
+    combinator, tests = steps[last]
+    if not _passes(path[depth], tests):
         return False
-    if len(steps) == 1:
+    if last == 0:
         return True
-    inner = range(len(path) - 1, 0, -1) if combinator == " " else range(len(path) - 1, max(len(path) - 2, 0), -1)
-    return any(_fits(path[:depth], steps[:-1]) for depth in inner)
+    if combinator == ">":
+        return depth > 0 and _fits(path, depth - 1, steps, last - 1)
+    return any(_fits(path, above, steps, last - 1) for above in range(depth - 1, -1, -1))
 
 
 class Match:
-    """A matched element and the pieces of text found inside it."""
+    """A matched element; its text is a run of the pieces of text of the document."""
 
-    __slots__ = ("attributes", "pieces", "depth")
+    __slots__ = ("attributes", "depth", "pieces", "start", "end")
 
-    def __init__(self, attributes: dict[str, str], depth: int):
-        self.attributes, self.pieces, self.depth = attributes, [], depth
+    def __init__(self, attributes: dict[str, str], depth: int, pieces: list[str]):
+        self.attributes, self.depth, self.pieces, self.start, self.end = attributes, depth, pieces, len(pieces), None
 
     @property
     def text(self) -> str:
-        return " ".join("".join(self.pieces).split())
+        return " ".join("".join(self.pieces[self.start : self.end]).split())
 
 
 COMPILED: dict[str, list[list[tuple[str, Compound]]]] = {}
@@ -181,59 +183,69 @@ def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False)
     A captured document separates text at every tag; a rendered one only where a block or line begins, and it shows
     no text of its head.
     """
-    compiled = {key: (compiled_selector(selector), first) for key, (selector, first) in wanted.items()}
     found: dict[str, list[Match]] = {key: [] for key in wanted}
-    document = Match({}, -1)
+    # Selectors by the element name they end in, None for any.
+    ending: dict[str | None, list[tuple[str, bool, list[tuple[str, Compound]]]]] = {}
+    for key, (selector, first) in wanted.items():
+        for steps in compiled_selector(selector):
+            tags = [name for kind, name, _, _ in steps[-1][1] if kind == "tag" and name != "*"]
+            ending.setdefault(tags[0] if tags else None, []).append((key, first, steps))
+    for_any = ending.pop(None, [])
+
     unread = UNSEEN if rendered else HIDDEN
+    pieces: list[str] = []
     path: list[Element] = []
-    running: list[Match] = [document]
+    names: dict[str, int] = {}
+    open_matches: list[Match] = []
     muted = 0
 
     def leave(depth: int) -> None:
-        nonlocal muted, running
+        nonlocal muted
         while len(path) > depth:
-            muted -= path.pop()[0] in unread
-        running = [match for match in running if match.depth < depth]
-
-    def gap() -> None:
-        for match in running:
-            match.pieces.append(" ")
+            name = path.pop()[0]
+            names[name] -= 1
+            muted -= name in unread
+        while open_matches and open_matches[-1].depth >= depth:
+            open_matches.pop().end = len(pieces)
 
     for kind, value, attributes in events(body):
         if kind == "text":
             if not muted:
-                for match in running:
-                    match.pieces.append(value)
-            continue
-        if kind == "gap":
-            if not rendered:
-                gap()
-            continue
-        if not rendered or value not in INLINE:
-            gap()
-        if kind == "close":
-            depth = next((d for d in range(len(path) - 1, -1, -1) if path[d][0] == value), None)
-            # An inline end tag does not close the blocks around it.
-            if depth is not None and not (value in INLINE and any(name in BARRIERS for name, _ in path[depth:])):
-                leave(depth)
+                pieces.append(value)
             continue
-        ends = SIBLINGS.get(value, ()) if value not in CLOSES_PARAGRAPH else ("p",)
-        for depth in range(len(path) - 1, -1, -1):
-            if path[depth][0] in ends:
-                leave(depth)
-                break
-            if path[depth][0] in BARRIERS:
-                break
-        path.append((value, attributes))
-        muted += value in unread
-        for key, (alternatives, first) in compiled.items():
-            if not (first and found[key]) and any(_fits(path, steps) for steps in alternatives):
-                match = Match(attributes, len(path) - 1)
-                found[key].append(match)
-                running.append(match)
-        if value in VOID:
-            leave(len(path) - 1)
-    return found, document.text
+        if not rendered or (kind != "gap" and value not in INLINE):
+            pieces.append(" ")
+        if kind == "open":
+            if value in CLOSES_PARAGRAPH or value in SIBLINGS:
+                ends = SIBLINGS.get(value, PARAGRAPH)
+                for depth in range(len(path) - 1, -1, -1) if any(names.get(name) for name in ends) else ():
+                    if path[depth][0] in ends:
+                        leave(depth)
+                        break
+                    if path[depth][0] in BARRIERS:
+                        break
+            path.append((value, attributes))
+            names[value] = names.get(value, 0) + 1
+            muted += value in unread
+            if for_any or value in ending:
+                for key, first, steps in (*ending.get(value, ()), *for_any):
+                    matches = found[key]
+                    if matches and (first or (matches[-1].end is None and matches[-1].depth == len(path) - 1)):
+                        continue
+                    if _fits(path, len(path) - 1, steps, len(steps) - 1):
+                        matches.append(Match(attributes, len(path) - 1, pieces))
+                        open_matches.append(matches[-1])
+            if value in VOID:
+                leave(len(path) - 1)
+        elif kind == "close" and names.get(value):
+            for depth in range(len(path) - 1, -1, -1):
+                if path[depth][0] == value:
+                    leave(depth)
+                    break
+                # An inline end tag does not close the blocks around it.
+                if value in INLINE and path[depth][0] in BARRIERS:
+                    break
+    return found, " ".join("".join(pieces).split())
 
 
 LINK_TYPE = T.StructType(

@@ -35,29 +35,44 @@ ITEM_LIMIT = 50
 FEED_DATE = "published"
 
 
+def class_selector(classes: Column, text: Column) -> Column:
+    """Selector of a link by its classes; null for a link without classes or with hardly any text."""
+    named = F.filter(classes, lambda name: name != "")
+    telling = (F.length(collapse(text)) >= LINK_TEXT) & (F.size(named) > 0)
+    return F.when(telling, F.concat(F.lit("a."), F.array_join(named, ".")))
+
+
 def selector_counts(links: DataFrame, by: str) -> DataFrame:
-    """Distinct targets and first place of each class selector among links with a text worth the name.
+    """Distinct targets and first place of each class selector (``links``: by, pos, href, text, classes)."""
+    chosen = links.withColumn("selector", class_selector(F.col("classes"), F.col("text")))
+    return _counted(chosen.where(F.col("selector").isNotNull()), by)
 
-    ``links``: (by, pos, href, text, classes). Spark combines the distinct count before it shuffles by selector.
-    """
-    classes = F.filter("classes", lambda name: name != "")
-    telling = links.where((F.length(collapse(F.col("text"))) >= LINK_TEXT) & (F.size(classes) > 0))
-    chosen = telling.withColumn("selector", F.concat(F.lit("a."), F.array_join(classes, ".")))
+
+def _counted(chosen: DataFrame, by: str) -> DataFrame:
     per_target = chosen.groupBy(by, "selector", "href").agg(F.min("pos").alias("pos"))
-    return per_target.groupBy(by, "selector").agg(F.count("*").alias("targets"), F.min("pos").alias("first_pos"))
+    return per_target.groupBy(by, "selector").agg(F.count("href").alias("targets"), F.min("pos").alias("first_pos"))
 
 
 def best_selector(counts: DataFrame, by: str) -> DataFrame:
     """The selector with most distinct targets; of equals, the one seen first."""
-    return counts.groupBy(by).agg(F.max_by("selector", F.struct("targets", -F.col("first_pos"))).alias("selector"))
+    rank = F.when(F.col("selector").isNotNull(), F.struct("targets", -F.col("first_pos")))
+    return counts.groupBy(by).agg(F.max_by("selector", rank).alias("selector"), F.count("first_pos").alias("kinds"))
 
 
 def list_selectors(pages: DataFrame, by: str = "url") -> DataFrame:
-    """List selector of each page (by, links): any link when no class stands out, none on a page without links."""
-    links = pages.select(by, F.explode("links").alias("link")).select(by, "link.*")
-    best = best_selector(selector_counts(links.withColumn("href", F.coalesce("href", F.lit(""))), by), by)
-    fallback = F.when(F.size("links") > 0, F.coalesce("selector", F.lit(ANY_LINK)))
-    return pages.select(by, "links").join(best, by, "left").select(by, fallback.alias("list_selector"))
+    """List selector of each page (by, links): any link when no class stands out, none on a page without links.
+
+    Links of one page meet once, and all counting is done on that partitioning.
+    """
+    links = pages.select(by, F.explode_outer("links").alias("link")).select(by, "link.*").repartition(by)
+    chosen = links.select(
+        by,
+        "pos",
+        F.when(F.col("pos").isNotNull(), F.coalesce("href", F.lit(""))).alias("href"),
+        class_selector(F.col("classes"), F.col("text")).alias("selector"),
+    )
+    fallback = F.coalesce("selector", F.when(F.col("kinds") > 0, F.lit(ANY_LINK)))
+    return best_selector(_counted(chosen, by), by).select(by, fallback.alias("list_selector"))
 
 
 def title_selector(marks: Column) -> Column:
@@ -78,7 +93,8 @@ def page_profiles(captures: DataFrame, by: str = "url") -> DataFrame:
 
 
 def page_selectors(profiles: DataFrame, by: str = "url") -> DataFrame:
-    """All selectors of pages that have links."""
+    """All selectors of pages that have links. Profiles are small; they are kept, so that pages are parsed once."""
+    profiles = cut_lineage(profiles)
     marks = F.col("marks")
     rest = profiles.select(
         by,
@@ -177,7 +193,7 @@ def feed_proposals(captures: DataFrame) -> DataFrame:
 
 def page_proposals(rendered: DataFrame, raw: DataFrame) -> DataFrame:
     """How to read each rendered page with links (both sides: url, body), and whether it takes a browser."""
-    selectors = page_selectors(cut_lineage(page_profiles(rendered)))
+    selectors = page_selectors(page_profiles(rendered))
     drawn = is_likely_rendered(F.col("body"), F.col("list_selector"))
     return selectors.join(raw.select("url", "body"), "url", "left").select(
         *selectors.columns, F.when(drawn, "js").otherwise("html").alias("type")

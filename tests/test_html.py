@@ -1,3 +1,5 @@
+import time
+
 from newsloom.functions.html import find
 
 PAGE = (
@@ -41,3 +43,15 @@ def test_unclosed_and_stray_tags():
     assert texts("article", body="<article>a<div>b</article>c") == ["a b"]
     assert texts("td", body="<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
     assert texts("li", body="<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a b", "b", "c"]
+
+
+def test_an_element_that_fits_two_alternatives_counts_once():
+    assert texts("a, .lead, a[href]") == ["Read al l", "B"]
+    assert texts("div, div div", body="<div>a<div>b</div></div>") == ["a b", "b"]
+
+
+def test_hostile_markup_is_read_in_linear_time():
+    for body in ("<" * 200_000, "<a " * 100_000, '<a href="' * 50_000, "<div>" * 20_000, "<!--" * 50_000, "<i>" * 20_000 + "</b>" * 20_000):
+        start = time.perf_counter()
+        find(body, {"x": ("a", False)})
+        assert time.perf_counter() - start < 5

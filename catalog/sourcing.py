@@ -12,7 +12,7 @@ from newsloom.functions.html import select_links
 from newsloom.operators.caps import sample_item
 from newsloom.operators.filters import is_not_source
 from newsloom.operators.merge import fill_content, with_body
-from newsloom.sources import apis, dispatch, feeds, listings
+from newsloom.sources import apis, articles, dispatch, feeds
 from newsloom.sources.registry import parse_registry, run_errors, validate
 
 LIMIT = 3
@@ -33,45 +33,50 @@ def q_read_registry(spark, sf):
 
 
 def q_fetch_feeds(spark, sf):
-    return feeds.fetch_feeds(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
+    return dispatch.fetch(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT, ("rss",))
 
 
 def q_fetch_pages(spark, sf):
-    return listings.fetch_pages(registry(spark, sf), captures(spark, sf), LIMIT).select(*ITEMS)
+    return dispatch.fetch(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT, ("html",)).select(*ITEMS)
 
 
 def q_fetch_rendered(spark, sf):
-    return listings.fetch_rendered(registry(spark, sf), captures(spark, sf), LIMIT).select(*ITEMS)
+    return dispatch.fetch(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT, ("js",)).select(*ITEMS)
 
 
 def q_fetch_apis(spark, sf):
-    return apis.fetch_apis(registry(spark, sf), captures(spark, sf), LIMIT)
+    return dispatch.fetch(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT, ("api",))
 
 
 def q_fetch_all(spark, sf):
-    return dispatch.fetch_all(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
+    return dispatch.fetch(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
+
+
+def _listed(spark, sf, kind):
+    return dispatch.list_urls(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT, (kind,)).drop("name")
 
 
 def q_list_feed_urls(spark, sf):
-    return feeds.list_feed_urls(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
+    return _listed(spark, sf, "rss")
 
 
 def q_list_page_urls(spark, sf):
-    return listings.list_page_urls(registry(spark, sf), captures(spark, sf), "html", LIMIT)
+    return _listed(spark, sf, "html")
 
 
 def q_list_rendered_urls(spark, sf):
-    return listings.list_page_urls(registry(spark, sf), captures(spark, sf), "js", LIMIT)
+    return _listed(spark, sf, "js")
 
 
 def q_list_api_urls(spark, sf):
+    """The url field is not configured but guessed from the first item."""
     howto = F.col("howto").withField("api", F.col("howto.api").withField("url_field", F.lit(None).cast("string")))
-    first_is_object = source_captures(spark, sf).withColumn("body", F.replace("body", F.lit("[7,"), F.lit("[")))
-    return apis.list_api_urls(registry(spark, sf).withColumn("howto", howto), first_is_object, LIMIT)
+    opened = dispatch.open_sources(registry(spark, sf), source_captures(spark, sf), "api").withColumn("howto", howto)
+    return apis.payload_urls(opened.withColumn("body", F.replace("body", F.lit("[7,"), F.lit("["))), LIMIT)
 
 
 def q_list_all_urls(spark, sf):
-    return dispatch.list_all_urls(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
+    return dispatch.list_urls(registry(spark, sf), captures(spark, sf), now(), LOOKBACK, LIMIT)
 
 
 def q_feed_entries(spark, sf):
@@ -81,15 +86,14 @@ def q_feed_entries(spark, sf):
 
 def q_unreadable_feeds(spark, sf):
     cut = F.when(F.col("source_id") % 8 == 0, F.substring("body", 1, 120)).otherwise(F.col("body"))
-    sources = registry(spark, sf)
-    bodies = captures(spark, sf).join(sources.select("url", "source_id"), "url", "left").withColumn("body", cut).drop("source_id")
-    return feeds.unreadable_feeds(sources, bodies).select("source_id", "url")
+    opened = dispatch.open_sources(registry(spark, sf), captures(spark, sf), "rss")
+    return feeds.unreadable_feeds(opened.withColumn("body", cut))
 
 
 def q_unreadable_payloads(spark, sf):
     path = F.when(F.col("source_id") % 8 == 3, "data.none").otherwise("data.items")
     howto = F.col("howto").withField("api", F.col("howto.api").withField("items_path", path))
-    return apis.unreadable_payloads(registry(spark, sf).withColumn("howto", howto), captures(spark, sf))
+    return apis.unreadable_payloads(dispatch.open_sources(registry(spark, sf), captures(spark, sf), "api").withColumn("howto", howto))
 
 
 def q_select_links(spark, sf):
@@ -103,23 +107,24 @@ def q_select_mixed(spark, sf):
 
 
 def q_article_texts(spark, sf):
-    return feeds.full_texts(nav_links(spark, sf), article_captures(spark, sf, False))
+    return articles.full_texts(nav_links(spark, sf), article_captures(spark, sf, False))
 
 
-def q_articles(spark, sf):
+def _articles(spark, sf, rendered, date_selector):
     links = nav_links(spark, sf).select(
-        F.col("page_id").alias("source_id"), "pos", "url", F.lit("h1").alias("title_selector"),
-        F.lit("b").alias("date_selector"), F.lit("article").alias("content_selector"),
+        F.col("page_id").alias("source_id"), "pos", "url", F.lit(rendered).alias("rendered"), F.lit("h1").alias("title_selector"),
+        F.lit(date_selector).cast("string").alias("date_selector"), F.lit("article").alias("content_selector"),
     )
-    return listings.read_articles(links, article_captures(spark, sf, False), rendered=False).select(*ITEMS)
+    read = articles.read_articles(links, article_captures(spark, sf, rendered))
+    return articles.article_items(links, read).select(*ITEMS)
+
+
+def q_articles(spark, sf):
+    return _articles(spark, sf, False, "b")
 
 
 def q_rendered_articles(spark, sf):
-    links = nav_links(spark, sf).select(
-        F.col("page_id").alias("source_id"), "pos", "url", F.lit("h1").alias("title_selector"),
-        F.lit(None).cast("string").alias("date_selector"), F.lit("article").alias("content_selector"),
-    )
-    return listings.read_articles(links, article_captures(spark, sf, True), rendered=True).select(*ITEMS)
+    return _articles(spark, sf, True, None)
 
 
 def q_fill_content(spark, sf):
@@ -139,18 +144,18 @@ def q_items_of_sources(spark, sf):
 
 
 def q_links_with_capture(spark, sf):
-    links = nav_links(spark, sf).select("page_id", "pos", "url")
-    return with_body(links, article_captures(spark, sf, False), rendered=False).select("page_id", "pos", "url", F.md5("body").alias("body_md5"))
+    links = nav_links(spark, sf).select("page_id", "pos", "url", F.lit(False).alias("rendered"))
+    return with_body(links, article_captures(spark, sf, False)).select("page_id", "pos", "url", F.md5("body").alias("body_md5"))
 
 
 def q_newest_capture(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url")
+    pages = table(spark, sf, "pages").select("page_id", "url", F.lit(False).alias("rendered"))
     tries = pages.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
     log = tries.select(
         "url", F.timestamp_seconds(F.lit(1770000000) + F.col("n") * 3600).alias("fetched_at"),
         ((F.col("page_id") + F.col("n")) % 3 != 0).alias("ok"), F.lit(False).alias("rendered"), F.format_string("try %d", "n").alias("body"),
     )
-    return with_body(pages, log, rendered=False).select("page_id", "body")
+    return with_body(pages, log).select("page_id", "body")
 
 
 def q_sample_items(spark, sf):

@@ -11,16 +11,16 @@ from newsloom.functions.text import is_filled
 from newsloom.operators.skew import HOT_ROWS, spread_join
 
 
-def with_body(rows: DataFrame, captures: DataFrame, rendered: bool) -> DataFrame:
-    """Rows (with a ``url``) that have a successful capture, with the body of the newest one.
+def with_body(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    """Rows (``url``, ``rendered``) that have a successful capture of that kind, with the body of the newest one.
 
-    Captures are a log with one row per url, kind and time. The newest time is found on two narrow columns;
-    bodies are then moved once, or not at all where Spark can broadcast ``rows``.
+    Captures are a log with one row per url, kind and time. The newest time is found on narrow columns, with map-side
+    combining; bodies are then moved once, spread by url and time, or not at all where Spark can broadcast ``rows``.
     """
-    usable = captures.where(F.col("ok") & (F.col("rendered") == rendered))
-    newest = usable.groupBy("url").agg(F.max("fetched_at").alias("fetched_at"))
-    stamped = rows.join(newest, "url")
-    return stamped.join(usable.select("url", "fetched_at", "body"), ["url", "fetched_at"]).drop("fetched_at")
+    usable = captures.where("ok").select("url", "rendered", "fetched_at", "body")
+    newest = usable.groupBy("url", "rendered").agg(F.max("fetched_at").alias("fetched_at"))
+    stamped = rows.join(newest, ["url", "rendered"])
+    return stamped.join(usable, ["url", "rendered", "fetched_at"]).drop("fetched_at")
 
 
 def fill_content(items: DataFrame, texts: DataFrame, row_id: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:

@@ -202,8 +202,9 @@ def page_proposals(rendered: DataFrame, raw: DataFrame) -> DataFrame:
 
 def propose(urls: DataFrame, captures: DataFrame) -> DataFrame:
     """A registry entry for each unknown url: a feed if it has entries, else a payload with items, else a page."""
-    raw = with_body(urls.select("url").distinct(), captures, rendered=False)
-    rendered = with_body(urls.select("url").distinct(), captures, rendered=True)
+    both = urls.select("url").distinct().select("url", F.explode(F.array(F.lit(False), F.lit(True))).alias("rendered"))
+    bodies = cut_lineage(with_body(both, captures))
+    raw, rendered = (bodies.where(F.col("rendered") == kind).drop("rendered") for kind in (False, True))
 
     def entry(kind: str, fields: DataFrame) -> DataFrame:
         section = F.struct(*(c for c in fields.columns if c != "url"))

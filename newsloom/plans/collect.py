@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.operators.store import append_news, as_news, create_news, ingest, instant, read_news
 from newsloom.session import cut_lineage
-from newsloom.sources.dispatch import LOOKBACK_DAYS, MAX_ITEMS, fetch_all
+from newsloom.sources.dispatch import LOOKBACK_DAYS, MAX_ITEMS, fetch
 
 
 def collect(
@@ -25,7 +25,7 @@ def collect(
     Running it again over the same captures inserts nothing: the store is asked first.
     """
     create_news(spark, news_path)
-    items = cut_lineage(fetch_all(sources, captures, instant(now), lookback_days, limit))
-    outcomes = cut_lineage(ingest(items, read_news(spark, news_path)))
+    items = cut_lineage(fetch(sources, captures, instant(now), lookback_days, limit))
+    outcomes = ingest(items, read_news(spark, news_path))
     append_news(as_news(outcomes, instant(now)), news_path)
     return outcomes

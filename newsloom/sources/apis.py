@@ -9,21 +9,17 @@ from newsloom.functions.payloads import as_list, get_path, has_value, is_object,
 from newsloom.functions.text import strip
 from newsloom.operators.caps import first_per_group
 from newsloom.operators.filters import is_not_source
-from newsloom.operators.merge import with_body
 
 # Names that hold the url of an item, in order of preference.
 URL_FIELDS = ("canonical_url", "url", "link", "href", "permalink")
 
 
-def _lists(sources: DataFrame, captures: DataFrame) -> DataFrame:
-    """The item list of every payload, null where its path leads to none."""
+def _lists(opened: DataFrame) -> DataFrame:
+    """The item list of every opened payload, null where its path leads to none."""
     howto = F.col("howto.api")
-    apis = sources.where(F.col("type") == "api").select(
-        "source_id", "url", *(howto[name].alias(name) for name in ("items_path", "url_field", "title_field", "date_field", "content_field"))
-    )
-    bodies = with_body(apis, captures, rendered=False)
-    payload = F.try_parse_json("body")
-    return bodies.withColumn("list", as_list(get_path(payload, F.col("items_path")))).drop("body")
+    fields = ("items_path", "url_field", "title_field", "date_field", "content_field")
+    apis = opened.where(F.col("type") == "api").select("source_id", "url", "body", *(howto[name].alias(name) for name in fields))
+    return apis.withColumn("list", as_list(get_path(F.try_parse_json("body"), F.col("items_path")))).drop("body")
 
 
 def _items(lists: DataFrame) -> DataFrame:
@@ -37,10 +33,10 @@ def _present(value) -> object:
     return F.nullif(value, F.lit(""))
 
 
-def fetch_apis(sources: DataFrame, captures: DataFrame, limit: int) -> DataFrame:
+def payload_items(opened: DataFrame, limit: int) -> DataFrame:
     """Items of payloads, by the field names of their source."""
     fields = {name: _present(F.col(f"{name}_field")) for name in ("url", "title", "date", "content")}
-    valued = _items(_lists(sources, captures)).select(
+    valued = _items(_lists(opened)).select(
         "source_id", "source_url", "pos", *(member(F.col("item"), field).alias(name) for name, field in fields.items())
     )
     told = valued.where(has_value(F.col("url")) & has_value(F.col("title")))
@@ -57,16 +53,16 @@ def fetch_apis(sources: DataFrame, captures: DataFrame, limit: int) -> DataFrame
     return first_per_group(items, limit, ["source_id"], ["pos"])
 
 
-def list_api_urls(sources: DataFrame, captures: DataFrame, limit: int) -> DataFrame:
+def payload_urls(opened: DataFrame, limit: int) -> DataFrame:
     """Urls that payloads offer. A source that names no url field gets it from its first item."""
     guess = pick_field(keys_of(F.get("list", F.lit(0))), URL_FIELDS)
-    lists = _lists(sources, captures).withColumn("url_field", F.coalesce(_present(F.col("url_field")), guess))
+    lists = _lists(opened).withColumn("url_field", F.coalesce(_present(F.col("url_field")), guess))
     valued = _items(lists).select("source_id", "source_url", "pos", member(F.col("item"), F.col("url_field")).alias("url"))
     urls = valued.where(has_value(F.col("url"))).withColumn("url", value_text(F.col("url")))
     offered = urls.where(is_not_source(F.col("url"), F.col("source_url"))).drop("source_url")
     return first_per_group(offered, limit, ["source_id"], ["pos"])
 
 
-def unreadable_payloads(sources: DataFrame, captures: DataFrame) -> DataFrame:
+def unreadable_payloads(opened: DataFrame) -> DataFrame:
     """Payloads whose path leads to no list."""
-    return _lists(sources, captures).where(F.col("list").isNull()).select("source_id", "url")
+    return _lists(opened).where(F.col("list").isNull()).select("source_id", "url")

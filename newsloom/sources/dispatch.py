@@ -7,41 +7,86 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.apis import fetch_apis, list_api_urls
-from newsloom.sources.feeds import fetch_feeds, list_feed_urls
-from newsloom.sources.listings import fetch_pages, fetch_rendered, list_page_urls
-from newsloom.sources.registry import checked, source_name
+from newsloom.operators.merge import with_body
+from newsloom.session import cut_lineage
+from newsloom.sources.apis import payload_items, payload_urls
+from newsloom.sources.articles import WANTED, article_items, read_articles, wanted_texts
+from newsloom.sources.feeds import feed_items, feed_urls, titled_entries
+from newsloom.sources.listings import first_links, full_listings, links_of, page_urls
+from newsloom.sources.registry import TYPES, check_sources, source_name
 
 # Limits of a run.
 LOOKBACK_DAYS = 30
 MAX_ITEMS = 50
 
 
-def fetch_all(
-    sources: DataFrame, captures: DataFrame, now: Column, lookback_days: int = LOOKBACK_DAYS, limit: int = MAX_ITEMS
+def open_sources(sources: DataFrame, captures: DataFrame, *kinds: str) -> DataFrame:
+    """Sources (of some types, or all) with the body that was captured for them, in one pass over the captures.
+    A ``js`` source is read from its rendered capture, any other from its plain one."""
+    chosen = sources.where(F.col("type").isin(*(kinds or TYPES)))
+    rendered = F.col("type") == "js"
+    return with_body(chosen.select("source_id", "url", "type", "howto", rendered.alias("rendered")), captures)
+
+
+def fetch(
+    sources: DataFrame,
+    captures: DataFrame,
+    now: Column,
+    lookback_days: int = LOOKBACK_DAYS,
+    limit: int = MAX_ITEMS,
+    kinds: tuple[str, ...] = TYPES,
 ) -> DataFrame:
-    """Items of all sources; ``(source_id, pos)`` is their order. A lookback applies to feeds only."""
-    sources = checked(sources)
-    branches = [
-        fetch_feeds(sources, captures, now, lookback_days, limit),
-        fetch_pages(sources, captures, limit),
-        fetch_rendered(sources, captures, limit),
-        fetch_apis(sources, captures, limit),
-    ]
+    """Items of all sources of the given types; ``(source_id, pos)`` is their order. A lookback applies to feeds only.
+
+    The captures are read twice: for the sources, and for the articles that all of them lead to. Only listings whose
+    first links fail take further passes.
+    """
+    check_sources(sources)
+    opened = cut_lineage(open_sources(sources, captures, *kinds))
+    branches: list[DataFrame] = []
+    wanted: list[DataFrame] = []
+    if "rss" in kinds:
+        entries = cut_lineage(titled_entries(opened, now, lookback_days, limit))
+        wanted.append(wanted_texts(entries.select("url")))
+    if "html" in kinds:
+        links = cut_lineage(links_of(opened, "html"))
+        tried = cut_lineage(first_links(links, limit))
+        wanted.append(tried)
+    if "js" in kinds:
+        drawn = cut_lineage(first_links(links_of(opened, "js"), limit))
+        wanted.append(drawn)
+    if wanted:
+        pages = reduce(DataFrame.unionByName, (part.select(*WANTED) for part in wanted))
+        articles = cut_lineage(read_articles(pages, captures))
+    if "rss" in kinds:
+        branches.append(feed_items(entries, articles))
+    if "html" in kinds:
+        items = cut_lineage(article_items(tried, articles))
+        branches.append(full_listings(links, captures, limit, tried, items))
+    if "js" in kinds:
+        branches.append(article_items(drawn, articles))
+    if "api" in kinds:
+        branches.append(payload_items(opened, limit))
     return reduce(DataFrame.unionByName, branches)
 
 
-def list_all_urls(
-    sources: DataFrame, captures: DataFrame, now: Column, lookback_days: int = LOOKBACK_DAYS, limit: int = MAX_ITEMS
+def list_urls(
+    sources: DataFrame,
+    captures: DataFrame,
+    now: Column,
+    lookback_days: int = LOOKBACK_DAYS,
+    limit: int = MAX_ITEMS,
+    kinds: tuple[str, ...] = TYPES,
 ) -> DataFrame:
-    """What every source offers: (source_id, name, pos, url), sorted by source and position."""
-    branches = [
-        list_feed_urls(sources, captures, now, lookback_days, limit),
-        list_page_urls(sources, captures, "html", limit),
-        list_page_urls(sources, captures, "js", limit),
-        list_api_urls(sources, captures, limit),
-    ]
+    """What every source of the given types offers: (source_id, name, pos, url), sorted by source and position."""
+    check_sources(sources)
+    opened = cut_lineage(open_sources(sources, captures, *kinds))
+    listings = {
+        "rss": lambda: feed_urls(opened, now, lookback_days, limit),
+        "html": lambda: page_urls(opened, "html", limit),
+        "js": lambda: page_urls(opened, "js", limit),
+        "api": lambda: payload_urls(opened, limit),
+    }
+    offered = reduce(DataFrame.unionByName, (listings[kind]() for kind in kinds))
     names = sources.select("source_id", source_name(F.col("name"), F.col("url")).alias("name"))
-    return reduce(DataFrame.unionByName, branches).join(names, "source_id").select(
-        "source_id", "name", "pos", "url"
-    ).orderBy("source_id", "pos")
+    return offered.join(names, "source_id").select("source_id", "name", "pos", "url").orderBy("source_id", "pos")

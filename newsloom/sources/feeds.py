@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.html import html_text, read_article
+from newsloom.functions.html import html_text
 from newsloom.functions.text import is_filled, strip
 from newsloom.functions.times import first_mail_date, iso_text
 from newsloom.operators.caps import first_per_group
 from newsloom.operators.filters import has_link_and_title, is_not_source, recent_enough
-from newsloom.operators.merge import with_body
-from newsloom.operators.skew import spread_join
-from newsloom.session import cut_lineage
+from newsloom.sources.articles import with_full_text
 
 # Element names of feed formats.
 RSS_ITEM = (
@@ -68,11 +66,10 @@ def feed_entries(body: Column) -> Column:
     return F.concat(*(F.coalesce(part, none) for part in parts))
 
 
-def _entries(sources: DataFrame, captures: DataFrame, now: Column, lookback_days: int) -> DataFrame:
-    """Feed entries that are recent enough and lead elsewhere, in feed order."""
-    feeds = sources.where(F.col("type") == "rss").select("source_id", "url")
-    bodies = with_body(feeds, captures, rendered=False)
-    listed = bodies.select("source_id", F.col("url").alias("source_url"), F.posexplode(feed_entries(F.col("body"))).alias("pos", "e"))
+def entries_of(opened: DataFrame, now: Column, lookback_days: int) -> DataFrame:
+    """Entries of opened feeds that are recent enough and lead elsewhere, in feed order."""
+    feeds = opened.where(F.col("type") == "rss")
+    listed = feeds.select("source_id", F.col("url").alias("source_url"), F.posexplode(feed_entries(F.col("body"))).alias("pos", "e"))
     dated = listed.select(
         "source_id",
         "source_url",
@@ -86,46 +83,38 @@ def _entries(sources: DataFrame, captures: DataFrame, now: Column, lookback_days
         recent_enough(F.col("published_ts"), now, lookback_days)
         & is_filled(F.col("url"))
         & is_not_source(F.col("url"), F.col("source_url"))
-    )
+    ).drop("source_url")
 
 
-def list_feed_urls(sources: DataFrame, captures: DataFrame, now: Column, lookback_days: int, limit: int) -> DataFrame:
+def feed_urls(opened: DataFrame, now: Column, lookback_days: int, limit: int) -> DataFrame:
     """Urls that feeds offer; entries without a title count."""
-    entries = _entries(sources, captures, now, lookback_days).select("source_id", "pos", "url")
+    entries = entries_of(opened, now, lookback_days).select("source_id", "pos", "url")
     return first_per_group(entries, limit, ["source_id"], ["pos"])
 
 
-def full_texts(urls: DataFrame, captures: DataFrame) -> DataFrame:
-    """Text of the first article element, else of the whole page, of each captured url: (url, text)."""
-    bodies = with_body(urls.select("url").distinct(), captures, rendered=False)
-    nothing = F.lit(None).cast("string")
-    article = read_article(F.col("body"), nothing, nothing, F.lit("article"), F.lit(False))
-    return bodies.select("url", article["content"].alias("text"))
-
+def titled_entries(opened: DataFrame, now: Column, lookback_days: int, limit: int) -> DataFrame:
+    """Entries with a title, capped. The cap counts entries, whether or not their article can be read; so it comes
+    before articles are."""
+    titled = entries_of(opened, now, lookback_days).where(has_link_and_title(F.col("url"), F.col("title")))
+    return first_per_group(titled, limit, ["source_id"], ["pos"])
 
-def fetch_feeds(sources: DataFrame, captures: DataFrame, now: Column, lookback_days: int, limit: int) -> DataFrame:
-    """Items of feeds. The article behind a link replaces the text of the feed where it was captured.
 
-    The cap is applied before articles are read: it counts entries, whether or not their article is there. Each
-    article is read once, however many feeds link to it.
-    """
-    titled = _entries(sources, captures, now, lookback_days).where(has_link_and_title(F.col("url"), F.col("title")))
-    entries = cut_lineage(first_per_group(titled, limit, ["source_id"], ["pos"]).drop("source_url"))
-    texts = full_texts(entries, captures)
-    joined = spread_join(entries, texts, ["url"], "left", ["source_id", "pos"])
+def feed_items(entries: DataFrame, articles: DataFrame) -> DataFrame:
+    """Items of feed entries. The article behind a link replaces the text of the feed where it was captured."""
+    joined = with_full_text(entries, articles)
     # Feed text is only parsed where it is needed.
-    own = html_text(F.when(~is_filled(F.col("text")), F.col("html")))
+    own = html_text(F.when(~is_filled(F.col("full_text")), F.col("html")))
     return joined.select(
         "source_id",
         "pos",
         "url",
         "title",
         iso_text(F.col("published_ts")).alias("published_date"),
-        F.when(is_filled(F.col("text")), F.col("text")).otherwise(F.coalesce(own, F.lit(""))).alias("content"),
+        F.when(is_filled(F.col("full_text")), F.col("full_text")).otherwise(F.coalesce(own, F.lit(""))).alias("content"),
     )
 
 
-def unreadable_feeds(sources: DataFrame, captures: DataFrame) -> DataFrame:
+def unreadable_feeds(opened: DataFrame) -> DataFrame:
     """Feeds whose capture gives no entry at all."""
-    feeds = sources.where(F.col("type") == "rss").select("source_id", "url")
-    return with_body(feeds, captures, rendered=False).where(F.size(feed_entries(F.col("body"))) == 0).drop("body")
+    feeds = opened.where(F.col("type") == "rss")
+    return feeds.where(F.size(feed_entries(F.col("body"))) == 0).select("source_id", "url")

@@ -1,107 +1,63 @@
-"""HTML listings, plain (``html``) and browser rendered (``js``), and the article pages behind their links."""
+"""HTML listings, plain (``html``) and browser rendered (``js``)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.html import read_article, select_links
+from newsloom.functions.html import select_links
 from newsloom.functions.urls import join_url
 from newsloom.operators.caps import first_per_group
-from newsloom.operators.filters import has_href, is_extracted, is_not_source
-from newsloom.operators.merge import with_body
-from newsloom.operators.skew import spread_join
+from newsloom.operators.filters import has_href, is_not_source
 from newsloom.session import cut_lineage
+from newsloom.sources.articles import CONTENT_SELECTOR, TITLE_SELECTOR, WANTED, article_items, read_articles
 
-# Selectors of an article page when a source names none.
-TITLE_SELECTOR = "h1"
-CONTENT_SELECTOR = "article"
 
-SELECTORS = ("title_selector", "date_selector", "content_selector")
-
-
-def listing_links(body: Column, selector: Column, base: Column) -> Column:
-    """Links of a listing page that match its selector: ``array<struct<pos, href, text, classes>>``, absolute."""
-    links = F.filter(select_links(body, selector), lambda link: has_href(link["href"]))
-    return F.transform(links, lambda link: link.withField("href", join_url(base, link["href"])))
-
-
-def _links(sources: DataFrame, captures: DataFrame, kind: str) -> DataFrame:
-    """Links of all listings of a kind in document order, without those back to the listing."""
+def links_of(opened: DataFrame, kind: str) -> DataFrame:
+    """Links of opened listings of a kind in document order, without those back to the listing, with what is wanted
+    of their pages."""
     howto = F.col(f"howto.{kind}")
-    listings = sources.where(F.col("type") == kind).select(
+    listings = opened.where(F.col("type") == kind).select(
         "source_id",
-        "url",
-        howto["list_selector"].alias("list_selector"),
+        F.col("url").alias("source_url"),
+        F.lit(kind == "js").alias("rendered"),
         F.coalesce(howto["title_selector"], F.lit(TITLE_SELECTOR)).alias("title_selector"),
         howto["date_selector"].alias("date_selector"),
         F.coalesce(howto["content_selector"], F.lit(CONTENT_SELECTOR)).alias("content_selector"),
+        F.explode(select_links(F.col("body"), howto["list_selector"])).alias("link"),
     )
-    bodies = with_body(listings, captures, rendered=kind == "js")
-    links = select_links(F.col("body"), F.col("list_selector"))
-    found = bodies.select("source_id", F.col("url").alias("source_url"), *SELECTORS, F.explode(links).alias("link"))
-    linked = found.where(has_href(F.col("link.href"))).select(
-        "source_id",
-        "source_url",
-        F.col("link.pos").alias("pos"),
-        join_url(F.col("source_url"), F.col("link.href")).alias("url"),
-        *SELECTORS,
-    )
-    return linked.where(is_not_source(F.col("url"), F.col("source_url"))).drop("source_url")
+    found = listings.where(has_href(F.col("link.href"))).withColumn("pos", F.col("link.pos"))
+    linked = found.withColumn("url", join_url(F.col("source_url"), F.col("link.href")))
+    return linked.where(is_not_source(F.col("url"), F.col("source_url"))).select("source_id", "pos", *WANTED)
 
 
-def list_page_urls(sources: DataFrame, captures: DataFrame, kind: str, limit: int) -> DataFrame:
+def page_urls(opened: DataFrame, kind: str, limit: int) -> DataFrame:
     """Urls that listings offer; the cap counts links, whether or not they lead to an article."""
-    links = _links(sources, captures, kind).select("source_id", "pos", "url")
-    return first_per_group(links, limit, ["source_id"], ["pos"])
+    return first_per_group(links_of(opened, kind).select("source_id", "pos", "url"), limit, ["source_id"], ["pos"])
 
 
-def read_articles(links: DataFrame, captures: DataFrame, rendered: bool) -> DataFrame:
-    """Items of those links that lead to a captured article with title and content.
-
-    An article is parsed once for each set of selectors, and its result joined to all links to it.
-    """
-    wanted = ["url", *SELECTORS]
-    bodies = with_body(links.select(*wanted).distinct(), captures, rendered)
-    article = read_article(F.col("body"), *(F.col(name) for name in SELECTORS), F.lit(rendered))
-    read = bodies.select(*wanted, article.alias("article"))
-    good = read.where(is_extracted(F.col("article.title"), F.col("article.content")))
-    # Selectors may be null, so the join runs on one text that holds them all.
-    key = F.to_json(F.struct(*wanted)).alias("_article")
-    joined = spread_join(
-        links.select("source_id", "pos", "url", key), good.select(key, "article"), ["_article"], "inner", ["source_id", "pos"]
-    )
-    date = F.nullif(F.col("article.date_text"), F.lit(""))
-    return joined.select(
-        "source_id", "pos", "url", "article.title", date.alias("published_date"), "article.content"
-    )
-
-
-def fetch_rendered(sources: DataFrame, captures: DataFrame, limit: int) -> DataFrame:
-    """Items of rendered listings. The cap counts links before their articles are read: failures are not made up for."""
-    links = first_per_group(_links(sources, captures, "js"), limit, ["source_id"], ["pos"])
-    return read_articles(cut_lineage(links), captures, rendered=True)
+def first_links(links: DataFrame, limit: int) -> DataFrame:
+    """The first links of each listing. For rendered listings that is the cap: failures are not made up for."""
+    return first_per_group(links, limit, ["source_id"], ["pos"])
 
 
-def fetch_pages(sources: DataFrame, captures: DataFrame, limit: int) -> DataFrame:
+def full_listings(links: DataFrame, captures: DataFrame, limit: int, tried: DataFrame, items: DataFrame) -> DataFrame:
     """Items of plain listings. The cap counts articles, so later links make up for those that give none.
 
-    Links are tried in growing steps, ``limit`` per listing at first, until a listing is full or has none left, so
-    that long listings are not parsed to their end.
+    ``items`` are those of the links ``tried`` so far. Listings that are not full get more of their links tried, in
+    growing steps, until they are full or have none left; so long listings are not read to their end.
     """
-    rest = cut_lineage(_links(sources, captures, "html"))
-    items: list[DataFrame] = []
-    step = limit
-    while not rest.isEmpty():
-        tried = cut_lineage(first_per_group(rest, step, ["source_id"], ["pos"]))
-        items.append(cut_lineage(read_articles(tried, captures, rendered=False)))
-        so_far = reduce(DataFrame.unionAll, items)
+    found, step = [items], limit
+    rest = links
+    while True:
+        so_far = reduce(DataFrame.unionAll, found)
         full = so_far.groupBy("source_id").count().where(F.col("count") >= limit).select("source_id")
         untried = rest.join(tried.select("source_id", "pos"), ["source_id", "pos"], "left_anti")
         rest = cut_lineage(untried.join(full, "source_id", "left_anti"))
+        if rest.isEmpty():
+            return first_per_group(so_far, limit, ["source_id"], ["pos"])
         step *= 2
-    if not items:
-        return read_articles(rest, captures, rendered=False)
-    return first_per_group(reduce(DataFrame.unionAll, items), limit, ["source_id"], ["pos"])
+        tried = cut_lineage(first_links(rest, step))
+        found.append(cut_lineage(article_items(tried, read_articles(tried, captures))))

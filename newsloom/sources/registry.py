@@ -73,8 +73,10 @@ def run_errors() -> Column:
     return error
 
 
-def checked(sources: DataFrame) -> DataFrame:
-    """The sources, failing the job on one that cannot be collected."""
+def check_sources(sources: DataFrame) -> None:
+    """Fail before a run on sources that cannot be collected; the first few are named."""
     error = run_errors()
-    kind = F.when(error.isNull(), F.col("type")).otherwise(F.raise_error(error).cast("string"))
-    return sources.withColumn("type", kind)
+    faults = sources.where(error.isNotNull()).select("source_id", error.alias("error")).orderBy("source_id").limit(10)
+    found = [f"source {row.source_id}: {row.error}" for row in faults.collect()]
+    if found:
+        raise ValueError("; ".join(found))

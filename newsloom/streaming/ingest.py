@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from newsloom.operators.store import append_news, as_news, create_news, ingest, instant, read_news
 from newsloom.session import cut_lineage
-from newsloom.sources.dispatch import fetch_all
+from newsloom.sources.dispatch import fetch
 
 
 def ingest_items(news_path: str, clock: Callable[[int], datetime]) -> Callable[[DataFrame, int], None]:
@@ -19,7 +19,7 @@ def ingest_items(news_path: str, clock: Callable[[int], datetime]) -> Callable[[
     def batch(items: DataFrame, batch_id: int) -> None:
         spark = items.sparkSession
         create_news(spark, news_path)
-        outcomes = cut_lineage(ingest(cut_lineage(items), read_news(spark, news_path)))
+        outcomes = ingest(cut_lineage(items), read_news(spark, news_path))
         append_news(as_news(outcomes, instant(clock(batch_id))), news_path)
 
     return batch
@@ -32,7 +32,7 @@ def ingest_captures(
     store = ingest_items(news_path, clock)
 
     def batch(captures: DataFrame, batch_id: int) -> None:
-        store(fetch_all(sources, captures, instant(clock(batch_id)), **limits), batch_id)
+        store(fetch(sources, captures, instant(clock(batch_id)), **limits), batch_id)
 
     return batch
 

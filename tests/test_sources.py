@@ -3,8 +3,9 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators.merge import with_body
 from newsloom.schemas import CAPTURES, SOURCES
-from newsloom.sources import apis, dispatch, feeds, listings, registry
+from newsloom.sources import apis, dispatch, feeds, registry
 
 NOW = datetime(2026, 2, 10, tzinfo=timezone.utc)
 
@@ -62,7 +63,7 @@ FEEDS = [source(1, "https://f.org/feed", "rss", item_limit=1), source(2, "https:
 
 def test_feeds(frames):
     sources, captures = frames(FEEDS, FEED_CAPTURES)
-    rows = feeds.fetch_feeds(sources, captures, at(), 30, 50).orderBy("source_id", "pos").collect()
+    rows = dispatch.fetch(sources, captures, at(), 30, 50, ("rss",)).orderBy("source_id", "pos").collect()
     assert [(r.source_id, r.pos, r.url, r.title, r.published_date, r.content) for r in rows] == [
         (1, 0, "https://f.org/1", "One & all", "2026-02-06T15:00:00+00:00", "Long text"),
         (1, 4, "https://f.org/3", "By guid", None, "t whole page"),
@@ -73,11 +74,11 @@ def test_feeds(frames):
 
 def test_feed_caps_and_listing(frames):
     sources, captures = frames(FEEDS, FEED_CAPTURES)
-    capped = feeds.fetch_feeds(sources, captures, at(), 30, 2)
+    capped = dispatch.fetch(sources, captures, at(), 30, 2, ("rss",))
     assert sorted(r.url for r in capped.collect()) == ["https://a.org/1", "https://f.org/1", "https://f.org/3"]
-    listed = feeds.list_feed_urls(sources, captures, at(), 30, 50).orderBy("source_id", "pos").collect()
+    listed = dispatch.list_urls(sources, captures, at(), 30, 50, ("rss",)).collect()
     assert [r.url for r in listed] == ["https://f.org/1", "https://f.org/untitled", "https://f.org/3", "https://f.org/4", "https://a.org/1"]
-    assert [r.source_id for r in feeds.unreadable_feeds(sources, captures).collect()] == [3]
+    assert [r.source_id for r in feeds.unreadable_feeds(dispatch.open_sources(sources, captures)).collect()] == [3]
 
 
 LISTING = '<body><a href="/self/">x</a><a href="">no</a><a class="n" href="a">A</a><a class="n" href="/b">B</a><a class="n" href="c#x">C</a></body>'
@@ -97,21 +98,21 @@ def test_plain_listings_make_up_for_failures(frames):
     howto = dict(list_selector="a", date_selector="time")
     sources, captures = pages("html")
     sources, captures = frames([source(1, "https://h.org/self", "html", **howto)], captures)
-    rows = listings.fetch_pages(sources, captures, 1).collect()
+    rows = dispatch.fetch(sources, captures, at(), limit=1, kinds=("html",)).collect()
     assert [(r.url, r.title, r.published_date, r.content) for r in rows] == [("https://h.org/b", "B b", "1 May", "b ody")]
     # An article element without text counts as no content.
-    assert [r.url for r in listings.fetch_pages(sources, captures, 2).collect()] == ["https://h.org/b"]
+    assert [r.url for r in dispatch.fetch(sources, captures, at(), limit=2, kinds=("html",)).collect()] == ["https://h.org/b"]
 
 
 def test_caps_differ_by_kind(frames):
     links = [capture(f"https://h.org/{n}", article(n, f"text {n}"), rendered=drawn) for n in "bc" for drawn in (False, True)]
     listing = '<a href="a">a</a><a href="b">b</a><a href="c">c</a>'
-    for kind, fetch, want in (("html", listings.fetch_pages, ["b", "c"]), ("js", listings.fetch_rendered, ["b"])):
+    for kind, want in (("html", ["b", "c"]), ("js", ["b"])):
         sources, captures = frames(
             [source(1, "https://h.org/", kind, list_selector="a")], [capture("https://h.org/", listing, rendered=kind == "js"), *links]
         )
-        assert sorted(r.title for r in fetch(sources, captures, 2).collect()) == want
-        assert [r.url[-1] for r in listings.list_page_urls(sources, captures, kind, 2).orderBy("pos").collect()] == ["a", "b"]
+        assert sorted(r.title for r in dispatch.fetch(sources, captures, at(), limit=2, kinds=(kind,)).collect()) == want
+        assert [r.url[-1] for r in dispatch.list_urls(sources, captures, at(), limit=2, kinds=(kind,)).collect()] == ["a", "b"]
 
 
 def test_rendered_articles_fall_back_to_the_body(frames):
@@ -120,7 +121,7 @@ def test_rendered_articles_fall_back_to_the_body(frames):
         [source(1, "https://h.org/", "js", list_selector="a")],
         [capture("https://h.org/", '<a href="x">x</a>', rendered=True), capture("https://h.org/x", body, rendered=True)],
     )
-    row = listings.fetch_rendered(sources, captures, 5).first()
+    row = dispatch.fetch(sources, captures, at(), kinds=("js",)).first()
     assert (row.title, row.content) == ("Title", "Title one two")
 
 
@@ -131,9 +132,9 @@ def test_long_listings_are_read_in_steps(frames):
         [source(1, "https://h.org/", "html", list_selector="a"), source(2, "https://e.org/", "html", list_selector="a")],
         [capture("https://h.org/", links), capture("https://e.org/", "none"), *good],
     )
-    rows = listings.fetch_pages(sources, captures, 3).orderBy("pos").collect()
+    rows = dispatch.fetch(sources, captures, at(), limit=3, kinds=("html",)).orderBy("pos").collect()
     assert [r.pos for r in rows] == [4, 9, 14]
-    assert listings.fetch_pages(sources, captures.where("url = 'https://e.org/'"), 3).count() == 0
+    assert dispatch.fetch(sources, captures.where("url = 'https://e.org/'"), at(), limit=3, kinds=("html",)).count() == 0
 
 
 PAYLOAD = """{"d":{"l":[{"u":"https://p.org/1","t":" One ","w":5,"c":{"k":1}},"no",{"u":"","t":"x"},{"u":"https://P.org/api/","t":"self"},
@@ -146,13 +147,18 @@ def test_payloads(frames):
         [source(1, "https://p.org/api", "api", **api), source(2, "https://q.org/api", "api", items_path="d", url_field="u", title_field="t")],
         [capture("https://p.org/api", PAYLOAD), capture("https://q.org/api", PAYLOAD)],
     )
-    rows = apis.fetch_apis(sources, captures, 50).orderBy("pos").collect()
+    rows = dispatch.fetch(sources, captures, at(), kinds=("api",)).orderBy("pos").collect()
     assert [(r.pos, r.url, r.title, r.published_date, r.content) for r in rows] == [
         (0, "https://p.org/1", "One", "5", '{"k":1}'),
         (4, "https://p.org/2", "7", None, ""),
         (6, "https://p.org/3", "Three", None, "text"),
     ]
-    assert [r.source_id for r in apis.unreadable_payloads(sources, captures).collect()] == [2]
+    assert [r.source_id for r in apis.unreadable_payloads(dispatch.open_sources(sources, captures)).collect()] == [2]
+
+
+def _opened(sources, captures):
+    """Opened without the checks of a run, which ask for a url field."""
+    return with_body(sources.withColumn("rendered", F.lit(False)), captures)
 
 
 def test_api_listing_guesses_the_url_field(frames):
@@ -160,7 +166,7 @@ def test_api_listing_guesses_the_url_field(frames):
         [source(1, "https://p.org/api", "api", title_field="t")],
         [capture("https://p.org/api", '[{"href":"https://p.org/h","link":"https://p.org/l"},{"link":"https://p.org/m","title":null},{"href":"x"}]')],
     )
-    assert [r.url for r in apis.list_api_urls(sources, captures, 50).orderBy("pos").collect()] == ["https://p.org/l", "https://p.org/m"]
+    assert [r.url for r in apis.payload_urls(_opened(sources, captures), 50).orderBy("pos").collect()] == ["https://p.org/l", "https://p.org/m"]
 
 
 def test_newest_successful_capture_counts(frames):
@@ -175,16 +181,16 @@ def test_newest_successful_capture_counts(frames):
             capture("https://p.org/api", item.format("drawn"), rendered=True),
         ],
     )
-    assert [r.title for r in apis.fetch_apis(sources, captures, 5).collect()] == ["newer"]
+    assert [r.title for r in dispatch.fetch(sources, captures, at(), kinds=("api",)).collect()] == ["newer"]
 
 
 def test_unknown_types_fail_the_run(frames):
     sources, captures = frames([source(1, "https://p.org/", "ftp")], [])
-    with pytest.raises(Exception, match="Unknown source type: ftp"):
-        dispatch.fetch_all(sources, captures, at()).collect()
+    with pytest.raises(ValueError, match="Unknown source type: ftp"):
+        dispatch.fetch(sources, captures, at()).collect()
     sources, _ = frames([source(1, "https://p.org/", "html", title_selector="h1")], [])
-    with pytest.raises(Exception, match="list_selector"):
-        registry.checked(sources).collect()
+    with pytest.raises(ValueError, match="list_selector"):
+        registry.check_sources(sources)
 
 
 def test_registry_file(spark, tmp_path):

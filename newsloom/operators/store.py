@@ -87,14 +87,18 @@ def news_between(news: DataFrame, start: Column, end: Column) -> DataFrame:
     return collected_between(news, start, end).orderBy("collected_at", "ingest_seq")
 
 
-def update_summaries(spark: SparkSession, path: str, summaries: DataFrame) -> None:
+def update_summaries(
+    spark: SparkSession, path: str, summaries: DataFrame, window: tuple[Column, Column] | None = None
+) -> None:
     """Write summaries (url, summary; unique by url) into the table by rewriting the weeks they touch.
 
     The new weeks are staged in the shared folder first, so that no file is replaced while it is read, and a run that
-    fails before the final write leaves the table as it was. Weeks are few; their list may go to the driver.
+    fails before the final write leaves the table as it was. Weeks are few; their list may go to the driver. Where all
+    summaries belong to a collection window, only its weeks are searched.
     """
     news = read_news(spark, path)
-    touched = news.select("url", *WEEK).join(summaries.select("url"), "url", "left_semi").select(*WEEK).distinct()
+    searched = collected_between(news, *window) if window else news
+    touched = searched.select("url", *WEEK).join(summaries.select("url"), "url", "left_semi").select(*WEEK).distinct()
     weeks = [week_key(row.iso_year, row.iso_week) for row in touched.collect()]
     if not weeks:
         return

@@ -31,8 +31,15 @@ def read_articles(wanted: DataFrame, captures: DataFrame) -> DataFrame:
     return bodies.select(article_key(), article.alias("article"))
 
 
+def with_article(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """Those of the links (source_id, pos, and what is wanted) whose article has a title and content."""
+    good = articles.where(is_extracted(F.col("article.title"), F.col("article.content"))).select("article_key")
+    keyed = links.withColumn("article_key", article_key())
+    return spread_join(keyed, good, ["article_key"], "left_semi", ["source_id", "pos"]).select(*links.columns)
+
+
 def article_items(links: DataFrame, articles: DataFrame) -> DataFrame:
-    """Items of the links (source_id, pos, and what is wanted) whose article has a title and content."""
+    """Items of links with their article."""
     good = articles.where(is_extracted(F.col("article.title"), F.col("article.content")))
     keyed = links.select("source_id", "pos", "url", article_key())
     joined = spread_join(keyed, good, ["article_key"], "inner", ["source_id", "pos"])

@@ -61,8 +61,7 @@ def fetch(
     if "rss" in kinds:
         branches.append(feed_items(entries, articles))
     if "html" in kinds:
-        items = cut_lineage(article_items(tried, articles))
-        branches.append(full_listings(links, captures, limit, tried, items))
+        branches.append(full_listings(links, captures, limit, tried, articles))
     if "js" in kinds:
         branches.append(article_items(drawn, articles))
     if "api" in kinds:

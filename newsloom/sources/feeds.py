@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.html import html_text
 from newsloom.functions.text import is_filled, strip
 from newsloom.functions.times import first_mail_date, iso_text
@@ -56,14 +57,17 @@ def _atom_entry(entry: Column) -> Column:
 
 def feed_entries(body: Column) -> Column:
     """Entries of a feed text in feed order; none when the text is no well-formed feed."""
-    feed = F.from_xml(body, FEED)
     none = F.array().cast(ENTRY)
-    parts = (
-        F.transform(feed["channel"]["item"], _rss_entry),
-        F.transform(feed["item"], _rss_entry),
-        F.transform(feed["entry"], _atom_entry),
-    )
-    return F.concat(*(F.coalesce(part, none) for part in parts))
+
+    def entries(feed: Column) -> Column:
+        parts = (
+            F.transform(feed["channel"]["item"], _rss_entry),
+            F.transform(feed["item"], _rss_entry),
+            F.transform(feed["entry"], _atom_entry),
+        )
+        return F.concat(*(F.coalesce(part, none) for part in parts))
+
+    return let(F.from_xml(body, FEED), entries)
 
 
 def entries_of(opened: DataFrame, now: Column, lookback_days: int) -> DataFrame:

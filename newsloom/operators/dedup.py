@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import HOT_ROWS, hot_keys, spread_join
+from newsloom.operators.skew import HOT_ROWS, hot_keys, hot_keys_by, spread_join
 from newsloom.session import cut_lineage
 
 KEYS = ("url", "title")
 #: Most rows that one task settles one after another.
 BLOCK_ROWS = 1_000_000
 #: Rounds after which a short rest is settled as one block.
-PARALLEL_ROUNDS = 3
+PARALLEL_ROUNDS = 1
 #: What counts as a short rest.
 REST_ROWS = 50_000
 
@@ -35,7 +35,7 @@ def drop_stored(
     items: DataFrame, stored: DataFrame, row_id: Sequence[str], keys: Sequence[str] = KEYS, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Items that share no key with the store. One anti join per key: a join on ``a OR b`` would be a nested loop."""
-    hot = {key: hot_keys(items, [key], min_rows) for key in keys}
+    hot = hot_keys_by(items, keys, min_rows)
     return reduce(
         lambda rest, key: spread_join(rest, stored_keys(stored, items, key), [key], "left_anti", row_id, hot=hot[key]),
         keys,
@@ -48,10 +48,11 @@ def only_stored(
 ) -> DataFrame:
     """Items that share a key with the store."""
     marks = [f"_{key}_stored" for key in keys]
+    hot = hot_keys_by(items, keys, min_rows)
     marked = items
     for key, mark in zip(keys, marks):
         known = stored_keys(stored, items, key).withColumn(mark, F.lit(True))
-        marked = spread_join(marked, known, [key], "left", row_id, hot=hot_keys(items, [key], min_rows))
+        marked = spread_join(marked, known, [key], "left", row_id, hot=hot[key])
     found = reduce(lambda a, b: a | b, (F.col(mark).isNotNull() for mark in marks))
     return marked.where(found).drop(*marks).select(*items.columns)
 

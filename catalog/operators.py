@@ -12,6 +12,7 @@ from newsloom.functions import text, times
 from newsloom.operators import caps, dedup, filters, merge, requests, rollup, store
 from newsloom.plans.publish import posts_of
 from newsloom.session import scratch_path
+from newsloom.sources.digests import read_digest
 
 
 def events_as_news(spark, sf):
@@ -139,7 +140,7 @@ def q_news_table(spark, sf):
     """Create the table twice, append to it, and read it back."""
     path = scratch_path(spark, "news")
     store.create_news(spark, path)
-    outcomes = store.ingest(_fetched_like(spark, sf).where("source_id % 2 = 0"), store.read_news(spark, path))
+    outcomes = store.ingest(_fetched_like(spark, sf), store.read_news(spark, path))
     store.append_news(store.as_news(outcomes, now()), path)
     store.create_news(spark, path)
     return store.read_news(spark, path).select(
@@ -176,6 +177,21 @@ def q_digest_files(spark, sf):
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
+def q_read_digest(spark, sf):
+    """The files of one written digest, read whole and in order."""
+    path = scratch_path(spark, "digests")
+    rollup.write_digests(_digests(spark, sf, 100), path)
+    files = read_digest(spark, f"{path}/file=news_2024_01.md")
+    return files.agg(F.sum(F.length("markdown")).alias("chars"), F.min("part").alias("first_part"))
+
+
+def q_post_files(spark, sf):
+    path = scratch_path(spark, "posts")
+    rollup.write_digests(_posts(spark, sf), path, prefix="blog")
+    lines = spark.read.text(path)
+    return lines.groupBy("file").agg(F.count_if(F.col("value").startswith("- [AI news summary")).alias("posts"), F.sum(F.length("value")).alias("chars"))
+
+
 def q_events_per_week(spark, sf):
     rows = events_as_news(spark, sf)
     return rows.groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.min("ingest_seq").alias("first"))
@@ -239,13 +255,16 @@ def q_back_links(spark, sf):
     return drafts.select("conv_id", "turn", link.alias("link"))
 
 
-def q_posts(spark, sf):
+def _posts(spark, sf):
     drafts = _drafts(spark, sf).select(
         F.lit(2026).alias("iso_year"), (F.col("turn") % 50 + 1).cast("int").alias("iso_week"), F.col("conv_id").cast("int").alias("part"),
         F.lit("news_2026_06").alias("stem"), "draft",
     )
-    posts = posts_of(drafts, F.lit("2026-02-10"), tags=("x",), layout="post")
-    return posts.select("iso_week", "part", "title", F.md5("markdown").alias("markdown_md5"))
+    return posts_of(drafts, F.lit("2026-02-10"), tags=("x",), layout="post")
+
+
+def q_posts(spark, sf):
+    return _posts(spark, sf).select("iso_week", "part", "title", F.md5("markdown").alias("markdown_md5"))
 
 
 def q_union_of_sources(spark, sf):
@@ -307,7 +326,7 @@ outcomes AS (
 """
 )
 TABLE_SQL = kept_in_order(
-    "SELECT row_number() OVER (ORDER BY source_id, pos) AS n, * FROM items WHERE content <> '' AND source_id % 2 = 0", TABLES["links"] + "," + ITEMS_SQL
+    "SELECT row_number() OVER (ORDER BY source_id, pos) AS n, * FROM items WHERE content <> ''", TABLES["links"] + "," + ITEMS_SQL
 )
 
 DRAFT_SQL = """
@@ -442,6 +461,24 @@ SELECT printf('news_%04d_%02d.md', iso_year, iso_week) AS file, len(string_split
 FROM (SELECT iso_year, iso_week, string_agg(markdown, chr(10) ORDER BY part) AS whole FROM digests GROUP BY ALL)""",
         ),
     ),
+    "read_digest": (
+        q_read_digest,
+        with_tables(
+            "news",
+            then=","
+            + WEEK_SQL.format(size=100)
+            + """
+SELECT sum(length(markdown) + CASE WHEN part = 0 THEN 0 ELSE 1 END)::BIGINT AS chars, 0 AS first_part FROM digests WHERE iso_year = 2024 AND iso_week = 1""",
+        ),
+    ),
+    "post_files": (
+        q_post_files,
+        f"""WITH {DRAFT_SQL},
+written AS (SELECT printf('blog_2026_%02d.md', turn % 50 + 1) AS file, concat_ws(chr(10), '---', 'title: ' || title, 'description:',
+  'date: 2026-02-10', 'scheduled: 2026-02-10', 'tags:', '  - x', 'layout: post', '---', body, '', '---', '',
+  '- [AI news summary — 2026-' || printf('%02d', turn % 50 + 1) || '](../weekly_news/news_2026_06)', '') AS markdown FROM cleaned)
+SELECT file, count(*) AS posts, sum(length(replace(markdown, chr(10), '')))::BIGINT AS chars FROM written GROUP BY file""",
+    ),
     "events_per_week": (
         q_events_per_week,
         """SELECT isoyear(ts)::INTEGER AS iso_year, weekofyear(ts)::INTEGER AS iso_week, count(*) AS n, min(event_id) AS first

@@ -32,7 +32,7 @@ def plain_text(html: str) -> str:
 
 
 def q_normalize_url(spark, sf):
-    messy = F.concat(F.upper(F.substring("url", 1, 12)), F.substring("url", 13, 10_000), F.lit("#x"))
+    messy = F.concat(F.upper(F.substring("url", 1, 12)), F.expr("substring(url, 13)"), F.lit("#x"))
     return table(spark, sf, "pages").select(
         "page_id", urls.normalize_url(F.col("url")).alias("normalized"), urls.normalize_url(messy).alias("from_messy")
     )

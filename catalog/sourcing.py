@@ -128,12 +128,12 @@ def q_rendered_articles(spark, sf):
 
 
 def q_fill_content(spark, sf):
+    """Two documents share each url."""
     docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")).alias("url"), F.md5("text").alias("content")
+        F.col("doc_id").alias("id"), F.expr("concat('u', doc_id div 2)").alias("url"), F.md5("text").alias("content")
     )
-    labels = table(spark, sf, "labels").where(F.col("doc_id") < 50)
     text = F.when(F.col("quality") == 1, F.concat(F.lit("full "), F.col("doc_id").cast("string"))).otherwise("")
-    texts = labels.select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), text.alias("text"))
+    texts = table(spark, sf, "labels").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), text.alias("text"))
     return fill_content(docs, texts, ["id"])
 
 
@@ -287,8 +287,8 @@ FROM links l JOIN articles a ON a.url = l.url WHERE a.ok AND a.has_h1""",
     ),
     "fill_content": (
         q_fill_content,
-        """SELECT d.doc_id AS id, 'u' || (d.doc_id % 50) AS url, CASE WHEN l.quality = 1 THEN 'full ' || l.doc_id ELSE md5(d.text) END AS content
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id % 50""",
+        """SELECT d.doc_id AS id, 'u' || (d.doc_id // 2) AS url, CASE WHEN l.quality = 1 THEN 'full ' || l.doc_id ELSE md5(d.text) END AS content
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id // 2""",
     ),
     "items_of_sources": (
         q_items_of_sources,

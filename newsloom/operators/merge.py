@@ -8,19 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import is_filled
-from newsloom.operators.skew import HOT_ROWS, spread_join
+from newsloom.operators.skew import HOT_ROWS, hot_keys, spread_join
 
 
-def with_body(rows: DataFrame, captures: DataFrame) -> DataFrame:
+def with_body(
+    rows: DataFrame, captures: DataFrame, row_id: Sequence[str] = (), min_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rows (``url``, ``rendered``) that have a successful capture of that kind, with the body of the newest one.
 
     Captures are a log with one row per url, kind and time. The newest time is found on narrow columns, with map-side
     combining; bodies are then moved once, spread by url and time, or not at all where Spark can broadcast ``rows``.
+    Rows that may share a url come with a ``row_id``: if many do, each body is found once and given to all of them.
     """
-    usable = captures.where("ok").select("url", "rendered", "fetched_at", "body")
-    newest = usable.groupBy("url", "rendered").agg(F.max("fetched_at").alias("fetched_at"))
-    stamped = rows.join(newest, ["url", "rendered"])
-    return stamped.join(usable, ["url", "rendered", "fetched_at"]).drop("fetched_at")
+    page = ["url", "rendered"]
+    hot = hot_keys(rows, page, min_rows) if row_id else []
+    if hot:
+        bodies = with_body(rows.select(*page).distinct(), captures)
+        return spread_join(rows, bodies, page, "inner", row_id, hot=hot)
+    usable = captures.where("ok").select(*page, "fetched_at", "body")
+    newest = usable.groupBy(*page).agg(F.max("fetched_at").alias("fetched_at"))
+    return rows.join(newest, page).join(usable, [*page, "fetched_at"]).drop("fetched_at")
 
 
 def fill_content(items: DataFrame, texts: DataFrame, row_id: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:

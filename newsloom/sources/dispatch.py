@@ -25,7 +25,7 @@ def open_sources(sources: DataFrame, captures: DataFrame, *kinds: str) -> DataFr
     A ``js`` source is read from its rendered capture, any other from its plain one."""
     chosen = sources.where(F.col("type").isin(*(kinds or TYPES)))
     rendered = F.col("type") == "js"
-    return with_body(chosen.select("source_id", "url", "type", "howto", rendered.alias("rendered")), captures)
+    return with_body(chosen.select("source_id", "url", "type", "howto", rendered.alias("rendered")), captures, ["source_id"])
 
 
 def fetch(

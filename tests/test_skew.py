@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators.caps import first_per_group, sample_item
+from newsloom.operators.merge import with_body
 from newsloom.operators.skew import HOT_KEYS, hot_keys, rank_all, spread_join
 
 
@@ -62,3 +63,13 @@ def test_small_limits_are_applied_before_the_shuffle(spark):
 def test_sample_item(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 0, "a"), (2, 5, "c")], "s int, pos int, v string")
     assert sorted(map(tuple, sample_item(df, ["s"]).select("s", "pos", "v").collect())) == [(1, 0, "a"), (2, 5, "c")]
+
+
+@pytest.mark.parametrize("min_rows", [3, 10**6])
+def test_many_rows_may_share_a_capture(spark, min_rows):
+    rows = spark.createDataFrame([(n, "hot" if n % 2 else f"u{n}", False) for n in range(20)], "id int, url string, rendered boolean")
+    log = [("hot", n, n != 2, False, f"b{n}") for n in range(3)] + [("u4", 0, True, False, "four"), ("u6", 0, True, True, "drawn")]
+    captures = spark.createDataFrame(log, "url string, n int, ok boolean, rendered boolean, body string")
+    captures = captures.withColumn("fetched_at", F.timestamp_seconds("n"))
+    got = {r.id: r.body for r in with_body(rows, captures, ["id"], min_rows).collect()}
+    assert got == {4: "four", **{n: "b1" for n in range(1, 20, 2)}}

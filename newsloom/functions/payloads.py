@@ -44,9 +44,11 @@ def get_path(data: Column, path: Column) -> Column:
 
 
 def value_text(value: Column) -> Column:
-    """A JSON value as text: scalars plainly, objects and lists as JSON."""
-    plain = value.cast("string")
-    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+    """A JSON value as text: scalars plainly, objects and lists as JSON. A number with a fraction shows one."""
+    kind, plain = F.schema_of_variant(value), value.cast("string")
+    # Long whole numbers are decimals as well, but have more digits than a fraction of zero leaves.
+    whole = kind.startswith("DECIMAL") & ~F.contains(plain, F.lit(".")) & (F.length(plain) <= 18)
+    return F.when(kind == "BOOLEAN", F.initcap(plain)).when(whole, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
 
 def has_value(value: Column) -> Column:

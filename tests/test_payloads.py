@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import payloads
@@ -17,7 +19,9 @@ def test_values(evaluate):
     value = F.try_parse_json("d")
     got = evaluate([(d,) for d in docs], "d string", payloads.value_text(value), payloads.has_value(value))
     assert [g[1] for g in got] == [bool(v) for v in ("x", "", 0, 0.0, 1.5, True, False, None, [], [0], {}, {"a": 1}, "false", "0")]
-    assert [g[0] for g in got][4:8] == ["1.5", "True", "False", None]
+    assert [g[0] for g in got][2:8] == ["0", "0.0", "1.5", "True", "False", None]
+    numbers = ["1", "-1.0", "1.50", "12345678901234567890", "1e3", "1700000000"]
+    assert evaluate([(n,) for n in numbers], "d string", payloads.value_text(value)) == [str(json.loads(n)) for n in numbers]
 
 
 def test_pick_field(evaluate):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import ALL_FETCHED, SQL, captures, kept_in_order, keyed_documents, news, ntz, registry, table, with_tables
 from catalog.operators import WEEK_SQL
+from newsloom.functions.binding import once
 from newsloom.functions.urls import normalize_url
 from newsloom.operators import caps, dedup, store
 from newsloom.plans.analyze import analyze
@@ -28,7 +29,7 @@ def q_flagship(spark, sf):
     from newsloom.functions.html import read_article
 
     article = read_article(F.col("html"), F.lit("h1"), F.lit(None).cast("string"), F.lit("article"), F.lit(False))
-    read = table(spark, sf, "pages").select("page_id", "url", article.alias("a")).select(
+    read = table(spark, sf, "pages").select("page_id", "url", once(article).alias("a")).select(
         F.col("page_id").alias("ingest_seq"), normalize_url(F.col("url")).alias("url"),
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "a.title", "a.content",
     )

@@ -19,3 +19,12 @@ def let_sql(value: Column, use: str) -> Column:
 def nested_let(value: str, use: str) -> str:
     """The same as SQL text, for use inside such a lambda."""
     return f"get(transform(array({value}), {use}), 0)"
+
+
+def once(value: Column) -> Column:
+    """``value`` as the only column of its kind in a select, for costly UDFs.
+
+    Predicates on the result of a generator stay above it; on a plain column they would be pushed below the
+    projection and run the UDF a second time.
+    """
+    return F.explode(F.array(value))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import once
 from newsloom.functions.html import DATE_MARKS, profile_page
 from newsloom.functions.payloads import as_list, is_object, keys_of, pick_field
 from newsloom.functions.text import collapse
@@ -89,7 +90,7 @@ def content_selector(marks: Column) -> Column:
 
 def page_profiles(captures: DataFrame, by: str = "url") -> DataFrame:
     """Links and marks of captured pages, parsed once: (by, links, marks)."""
-    return captures.select(by, profile_page(F.col("body")).alias("p")).select(by, "p.links", "p.marks")
+    return captures.select(by, once(profile_page(F.col("body"))).alias("p")).select(by, "p.links", "p.marks")
 
 
 def page_selectors(profiles: DataFrame, by: str = "url") -> DataFrame:

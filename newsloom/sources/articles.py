@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import once
 from newsloom.functions.html import read_article
 from newsloom.functions.text import is_filled
 from newsloom.operators.filters import is_extracted
@@ -28,7 +29,7 @@ def read_articles(wanted: DataFrame, captures: DataFrame) -> DataFrame:
     """(article_key, article): each wanted page parsed once, however many links lead to it."""
     bodies = with_body(wanted.select(*WANTED).distinct(), captures)
     article = read_article(F.col("body"), *(F.col(name) for name in SELECTORS), F.col("rendered"))
-    return bodies.select(article_key(), article.alias("article"))
+    return bodies.select(article_key(), once(article).alias("article"))
 
 
 def with_article(links: DataFrame, articles: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import time
 
+from pyspark.sql import functions as F
+
 from newsloom.functions.html import find
+from newsloom.sources.articles import SELECTORS, read_articles
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>Site &amp; more</title><style>p > a{}</style><script>var t="<p>";</script></head>'
@@ -55,3 +58,12 @@ def test_hostile_markup_is_read_in_linear_time():
         start = time.perf_counter()
         find(body, {"x": ("a", False)})
         assert time.perf_counter() - start < 5
+
+
+def test_a_predicate_does_not_parse_pages_again(spark):
+    pages = spark.createDataFrame([("u", False, PAGE)], "url string, rendered boolean, body string")
+    wanted = pages.select("url", "rendered", *(F.lit(css).alias(name) for name, css in zip(SELECTORS, ("h1", ".date", "article"))))
+    captures = pages.withColumns({"ok": F.lit(True), "fetched_at": F.lit("2026-02-06").cast("timestamp")})
+    good = read_articles(wanted, captures).where("article.title <> '' AND article.content <> ''")
+    assert good.select("article.*").collect() == [("Head © 1", "today", "Head © 1 bold par agraph")]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 1

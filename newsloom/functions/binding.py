@@ -22,9 +22,9 @@ def nested_let(value: str, use: str) -> str:
 
 
 def once(value: Column) -> Column:
-    """``value`` as the only column of its kind in a select, for costly UDFs.
+    """``value`` as the only column of its kind in a select, for costly values that are filtered on.
 
     Predicates on the result of a generator stay above it; on a plain column they would be pushed below the
-    projection and run the UDF a second time.
+    projection and compute the value, or run its UDF, a second time.
     """
     return F.explode(F.array(value))

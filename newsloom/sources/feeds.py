@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import let
+from newsloom.functions.binding import let, once
 from newsloom.functions.html import html_text
 from newsloom.functions.text import is_filled, strip
 from newsloom.functions.times import first_mail_date, iso_text
@@ -80,7 +80,7 @@ def entries_of(opened: DataFrame, now: Column, lookback_days: int) -> DataFrame:
         "pos",
         F.col("e.link").alias("url"),
         strip(F.coalesce("e.title", F.lit(""))).alias("title"),
-        first_mail_date(F.col("e.published"), F.col("e.updated"), F.col("e.created")).alias("published_ts"),
+        once(first_mail_date(F.col("e.published"), F.col("e.updated"), F.col("e.created"))).alias("published_ts"),
         F.col("e.html").alias("html"),
     )
     return dated.where(

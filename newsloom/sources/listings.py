@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import once
 from newsloom.functions.html import select_links
 from newsloom.functions.urls import join_url
 from newsloom.operators.caps import first_per_group
@@ -30,7 +31,7 @@ def links_of(opened: DataFrame, kind: str) -> DataFrame:
         F.explode(select_links(F.col("body"), howto["list_selector"])).alias("link"),
     )
     found = listings.where(has_href(F.col("link.href"))).withColumn("pos", F.col("link.pos"))
-    linked = found.withColumn("url", join_url(F.col("source_url"), F.col("link.href")))
+    linked = found.select("*", once(join_url(F.col("source_url"), F.col("link.href"))).alias("url"))
     return linked.where(is_not_source(F.col("url"), F.col("source_url"))).select("source_id", "pos", *WANTED)
 
 

@@ -16,6 +16,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.binding import let
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
-from newsloom.llm.units import UnitTable, cut, whole
+from newsloom.llm.units import Numbers, cut, gather, spaced, totals, whole
 
 #: Units whose ids are broadcast at most.
 FREQUENT = 300_000
@@ -140,12 +141,6 @@ class WordIds:
         self.starts, self.lengths = offsets[:-1], np.diff(offsets)
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` at ``starts``, one after the other."""
-    ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-
-
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id and ids (little-endian u32 in a binary) of every row of ``docs`` (doc_id, text), other columns being ignored.
 
@@ -159,10 +154,10 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
     # The frequent units, their words, and the words' ids: bounded by ``frequent``.
-    units = frequent_terms(rows.select("text"), lambda text: cut(text)[1:], frequent)["term"].to_pylist()
+    units = frequent_terms(rows.select("text"), spaced, frequent)["term"].to_pylist()
     matches = matcher(pattern)
-    number: dict[bytes, int] = {}
-    of_units = [[number.setdefault(w, len(number)) for w in matches(" " + unit)] for unit in units]
+    number = Numbers()
+    of_units = [[number[word] for word in matches(" " + unit)] for unit in units]
     words = spark.createDataFrame(pa.table({"at": pa.array(range(len(number)), pa.int64()), "word": pa.array(list(number), pa.binary())}))
     spread = words.repartition(max(1, spark.sparkContext.defaultParallelism), "at")
     found = spread.select("at", let(rank_map(pieces), lambda ranks: merged(F.col("word"), ranks)).alias("ids")).toArrow().sort_by("at")
@@ -170,31 +165,25 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     lengths = np.array([len(u) for u in of_units], np.int64)
     flat = np.array([w for u in of_units for w in u], np.int64)
     unit_ids = gather(known.flat, known.starts[flat], known.lengths[flat])
-    per_unit = np.diff(np.append(0, np.append(0, np.cumsum(known.lengths[flat]))[np.cumsum(lengths)]))
+    per_unit = totals(known.lengths[flat], lengths)
     table = spark.sparkContext.broadcast((dict(zip(units, range(len(units)), strict=True)), unit_ids, np.cumsum(per_unit) - per_unit, per_unit))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for a run of documents: their units by number, and the words of units that are not frequent."""
         near, find = table.value[0], matcher(pattern)
         for batch in batches:
-            for part, texts in text_steps(batch):
-                new: dict = {}
-                numbers, sizes = [], []
-                for text in texts:
-                    own = cut(text)
-                    own[0] = (own[0],)
-                    found = [near.get(u, -1) for u in own]
-                    if min(found) < 0:
-                        found = [n if n >= 0 else -1 - new.setdefault(u, len(new)) for n, u in zip(found, own, strict=True)]
-                    numbers.append(np.array(found, np.int32))
-                    sizes.append(len(found))
-                words: dict[bytes, int] = {}
-                of_new = [[words.setdefault(w, len(words)) for w in find(whole(u))] for u in new]
+            for part in text_steps(batch):
+                numbers, sizes, units = cut(part.column("text"))
+                place = np.fromiter((near.get(unit, -1) for unit in units), np.int32, len(units))
+                new = list(compress(units, place < 0))
+                place[place < 0] = -1 - np.arange(len(new))
+                words = Numbers()
+                of_new = [[words[word] for word in find(whole(unit))] for unit in new]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()),
-                        pa.array([np.concatenate(numbers).tobytes()], pa.binary()),
+                        pa.array([sizes.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([place[numbers].tobytes()], pa.binary()),
                         pa.array([np.array([len(u) for u in of_new], np.int32).tobytes()], pa.binary()),
                         pa.array([np.array([w for u in of_new for w in u], np.int32).tobytes()], pa.binary()),
                         pa.array([list(words)], pa.list_(pa.binary())),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 from newsloom.session import scratch_path
 
 #: Characters of text that a task codes at a time. A longer text is a step of its own.
-STEP_CHARACTERS = 2_000_000
-#: A tally that holds more terms than this hands on its frequent ones and starts again.
-TALLY_TERMS = 400_000
+STEP_CHARACTERS = 4_000_000
+#: Characters of text in one tally of terms.
+TALLY_CHARACTERS = 16_000_000
 #: Terms that one tally hands on at most, most frequent first.
 TALLY_KEPT = 65_536
 
@@ -50,44 +49,34 @@ def steps(sizes: Iterable[int], most: int = STEP_CHARACTERS) -> Iterator[tuple[i
         yield start, at
 
 
-def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch and their texts, a bounded amount of text at a time."""
+def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_CHARACTERS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded amount of text each."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
-    for start, end in steps(size or 0 for size in sizes):
-        part = batch.slice(start, end - start)
-        yield part, part.column(column).to_pylist()
+    for start, end in steps((size or 0 for size in sizes), most):
+        yield batch.slice(start, end - start)
 
 
-def frequent_terms(texts: DataFrame, terms: Callable[[str], Iterable], limit: int, kind: str = "string") -> pa.Table:
+def frequent_terms(texts: DataFrame, terms: Callable[[pa.Array], pa.Array], limit: int) -> pa.Table:
     """At most ``limit`` of the most frequent terms of all rows of the one column ``texts``: (term, n).
 
-    Every task tallies its whole texts and hands on its frequent terms, so that neither a tally nor what is shuffled
-    grows with the number of rare terms. The counts of terms that are frequent nowhere are not complete: the result
+    ``terms`` gives the terms of an array of texts. Every task tallies its whole texts and hands on its frequent terms, so that neither a tally nor
+    what is shuffled grows with the number of rare terms. The counts of terms that are frequent nowhere are not complete: the result
     serves to choose what is worth keeping at hand, never as a statistic. It is the only thing brought to the driver;
     the least count is chosen so that no more than ``limit`` rows reach it.
     """
     column = texts.columns[0]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def kept() -> pa.RecordBatch:
-            top = [x for x in counts.most_common(TALLY_KEPT) if x[1] > 1]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in top], pa.string() if kind == "string" else pa.binary()), pa.array([n for _, n in top], pa.int64())],
-                names=["term", "n"],
-            )
-
         for batch in batches:
-            for _, values in text_steps(batch, column):
-                for value in values:
-                    counts.update(terms(value))
-                if len(counts) > TALLY_TERMS:
-                    yield kept()
-                    counts.clear()
-        yield kept()
-
-    counted = texts.mapInArrow(tally, f"term {kind}, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            for part in text_steps(batch, column, TALLY_CHARACTERS):
+                counts = pc.value_counts(terms(part.column(column)))
+                counts = counts.filter(pc.greater(counts.field("counts"), 1))
+                order = pc.select_k_unstable(counts.field("counts"), TALLY_KEPT, sort_keys=[("", "descending")])
+                kept = counts.take(order)
+                term = kept.field("values")
+                yield pa.RecordBatch.from_arrays([term.cast(pa.string()), kept.field("counts")], names=["term", "n"])
+
+    counted = texts.mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counted = staged(counted, "frequent-terms")
     grade = F.floor(F.log2("n") * 8).cast("int")
     least, total = math.inf, 0

@@ -8,9 +8,8 @@ task gets a hot one.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -21,17 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
-from newsloom.llm.units import LibraryCoder, cut
+from newsloom.llm.units import LibraryCoder, cut, spaced, totals
 
 #: Pre-tokens whose counts are broadcast at most.
 FREQUENT = 400_000
-#: Rows of rarer pre-tokens that a task hands on at a time.
-ROWS = 200_000
-
-
-def rest(text: str) -> list[str]:
-    """The units that begin with a space, without it."""
-    return cut(text)[1:]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -45,7 +37,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         file = f.read()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    table = frequent_terms(rows.select("text"), rest, frequent)
+    table = frequent_terms(rows.select("text"), spaced, frequent)
     library = spark.sparkContext.broadcast(file)
 
     terms = spark.createDataFrame(table.select(["term"])) if table.num_rows else None
@@ -58,45 +50,30 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, near = LibraryCoder(library.value), known.value
         row = TaskContext.get().partitionId() << 40
-        whole, parts = ([], [], [], []), ([], [], [])
-
-        def some() -> pa.RecordBatch:
-            nothing, none = [None] * len(whole[0]), [None] * len(parts[0])
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(whole[0] + parts[0], pa.int64()),
-                    pa.array(nothing + parts[1], pa.string()),
-                    pa.array(whole[1] + parts[2], pa.int64()),
-                    pa.array(whole[2] + none, pa.int64()),
-                    pa.array(whole[3] + none, pa.int64()),
-                ],
-                names=["row", "term", "n", "doc_id", "n_bytes"],
-            )
-            for values in (*whole, *parts):
-                values.clear()
-            return out
+
+        def frame(*columns: object) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            arrays = [pa.array(c, kind) if not isinstance(c, pa.Array) else c for c, kind in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["row", "term", "n", "doc_id", "n_bytes"])
 
         for batch in batches:
-            for part, texts in text_steps(batch):
-                units = [cut(text) for text in texts]
-                firsts = coder([(u[0],) for u in units])[1].tolist()
-                sizes = pc.binary_length(part.column("text")).to_pylist()
-                for doc_id, size, first, own in zip(part.column("doc_id").to_pylist(), sizes, firsts, units, strict=True):
-                    row += 1
-                    total = first
-                    for unit, n in Counter(islice(own, 1, None)).items():
-                        pieces_of = near.get(unit)
-                        if pieces_of is None:
-                            parts[0].append(row)
-                            parts[1].append(unit)
-                            parts[2].append(n)
-                        else:
-                            total += n * pieces_of
-                    for values, value in zip(whole, (row, total, doc_id, size), strict=True):
-                        values.append(value)
-                if len(parts[0]) > ROWS:
-                    yield some()
-        yield some()
+            for part in text_steps(batch):
+                numbers, sizes, units = cut(part.column("text"))
+                # Pieces of each distinct pre-token, -1 where it has to meet the others like it.
+                each = np.fromiter((near.get(unit, -1) for unit in units), np.int64, len(units))
+                firsts = np.fromiter((type(unit) is tuple for unit in units), bool, len(units))
+                each[firsts] = coder(list(compress(units, firsts)))[1]
+                rows = row + np.arange(len(sizes), dtype=np.int64)
+                row += len(sizes)
+                pieces_of = each[numbers]
+                some = totals(np.maximum(pieces_of, 0), sizes)
+                nothing = [None] * len(sizes)
+                yield frame(rows, nothing, some, part.column("doc_id"), pc.binary_length(part.column("text")).cast(pa.int64()))
+                far = pieces_of < 0
+                pairs, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[far] << 32 | numbers[far], return_counts=True)
+                terms = pa.array(units_or_none(units), pa.string()).take(pa.array(pairs & 0xFFFFFFFF))
+                nothing = [None] * len(pairs)
+                yield frame(rows[pairs >> 32], terms, n.astype(np.int64), nothing, nothing)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last, last_pieces = LibraryCoder(library.value), None, 0
@@ -121,6 +98,10 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
     return summed.drop("row")
 
 
+def units_or_none(units: list) -> list[str | None]:
+    return [unit if type(unit) is str else None for unit in units]
+
+
 def pieces(library):
     """A function that counts the pieces of each distinct pre-token."""
 

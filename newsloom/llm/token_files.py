@@ -30,10 +30,10 @@ from newsloom.llm.units import LibraryCoder, UnitTable
 from newsloom.session import scratch_path
 
 #: A file is closed when it has this many ids; a longer document fills one alone.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 HEAD = "<4sIQI"
 #: The four 2-bit codes of each control byte.
-CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
+CODES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 #: What is kept of four bytes by a width of 1 to 4.
 KEEP = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -51,9 +51,10 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` integers that ``pack`` was given."""
     code = CODES[np.frombuffer(control, np.uint8)].ravel()[:n]
-    starts = np.cumsum(code + 1) - code - 1
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
-    return (raw[starts] | raw[starts + 1] << 8 | raw[starts + 2] << 16 | raw[starts + 3] << 24) & KEEP[code]
+    starts = np.cumsum(code, dtype=np.int64) - code + np.arange(n)
+    # Four bytes from every place on, as one number.
+    raw = np.frombuffer(data + bytes(3), np.uint8)
+    return np.ndarray((max(len(data), 1),), "<u4", raw, strides=(1,))[starts] & KEEP[code] if n else np.zeros(0, np.uint32)
 
 
 def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -124,8 +125,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             return pa.RecordBatch.from_arrays(columns, names=["partition", "number", "before", "docs", "ids", "name"])
 
         for batch in batches:
-            for part, texts in text_steps(batch):
-                ids, lengths = table.ids(texts)
+            for part in text_steps(batch):
+                ids, lengths = table.ids(part.column("text"))
                 ends = np.cumsum(lengths)
                 ids = np.insert(ids, ends, end_id)
                 held.append((part.column("doc_id").to_pylist(), lengths + 1, ids))

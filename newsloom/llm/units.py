@@ -1,39 +1,88 @@
 """Texts cut into units on which byte-level BPE works independently, and their ids, coded once for each distinct unit.
 
-The pre-tokenizer's pattern never matches across the point between a character that is no white space and the space after it.
-A text cut at all such points gives units that can be coded alone: the first one, and others that begin with one space.
+The pre-tokenizer's pattern never matches across the point between a character that is no white space and a space after it. A text cut at
+all such points gives units that can be coded alone: the first, given in a tuple of one, and others that begin with one space, given
+without it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from itertools import islice
+from collections.abc import Callable, Iterable, Sequence
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: Texts with white space before a space; they are cut one by one.
+ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
-PLAIN = re.compile(r"\S+")
-#: Units that a coder holds before it starts again.
-HELD_UNITS = 600_000
-#: Characters that the library is given in one string.
-STRING_CHARACTERS = 50_000
+#: Units in which line breaks, if any, stand alone between other characters than white space.
+PLAIN = re.compile(r"\S+(?:\n\S+)*")
+#: Units of a word and its marks, which are two matches of the pre-tokenizer's pattern.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Units that a table holds before it starts again.
+HELD_UNITS = 400_000
+#: Units that the library is given in one string.
+STRING_UNITS = 5_000
+
+Unit = str | tuple[str]
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[Unit]]:
+    """The units of all texts in order, as places in a list of distinct units; how many units each text has; and that list."""
+    odd = np.asarray(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False), bool)
+    parts = pc.split_pattern(texts, " ")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(texts) else pa.array([], pa.string()).dictionary_encode()
+    offsets = offsets - offsets[0]
+    numbers, units = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+    firsts, number = np.unique(numbers[offsets[:-1]], return_inverse=True)
+    numbers[offsets[:-1]] = number + len(units)
+    units += [(units[at],) for at in firsts]
+    sizes = np.diff(offsets)
+    if odd.any():
+        known = {unit: at for at, unit in enumerate(units)}
+        pieces = np.split(numbers, offsets[1:-1])
+        for at in np.flatnonzero(odd):
+            own: list = SPACE_AFTER_WORD.split(texts[int(at)].as_py())
+            own[0] = (own[0],)
+            pieces[at] = np.array([known.setdefault(unit, len(known)) for unit in own], np.int32)
+            sizes[at] = len(own)
+        numbers, units = np.concatenate(pieces), list(known)
+    used = np.bincount(numbers, minlength=len(units)) > 0
+    return (np.cumsum(used, dtype=np.int32) - 1)[numbers], sizes, list(compress(units, used))
+
+
+def plain(unit: Unit) -> bool:
+    """Whether many such units can be coded in one string."""
+    text = unit if type(unit) is str else unit[0]
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+def whole(unit: Unit) -> str:
+    """The unit's own text."""
+    return unit[0] if isinstance(unit, tuple) else " " + unit
 
 
-def cut(text: str) -> list[str]:
-    """The units of ``text``. All but the first are given without the one space they begin with."""
-    return SPACE_AFTER_WORD.split(text) if SPACE_AFTER_SPACE.search(text) else text.split(" ")
+def spaced(texts: pa.Array) -> pa.Array:
+    """All units that begin with a space, without it."""
+    numbers, _, units = cut(texts)
+    keep = np.fromiter((type(unit) is str for unit in units), bool, len(units))
+    names = pa.array([unit if ok else None for unit, ok in zip(units, keep, strict=True)], pa.string())
+    return pa.DictionaryArray.from_arrays(pa.array(numbers[keep[numbers]]), names)
 
 
-def plain(unit: str) -> bool:
-    """Whether a unit, given without its space, has no white space and no special token within."""
-    return PLAIN.fullmatch(unit) is not None and "<|" not in unit
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def whole(unit: str | tuple[str]) -> str:
-    """The unit's own text; a tuple holds the first unit of a text."""
-    return unit[0] if isinstance(unit, tuple) else " " + unit
+def totals(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring values, ``sizes`` at a time."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes))])
 
 
 class LibraryCoder:
@@ -49,36 +98,90 @@ class LibraryCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
+        self.line_break = vocabulary["Ċ"]
+        self.model = self.tokenizer.model
+        # The pre-tokenizer's characters for the bytes of letters beyond ASCII: those of Latin-1, but for bytes that are no letters there.
+        shown = {b: chr(b) if 0xA1 <= b <= 0xFF and b != 0xAD else chr(0x100 + 33 + at) for at, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+        self.letters = {c: "".join(shown.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        # One at a time: the library's results take far more memory than the ids.
+        return [np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) for text in texts]
 
-    def __call__(self, units: Sequence[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units one after the other, and how many each has."""
-        easy = np.fromiter((isinstance(u, str) and plain(u) for u in units), bool, len(units))
+        # Words and marks are coded once, however they stand together; every unit is two runs of ids.
+        found = [WORD.fullmatch(unit) if type(unit) is str else None for unit in units]
+        words, marks = Numbers(), Numbers()
+        pairs = np.array([(words[match[1]], marks[match[2]]) for match in found if match], np.int64).reshape(-1, 2)
+        easy = np.fromiter((match is not None for match in found), bool, len(units))
+        parts = [self.words(words), self.others([(mark,) for mark in marks]), self.others(list(compress(units, ~easy)))]
+        flat = np.concatenate([ids for ids, _ in parts])
+        lengths = np.concatenate([sizes for _, sizes in parts])
+        starts = np.cumsum(lengths) - lengths
+        runs = np.zeros((len(units), 2), np.int64)
+        runs[easy] = pairs + [0, len(words)]
+        # A unit of another kind is one run; its second one is the empty run that is put at the end.
+        runs[~easy, 0] = len(words) + len(marks) + np.arange(len(units) - len(pairs))
+        runs[~easy, 1] = len(lengths)
+        starts, lengths = np.append(starts, 0)[runs], np.append(lengths, 0)[runs]
+        return gather(flat, starts.ravel(), lengths.ravel()), lengths.sum(1)
+
+    def words(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters after a space."""
+        ids: list[int] = []
+        lengths = []
+        for word in words:
+            tokens = self.model.tokenize("Ġ" + (word if word.isascii() else word.translate(self.letters)))
+            ids += [token.id for token in tokens]
+            lengths.append(len(tokens))
+        return np.array(ids, np.uint32), np.array(lengths, np.int64)
+
+    def others(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of any kind."""
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(units), STRING_UNITS):
+            ids, sizes = self.some(units[start : start + STRING_UNITS])
+            flat.append(ids)
+            lengths.append(sizes)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def some(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
+        begins_spaced = np.fromiter((type(unit) is str for unit in units), bool, len(units))
+        simple = np.fromiter(map(plain, units), bool, len(units))
+        kinds = begins_spaced & simple, ~begins_spaced & simple, ~simple
         lengths = np.zeros(len(units), np.int64)
-        strings, held, size = [], [], 0
-        for at in np.flatnonzero(easy):
-            held.append(units[at])
-            size += len(units[at]) + 1
-            if size >= STRING_CHARACTERS:
-                strings.append(" " + " ".join(held))
-                held, size = [], 0
-        if held:
-            strings.append(" " + " ".join(held))
-        run = np.concatenate([np.zeros(0, np.uint32), *self.encode(strings)])
-        # A space stands only before a unit, so its token begins the unit.
-        starts = np.flatnonzero(self.begins[run])
-        lengths[easy] = np.diff(np.append(starts, len(run)))
-        others = self.encode([whole(units[at]) for at in np.flatnonzero(~easy)])
-        lengths[~easy] = [len(ids) for ids in others]
+        runs = [np.zeros(0, np.uint32)] * 3
+        if kinds[0].any():
+            runs[0] = self.encode([" " + " ".join(compress(units, kinds[0]))])[0]
+            # A space stands only before a unit, so its token begins the unit.
+            lengths[kinds[0]] = np.diff(np.append(np.flatnonzero(self.begins[runs[0]]), len(runs[0])))
+        if kinds[1].any():
+            # Line breaks stand alone, so each is a token: one after each unit, others within.
+            own = [unit[0] for unit in compress(units, kinds[1])]
+            run = self.encode(["\n".join(own)])[0]
+            within = np.array([text.count("\n") for text in own])
+            ends = np.append(np.flatnonzero(run == self.line_break), len(run))[np.cumsum(within + 1) - 1]
+            runs[1] = np.delete(run, ends[:-1])
+            lengths[kinds[1]] = np.diff(np.append(-1, ends)) - 1
+        if kinds[2].any():
+            others = self.encode(whole(unit) for unit in compress(units, kinds[2]))
+            runs[2] = np.concatenate(others)
+            lengths[kinds[2]] = [len(ids) for ids in others]
         out = np.zeros(int(lengths.sum()), np.uint32)
-        in_easy = np.repeat(easy, lengths)
-        out[in_easy] = run
-        out[~in_easy] = np.concatenate([np.zeros(0, np.uint32), *others])
+        for kind, run in zip(kinds, runs, strict=True):
+            out[np.repeat(kind, lengths)] = run
         return out, lengths
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are met."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class UnitTable:
     """Ids of the distinct units met so far; ``code`` gives them for new ones."""
 
@@ -87,33 +190,20 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
+        self.index = Numbers()
         self.flat, self.lengths, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def lookup(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the units of all texts, and how many units each text has."""
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         if len(self.index) > self.held:
             self.clear()
-        index, known, found, sizes = self.index, len(self.index), [], np.zeros(len(texts), np.int64)
-        number = index.setdefault
-        for at, text in enumerate(texts):
-            units = cut(text)
-            units[0] = (units[0],)
-            found.append(np.array([number(unit, len(index)) for unit in units], np.int32))
-            sizes[at] = len(units)
-        if len(index) > known:
-            flat, lengths = self.code(list(islice(index, known, None)))
+        known = len(self.index)
+        numbers, sizes, units = cut(texts)
+        places = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        if len(self.index) > known:
+            flat, lengths = self.code(list(compress(units, places >= known)))
             self.flat = np.concatenate([self.flat, flat])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = np.cumsum(self.lengths) - self.lengths
-        return np.concatenate(found) if found else np.zeros(0, np.int32), sizes
-
-    def ids(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
-        numbers, sizes = self.lookup(texts)
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)]
-        totals = np.append(0, ends)[np.cumsum(sizes)]
-        return flat, np.diff(np.append(0, totals))
+        numbers = places[numbers]
+        return gather(self.flat, self.starts[numbers], self.lengths[numbers]), totals(self.lengths[numbers], sizes)

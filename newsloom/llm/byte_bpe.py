@@ -16,7 +16,6 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.binding import let
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
-from newsloom.llm.units import Numbers, cut, gather, spaced, totals, whole
+from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
 #: Units whose ids are broadcast at most.
 FREQUENT = 300_000
@@ -154,7 +153,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
     # The frequent units, their words, and the words' ids: bounded by ``frequent``.
-    units = frequent_terms(rows.select("text"), spaced, frequent)["term"].to_pylist()
+    units = frequent_terms(rows.select("text"), spaced_units, frequent)["term"].to_pylist()
     matches = matcher(pattern)
     number = Numbers()
     of_units = [[number[word] for word in matches(" " + unit)] for unit in units]
@@ -173,12 +172,12 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         near, find = table.value[0], matcher(pattern)
         for batch in batches:
             for part in text_steps(batch):
-                numbers, sizes, units = cut(part.column("text"))
-                place = np.fromiter((near.get(unit, -1) for unit in units), np.int32, len(units))
-                new = list(compress(units, place < 0))
+                numbers, sizes, spaced, lone = cut(part.column("text"))
+                place = np.array([near.get(unit, -1) for unit in spaced.to_pylist()] + [-1] * len(lone), np.int32)
+                new = [" " + unit for unit in spaced.filter(pa.array(place[: len(spaced)] < 0)).to_pylist()] + lone
                 place[place < 0] = -1 - np.arange(len(new))
                 words = Numbers()
-                of_new = [[words[word] for word in find(whole(unit))] for unit in new]
+                of_new = [[words[word] for word in find(unit)] for unit in new]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),

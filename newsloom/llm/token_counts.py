@@ -9,7 +9,6 @@ task gets a hot one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
-from newsloom.llm.units import LibraryCoder, cut, spaced, totals
+from newsloom.llm.units import LibraryCoder, cut, spaced_units, totals
 
 #: Pre-tokens whose counts are broadcast at most.
 FREQUENT = 400_000
@@ -37,7 +36,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         file = f.read()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    table = frequent_terms(rows.select("text"), spaced, frequent)
+    table = frequent_terms(rows.select("text"), spaced_units, frequent)
     library = spark.sparkContext.broadcast(file)
 
     terms = spark.createDataFrame(table.select(["term"])) if table.num_rows else None
@@ -58,11 +57,10 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
 
         for batch in batches:
             for part in text_steps(batch):
-                numbers, sizes, units = cut(part.column("text"))
+                numbers, sizes, spaced, lone = cut(part.column("text"))
                 # Pieces of each distinct pre-token, -1 where it has to meet the others like it.
-                each = np.fromiter((near.get(unit, -1) for unit in units), np.int64, len(units))
-                firsts = np.fromiter((type(unit) is tuple for unit in units), bool, len(units))
-                each[firsts] = coder(list(compress(units, firsts)))[1]
+                each = np.array([near.get(unit, -1) for unit in spaced.to_pylist()], np.int64)
+                each = np.append(each, coder(spaced[:0], lone)[1])
                 rows = row + np.arange(len(sizes), dtype=np.int64)
                 row += len(sizes)
                 pieces_of = each[numbers]
@@ -71,7 +69,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
                 yield frame(rows, nothing, some, part.column("doc_id"), pc.binary_length(part.column("text")).cast(pa.int64()))
                 far = pieces_of < 0
                 pairs, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[far] << 32 | numbers[far], return_counts=True)
-                terms = pa.array(units_or_none(units), pa.string()).take(pa.array(pairs & 0xFFFFFFFF))
+                terms = spaced.take(pa.array(pairs & 0xFFFFFFFF))
                 nothing = [None] * len(pairs)
                 yield frame(rows[pairs >> 32], terms, n.astype(np.int64), nothing, nothing)
 
@@ -80,7 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
         for batch in batches:
             given = batch.column("term").to_pylist()
             new = [t for t in dict.fromkeys(given) if t is not None and t != last]
-            lengths = dict(zip(new, coder(new)[1].tolist(), strict=True))
+            lengths = dict(zip(new, coder(pa.array(new, pa.string()))[1].tolist(), strict=True))
             if last is not None:
                 lengths[last] = last_pieces
             lengths[None] = 1
@@ -98,17 +96,13 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, frequent: int =
     return summed.drop("row")
 
 
-def units_or_none(units: list) -> list[str | None]:
-    return [unit if type(unit) is str else None for unit in units]
-
-
 def pieces(library):
     """A function that counts the pieces of each distinct pre-token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = LibraryCoder(library.value)
         for batch in batches:
-            lengths = coder(batch.column("term").to_pylist())[1]
+            lengths = coder(batch.column("term"))[1]
             yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(lengths.astype(np.int32))], names=["term", "pieces"])
 
     return count

@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import staged, text_or_empty, text_steps
-from newsloom.llm.units import LibraryCoder, UnitTable
+from newsloom.llm.units import LibraryCoder
 from newsloom.session import scratch_path
 
 #: A file is closed when it has this many ids; a longer document fills one alone.
 FILE_IDS = 2_000_000
+#: Characters of text coded at a time.
+STEP = 16_000_000
 HEAD = "<4sIQI"
 #: The four 2-bit codes of each control byte.
 CODES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
@@ -107,7 +109,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        table, partition = UnitTable(LibraryCoder(library.value)), TaskContext.get().partitionId()
+        coder, partition = LibraryCoder(library.value), TaskContext.get().partitionId()
         before = number = size = 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -125,8 +127,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             return pa.RecordBatch.from_arrays(columns, names=["partition", "number", "before", "docs", "ids", "name"])
 
         for batch in batches:
-            for part in text_steps(batch):
-                ids, lengths = table.ids(part.column("text"))
+            for part in text_steps(batch, most=STEP):
+                ids, lengths = coder.ids(part.column("text"))
                 ends = np.cumsum(lengths)
                 ids = np.insert(ids, ends, end_id)
                 held.append((part.column("doc_id").to_pylist(), lengths + 1, ids))

@@ -1,14 +1,13 @@
 """Texts cut into units on which byte-level BPE works independently, and their ids, coded once for each distinct unit.
 
 The pre-tokenizer's pattern never matches across the point between a character that is no white space and a space after it. A text cut at
-all such points gives units that can be coded alone: the first, given in a tuple of one, and others that begin with one space, given
-without it.
+all such points gives units that can be coded alone: the first one, and others that begin with one space.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from itertools import compress
 
 import numpy as np
@@ -21,57 +20,52 @@ SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 #: Units in which line breaks, if any, stand alone between other characters than white space.
 PLAIN = re.compile(r"\S+(?:\n\S+)*")
 #: Units of a word and its marks, which are two matches of the pre-tokenizer's pattern.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Units that a table holds before it starts again.
-HELD_UNITS = 400_000
+WORD = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 #: Units that the library is given in one string.
 STRING_UNITS = 5_000
 
-Unit = str | tuple[str]
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[Unit]]:
-    """The units of all texts in order, as places in a list of distinct units; how many units each text has; and that list."""
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, list[str]]:
+    """The units of all texts in order, by number; how many units each text has; and the distinct units by number.
+
+    First come those that begin with a space, given without it, then the others, given as they are.
+    """
     odd = np.asarray(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False), bool)
     parts = pc.split_pattern(texts, " ")
     offsets = parts.offsets.to_numpy().astype(np.int64)
-    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(texts) else pa.array([], pa.string()).dictionary_encode()
+    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    numbers, units = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
-    firsts, number = np.unique(numbers[offsets[:-1]], return_inverse=True)
-    numbers[offsets[:-1]] = number + len(units)
-    units += [(units[at],) for at in firsts]
-    sizes = np.diff(offsets)
-    if odd.any():
-        known = {unit: at for at, unit in enumerate(units)}
+    numbers, spaced, sizes = coded.indices.to_numpy().astype(np.int32), coded.dictionary, np.diff(offsets)
+    lone, number = np.unique(numbers[offsets[:-1]], return_inverse=True)
+    alone = spaced.take(pa.array(lone)).to_pylist()
+    if not odd.any():
+        numbers[offsets[:-1]] = number + len(spaced)
+    else:
+        known, others = {unit: at for at, unit in enumerate(spaced.to_pylist())}, {unit: at for at, unit in enumerate(alone)}
         pieces = np.split(numbers, offsets[1:-1])
         for at in np.flatnonzero(odd):
-            own: list = SPACE_AFTER_WORD.split(texts[int(at)].as_py())
-            own[0] = (own[0],)
-            pieces[at] = np.array([known.setdefault(unit, len(known)) for unit in own], np.int32)
+            own = SPACE_AFTER_WORD.split(texts[int(at)].as_py())
+            pieces[at] = np.array([0, *(known.setdefault(unit, len(known)) for unit in own[1:])], np.int32)
+            number[at] = others.setdefault(own[0], len(others))
             sizes[at] = len(own)
-        numbers, units = np.concatenate(pieces), list(known)
-    used = np.bincount(numbers, minlength=len(units)) > 0
-    return (np.cumsum(used, dtype=np.int32) - 1)[numbers], sizes, list(compress(units, used))
-
-
-def plain(unit: Unit) -> bool:
-    """Whether many such units can be coded in one string."""
-    text = unit if type(unit) is str else unit[0]
-    return PLAIN.fullmatch(text) is not None and "<|" not in text
+        numbers, spaced, alone = np.concatenate(pieces), pa.array(list(known), pa.string()), list(others)
+        numbers[np.cumsum(sizes) - sizes] = number + len(spaced)
+    # Units that only odd texts or first places had are dropped.
+    used = np.bincount(numbers, minlength=len(spaced) + len(alone)) > 0
+    numbers = (np.cumsum(used, dtype=np.int32) - 1)[numbers]
+    return numbers, sizes, spaced.filter(pa.array(used[: len(spaced)])), list(compress(alone, used[len(spaced) :]))
 
 
-def whole(unit: Unit) -> str:
-    """The unit's own text."""
-    return unit[0] if isinstance(unit, tuple) else " " + unit
+def spaced_units(texts: pa.Array) -> pa.Array:
+    """All units that begin with a space, without it."""
+    numbers, _, spaced, _ = cut(texts)
+    return pa.DictionaryArray.from_arrays(pa.array(numbers[numbers < len(spaced)]), spaced)
 
 
-def spaced(texts: pa.Array) -> pa.Array:
-    """All units that begin with a space, without it."""
-    numbers, _, units = cut(texts)
-    keep = np.fromiter((type(unit) is str for unit in units), bool, len(units))
-    names = pa.array([unit if ok else None for unit, ok in zip(units, keep, strict=True)], pa.string())
-    return pa.DictionaryArray.from_arrays(pa.array(numbers[keep[numbers]]), names)
+def plain(unit: str) -> bool:
+    """Whether many such units can be coded in one string."""
+    return PLAIN.fullmatch(unit) is not None and "<|" not in unit
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -108,21 +102,23 @@ class LibraryCoder:
         # One at a time: the library's results take far more memory than the ids.
         return [np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) for text in texts]
 
-    def __call__(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units one after the other, and how many each has."""
+    def __call__(self, spaced: pa.Array, lone: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, as ``cut`` gives them, one after the other, and how many each has."""
         # Words and marks are coded once, however they stand together; every unit is two runs of ids.
-        found = [WORD.fullmatch(unit) if type(unit) is str else None for unit in units]
-        words, marks = Numbers(), Numbers()
-        pairs = np.array([(words[match[1]], marks[match[2]]) for match in found if match], np.int64).reshape(-1, 2)
-        easy = np.fromiter((match is not None for match in found), bool, len(units))
-        parts = [self.words(words), self.others([(mark,) for mark in marks]), self.others(list(compress(units, ~easy)))]
+        found = pc.extract_regex(spaced, WORD)
+        easy = np.asarray(found.is_valid().to_numpy(zero_copy_only=False), bool)
+        found = found.drop_null()
+        words, marks = found.field("word").dictionary_encode(), found.field("marks").dictionary_encode()
+        rest = spaced.filter(pa.array(~easy)).to_pylist()
+        parts = [self.words(words.dictionary.to_pylist()), self.others([], marks.dictionary.to_pylist()), self.others(rest, lone)]
         flat = np.concatenate([ids for ids, _ in parts])
         lengths = np.concatenate([sizes for _, sizes in parts])
         starts = np.cumsum(lengths) - lengths
-        runs = np.zeros((len(units), 2), np.int64)
-        runs[easy] = pairs + [0, len(words)]
+        runs = np.zeros((len(spaced) + len(lone), 2), np.int64)
+        easy = np.append(easy, np.zeros(len(lone), bool))
+        runs[easy, 0], runs[easy, 1] = words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)
         # A unit of another kind is one run; its second one is the empty run that is put at the end.
-        runs[~easy, 0] = len(words) + len(marks) + np.arange(len(units) - len(pairs))
+        runs[~easy, 0] = len(words.dictionary) + len(marks.dictionary) + np.arange(len(rest) + len(lone))
         runs[~easy, 1] = len(lengths)
         starts, lengths = np.append(starts, 0)[runs], np.append(lengths, 0)[runs]
         return gather(flat, starts.ravel(), lengths.ravel()), lengths.sum(1)
@@ -137,42 +133,47 @@ class LibraryCoder:
             lengths.append(len(tokens))
         return np.array(ids, np.uint32), np.array(lengths, np.int64)
 
-    def others(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
+    def others(self, spaced: Sequence[str], lone: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for units of any kind."""
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for start in range(0, len(units), STRING_UNITS):
-            ids, sizes = self.some(units[start : start + STRING_UNITS])
-            flat.append(ids)
-            lengths.append(sizes)
+        for units, after_space in ((spaced, True), (lone, False)):
+            for start in range(0, len(units), STRING_UNITS):
+                ids, sizes = self.some(units[start : start + STRING_UNITS], after_space)
+                flat.append(ids)
+                lengths.append(sizes)
         return np.concatenate(flat), np.concatenate(lengths)
 
-    def some(self, units: Sequence[Unit]) -> tuple[np.ndarray, np.ndarray]:
-        begins_spaced = np.fromiter((type(unit) is str for unit in units), bool, len(units))
+    def some(self, units: Sequence[str], after_space: bool) -> tuple[np.ndarray, np.ndarray]:
         simple = np.fromiter(map(plain, units), bool, len(units))
-        kinds = begins_spaced & simple, ~begins_spaced & simple, ~simple
         lengths = np.zeros(len(units), np.int64)
-        runs = [np.zeros(0, np.uint32)] * 3
-        if kinds[0].any():
-            runs[0] = self.encode([" " + " ".join(compress(units, kinds[0]))])[0]
+        own, run, others = list(compress(units, simple)), np.zeros(0, np.uint32), []
+        if own and after_space:
+            run = self.encode([" " + " ".join(own)])[0]
             # A space stands only before a unit, so its token begins the unit.
-            lengths[kinds[0]] = np.diff(np.append(np.flatnonzero(self.begins[runs[0]]), len(runs[0])))
-        if kinds[1].any():
+            lengths[simple] = np.diff(np.append(np.flatnonzero(self.begins[run]), len(run)))
+        elif own:
             # Line breaks stand alone, so each is a token: one after each unit, others within.
-            own = [unit[0] for unit in compress(units, kinds[1])]
             run = self.encode(["\n".join(own)])[0]
             within = np.array([text.count("\n") for text in own])
             ends = np.append(np.flatnonzero(run == self.line_break), len(run))[np.cumsum(within + 1) - 1]
-            runs[1] = np.delete(run, ends[:-1])
-            lengths[kinds[1]] = np.diff(np.append(-1, ends)) - 1
-        if kinds[2].any():
-            others = self.encode(whole(unit) for unit in compress(units, kinds[2]))
-            runs[2] = np.concatenate(others)
-            lengths[kinds[2]] = [len(ids) for ids in others]
+            run = np.delete(run, ends[:-1])
+            lengths[simple] = np.diff(np.append(-1, ends)) - 1
+        if not simple.all():
+            others = self.encode((" " if after_space else "") + unit for unit in compress(units, ~simple))
+            lengths[~simple] = [len(ids) for ids in others]
         out = np.zeros(int(lengths.sum()), np.uint32)
-        for kind, run in zip(kinds, runs, strict=True):
-            out[np.repeat(kind, lengths)] = run
+        in_run = np.repeat(simple, lengths)
+        out[in_run] = run
+        out[~in_run] = np.concatenate([np.zeros(0, np.uint32), *others])
         return out, lengths
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has. Each distinct unit is coded once."""
+        numbers, sizes, spaced, lone = cut(texts)
+        flat, lengths = self(spaced, lone)
+        starts = np.cumsum(lengths) - lengths
+        return gather(flat, starts[numbers], lengths[numbers]), totals(lengths[numbers], sizes)
+
 
 class Numbers(dict):
     """Numbers keys in the order in which they are met."""
@@ -180,30 +181,3 @@ class Numbers(dict):
     def __missing__(self, key) -> int:
         number = self[key] = len(self)
         return number
-
-
-class UnitTable:
-    """Ids of the distinct units met so far; ``code`` gives them for new ones."""
-
-    def __init__(self, code: Callable[[Sequence], tuple[np.ndarray, np.ndarray]], held: int = HELD_UNITS) -> None:
-        self.code, self.held = code, held
-        self.clear()
-
-    def clear(self) -> None:
-        self.index = Numbers()
-        self.flat, self.lengths, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
-        if len(self.index) > self.held:
-            self.clear()
-        known = len(self.index)
-        numbers, sizes, units = cut(texts)
-        places = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        if len(self.index) > known:
-            flat, lengths = self.code(list(compress(units, places >= known)))
-            self.flat = np.concatenate([self.flat, flat])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.starts = np.cumsum(self.lengths) - self.lengths
-        numbers = places[numbers]
-        return gather(self.flat, self.starts[numbers], self.lengths[numbers]), totals(self.lengths[numbers], sizes)

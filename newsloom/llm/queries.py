@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, token_counts, token_files
+from newsloom.llm import byte_bpe, decontamination, line_dedup, quality_rules, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.crc32(token_files.round_trip(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("a", "b")
+
+
 #: Name of a query: the query and its SQL, or None where SQL cannot express it.
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_token_files": (op4_token_files, None),
+    "op5_quality_rules": (op5_quality_rules, None),
+    "op6_line_dedup": (op6_line_dedup, None),
+    "op8_decontamination": (op8_decontamination, None),
 }

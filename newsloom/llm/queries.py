@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, decontamination, line_dedup, quality_rules, token_counts, token_files
+from newsloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality_rules, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("a", "b")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+
+
 #: Name of a query: the query and its SQL, or None where SQL cannot express it.
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
@@ -44,4 +48,5 @@ QUERIES = {
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_line_dedup": (op6_line_dedup, None),
     "op8_decontamination": (op8_decontamination, None),
+    "op9_near_dedup": (op9_near_dedup, None),
 }

@@ -113,7 +113,8 @@ def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     near = near.select("item_id", "g0", "g1", "k.block", F.explode(F.transform(masks, lambda m: m.cast("long").bitwiseXOR(F.col("k.value")))).alias("value"))
     probes = windows.select("x", "y", "f0", "f1", F.explode(blocks()).alias("k")).select("x", "y", "f0", "f1", "k.block", "k.value")
     differ = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    return probes.join(near, ["block", "value"]).where(differ <= RADIUS).select("x", "y", "item_id").distinct()
+    # The listed values are many times the items, which Spark's estimate does not see: never broadcast them.
+    return probes.join(near.hint("merge"), ["block", "value"]).where(differ <= RADIUS).select("x", "y", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from newsloom.llm.common import text_or_empty, text_steps
 
 #: The most that may be covered, by length of the n-gram, as a share of the characters in words.
-NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+NGRAM_LIMITS = {5: 0.60, 6: 0.58, 7: 0.56, 8: 0.54, 9: 0.52, 10: 0.50}
 #: The most that may be covered by repeated lines.
 LINE_LIMIT = 0.30
 #: The base rules.
@@ -111,7 +111,6 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
     failed = np.zeros(len(texts), bool)
     hashed = mixed(word.astype(np.uint64))
     rolling = hashed + mixed(doc.astype(np.uint64) + np.uint64(1 << 40)) if len(word) else hashed
-    seed = rolling.copy()
     for n in range(2, max(limits) + 1):
         if n > len(word):
             break
@@ -125,7 +124,6 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
         covered = by_doc(spread(found, n) * chars) / np.maximum(word_chars, 1)
         share = np.maximum(share, covered / limits[n])
         failed |= covered > limits[n]
-    del seed
     line_share = np.array(lines_chars) / np.maximum(word_chars, 1)
     n_words = np.array(sizes, np.int64)
     base_failed = (n_words < MIN_WORDS) | (repeat_words > MAX_REPEATED * n_words)

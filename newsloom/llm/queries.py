@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality_rules, token_counts, token_files
+from newsloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality_rules, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Name of a query: the query and its SQL, or None where SQL cannot express it.
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
@@ -49,4 +53,5 @@ QUERIES = {
     "op6_line_dedup": (op6_line_dedup, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_near_dedup": (op9_near_dedup, None),
+    "op10_toxicity": (op10_toxicity, None),
 }

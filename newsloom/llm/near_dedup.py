@@ -6,8 +6,10 @@ probability Jaccard similarity of their weights. Arrivals after the time at whic
 very likely are made, and later ones for the few documents that need them.
 
 Documents with the same words are one node. Nodes that agree in a band of registers share a bucket. In each bucket, all members are verified
-against one of them; a node has a different such hub in every bucket. Verified links make components. Members of one bucket that are still in different components
+against one of them, the one that most others are like. Verified links make components. Members of one bucket that are still in different components
 are verified against further hubs, and at last against each other, so that no link within a bucket is lost and a group of copies costs in proportion to its size.
+Pairs are left out that cannot be links: those too far apart by the triangle inequality from their distances to the first hub, and those whose sketches
+agree in too few registers.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ from newsloom.llm.common import key_of, staged, text_steps
 
 #: Words of a shingle, and the least similarity of near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of a signature and registers of a band.
-BANDS, ROWS = 16, 4
+#: Registers of a signature, bands and registers of a band. A register is in two or three bands. Pairs with a similarity of 0.8 share a band in 999 of 1,000
+#: cases, those of 0.5 in one of three, of 0.3 in one of 50.
+REGISTERS, BANDS, ROWS = 64, 24, 6
+#: Registers of a sketch, seven bits of each, seven in a long; in how many of them pairs worth verifying agree. Of 0.8, three of a million pairs do not.
+SKETCHED, AGREE = 63, 36
 #: Nodes whose keys are broadcast at most, to pick their texts (24 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Pairs left to verify for each node, above which another hub is tried first, and rounds of hubs at most.
-PAIRS_FOR_EACH, HUB_ROUNDS = 8, 4
+PAIRS_FOR_EACH, HUB_ROUNDS = 8, 2
 #: Characters of text that get their signatures at a time.
 STEP = 2_000_000
 
@@ -89,7 +94,7 @@ def weighed(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[at], hashes[at], np.diff(np.append(at, len(doc))).astype(np.float64)
 
 
-def signatures(docs: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
+def signatures(docs: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The shingles in the registers of each document; zeros for a document without shingles."""
     out = np.zeros((docs, registers), np.uint64)
     total = np.bincount(doc, weights, docs)
@@ -142,15 +147,37 @@ def fill(best: np.ndarray, out: np.ndarray, place: np.ndarray, time: np.ndarray,
     out.reshape(-1)[place[earlier]] = hashes[earlier]
 
 
+def band_registers() -> np.ndarray:
+    """The registers of each band: every shuffle of all registers gives as many bands as it can."""
+    random, out = np.random.default_rng(1), []
+    while len(out) < BANDS:
+        order = random.permutation(REGISTERS)
+        out += [order[at : at + ROWS] for at in range(0, REGISTERS - ROWS + 1, ROWS)]
+    return np.array(out[:BANDS])
+
+
 def bands_of(signature: np.ndarray) -> np.ndarray:
     """A hash of each band's registers, signed."""
-    grouped = signature.reshape(len(signature), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), grouped.shape[:2]).copy()
+    registers = band_registers()
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(signature), BANDS)).copy()
     for row in range(ROWS):
-        out = mixed(out * GOLDEN + grouped[:, :, row])
+        out = mixed(out * GOLDEN + signature[:, registers[:, row]])
     return out.view(np.int64)
 
 
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """Seven bits of each register, in the bytes of longs whose first byte is free."""
+    bits = (mixed(signature[:, :SKETCHED]) & np.uint64(0x7F)).reshape(len(signature), -1, 7)
+    return (bits << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def agreement(x: str, y: str) -> Column:
+    """In how many registers two sketches agree: bytes that differ carry into their first bit."""
+    most, first = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    differ = [F.bit_count((F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k))) + most).bitwiseAND(first)) for k in range(SKETCHED // 7)]
+    return F.lit(SKETCHED) - reduce(Column.__add__, differ)
+
+
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """The probability Jaccard similarity of two sets of hashes, in order, with weights."""
     at = np.searchsorted(y[0], x[0])
@@ -168,19 +195,19 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a, b), node (a digest of the words; null without words) and bands of every row."""
+    """doc_id, key (a, b), node (a digest of the words; null without words), bands and sketch of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_steps(batch, most=STEP):
                 words = [words_of(text) for text in part.column("text").to_pylist()]
                 nodes = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
-                bands = bands_of(signatures(len(words), *shingles_of(words)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                columns = [part.column("doc_id"), part.column("a"), part.column("b"), pa.array(nodes, pa.binary()), flat]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "node", "bands"])
+                signature = signatures(len(words), *shingles_of(words))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands_of(signature), sketch_of(signature))]
+                columns = [part.column("doc_id"), part.column("a"), part.column("b"), pa.array(nodes, pa.binary()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "node", "bands", "sketch"])
 
-    return keyed(docs).mapInArrow(rows, "doc_id long, a long, b long, node binary, bands array<long>")
+    return keyed(docs).mapInArrow(rows, "doc_id long, a long, b long, node binary, bands array<long>, sketch array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -190,8 +217,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), a.alias("a"), b.alias("b"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (u, v) of nodes whose texts are similar enough."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) of nodes with the similarity of their texts."""
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
 
@@ -206,10 +233,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     ends = np.searchsorted(doc, np.arange(len(new) + 1))
                     known |= {node: (hashes[a:b], weights[a:b]) for node, a, b in zip(new, ends[:-1], ends[1:], strict=True)}
                 us, vs = part.column("u").to_pylist(), part.column("v").to_pylist()
-                keep = [similarity(known[u], known[v]) >= least for u, v in zip(us, vs, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                found = pa.array([similarity(known[u], known[v]) for u, v in zip(us, vs, strict=True)], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), found], names=["u", "v", "similarity"])
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u binary, v binary")
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u binary, v binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,12 +258,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def hubs(members: DataFrame, salt: int) -> DataFrame:
-    """Pairs of a member and a hub of its bucket that are in different components."""
-    order = F.xxhash64(F.lit(salt), "band", "node")
-    hub = F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("component").alias("of"))).alias("h")
-    pairs = members.join(members.groupBy("band").agg(hub), "band").where(F.col("component") != F.col("h.of"))
-    return pairs.select(F.greatest("node", "h.hub").alias("u"), F.least("node", "h.hub").alias("v")).distinct()
+def hubs(members: DataFrame, passed: DataFrame | None) -> DataFrame:
+    """The next hub of each bucket: (band, rank, hub, of), of being its component.
+
+    Hubs go by popularity, which is how many members their buckets have in all: what many are copies of is in more and larger buckets
+    than its copies. ``passed`` has the hubs before, whose ranks come first.
+    """
+    rank = F.struct((-F.col("popularity")).alias("popularity"), "node")
+    if passed is not None:
+        members = members.join(passed.select("band", "rank"), "band").where(rank > F.col("rank"))
+    least = F.min(F.struct(rank.alias("rank"), F.col("component").alias("of"), F.col("sketch").alias("hub_sketch"))).alias("h")
+    return members.groupBy("band").agg(least).select("band", "h.rank", F.col("h.rank.node").alias("hub"), "h.of", "h.hub_sketch")
+
+
+def to_hubs(members: DataFrame, found: DataFrame, agree: int) -> DataFrame:
+    """Pairs of a member (u) and a hub (v) of its bucket that are in different components and may be similar."""
+    pairs = members.join(found, "band").where((F.col("component") != F.col("of")) & (agreement("sketch", "hub_sketch") >= agree))
+    return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -251,22 +289,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = staged(signed(docs), "signatures")
     own = rows.where("node is not null")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "a", "b")
-    bands = own.dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("number", "value"))
+    nodes = own.select("node", "bands", "sketch").dropDuplicates(["node"])
+    bands = nodes.select("node", F.posexplode("bands").alias("number", "value"))
     bands = bands.select("node", F.xxhash64("number", "value").alias("band"))
-    crowded = bands.groupBy("band").count().where("count > 1").select("band")
-    members = staged(bands.join(crowded, "band"), "buckets")
+    crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = bands.join(crowded, "band")
+    popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
+    popularity = popularity.join(nodes.select("node", "sketch"), "node")
+    members = staged(members.join(popularity, "node").select("node", "band", "popularity", "sketch"), "buckets")
 
-    nodes = members.select("node").distinct()
-    keys = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).select("node", "k.a", "k.b")
+    keys = own.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).select("node", "k.a", "k.b")
     keys = staged(keys, "bucket-nodes")
     count = keys.count()
     texts = keyed(docs).join(F.broadcast(keys) if count <= BROADCAST_NODES else keys, ["a", "b"]).select("node", "text")
     texts = staged(texts.dropDuplicates(["node"]), "bucket-texts")
 
     links: list[DataFrame] = []
-    current, salt = members.withColumn("component", F.col("node")), 0
+    current, turn, passed = members.withColumn("component", F.col("node")), 0, None
     while count:
-        if salt:
+        if turn:
             found = components(reduce(DataFrame.unionByName, links))
             current = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             current = staged(split_only(current), "split-buckets")
@@ -274,14 +315,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             left = size.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
             if not left:
                 break
-            if left <= PAIRS_FOR_EACH * count or salt > HUB_ROUNDS:
+            if left <= PAIRS_FOR_EACH * count or turn > HUB_ROUNDS:
+                # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
+                near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))
                 x, y = current.alias("x"), current.alias("y")
-                apart = x.join(y, F.expr("x.band = y.band and x.component < y.component"))
+                apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & (agreement("x.sketch", "y.sketch") >= AGREE))
                 pairs = apart.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
-                links.append(staged(verified(pairs, texts, least), "verified"))
+                links.append(staged(compared(pairs, texts).where(F.col("similarity") >= least).select("u", "v"), "verified"))
                 break
-        links.append(staged(verified(hubs(current, salt), texts, least), "verified"))
-        salt += 1
+        passed = staged(hubs(current, passed), "hubs")
+        # All members are compared with the first hub, for their distances from it; with later ones if they may be similar.
+        found = staged(compared(to_hubs(current, passed, AGREE if turn else 0), texts), "compared")
+        links.append(found.where(F.col("similarity") >= least).select("u", "v"))
+        if not turn:
+            far = found.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("far"))
+            members = members.join(passed.select("band", "hub"), "band").join(far, ["node", "hub"], "left")
+            members = staged(members.withColumn("far", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far"))).drop("hub"), "buckets")
+        turn += 1
     out = rows.select("doc_id", "a", "b", "node")
     if links:
         found = components(reduce(DataFrame.unionByName, links))

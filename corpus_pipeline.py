@@ -3,19 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe
+from newsloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, toxicity
 from newsloom.llm.common import staged
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated runs of lines. One of which nothing but white space is left goes; one that was so before stays."""
+    cleaned = line_dedup.dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | (F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "") != "")
+    cleaned = cleaned.where(F.coalesce(left, F.lit(True)))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.dedup(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode every document."""
+    """The ids of every document, and what they decode to, as digests."""
     return byte_bpe.digests(byte_bpe.encode(docs))
 
 
-STAGES = [("byte_bpe", bpe)]
+STAGES = [
+    ("toxicity", toxic),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark),
+    ("byte_bpe", bpe),
+]
 
-#: Stages run models and folds that SQL cannot express.
+#: Learned weights, signatures and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -77,7 +77,11 @@ def frequent_terms(texts: DataFrame, terms: Callable[[pa.Array], pa.Array], limi
                 yield pa.RecordBatch.from_arrays([term.cast(pa.string()), kept.field("counts")], names=["term", "n"])
 
     counted = texts.mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counted = staged(counted, "frequent-terms")
+    return most_frequent(staged(counted, "frequent-terms"), limit)
+
+
+def most_frequent(counted: DataFrame, limit: int) -> pa.Table:
+    """At most ``limit`` rows of ``counted`` (…, n) with the greatest n: all from some n on."""
     grade = F.floor(F.log2("n") * 8).cast("int")
     least, total = math.inf, 0
     for row in sorted(counted.groupBy(grade.alias("grade")).count().collect(), key=lambda row: -row["grade"]):

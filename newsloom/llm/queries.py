@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality_rules, token_counts, token_files, toxicity
+from newsloom.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, near_dedup, quality_rules, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", counts["n_tokens"] > 512)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("a", "b")
 
@@ -47,10 +55,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name of a query: the query and its SQL, or None where SQL cannot express it.
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_token_files": (op4_token_files, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_line_dedup": (op6_line_dedup, None),
+    "op7_language_id": (op7_language_id, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_near_dedup": (op9_near_dedup, None),
     "op10_toxicity": (op10_toxicity, None),

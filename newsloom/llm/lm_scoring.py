@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import most_frequent, staged, text_or_empty, text_steps
+from newsloom.llm.common import most_frequent, staged, steps, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, gather, totals
 
 #: Words whose counts and ids are broadcast at most.
@@ -34,12 +34,12 @@ FREQUENT = 250_000
 #: Width of the model, ids of a window, ids that a window scores, classes, and input ids that have a vector of their own.
 WIDTH, WINDOW, STRIDE, CLASSES, INPUTS = 16, 32, 24, 128, 4096
 #: One window of so many is trained on, in so many rounds; windows of a step.
-TRAIN_ONE_OF, ROUNDS, TRAIN_BATCH = 24, 2, 64
+TRAIN_ONE_OF, ROUNDS, TRAIN_BATCH = 24, 2, 16
 RATE = 0.02
 #: The part of attention in the mixture.
 ATTENTION = 0.3
-#: Windows scored at a time, and characters of text coded at a time.
-SCORE_BATCH, STEP = 512, 4_000_000
+#: Windows scored at a time, ids laid out in windows at a time, and characters of text coded at a time.
+SCORE_BATCH, IDS, STEP = 256, 500_000, 16_000_000
 
 
 def normal(text: str) -> list[bytes]:
@@ -76,7 +76,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_steps(batch, most=4 * STEP):
+            for part in text_steps(batch, most=STEP):
                 counts: Counter = Counter()
                 for text in part.column("text").to_pylist():
                     counts.update(normal(text))
@@ -120,8 +120,8 @@ class Model:
         return out
 
 
-#: What hides ids after the one that looks.
-HIDDEN = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+#: What a place sees: itself and the ids before it. Scores and logits are held within limits in which exponentials are safe.
+SEEN, ONES, LIMIT = np.tri(WINDOW, dtype=np.float32), np.ones(WINDOW, np.float32), 60.0
 
 
 def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int) -> dict[str, np.ndarray]:
@@ -132,21 +132,22 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int) -> dict[str,
     own = x[:, first:]
     query = (own.reshape(-1, WIDTH) @ p["query"]).reshape(own.shape)
     scores = query @ key.transpose(0, 2, 1)
-    scores += (p["place"] + HIDDEN)[first:]
-    scores -= scores.max(-1, keepdims=True)
+    scores += p["place"][first:]
+    np.clip(scores, -LIMIT, LIMIT, out=scores)
     np.exp(scores, out=scores)
-    scores /= scores.sum(-1, keepdims=True)
+    scores *= SEEN[first:]
+    scores /= (scores.reshape(-1, WINDOW) @ ONES).reshape(*scores.shape[:2], 1)
     hidden = own + scores @ value
     return {"x": x, "query": query, "key": key, "value": value, "attention": scores, "hidden": hidden, "logits": hidden.reshape(-1, WIDTH) @ p["out"] + p["bias"]}
 
 
 def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The logs of the probabilities of each target class and of an id that begins a word. Changes ``logits``."""
-    logits -= logits.max(1, keepdims=True)
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
     chosen = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
-    total = np.log(logits.sum(1))
-    return chosen - total, np.log(logits @ begins + np.float32(1e-30)) - total
+    sums = np.log(logits @ np.column_stack([np.ones(len(begins), np.float32), begins]) + np.float32(1e-30))
+    return chosen - sums[:, 0], sums[:, 1] - sums[:, 0]
 
 
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -270,6 +271,15 @@ def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.n
 def model_logs(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For the ids of all documents one after the other: the logs of their probabilities, and of one that begins a word in their place."""
     each, new = coding.within[ids], np.zeros(len(ids))
+    ends = np.cumsum(sizes)
+    for start, end in steps(sizes.tolist(), IDS):
+        own = slice(ends[start] - sizes[start], ends[end - 1])
+        of_documents(ids[own], sizes[start:end], coding, p, each[own], new[own])
+    return each, new
+
+
+def of_documents(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str, np.ndarray], each: np.ndarray, new: np.ndarray) -> None:
+    """Adds the logs of the classes to ``each`` and puts those of a beginning into ``new``."""
     read, predicted, counts_for = windows(ids, sizes)
     inputs = coding.input[np.where(read >= 0, ids[read], coding.end)]
     begins = counts_for[:, 0]  # the first window of a document scores from its start on
@@ -282,7 +292,6 @@ def model_logs(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str,
             use = counts_for[part, first:].ravel()
             each[where[use]] += found[use]
             new[where[use]] = beginning[use]
-    return each, new
 
 
 def word_logs(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str, np.ndarray]) -> np.ndarray:

@@ -5,9 +5,9 @@ a checksum of the bytes says which map to look in. A short word is folded one me
 neighbouring pairs kept beside it; a long one by sweeps, each of which merges every pair of the least rank from left to right.
 That is the same: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank.
 
-Documents are cut into units on which merging works independently (``units.py``). The frequent units of all texts, a bounded number, are encoded
-once and broadcast. Tasks encode their other units once for each run of documents: a run is one row with the numbers of its
-units and the words not known yet; the expression merges these words, and the ids are put together in the same stage. So no text is shuffled.
+Documents are cut into units on which merging works independently (``units.py``), and units into words. The words of the frequent units of all texts, a
+bounded number, are encoded once and broadcast. Other words are encoded once for each run of documents: a run is one row with the numbers of its
+units, their words by number, and the words not known yet; the expression merges these, and the ids are put together in the same stage. So no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from newsloom.functions.binding import let
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
-#: Units whose ids are broadcast at most.
-FREQUENT = 300_000
+#: Units whose words are broadcast at most, and characters of text in a run of documents.
+FREQUENT, STEP = 300_000, 8_000_000
 #: Small maps that the ranks are dealt out to.
 MAPS = 16_384
 #: Bytes up to which a word is folded one merge at a time.
@@ -152,61 +153,63 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
-    # The frequent units, their words, and the words' ids: bounded by ``frequent``.
+    # The words of the frequent units and their ids: bounded by ``frequent``.
     units = frequent_terms(rows.select("text"), spaced_units, frequent)["term"].to_pylist()
     matches = matcher(pattern)
     number = Numbers()
-    of_units = [[number[word] for word in matches(" " + unit)] for unit in units]
+    for unit in units:
+        for word in matches(" " + unit):
+            number[word]
     words = spark.createDataFrame(pa.table({"at": pa.array(range(len(number)), pa.int64()), "word": pa.array(list(number), pa.binary())}))
     spread = words.repartition(max(1, spark.sparkContext.defaultParallelism), "at")
     found = spread.select("at", let(rank_map(pieces), lambda ranks: merged(F.col("word"), ranks)).alias("ids")).toArrow().sort_by("at")
     known = WordIds(found["ids"])
-    lengths = np.array([len(u) for u in of_units], np.int64)
-    flat = np.array([w for u in of_units for w in u], np.int64)
-    unit_ids = gather(known.flat, known.starts[flat], known.lengths[flat])
-    per_unit = totals(known.lengths[flat], lengths)
-    table = spark.sparkContext.broadcast((dict(zip(units, range(len(units)), strict=True)), unit_ids, np.cumsum(per_unit) - per_unit, per_unit))
+    near_words = spark.sparkContext.broadcast(list(number))
+    near_ids = spark.sparkContext.broadcast((known.flat, known.starts, known.lengths))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for a run of documents: their units by number, and the words of units that are not frequent."""
-        near, find = table.value[0], matcher(pattern)
+        """One row for a run of documents: their units by number, the units' words by number, and the words that are not frequent."""
+        near, find = {word: at for at, word in enumerate(near_words.value)}, matcher(pattern)
         for batch in batches:
-            for part in text_steps(batch):
+            for part in text_steps(batch, most=STEP):
                 numbers, sizes, spaced, lone = cut(part.column("text"))
-                place = np.array([near.get(unit, -1) for unit in spaced.to_pylist()] + [-1] * len(lone), np.int32)
-                new = [" " + unit for unit in spaced.filter(pa.array(place[: len(spaced)] < 0)).to_pylist()] + lone
-                place[place < 0] = -1 - np.arange(len(new))
-                words = Numbers()
-                of_new = [[words[word] for word in find(unit)] for unit in new]
+                new, of_units, of_sizes = Numbers(), array("i"), array("i")
+                for space, some in ((" ", spaced.to_pylist()), ("", lone)):
+                    for unit in some:
+                        own = find(space + unit)
+                        of_sizes.append(len(own))
+                        for word in own:
+                            at = near.get(word)
+                            of_units.append(-1 - new[word] if at is None else at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                         pa.array([sizes.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([place[numbers].tobytes()], pa.binary()),
-                        pa.array([np.array([len(u) for u in of_new], np.int32).tobytes()], pa.binary()),
-                        pa.array([np.array([w for u in of_new for w in u], np.int32).tobytes()], pa.binary()),
-                        pa.array([list(words)], pa.list_(pa.binary())),
+                        pa.array([numbers.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([of_sizes.tobytes()], pa.binary()),
+                        pa.array([of_units.tobytes()], pa.binary()),
+                        pa.array([list(new)], pa.list_(pa.binary())),
                     ],
-                    names=["doc_ids", "sizes", "units", "new_sizes", "new_words", "words"],
+                    names=["doc_ids", "sizes", "units", "unit_sizes", "unit_words", "words"],
                 )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of each document of a run."""
-        _, flat, starts, lengths = table.value
+        flat, starts, lengths = near_ids.value
         for batch in batches:
             for at in range(batch.num_rows):
                 take = lambda name, at=at: np.frombuffer(batch.column(name)[at].as_py(), np.int32)
-                sizes, numbers, new_sizes, new_words = (take(name) for name in ("sizes", "units", "new_sizes", "new_words"))
+                sizes, numbers, unit_sizes, unit_words = (take(name) for name in ("sizes", "units", "unit_sizes", "unit_words"))
                 own = WordIds(batch.column("ids").slice(at, 1).flatten())
-                new_flat = gather(own.flat, own.starts[new_words], own.lengths[new_words])
-                new_ends = np.append(0, np.cumsum(own.lengths[new_words]))[np.append(0, np.cumsum(new_sizes))]
-                is_new = numbers < 0
-                place = np.where(is_new, -1 - numbers, numbers)
-                all_lengths, all_starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-                all_lengths[~is_new], all_starts[~is_new] = lengths[place[~is_new]], starts[place[~is_new]]
-                all_lengths[is_new], all_starts[is_new] = np.diff(new_ends)[place[is_new]], new_ends[place[is_new]] + len(flat)
-                ids = gather(np.concatenate([flat, new_flat]), all_starts, all_lengths).astype("<u4")
-                ends = np.append(0, np.cumsum(all_lengths))[np.append(0, np.cumsum(sizes))]
+                # New words are numbered from the end: -1 is the first of them.
+                word_starts = np.concatenate([starts, (own.starts + len(flat))[::-1]])[unit_words]
+                word_lengths = np.concatenate([lengths, own.lengths[::-1]])[unit_words]
+                of_units = gather(np.concatenate([flat, own.flat]), word_starts, word_lengths)
+                unit_lengths = totals(word_lengths, unit_sizes)
+                unit_starts = np.cumsum(unit_lengths) - unit_lengths
+                each = unit_lengths[numbers]
+                ids = gather(of_units, unit_starts[numbers], each).astype("<u4")
+                ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(batch.column("doc_ids")[at].as_py(), pa.int64()),
@@ -215,7 +218,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
                     names=["doc_id", "ids"],
                 )
 
-    kinds = "doc_ids array<long>, sizes binary, units binary, new_sizes binary, new_words binary"
+    kinds = "doc_ids array<long>, sizes binary, units binary, unit_sizes binary, unit_words binary"
     of_runs = rows.mapInArrow(runs, f"{kinds}, words array<binary>")
     ids_of_words = let(rank_map(pieces), lambda table: F.transform("words", lambda word: merged(word, table)))
     with_ids = of_runs.withColumn("ids", ids_of_words).drop("words")

@@ -29,9 +29,9 @@ from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
 #: Units whose words are broadcast at most, and characters of text in a run of documents.
-FREQUENT, STEP = 300_000, 8_000_000
+FREQUENT, STEP = 200_000, 8_000_000
 #: Small maps that the ranks are dealt out to.
-MAPS = 16_384
+MAPS = 65_536
 #: Bytes up to which a word is folded one merge at a time.
 SHORT = 48
 #: A pair without a rank.
@@ -141,15 +141,20 @@ class WordIds:
         self.starts, self.lengths = offsets[:-1], np.diff(offsets)
 
 
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT,
+    finish: tuple[Callable[[list, list[np.ndarray]], pa.RecordBatch], str] | None = None,
+) -> DataFrame:
     """doc_id and ids (little-endian u32 in a binary) of every row of ``docs`` (doc_id, text), other columns being ignored.
 
     Each match of ``pattern`` is encoded by itself with the ranks in the file ``ranks``; there are no special tokens. A null text counts as empty: no ids. Every row gives one
-    row, repeated ones and those with a null doc_id too; an empty table gives none. A single word of any length is encoded; the
+    row, repeated ones and those with a null doc_id too; an empty table gives none. ``finish`` makes other columns of doc_ids and ids where these are
+    put together, and names them. A single word of any length is encoded; the
     time for one word grows with its length times its number of different merges.
     """
     spark = docs.sparkSession
     pieces = read_ranks(ranks)
+    make, columns = finish or (as_binary, "doc_id long, ids binary")
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
@@ -210,19 +215,17 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
                 each = unit_lengths[numbers]
                 ids = gather(of_units, unit_starts[numbers], each).astype("<u4")
                 ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(batch.column("doc_ids")[at].as_py(), pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "ids"],
-                )
+                yield make(batch.column("doc_ids")[at].as_py(), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     kinds = "doc_ids array<long>, sizes binary, units binary, unit_sizes binary, unit_words binary"
     of_runs = rows.mapInArrow(runs, f"{kinds}, words array<binary>")
     ids_of_words = let(rank_map(pieces), lambda table: F.transform("words", lambda word: merged(word, table)))
     with_ids = of_runs.withColumn("ids", ids_of_words).drop("words")
-    return with_ids.mapInArrow(join, "doc_id long, ids binary")
+    return with_ids.mapInArrow(join, columns)
+
+
+def as_binary(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "ids"])
 
 
 def matcher(pattern: str) -> Callable[[str], list[bytes]]:
@@ -233,28 +236,19 @@ def matcher(pattern: str) -> Callable[[str], list[bytes]]:
     return lambda text: [match.encode() for match in find(text)]
 
 
-def decode(ids: bytes, pieces: list[bytes]) -> bytes:
+def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     """The bytes of ids: their pieces one after the other."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
 
 
-def digests(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """n_tokens, checksum of the ids as text and checksum of the decoded bytes of each row (doc_id, ids)."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_tokens, and checksums of the ids as text and of the bytes they decode to, for every row of ``docs``, as ``encode`` says."""
+    pieces = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
-        names = [str(i) for i in range(len(table))]
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for value in batch.column("ids"):
-                ids = np.frombuffer(value.as_py(), "<u4").tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(decode(value.as_py(), table)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        of_ids = [hashlib.sha256(" ".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
+        of_text = [hashlib.sha256(decode(i, pieces.value)).hexdigest() for i in ids]
+        columns = [pa.array(doc_ids, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, ranks, pattern, frequent, (digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

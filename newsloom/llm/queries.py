@@ -21,7 +21,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

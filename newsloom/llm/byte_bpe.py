@@ -29,9 +29,9 @@ from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
 #: Units whose words are broadcast at most, and characters of text in a run of documents.
-FREQUENT, STEP = 200_000, 8_000_000
+FREQUENT, STEP = 100_000, 8_000_000
 #: Small maps that the ranks are dealt out to.
-MAPS = 65_536
+MAPS = 16_384
 #: Bytes up to which a word is folded one merge at a time.
 SHORT = 48
 #: A pair without a rank.

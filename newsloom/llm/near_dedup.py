@@ -180,6 +180,8 @@ def agreement(x: str, y: str) -> Column:
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """The probability Jaccard similarity of two sets of hashes, in order, with weights."""
+    if not len(x[0]) or not len(y[0]):
+        return 0.0
     at = np.searchsorted(y[0], x[0])
     both = (at < len(y[0])) & (y[0][np.minimum(at, len(y[0]) - 1)] == x[0])
     p, q = x[1][both], y[1][at[both]]

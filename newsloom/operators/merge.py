@@ -16,18 +16,21 @@ def with_body(
 ) -> DataFrame:
     """Rows (``url``, ``rendered``) that have a successful capture of that kind, with the body of the newest one.
 
-    Captures are a log with one row per url, kind and time. The newest time is found on narrow columns, with map-side
-    combining; bodies are then moved once, spread by url and time, or not at all where Spark can broadcast ``rows``.
-    Rows that may share a url come with a ``row_id``: if many do, each body is found once and given to all of them.
+    Captures are a log by url, kind and time, in which a row may come twice. Only those of wanted urls go on; the newest time is found on narrow columns, with map-side
+    combining. Of several bodies with that time the one with the least hash counts, so a url and kind has one body. Rows that may share a url come with a
+    ``row_id``: if many do, each body is found once and given to all of them.
     """
     page = ["url", "rendered"]
     hot = hot_keys(rows, page, min_rows) if row_id else []
     if hot:
         bodies = with_body(rows.select(*page).distinct(), captures)
         return spread_join(rows, bodies, page, "inner", row_id, hot=hot)
-    usable = captures.where("ok").select(*page, "fetched_at", "body")
+    wanted = rows.select(*page).distinct()
+    usable = captures.where("ok").select(*page, "fetched_at", "body").join(wanted, page, "left_semi")
     newest = usable.groupBy(*page).agg(F.max("fetched_at").alias("fetched_at"))
-    return rows.join(newest, page).join(usable, [*page, "fetched_at"]).drop("fetched_at")
+    of_newest = usable.join(newest, [*page, "fetched_at"])
+    bodies = of_newest.groupBy(*page).agg(F.min_by("body", F.xxhash64("body")).alias("body"))
+    return rows.join(bodies, page)
 
 
 def fill_content(items: DataFrame, texts: DataFrame, row_id: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:

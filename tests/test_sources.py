@@ -201,3 +201,14 @@ def test_registry_file(spark, tmp_path):
     assert rows[0].howto.rss.item_limit == 5
     path.write_text('{"collector": {}}')
     assert registry.read_registry(spark, str(path)).count() == 0
+
+
+def test_a_capture_that_comes_twice_counts_once(spark):
+    from newsloom.operators.merge import with_body
+
+    rows = spark.createDataFrame([(1, "u", False), (2, "v", False)], "source_id long, url string, rendered boolean")
+    log = [("u", False, 1, True, "old"), ("u", False, 2, True, "new"), ("u", False, 2, True, "new"), ("u", False, 2, True, "other"), ("w", False, 3, True, "x")]
+    captures = spark.createDataFrame(log, "url string, rendered boolean, fetched_at long, ok boolean, body string")
+    found = with_body(rows, captures).collect()
+    assert [(r.source_id, r.url) for r in found] == [(1, "u")] and found[0].body in ("new", "other")
+    assert with_body(rows, captures.repartition(5)).first().body == found[0].body

@@ -39,7 +39,7 @@ PARAGRAPH = {"p"}
 BARRIERS = frozenset("article body div dl html main nav ol section select table td th ul".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>",
     re.S,
 )
@@ -140,16 +140,35 @@ def _passes(element: Element, tests: Compound) -> bool:
     return True
 
 
-def _fits(path: list[Element], depth: int, steps: list[tuple[str, Compound]], last: int) -> bool:
-    """Does the element at ``depth`` match the steps up to ``last``? Ancestors are tried from the inside out."""
-    combinator, tests = steps[last]
-    if not _passes(path[depth], tests):
-        return False
-    if last == 0:
-        return True
-    if combinator == ">":
-        return depth > 0 and _fits(path, depth - 1, steps, last - 1)
-    return any(_fits(path, above, steps, last - 1) for above in range(depth - 1, -1, -1))
+class Chain:
+    """The steps of one selector, and which of them each open element satisfies: as bits, for the element and for all above it.
+
+    The bits of an element are found once while it is open, when they are first asked for; so a page takes linear time.
+    """
+
+    __slots__ = ("steps", "bits")
+
+    def __init__(self, steps: list[tuple[str, Compound]]):
+        self.steps, self.bits = steps, []
+
+    def fits(self, path: list[Element]) -> bool:
+        """Does the innermost open element match the selector?"""
+        combinator, tests = self.steps[-1]
+        if not _passes(path[-1], tests):
+            return False
+        if len(self.steps) == 1:
+            return True
+        for depth in range(len(self.bits), len(path) - 1):
+            parent, higher = self.bits[-1] if self.bits else (0, 0)
+            higher |= parent
+            own = 0
+            for step, (sign, needed) in enumerate(self.steps[:-1]):
+                before = step == 0 or (parent if sign == ">" else higher) >> (step - 1) & 1
+                if before and _passes(path[depth], needed):
+                    own |= 1 << step
+            self.bits.append((own, higher))
+        parent, higher = self.bits[-1] if self.bits else (0, 0)
+        return bool((parent if combinator == ">" else parent | higher) >> (len(self.steps) - 2) & 1)
 
 
 class Match:
@@ -185,11 +204,14 @@ def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False)
     """
     found: dict[str, list[Match]] = {key: [] for key in wanted}
     # Selectors by the element name they end in, None for any.
-    ending: dict[str | None, list[tuple[str, bool, list[tuple[str, Compound]]]]] = {}
+    ending: dict[str | None, list[tuple[str, bool, Chain]]] = {}
+    chains: list[Chain] = []
     for key, (selector, first) in wanted.items():
         for steps in compiled_selector(selector):
             tags = [name for kind, name, _, _ in steps[-1][1] if kind == "tag" and name != "*"]
-            ending.setdefault(tags[0] if tags else None, []).append((key, first, steps))
+            ending.setdefault(tags[0] if tags else None, []).append((key, first, Chain(steps)))
+            if len(steps) > 1:
+                chains.append(ending[tags[0] if tags else None][-1][2])
     for_any = ending.pop(None, [])
 
     unread = UNSEEN if rendered else HIDDEN
@@ -205,6 +227,8 @@ def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False)
             name = path.pop()[0]
             names[name] -= 1
             muted -= name in unread
+        for chain in chains:
+            del chain.bits[depth:]
         while open_matches and open_matches[-1].depth >= depth:
             open_matches.pop().end = len(pieces)
 
@@ -228,11 +252,11 @@ def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False)
             names[value] = names.get(value, 0) + 1
             muted += value in unread
             if for_any or value in ending:
-                for key, first, steps in (*ending.get(value, ()), *for_any):
+                for key, first, chain in (*ending.get(value, ()), *for_any):
                     matches = found[key]
                     if matches and (first or (matches[-1].end is None and matches[-1].depth == len(path) - 1)):
                         continue
-                    if _fits(path, len(path) - 1, steps, len(steps) - 1):
+                    if chain.fits(path):
                         matches.append(Match(attributes, len(path) - 1, pieces))
                         open_matches.append(matches[-1])
             if value in VOID:
@@ -302,6 +326,20 @@ def read_article(
     return pa.array(out, type=ARTICLE)
 
 
+@arrow_udf(T.StringType())
+def bad_selector(selectors: pa.Array) -> pa.Array:
+    """The first of an array of selectors that is not supported; null when all are."""
+
+    def supported(selector: str) -> bool:
+        try:
+            compiled_selector(selector)
+        except ValueError:
+            return False
+        return True
+
+    return pa.array([next((s for s in some or () if s and not supported(s)), None) for some in selectors.to_pylist()], type=pa.string())
+
+
 @arrow_udf(T.StringType())
 def html_text(body: pa.Array) -> pa.Array:
     """Text of a fragment or document, collapsed."""

@@ -46,12 +46,8 @@ def any_date(text: Column) -> Column:
 
 def iso_text(instant: Column) -> Column:
     """ISO 8601 text of a UTC instant; a fraction is shown only where there is one."""
-    fraction = F.date_format(instant, ".SSSSSS")
-    return F.concat(
-        F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(fraction == ".000000", "").otherwise(fraction),
-        F.lit("+00:00"),
-    )
+    stamp = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(stamp, r"\.000000$", ""), F.lit("+00:00"))
 
 
 def iso_year(instant: Column) -> Column:

@@ -110,7 +110,7 @@ def first_kept(
 
     def spread(rows: DataFrame, right: DataFrame, key: str, how: str, total: int, counted: DataFrame) -> DataFrame:
         # Fewer rows than a hot key has need no count.
-        hot = hot_keys(counted, [key], min_rows) if total >= min_rows else []
+        hot = hot_keys(counted, [key], min_rows) if total >= min_rows else {}
         return spread_join(rows, right, [key], how, [seq], hot=hot)
 
     distinct = cut_lineage(items.groupBy(*keys).agg(F.min(seq).alias(seq)))

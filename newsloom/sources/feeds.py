@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,32 @@ def _atom_entry(entry: Column) -> Column:
     )
 
 
+# References that every XML text may hold, and any other sign of one.
+KNOWN_REFERENCE = r"(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);"
+NAMED = {name: chr(code) for name, code in name2codepoint.items() if name not in ("amp", "lt", "gt", "quot")}
+
+
+def well_formed(body: Column) -> Column:
+    """``body`` with HTML's named characters in place of their names and ``&amp;`` for a bare ampersand, outside CDATA sections."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def mend(after: Column, place: Column) -> Column:
+        name = F.regexp_extract(after, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        known = (place == 0) | after.rlike(f"^{KNOWN_REFERENCE}")
+        shown = let(F.try_element_at(names, name), lambda c: F.when(c.isNotNull(), F.concat(c, F.regexp_replace(after, "^[^;]*;", ""))))
+        sign = F.when(place == 0, F.lit("")).otherwise(F.lit("&"))
+        return F.when(known, F.concat(sign, after)).otherwise(F.coalesce(shown, F.concat(F.lit("&amp;"), after)))
+
+    def section(text: Column) -> Column:
+        mended = F.array_join(F.transform(F.split(text, "&"), mend), "")
+        return F.when(text.startswith("<![CDATA["), text).otherwise(mended)
+
+    sections = F.split(body, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    return F.when(body.rlike(f"&(?!{KNOWN_REFERENCE})"), F.array_join(F.transform(sections, section), "")).otherwise(body)
+
+
 def feed_entries(body: Column) -> Column:
-    """Entries of a feed text in feed order; none when the text is no well-formed feed."""
+    """Entries of a feed text in feed order; none when the text is no feed, or far from well formed."""
     none = F.array().cast(ENTRY)
 
     def entries(feed: Column) -> Column:
@@ -67,7 +94,7 @@ def feed_entries(body: Column) -> Column:
         )
         return F.concat(*(F.coalesce(part, none) for part in parts))
 
-    return let(F.from_xml(body, FEED), entries)
+    return let(F.from_xml(well_formed(body), FEED), entries)
 
 
 def entries_of(opened: DataFrame, now: Column, lookback_days: int) -> DataFrame:

@@ -67,3 +67,20 @@ def test_a_predicate_does_not_parse_pages_again(spark):
     good = read_articles(wanted, captures).where("article.title <> '' AND article.content <> ''")
     assert good.select("article.*").collect() == [("Head © 1", "today", "Head © 1 bold par agraph")]
     assert good._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 1
+
+
+def test_nested_pages_take_linear_time():
+    for body, selector in (("<div>" * 4_000 + "<p>", "main div div p"), ("<main>" + "<div>" * 4_000 + "<p>", "main > div div > div p, div div div p"), ("<!" * 200_000, "a")):
+        start = time.perf_counter()
+        find(body, {"x": (selector, False)})
+        assert time.perf_counter() - start < 2
+
+
+def test_ancestors_may_be_skipped():
+    body = "<main><div class=a><p>1</p><div class=b><div><p>2</p></div></div></div></main><div class=b><p>3</p></div>"
+    assert texts(".a p", body=body) == ["1", "2"]
+    assert texts(".a > p", body=body) == ["1"]
+    assert texts("main .b > div p", body=body) == ["2"]
+    assert texts("main > .b p", body=body) == []
+    assert texts("div > div p", body=body) == ["2"]
+    assert texts(".b p", body=body) == ["2", "3"]

@@ -28,8 +28,10 @@ def test_spread_join_is_a_join(sides, how, min_rows):
 
 def test_hot_rows_are_shared_out(sides):
     left, right = sides
-    assert len(hot_keys(left, ["k"], 100)) == 1
-    assert len(hot_keys(left, ["id"], 1)) == HOT_KEYS
+    assert list(hot_keys(left, ["k"], 100).values()) == [4]
+    assert list(hot_keys(left, ["k"], 10).values()).count(32) == 1
+    assert len(hot_keys(left, ["id"], 1)) == 900
+    assert len(hot_keys(left.sparkSession.range(2 * HOT_KEYS), ["id"], 1)) == HOT_KEYS
     joined = spread_join(left, right, ["k"], "inner", ["id"], 100).where("k = 'hot'")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "_share" in plan

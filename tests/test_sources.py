@@ -212,3 +212,10 @@ def test_a_capture_that_comes_twice_counts_once(spark):
     found = with_body(rows, captures).collect()
     assert [(r.source_id, r.url) for r in found] == [(1, "u")] and found[0].body in ("new", "other")
     assert with_body(rows, captures.repartition(5)).first().body == found[0].body
+
+
+def test_feeds_that_are_not_quite_well_formed(evaluate):
+    feed = "<rss><channel><item><title>A&nbsp;B &amp; C & D &copy;x &nosuch; &#65; &</title><link>https://f.org/?a=1&b=2</link><description><![CDATA[x &nbsp; & y]]></description></item></channel></rss>"
+    (found,) = evaluate([(feed,)], "body string", feeds.feed_entries(F.col("body")))
+    assert [(e.title, e.link, e.html) for e in found] == [("A\xa0B & C & D ©x &nosuch; A &", "https://f.org/?a=1&b=2", "x &nbsp; & y")]
+    assert evaluate([(None,), ("",), ("& no feed",)], "body string", feeds.well_formed(F.col("body"))) == [None, "", "&amp; no feed"]

@@ -10,7 +10,8 @@ from catalog.inputs import ALL_FETCHED, SQL, captures, kept_in_order, keyed_docu
 from catalog.operators import WEEK_SQL
 from newsloom.functions.binding import once
 from newsloom.functions.urls import normalize_url
-from newsloom.operators import caps, dedup, store
+from newsloom.operators import caps, dedup, rollup, store
+from newsloom.operators.requests import post_requests
 from newsloom.plans.analyze import analyze
 from newsloom.plans.chain import run, stages_of
 from newsloom.plans.collect import collect
@@ -72,15 +73,28 @@ def q_analyze_days(spark, sf):
 
 
 def q_publish(spark, sf):
-    from newsloom.operators.requests import post_requests
+    return _published(spark, sf).select("iso_year", "iso_week", "part", "title", F.md5("markdown").alias("markdown_md5"))
 
+
+def _published(spark, sf, output=None):
+    """Posts of real digests in several parts, all answered."""
     rows = news(spark, sf)
-    key = ["iso_year", "iso_week", "part"]
-    parts = rows.select("iso_year", "iso_week", (F.col("ingest_seq") % 5).cast("int").alias("part")).distinct().withColumn("markdown", F.lit("digest"))
-    answers = post_requests(parts).select(
-        "request_id", F.concat(F.lit("# Post of "), F.col("key"), F.lit("\n\nText.")).alias("output"), F.lit(None).cast("string").alias("error")
-    )
-    return publish(spark, parts, answers, NOW, **LAYOUT).select(*key, "title", "markdown")
+    heads = rollup.digest_heads(rows.select("iso_year", "iso_week").distinct(), F.lit("2026-02-10"), **LAYOUT)
+    parts = cut_lineage(rollup.digest_parts(rollup.entry_blocks(rows), heads, part_entries=100))
+    answer = F.concat(F.lit("# Post of "), F.col("key"), F.lit("\n\nText "), F.md5("input"), F.lit("."))
+    answers = post_requests(parts).select("request_id", answer.alias("output"), F.lit(None).cast("string").alias("error"))
+    return publish(spark, parts, answers, NOW, output=output, **LAYOUT)
+
+
+def q_post_files(spark, sf):
+    """Every file of posts, as its lines in alphabetical order, with its numbers of titles and of links back."""
+    path = scratch_path(spark, "posts")
+    _published(spark, sf, path)
+    lines, line = spark.read.text(path), F.col("value")
+    return lines.groupBy("file").agg(
+        F.count_if(line.startswith("title: ")).alias("titles"), F.count_if(line.startswith("- [AI news summary")).alias("links"),
+        F.md5(F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("lines_md5"),
+    )
 
 
 def q_chain(spark, sf):
@@ -130,6 +144,14 @@ chosen AS (SELECT * REPLACE ({summary} AS summary, {year} AS iso_year, {week} AS
   WHERE collected_at >= TIMESTAMP '{start}' AND collected_at < TIMESTAMP '{end}'),{body}
 """
 
+#: Sections of posts: the first one has the front matter, the last one the link.
+SECTIONS_SQL = "," + WEEK_SQL.format(size=100) + """,
+sections AS (SELECT *, CASE WHEN part = 0 THEN concat_ws(chr(10), '---', 'title: ' || title, 'description:', 'date: 2026-02-10', 'scheduled: 2026-02-10',
+    'tags:', '  - x', 'layout: post', '---', '') ELSE '' END || 'Text ' || md5(markdown) || '.'
+  || CASE WHEN part = last THEN concat_ws(chr(10), '', '', '---', '', '- [AI news summary — ' || week || '](../weekly_news/news_' || replace(week, '-', '_') || ')', '') ELSE '' END AS section
+  FROM (SELECT *, max(part) OVER (PARTITION BY iso_year, iso_week) AS last, printf('%04d-%02d', iso_year, iso_week) AS week,
+    CASE WHEN part = 0 THEN 'Post of ' || printf('%04d-%02d/%d', iso_year, iso_week, part) END AS title FROM digests))
+"""
 
 QUERIES = {
     "flagship": (
@@ -177,12 +199,19 @@ FROM fetched GROUP BY ALL""",
     ),
     "publish": (
         q_publish,
+        with_tables("news", then=SECTIONS_SQL + "SELECT iso_year, iso_week, part, title, md5(section) AS markdown_md5 FROM sections"),
+    ),
+    "post_files": (
+        q_post_files,
         with_tables(
             "news",
-            then="""SELECT iso_year, iso_week, part, title, concat_ws(chr(10), '---', 'title: ' || title, 'description:', 'date: 2026-02-10', 'scheduled: 2026-02-10',
-  'tags:', '  - x', 'layout: post', '---', 'Text.', '', '---', '', '- [AI news summary — ' || week || '](../weekly_news/news_' || replace(week, '-', '_') || ')', '') AS markdown
-FROM (SELECT DISTINCT iso_year, iso_week, (ingest_seq % 5)::INTEGER AS part, printf('%04d-%02d', iso_year, iso_week) AS week,
-  'Post of ' || printf('%04d-%02d/%d', iso_year, iso_week, ingest_seq % 5) AS title FROM news)""",
+            then=SECTIONS_SQL
+            + """
+SELECT file, count(*) FILTER (starts_with(line, 'title: ')) AS titles, count(*) FILTER (starts_with(line, '- [AI news summary')) AS links,
+  md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5
+FROM (SELECT file, unnest(string_split(markdown, chr(10))) AS line FROM (
+  SELECT 'blog_' || replace(week, '-', '_') || '.md' AS file, string_agg(rtrim(section, chr(10)), chr(10) || chr(10) ORDER BY part) AS markdown FROM sections GROUP BY week))
+GROUP BY file""",
         ),
     ),
     "chain": (

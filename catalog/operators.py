@@ -185,13 +185,6 @@ def q_read_digest(spark, sf):
     return files.agg(F.sum(F.length("markdown")).alias("chars"), F.min("part").alias("first_part"))
 
 
-def q_post_files(spark, sf):
-    path = scratch_path(spark, "posts")
-    rollup.write_digests(_posts(spark, sf), path, prefix="blog")
-    lines = spark.read.text(path)
-    return lines.groupBy("file").agg(F.count_if(F.col("value").startswith("- [AI news summary")).alias("posts"), F.sum(F.length("value")).alias("chars"))
-
-
 def q_events_per_week(spark, sf):
     rows = events_as_news(spark, sf)
     return rows.groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.min("ingest_seq").alias("first"))
@@ -471,14 +464,6 @@ FROM (SELECT iso_year, iso_week, string_agg(markdown, chr(10) ORDER BY part) AS
 SELECT sum(length(markdown) + CASE WHEN part = 0 THEN 0 ELSE 1 END)::BIGINT AS chars, 0 AS first_part FROM digests WHERE iso_year = 2024 AND iso_week = 1""",
         ),
     ),
-    "post_files": (
-        q_post_files,
-        f"""WITH {DRAFT_SQL},
-written AS (SELECT printf('blog_2026_%02d.md', turn % 50 + 1) AS file, concat_ws(chr(10), '---', 'title: ' || title, 'description:',
-  'date: 2026-02-10', 'scheduled: 2026-02-10', 'tags:', '  - x', 'layout: post', '---', body, '', '---', '',
-  '- [AI news summary — 2026-' || printf('%02d', turn % 50 + 1) || '](../weekly_news/news_2026_06)', '') AS markdown FROM cleaned)
-SELECT file, count(*) AS posts, sum(length(replace(markdown, chr(10), '')))::BIGINT AS chars FROM written GROUP BY file""",
-    ),
     "events_per_week": (
         q_events_per_week,
         """SELECT isoyear(ts)::INTEGER AS iso_year, weekofyear(ts)::INTEGER AS iso_week, count(*) AS n, min(event_id) AS first
@@ -499,14 +484,14 @@ FROM news WHERE coalesce(summary, '') = '' AND content <> ''""",
             then=","
             + WEEK_SQL.format(size=200)
             + """
-SELECT sha256('post|' || key) AS request_id, 'post' AS kind, key, 'Write a post.' || chr(10) || chr(10) || 'Formatting rules:' || chr(10) || 'Use ##.' AS instructions, n
+SELECT sha256('post|' || key) AS request_id, 'post' AS kind, key, 'Write a post.' || chr(10) || chr(10) || 'Keep to this layout:' || chr(10) || 'Use ##.' AS instructions, n
 FROM (SELECT printf('%04d-%02d/%d', iso_year, iso_week, part) AS key, length(body)::INTEGER AS n FROM parts)""",
         ),
     ),
     "inspection_requests": (
         q_inspection_requests,
         """SELECT sha256('inspect|' || url) AS request_id, url AS key, length(shown)::INTEGER AS n, md5(shown) AS input_md5
-FROM (SELECT url, 'URL:' || chr(10) || url || chr(10) || chr(10) || 'CONTENT:' || chr(10) || left(html, 20000) AS shown FROM pages)""",
+FROM (SELECT url, 'Captured from ' || url || ':' || chr(10) || chr(10) || left(html, 20000) AS shown FROM pages)""",
     ),
     "responses_by_key": (
         q_responses,

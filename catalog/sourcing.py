@@ -71,8 +71,8 @@ def q_list_rendered_urls(spark, sf):
 def q_list_api_urls(spark, sf):
     """The url field is not configured but guessed from the first item."""
     howto = F.col("howto").withField("api", F.col("howto.api").withField("url_field", F.lit(None).cast("string")))
-    opened = dispatch.open_sources(registry(spark, sf), source_captures(spark, sf), "api").withColumn("howto", howto)
-    return apis.payload_urls(opened.withColumn("body", F.replace("body", F.lit("[7,"), F.lit("["))), LIMIT)
+    captured = source_captures(spark, sf).withColumn("body", F.replace("body", F.lit("[7,"), F.lit("[")))
+    return dispatch.list_urls(registry(spark, sf).withColumn("howto", howto), captured, now(), LOOKBACK, LIMIT, ("api",)).drop("name")
 
 
 def q_list_all_urls(spark, sf):
@@ -229,7 +229,7 @@ REGISTRY_SQL = """SELECT page_id::INTEGER AS source_id, CASE WHEN page_id % 5 <>
 QUERIES = {
     "read_registry": (
         q_read_registry,
-        f"""SELECT 0 AS source_id, name, url, type, CASE WHEN type = 'rss' THEN 50 END AS item_limit,
+        f"""SELECT (row_number() OVER (ORDER BY url, name) - 1)::INTEGER AS source_id, name, url, type, CASE WHEN type = 'rss' THEN 50 END AS item_limit,
   CASE WHEN type IN ('html', 'js') THEN 'nav a' END AS list_selector, CASE WHEN type = 'api' THEN 'data.items' END AS items_path
 FROM ({REGISTRY_SQL})""",
     ),
@@ -332,7 +332,7 @@ FROM links l JOIN articles a ON a.url = l.url WHERE a.ok""",
     ),
     "run_errors": (
         q_run_errors,
-        f"""SELECT source_id, CASE source_id % 20 WHEN 8 THEN 'Unknown source type: ftp' WHEN 1 THEN 'html source missing howto.html.list_selector'
-  WHEN 3 THEN 'api source missing howto.api.url_field/title_field' END AS error FROM ({REGISTRY_SQL})""",
+        f"""SELECT source_id, CASE source_id % 20 WHEN 8 THEN 'ftp is none of the types rss, html, js, api' WHEN 1 THEN 'html needs howto.html.list_selector'
+  WHEN 3 THEN 'api needs howto.api.url_field and howto.api.title_field' END AS error FROM ({REGISTRY_SQL})""",
     ),
 }

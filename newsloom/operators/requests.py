@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import strip
 from newsloom.operators.filters import awaits_summary
 
-#: Characters of a payload that an inspection request shows.
+#: Characters of a payload that an inspection request shows, unless told otherwise.
 HEAD_CHARACTERS = 20_000
 
 SUMMARY_INSTRUCTIONS = (
@@ -47,19 +47,21 @@ def summary_requests(news: DataFrame, instructions: str = SUMMARY_INSTRUCTIONS)
 
 def post_requests(parts: DataFrame, rules: str | None = None, instructions: str = POST_INSTRUCTIONS) -> DataFrame:
     """One request for each digest part, with formatting rules if there are any."""
-    told = F.lit(f"{instructions}\n\nFormatting rules:\n{rules}" if rules else instructions)
+    told = F.lit(f"{instructions}\n\nKeep to this layout:\n{rules}" if rules else instructions)
     key = F.format_string("%04d-%02d/%d", "iso_year", "iso_week", "part")
     return parts.select(*_request("post", key, told, F.col("markdown")))
 
 
-def inspection_requests(captures: DataFrame, instructions: str = INSPECTION_INSTRUCTIONS) -> DataFrame:
-    """One request for each captured unknown source, showing the head of what was captured."""
-    shown = F.concat(F.lit("URL:\n"), F.col("url"), F.lit("\n\nCONTENT:\n"), content_head(F.col("body")))
+def inspection_requests(
+    captures: DataFrame, instructions: str = INSPECTION_INSTRUCTIONS, head: int | None = HEAD_CHARACTERS
+) -> DataFrame:
+    """One request for each captured unknown source, showing the head of what was captured, or all of it without a ``head``."""
+    shown = F.concat(F.lit("Captured from "), F.col("url"), F.lit(":\n\n"), content_head(F.col("body"), head))
     return captures.select(*_request("inspect", F.col("url"), F.lit(instructions), shown))
 
 
-def content_head(body: Column) -> Column:
-    return F.coalesce(F.substring(body, 1, HEAD_CHARACTERS), F.lit(""))
+def content_head(body: Column, head: int | None = HEAD_CHARACTERS) -> Column:
+    return F.coalesce(body if head is None else F.substring(body, 1, head), F.lit(""))
 
 
 def responses_by_key(requests: DataFrame, responses: DataFrame) -> DataFrame:

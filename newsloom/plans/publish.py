@@ -18,14 +18,20 @@ from newsloom.operators.store import instant
 def make_post(
     draft: Column, year: Column, week: Column, stem: Column, run_date: Column,
     default_title: str = text.DEFAULT_TITLE, tags: Sequence[str] = text.DEFAULT_TAGS, layout: str = text.DEFAULT_LAYOUT,
+    first: Column | None = None, last: Column | None = None,
 ) -> Column:
-    """A draft becomes ``struct<title, markdown>``: cleaned, titled, with front matter and a link to its digest."""
+    """A draft becomes ``struct<title, markdown>``: cleaned, titled, with front matter and a link to its digest.
+
+    Where a post has several drafts, only the ``first`` one gives title and front matter, and the link follows the ``last`` one."""
+    opens, ends = (F.lit(True) if place is None else place for place in (first, last))
 
     def post(bare: Column) -> Column:
-        return let(text.heading_title(bare, default_title), lambda title: F.struct(
+        return let(F.when(opens, text.heading_title(bare, default_title)), lambda title: F.struct(
             title.alias("title"),
             F.concat(
-                text.front_matter(title, run_date, tags, layout), text.drop_heading(bare), text.back_link(year, week, stem)
+                F.coalesce(text.front_matter(title, run_date, tags, layout), F.lit("")),
+                text.drop_heading(bare),
+                F.when(ends, text.back_link(year, week, stem)).otherwise(""),
             ).alias("markdown"),
         ))
 
@@ -37,8 +43,10 @@ def digest_stem(year: Column, week: Column) -> Column:
 
 
 def posts_of(drafts: DataFrame, run_date: Column, **layout) -> DataFrame:
-    """Posts of drafts (iso_year, iso_week, part, stem, draft)."""
+    """Posts of drafts (iso_year, iso_week, part, stem, draft), one of each draft; with a ``last_part``, parts are sections of one post."""
     year, week = F.col("iso_year"), F.col("iso_week")
+    if "last_part" in drafts.columns:
+        layout |= {"first": F.col("part") == 0, "last": F.col("part") == F.col("last_part")}
     made = make_post(F.col("draft"), year, week, F.col("stem"), run_date, **layout)
     return drafts.select("iso_year", "iso_week", "part", made.alias("p")).select("iso_year", "iso_week", "part", "p.*")
 
@@ -58,15 +66,19 @@ def publish(
     output: str | None = None,
     **layout,
 ) -> DataFrame:
-    """Posts of digest parts (iso_year, iso_week, part, markdown; optionally path), one post per answered part.
+    """Posts of digest parts (iso_year, iso_week, part, markdown; optionally path): one post for each digest, in as many sections.
 
-    A digest of usual size is one part and becomes one post.
+    A digest of usual size is one part and its post one section. The first section has the title and the front matter, the last one the link
+    to the digest. A digest waits until all its parts are answered.
     """
     stem = text.file_stem(F.col("path")) if "path" in parts.columns else digest_stem(F.col("iso_year"), F.col("iso_week"))
     key = F.format_string("%04d-%02d/%d", "iso_year", "iso_week", "part")
     drafts = responses_by_key(post_requests(parts, rules), responses).withColumnRenamed("output", "draft")
     named = parts.select("iso_year", "iso_week", "part", stem.alias("stem"), key.alias("key"))
-    posts = posts_of(named.join(drafts, "key").drop("key"), F.date_format(instant(now), "yyyy-MM-dd"), **layout)
+    told, digest = named.join(drafts, "key", "left").drop("key"), ["iso_year", "iso_week", "stem"]
+    whole = told.groupBy(*digest).agg(F.max("part").alias("last_part"), F.every(F.col("draft").isNotNull()).alias("whole"))
+    answered = told.join(whole.where("whole").drop("whole"), digest)
+    posts = posts_of(answered, F.date_format(instant(now), "yyyy-MM-dd"), **layout)
     if output:
         write_digests(posts, output, prefix="blog")
     return posts

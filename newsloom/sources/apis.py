@@ -55,14 +55,22 @@ def payload_items(opened: DataFrame, limit: int) -> DataFrame:
 
 def payload_urls(opened: DataFrame, limit: int) -> DataFrame:
     """Urls that payloads offer. A source that names no url field gets it from its first item."""
-    guess = pick_field(keys_of(F.get("list", F.lit(0))), URL_FIELDS)
-    lists = _lists(opened).withColumn("url_field", F.coalesce(_present(F.col("url_field")), guess))
-    valued = _items(lists).select("source_id", "source_url", "pos", member(F.col("item"), F.col("url_field")).alias("url"))
+    valued = _items(_with_url_field(opened)).select("source_id", "source_url", "pos", member(F.col("item"), F.col("url_field")).alias("url"))
     urls = valued.where(has_value(F.col("url"))).withColumn("url", value_text(F.col("url")))
     offered = urls.where(is_not_source(F.col("url"), F.col("source_url"))).drop("source_url")
     return first_per_group(offered, limit, ["source_id"], ["pos"])
 
 
+def _with_url_field(opened: DataFrame) -> DataFrame:
+    guess = pick_field(keys_of(F.get("list", F.lit(0))), URL_FIELDS)
+    return _lists(opened).withColumn("url_field", F.coalesce(_present(F.col("url_field")), guess))
+
+
+def undecided_payloads(opened: DataFrame) -> DataFrame:
+    """Payloads with a list, for which neither their source nor their first item tells which field holds the url."""
+    return _with_url_field(opened).where("list is not null and url_field is null").select("source_id", "url")
+
+
 def unreadable_payloads(opened: DataFrame) -> DataFrame:
     """Payloads whose path leads to no list."""
     return _lists(opened).where(F.col("list").isNull()).select("source_id", "url")

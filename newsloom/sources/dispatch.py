@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.merge import with_body
 from newsloom.session import cut_lineage
-from newsloom.sources.apis import payload_items, payload_urls
+from newsloom.sources.apis import payload_items, payload_urls, undecided_payloads
 from newsloom.sources.articles import WANTED, article_items, read_articles, wanted_texts
 from newsloom.sources.feeds import feed_items, feed_urls, titled_entries
 from newsloom.sources.listings import first_links, full_listings, links_of, page_urls
-from newsloom.sources.registry import TYPES, check_sources, source_name
+from newsloom.sources.registry import NAMED_FAULTS, NEEDED_TO_LIST, TYPES, check_sources, source_name
 
 # Limits of a run.
 LOOKBACK_DAYS = 30
@@ -77,9 +77,14 @@ def list_urls(
     limit: int = MAX_ITEMS,
     kinds: tuple[str, ...] = TYPES,
 ) -> DataFrame:
-    """What every source of the given types offers: (source_id, name, pos, url), sorted by source and position."""
-    check_sources(sources)
+    """What every source of the given types offers: (source_id, name, pos, url), sorted by source and position.
+
+    Payloads need no configured url field; those whose first item has no field of a usual name either are an error."""
+    check_sources(sources, NEEDED_TO_LIST)
     opened = cut_lineage(open_sources(sources, captures, *kinds))
+    undecided = undecided_payloads(opened).orderBy("source_id").limit(NAMED_FAULTS).collect() if "api" in kinds else []
+    if undecided:
+        raise ValueError("; ".join(f"source {row.source_id}: no howto.api.url_field, and none to be found" for row in undecided))
     listings = {
         "rss": lambda: feed_urls(opened, now, lookback_days, limit),
         "html": lambda: page_urls(opened, "html", limit),

@@ -114,9 +114,10 @@ def test_failed_and_empty_responses_leave_rows_pending(spark, tmp_path):
 def test_requests(spark):
     captured = spark.createDataFrame([("u", "x" * 30_000), ("v", None)], "url string, body string")
     rows = {r.key: r.input for r in requests.inspection_requests(captured).collect()}
-    assert rows == {"u": "URL:\nu\n\nCONTENT:\n" + "x" * 20_000, "v": "URL:\nv\n\nCONTENT:\n"}
+    assert rows == {"u": "Captured from u:\n\n" + "x" * 20_000, "v": "Captured from v:\n\n"}
+    assert requests.inspection_requests(captured, head=None).where("key = 'u'").first().input.count("x") == 30_000
     parts = spark.createDataFrame([(2026, 6, 0, "digest")], "iso_year int, iso_week int, part int, markdown string")
-    assert requests.post_requests(parts, "Use ##.").first().instructions.endswith("\n\nFormatting rules:\nUse ##.")
+    assert requests.post_requests(parts, "Use ##.").first().instructions.endswith("\n\nKeep to this layout:\nUse ##.")
     assert requests.post_requests(parts).first().instructions == requests.POST_INSTRUCTIONS
 
 
@@ -139,6 +140,22 @@ def test_post(spark, tmp_path):
     assert "".join(f.read_text() for f in files) == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_digest_in_parts_becomes_one_post(spark, tmp_path, parts):
+    rows = [(2026, week, part, f"digest {part}") for week in (6, 7) for part in range(parts)]
+    digests = spark.createDataFrame(rows, "iso_year int, iso_week int, part int, markdown string")
+    asked = requests.post_requests(digests).orderBy("key").collect()
+    # Week 7 lacks the answer for its last part.
+    answers = spark.createDataFrame([(r.request_id, f"# Title {r.input}\n\nText of {r.input}", None) for r in asked[:-1]], RESPONSES)
+    posts = publish(spark, digests, answers, NOW, output=str(tmp_path / "out")).orderBy("part").collect()
+    assert [(r.iso_week, r.part, r.title) for r in posts] == [(6, n, None if n else "Title digest 0") for n in range(parts)]
+    files = sorted((tmp_path / "out" / "file=blog_2026_06.md").glob("part-*"))
+    body = "\n\n".join(f"Text of digest {n}" for n in range(parts))
+    want = HEAD.format("Title digest 0") + body + "\n\n---\n\n- [AI news summary — 2026-06](../weekly_news/news_2026_06)\n"
+    assert "".join(f.read_text() for f in files) == want
+    assert not (tmp_path / "out" / "file=blog_2026_07.md").exists()
+
+
 def test_digest_files_are_read_whole(spark, tmp_path):
     path = tmp_path / "old_digest.md"
     path.write_text("# a\n\nb\n")

@@ -101,7 +101,7 @@ def test_violations(spark):
 def test_run_errors(spark):
     rows = [(1, "n", "u", "rss", None), (2, "n", "u", "js", {"js": {"list_selector": ""}}), (3, "n", "u", None, None)]
     df = spark.createDataFrame(rows, SOURCES).select("source_id", run_errors().alias("error")).orderBy("source_id")
-    assert [r.error for r in df.collect()] == [None, "js source missing howto.js.list_selector", "Unknown source type: none"]
+    assert [r.error for r in df.collect()] == [None, "js needs howto.js.list_selector", "none is none of the types rss, html, js, api"]
 
 
 def test_likely_rendered(evaluate):

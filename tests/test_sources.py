@@ -3,7 +3,6 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators.merge import with_body
 from newsloom.schemas import CAPTURES, SOURCES
 from newsloom.sources import apis, dispatch, feeds, registry
 
@@ -156,17 +155,15 @@ def test_payloads(frames):
     assert [r.source_id for r in apis.unreadable_payloads(dispatch.open_sources(sources, captures)).collect()] == [2]
 
 
-def _opened(sources, captures):
-    """Opened without the checks of a run, which ask for a url field."""
-    return with_body(sources.withColumn("rendered", F.lit(False)), captures)
-
-
 def test_api_listing_guesses_the_url_field(frames):
     sources, captures = frames(
         [source(1, "https://p.org/api", "api", title_field="t")],
         [capture("https://p.org/api", '[{"href":"https://p.org/h","link":"https://p.org/l"},{"link":"https://p.org/m","title":null},{"href":"x"}]')],
     )
-    assert [r.url for r in apis.payload_urls(_opened(sources, captures), 50).orderBy("pos").collect()] == ["https://p.org/l", "https://p.org/m"]
+    assert [r.url for r in dispatch.list_urls(sources, captures, at(), kinds=("api",)).collect()] == ["https://p.org/l", "https://p.org/m"]
+    bare = captures.withColumn("body", F.lit('[{"id":7}]'))
+    with pytest.raises(ValueError, match="source 1: no howto.api.url_field"):
+        dispatch.list_urls(sources, bare, at(), kinds=("api",))
 
 
 def test_newest_successful_capture_counts(frames):
@@ -186,19 +183,36 @@ def test_newest_successful_capture_counts(frames):
 
 def test_unknown_types_fail_the_run(frames):
     sources, captures = frames([source(1, "https://p.org/", "ftp")], [])
-    with pytest.raises(ValueError, match="Unknown source type: ftp"):
+    with pytest.raises(ValueError, match="source 1: ftp is none of the types"):
         dispatch.fetch(sources, captures, at()).collect()
     sources, _ = frames([source(1, "https://p.org/", "html", title_selector="h1")], [])
     with pytest.raises(ValueError, match="list_selector"):
         registry.check_sources(sources)
 
 
+def test_bad_selectors_and_shared_ids_are_named_before_a_run(frames):
+    page = {"list_selector": "li a", "title_selector": "h1"}
+    sources, captures = frames([source(1, "u", "html", **page), source(2, "v", "html", **page | {"list_selector": "li:first-child a"})], [])
+    with pytest.raises(ValueError, match="^source 2: unsupported selector li:first-child a$"):
+        dispatch.fetch(sources, captures, at())
+    sources, _ = frames([source(3, "u", "rss"), source(3, "v", "rss"), source(4, "w", "rss")], [])
+    with pytest.raises(ValueError, match="^source 3: an id of 2 sources$"):
+        registry.check_sources(sources)
+    sources, _ = frames([source(n, "u", "ftp") for n in range(12)], [])
+    with pytest.raises(ValueError, match="; 2 more$"):
+        registry.check_sources(sources)
+
+
 def test_registry_file(spark, tmp_path):
     path = tmp_path / "registry.json"
     path.write_text('{"collector": {"sources": [{"name": "n", "url": "u", "type": "rss", "howto": {"rss": {"item_limit": 5}}}, {"url": "v"}]}}')
     rows = registry.read_registry(spark, str(path)).orderBy("source_id").collect()
     assert [(r.source_id, r.name, r.url) for r in rows] == [(0, "n", "u"), (1, None, "v")]
     assert rows[0].howto.rss.item_limit == 5
+    path.write_text('{"collector": {"sources": [{"source_id": 1, "url": "a"}, {"url": "b"}, {"url": "c"}]}}')
+    assert sorted((r.source_id, r.url) for r in registry.read_registry(spark, str(path)).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    texts = spark.createDataFrame([(f'{{"collector": {{"sources": [{{"url": "{u}"}}, {{"url": "z"}}]}}}}',) for u in "bab"], "value string")
+    assert sorted((r.source_id, r.url) for r in registry.parse_registry(texts).collect()) == list(enumerate("abbzzz"))
     path.write_text('{"collector": {}}')
     assert registry.read_registry(spark, str(path)).count() == 0
 

@@ -174,7 +174,8 @@ def q_digest_files(spark, sf):
     path = scratch_path(spark, "digests")
     rollup.write_digests(_digests(spark, sf, 100), path)
     lines = spark.read.text(path)
-    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+    text_md5 = F.md5(F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("lines_md5")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), text_md5)
 
 
 def q_read_digest(spark, sf):
@@ -449,9 +450,11 @@ FROM news LEFT JOIN labels ON doc_id = ingest_seq""",
             then=","
             + WEEK_SQL.format(size=100)
             + """
-SELECT printf('news_%04d_%02d.md', iso_year, iso_week) AS file, len(string_split(whole, chr(10))) - 1 AS lines,
-  length(replace(whole, chr(10), '')) AS chars
-FROM (SELECT iso_year, iso_week, string_agg(markdown, chr(10) ORDER BY part) AS whole FROM digests GROUP BY ALL)""",
+SELECT file, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5
+FROM (SELECT file, unnest(string_split(markdown, chr(10))) AS line FROM (
+  SELECT printf('news_%04d_%02d.md', iso_year, iso_week) AS file, string_agg(regexp_replace(markdown, '\\n$', ''), chr(10) || chr(10) ORDER BY part) AS markdown
+  FROM digests GROUP BY ALL))
+GROUP BY file""",
         ),
     ),
     "read_digest": (

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from newsloom.operators.store import append_news, as_news, create_news, ingest, instant, read_news
+from newsloom.schemas import CAPTURES
 from newsloom.session import cut_lineage
-from newsloom.sources.dispatch import fetch
+from newsloom.sources.dispatch import LOOKBACK_DAYS, fetch, open_sources
+from newsloom.sources.feeds import entries_of
+from newsloom.sources.listings import links_of
+from newsloom.sources.registry import check_sources
+
+#: What a source leads to, kept beside the captures.
+LINKS = "source_id int, url string"
 
 
 def ingest_items(news_path: str, clock: Callable[[int], datetime]) -> Callable[[DataFrame, int], None]:
@@ -26,13 +34,31 @@ def ingest_items(news_path: str, clock: Callable[[int], datetime]) -> Callable[[
 
 
 def ingest_captures(
-    sources: DataFrame, news_path: str, clock: Callable[[int], datetime], **limits: int
+    sources: DataFrame, log_path: str, news_path: str, clock: Callable[[int], datetime], **limits: int
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function that takes captures: items are read from each batch before they are ingested."""
+    """Batch function that takes captures, which may come in any order: a listing, its articles and what replaces them.
+
+    Each batch is added to the captures under ``log_path``; the sources that it touches, by their own url or one that they have led to, are
+    read from all captures so far. A batch that is run again may add its captures twice, which changes nothing. What is stored stays: a
+    feed entry whose article comes later keeps the text of the feed, and of items with the same url or title the one that could be read first counts.
+    """
+    check_sources(sources)
     store = ingest_items(news_path, clock)
 
     def batch(captures: DataFrame, batch_id: int) -> None:
-        store(fetch(sources, captures, instant(clock(batch_id)), **limits), batch_id)
+        spark, now = captures.sparkSession, instant(clock(batch_id))
+        arrived = cut_lineage(captures.select("url").distinct())
+        captures.write.mode("append").parquet(f"{log_path}/captures")
+        log = spark.read.schema(CAPTURES).parquet(f"{log_path}/captures")
+        renewed = sources.join(arrived, "url", "left_semi")
+        opened = cut_lineage(open_sources(renewed, log))
+        entries = entries_of(opened, now, limits.get("lookback_days", LOOKBACK_DAYS))
+        leads = (found.select("source_id", "url") for found in (entries, links_of(opened, "html"), links_of(opened, "js")))
+        reduce(DataFrame.unionByName, leads).distinct().write.mode("append").parquet(f"{log_path}/links")
+        links = spark.read.schema(LINKS).parquet(f"{log_path}/links")
+        led = links.join(arrived, "url", "left_semi").select("source_id")
+        touched = cut_lineage(led.unionByName(renewed.select("source_id")).distinct())
+        store(fetch(sources.join(touched, "source_id", "left_semi"), log, now, **limits), batch_id)
 
     return batch
 

@@ -225,8 +225,35 @@ def test_captures_arrive_in_files(spark, tmp_path):
     captures.write.parquet(arriving)
     for attempt in range(2):
         stream = spark.readStream.schema(CAPTURES).parquet(arriving)
-        query = start_ingest(stream, ingest_captures(sources, news, lambda batch_id: NOW, limit=5), str(tmp_path / f"state{attempt}"))
+        query = start_ingest(stream, ingest_captures(sources, str(tmp_path / "log"), news, lambda batch_id: NOW, limit=5), str(tmp_path / f"state{attempt}"))
         query.awaitTermination()
         assert query.exception() is None
     assert [r.url for r in store.read_news(spark, news).collect()] == ["https://p.org/1"]
     assert Path(news).is_dir()
+
+
+def test_articles_may_arrive_after_their_listing(spark, tmp_path):
+    page = {"list_selector": "li a", "title_selector": "h1", "content_selector": "article"}
+    sources = spark.createDataFrame([(1, None, "https://h.org/", "html", {"html": page}), (2, None, "https://f.org/feed", "rss", None)], SOURCES)
+    read = "<h1>{0}</h1><article>Text of {0}</article>"
+    feed = "<rss><channel><item><title>F</title><link>https://f.org/1</link><description>feed text</description></item></channel></rss>"
+    batches = [
+        [("https://h.org/", '<li><a href="/a">A</a><li><a href="/b">B</a>'), ("https://f.org/feed", feed)],
+        [("https://h.org/a", read.format("A")), ("https://f.org/1", read.format("F"))],
+        [("https://h.org/b", read.format("B")), ("https://h.org/a", read.format("A"))],
+    ]
+    news, arriving = str(tmp_path / "news"), str(tmp_path / "arriving")
+    found = []
+    for bodies in batches:
+        # One stream with one checkpoint, started again for each batch.
+        rows = [(url, NOW, True, False, body) for url, body in bodies]
+        spark.createDataFrame(rows, CAPTURES).write.mode("append").parquet(arriving)
+        take = ingest_captures(sources, str(tmp_path / "log"), news, lambda batch_id: NOW)
+        query = start_ingest(spark.readStream.schema(CAPTURES).parquet(arriving), take, str(tmp_path / "state"))
+        query.awaitTermination()
+        assert query.exception() is None
+        found.append(sorted((r.url, r.content) for r in store.read_news(spark, news).collect()))
+    of_feed = ("https://f.org/1", "feed text")
+    assert found[0] == [of_feed]
+    assert found[1] == [of_feed, ("https://h.org/a", "Text of A")]
+    assert found[2] == [*found[1], ("https://h.org/b", "Text of B")]

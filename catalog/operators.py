@@ -230,7 +230,7 @@ DRAFT_FORMS = ("---\na: b\n---\n# Head\n\n", "---\n# Head\n", "# Head line \n\n\
 
 
 def _drafts(spark, sf):
-    turns = table(spark, sf, "conversations").where("role = 'assistant'")
+    turns = table(spark, sf, "conversations")
     form = F.element_at(F.array(*map(F.lit, DRAFT_FORMS)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
     return turns.select("conv_id", "turn", F.concat(form, F.col("text")).alias("draft"))
 
@@ -325,7 +325,7 @@ TABLE_SQL = kept_in_order(
 
 DRAFT_SQL = """
 drafts AS (
-  SELECT conv_id, turn, (conv_id + turn) % 8 AS form, text FROM conversations WHERE role = 'assistant'),
+  SELECT conv_id, turn, (conv_id + turn) % 8 AS form, text FROM conversations),
 cleaned AS (
   SELECT conv_id, turn, CASE form WHEN 0 THEN '# Head' || chr(10) || chr(10) || text
       WHEN 1 THEN '---' || chr(10) || '# Head' || chr(10) || text WHEN 2 THEN '# Head line ' || chr(10) || chr(10) || chr(10) || text
@@ -520,7 +520,7 @@ FROM news""",
     "back_links": (
         q_back_links,
         """SELECT conv_id, turn, concat_ws(chr(10), '', '', '---', '', '- [AI news summary — ' || printf('%04d-%02d', 2000 + conv_id % 30, turn + 1)
-  || '](../weekly_news/news_' || conv_id || ')', '') AS link FROM conversations WHERE role = 'assistant'""",
+  || '](../weekly_news/news_' || conv_id || ')', '') AS link FROM conversations""",
     ),
     "posts": (
         q_posts,

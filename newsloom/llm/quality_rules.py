@@ -2,7 +2,8 @@
 
 For several lengths n, every run of n words gets a rolling hash, made from the hashes of length n - 1; a run whose hash occurs more than once in
 its document is repeated, and all its characters are covered, each once. The share of covered characters is held against a
-limit for each length. Lines are covered when an earlier line of the document is equal.
+limit for each length. Lines are covered when an earlier line of the document is equal. A heading, which is all that is repeated of a document's
+lines, and short, does not count among the n-grams unless it covers much of the document; it always counts among the lines.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame
 from newsloom.llm.common import text_or_empty, text_steps
 
 #: The most that may be covered, by length of the n-gram, as a share of the characters in words.
-NGRAM_LIMITS = {5: 0.60, 6: 0.58, 7: 0.56, 8: 0.54, 9: 0.52, 10: 0.50}
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Words of a heading at most, and the most that all its occurrences may cover.
+HEADING, HEADING_LIMIT = 20, 1 / 3
 #: The most that may be covered by repeated lines.
 LINE_LIMIT = 0.30
 #: The base rules.
@@ -61,21 +64,36 @@ def spread(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks)[: len(starts)] > 0
 
 
+def heading_words(raw: bytes, twice: set[bytes], n_words: int) -> np.ndarray:
+    """Which words of a text are in its heading; ``twice`` has the repeated lines."""
+    out = np.zeros(n_words, bool)
+    sizes = {line: len(line.split()) for line in twice}
+    if 0 < sum(sizes.values()) <= HEADING:
+        at = 0
+        for line in raw.split(b"\n"):
+            size = sizes.get(line, 0)
+            out[at : at + size] = True
+            at += size or len(line.split())
+    return out
+
+
 def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> dict[str, np.ndarray]:
     """The measures of every text, all texts at once."""
     index: dict[bytes, int] = {}
-    sizes, numbers, lines_again, lines_chars, symbols = [], [], [], [], []
+    sizes, numbers, lines_again, lines_chars, symbols, heading = [], [], [], [], [], []
     for text in texts:
         raw = text.encode()
         words = raw.split()  # at the bytes 09-0D and 20
         sizes.append(len(words))
         numbers.append(np.array([index.setdefault(word, len(index)) for word in words], np.int64))
         seen: set[bytes] = set()
+        twice: set[bytes] = set()
         again = covered = 0
         for line in raw.split(b"\n"):
             if line in seen:
                 own = line.split()
                 if own:
+                    twice.add(line)
                     again += 1
                     covered += sum(len(word.decode()) for word in own)
             else:
@@ -83,6 +101,7 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
         lines_again.append(again)
         lines_chars.append(covered)
         symbols.append(len(SYMBOLS.findall(text)))
+        heading.append(heading_words(raw, twice, len(words)))
     ends = np.cumsum(sizes)
     starts = ends - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -107,6 +126,9 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
     else:
         repeat_words = np.zeros(len(texts), np.int64)
     word_chars = by_doc(chars)
+    in_heading = np.concatenate(heading) if heading else np.zeros(0, bool)
+    passes = by_doc(chars * in_heading) <= HEADING_LIMIT * word_chars
+    counting = np.where(in_heading & passes[doc], 0, chars)
     share = np.zeros(len(texts))
     failed = np.zeros(len(texts), bool)
     hashed = mixed(word.astype(np.uint64))
@@ -121,7 +143,7 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
         whole = left[: len(rolling)] >= n
         found = np.zeros(len(word), bool)
         found[: len(rolling)][whole] = repeated(rolling[whole])
-        covered = by_doc(spread(found, n) * chars) / np.maximum(word_chars, 1)
+        covered = by_doc(spread(found, n) * counting) / np.maximum(word_chars, 1)
         share = np.maximum(share, covered / limits[n])
         failed |= covered > limits[n]
     line_share = np.array(lines_chars) / np.maximum(word_chars, 1)
@@ -143,8 +165,8 @@ def measure(texts: list[str], limits: dict[int, float] = NGRAM_LIMITS, line_limi
 def judge(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """The measures and verdict of every row of ``docs`` (doc_id, text), other columns being ignored.
 
-    ``ngram_share`` is the largest share of characters in repeated n-grams, as a multiple of its length's limit; ``line_share`` is the
-    share in repeated lines. A null or empty text has no words: it fails the base rule and is not kept. Every row gives one row, repeated rows and null doc_ids
+    ``ngram_share`` is the largest share of characters in repeated n-grams outside a heading, as a multiple of its length's limit; ``line_share`` is the
+    share in repeated lines, headings too. A null or empty text has no words: it fails the base rule and is not kept. Every row gives one row, repeated rows and null doc_ids
     too; an empty table gives none. Texts of any length are measured whole.
     """
     limits = limits or NGRAM_LIMITS

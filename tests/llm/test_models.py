@@ -105,6 +105,51 @@ def test_base_rules(spark):
     assert got[5].kept and not got[4].kept
 
 
+def test_coverage_and_verdict_of_repetition():
+    rnd = random.Random(4)
+    fresh = (f"n{i}" * rnd.randint(1, 3) for i in range(1000, 10**6))
+
+    def prose(n):
+        return [next(fresh) for _ in range(n)]
+
+    def ngram_share(text):
+        words, lines, place, heading = text.split(), text.split("\n"), 0, set()
+        again = {line for line in lines if line.split() and lines.count(line) > 1}
+        for line in lines:
+            if line in again:
+                heading |= set(range(place, place + len(line.split())))
+            place += len(line.split())
+        chars = [len(w) for w in words]
+        short = sum(len(line.split()) for line in again) <= quality_rules.HEADING
+        if not short or sum(chars[i] for i in heading) > quality_rules.HEADING_LIMIT * sum(chars):
+            heading = set()
+        most = 0.0
+        for n, limit in quality_rules.NGRAM_LIMITS.items():
+            runs = collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+            covered = {i + k for i in range(len(words) - n + 1) if runs[tuple(words[i : i + n])] > 1 for k in range(n)} - heading
+            most = max(most, sum(chars[i] for i in covered) / sum(chars) / limit)
+        return most
+
+    texts, heading, passage = [], " ".join(prose(12)), " ".join(prose(14))
+    # A heading above and below: kept. One that covers more than a third of its page, or a passage inside lines: not kept.
+    texts.append(f"{heading}\n{' '.join(prose(60))}\n{heading}")
+    texts.append(f"{heading}\n{' '.join(prose(32))}\n{heading}")
+    texts.append(" ".join([*prose(30), passage, *prose(20), passage, *prose(25)]))
+    for _ in range(60):
+        lines = [" ".join(prose(rnd.randint(1, 14))) for _ in range(rnd.randint(3, 12))]
+        lines += rnd.choices(lines, k=rnd.randint(0, 3))
+        at = rnd.randrange(len(lines))
+        lines[at] += " " + " ".join(lines[0].split()[: rnd.randint(0, 12)])
+        rnd.shuffle(lines)
+        texts.append("\n".join(lines))
+    found = quality_rules.measure(texts)
+    want = [ngram_share(text) for text in texts]
+    assert np.allclose(found["ngram_share"], want)
+    assert found["kept"].tolist() == [bool(not b and s <= 1 and line <= quality_rules.LINE_LIMIT) for b, s, line in zip(found["base_failed"], want, found["line_share"], strict=True)]
+    assert found["kept"][:3].tolist() == [True, False, False]
+    assert not found["base_failed"][:3].any() and (found["line_share"][:3] <= quality_rules.LINE_LIMIT).all()
+
+
 def test_languages(spark):
     docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
     rows = language_id.languages(pages, docs)

@@ -5,9 +5,9 @@ known, the frequency of each subword id. Ids are put into classes: the most freq
 the probability of the next id's class from the ids before it, and an id has its share of its class. A word's probability is that of its ids and of a new word
 after them, given that a word begins; the model mixes it with the word's own frequency, so that a text's score is a proper probability.
 
-The model is one layer of masked self-attention, trained in numpy: every task trains a copy on windows of its training documents, chosen by a hash at a
-fixed rate, copies are averaged by a grouped aggregation, and the next round starts from the average. It starts as the frequencies of the
-classes. Scoring lays overlapping windows over the ids of a document; attention and loss are computed for a batch of windows at once, and each
+The model is one layer of masked self-attention, trained in numpy: every task trains a copy on the windows of its training documents, copies are averaged by
+a grouped aggregation, and the next round starts from the average. The rounds share out the windows, so that together they are one pass over every id of
+every training document. It starts as the frequencies of the classes. Training and scoring lay overlapping windows over the ids of a document; attention and loss are computed for a batch of windows at once, and each
 id is scored once, in the window in which it has the most ids before it.
 """
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +32,8 @@ from newsloom.llm.units import Numbers, gather, totals
 FREQUENT = 250_000
 #: Width of the model, ids of a window, ids that a window scores, classes, and input ids that have a vector of their own.
 WIDTH, WINDOW, STRIDE, CLASSES, INPUTS = 16, 32, 24, 128, 4096
-#: One window of so many is trained on, in so many rounds; windows of a step.
-TRAIN_ONE_OF, ROUNDS, TRAIN_BATCH = 24, 2, 16
+#: Rounds that share out the windows to train on; windows of a step.
+ROUNDS, TRAIN_BATCH = 2, 128
 RATE = 0.02
 #: The part of attention in the mixture.
 ATTENTION = 0.3
@@ -172,23 +171,33 @@ def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weig
         d = d.reshape(-1, WIDTH)
         out[name] = x.T @ d
         d_x += d @ p[name].T
+    order = np.argsort(ids.ravel(), kind="stable")
+    own = ids.ravel()[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     embed = np.zeros_like(p["embed"])
-    np.add.at(embed, ids.ravel(), d_x)
+    embed[own[first]] = np.add.reduceat(d_x[order], first, axis=0)
     out["embed"] = embed
     return out
 
 
-def trained(model: Model, start: np.ndarray, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Parameters after one pass over windows, by Adam."""
-    vector, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
-    for step, at in enumerate(range(0, len(ids), TRAIN_BATCH), 1):
-        part = slice(at, at + TRAIN_BATCH)
-        found = gradient(model.parts(vector), ids[part], target[part], weight[part])
-        g = np.concatenate([found[name].ravel() for name in model.shapes]).astype(np.float32)
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        vector -= RATE / math.sqrt(1 + step / 50) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return vector
+class Training:
+    """A copy of the parameters in one pass over windows, by Adam."""
+
+    def __init__(self, model: Model, start: np.ndarray) -> None:
+        self.model, self.vector, self.step, self.windows = model, start.copy(), 0, 0
+        self.m, self.v = np.zeros_like(start), np.zeros_like(start)
+
+    def learn(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        for at in range(0, len(ids), TRAIN_BATCH):
+            part = slice(at, at + TRAIN_BATCH)
+            found = gradient(self.model.parts(self.vector), ids[part], target[part], weight[part])
+            g = np.concatenate([found[name].ravel() for name in self.model.shapes]).astype(np.float32)
+            self.step += 1
+            self.m += 0.1 * (g - self.m)
+            self.v += 0.01 * (g * g - self.v)
+            rate = RATE / math.sqrt(1 + self.step / 50)
+            self.vector -= rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+        self.windows += len(ids)
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,9 +236,31 @@ class Coding:
         self.input[own] = np.arange(len(own))
 
 
-def spans(words: list[bytes], seed: int) -> list[tuple[int, list[bytes]]]:
-    """Runs of words of a document to train on, at a fixed rate from a place given by its hash."""
-    return [(at, words[at : at + STRIDE]) for at in range(seed % (STRIDE * TRAIN_ONE_OF), len(words), STRIDE * TRAIN_ONE_OF)]
+class Coded:
+    """Texts as subword ids: distinct words and their ids, the word at each place, ids of all texts one after the other, each with its end."""
+
+    def __init__(self, texts: list[str], code: WordIds, end: int) -> None:
+        number, found = Numbers(), []
+        for text in texts:
+            own = normal(text)
+            found.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
+        self.sizes, self.flat = np.array([len(f) for f in found], np.int64), np.concatenate(found)
+        self.words = list(number)
+        of_words, lengths = code(self.words)
+        starts = np.cumsum(lengths) - lengths
+        self.lengths = lengths[self.flat]
+        ids = gather(of_words, starts[self.flat], self.lengths)
+        per_doc = totals(self.lengths, self.sizes)
+        self.ids, self.per_doc = np.insert(ids, np.cumsum(per_doc), end), per_doc + 1
+
+
+def training_windows(ids: np.ndarray, sizes: np.ndarray, coding: Coding, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input ids, target classes and weights of the windows of a round, mixed. What a window predicts gives its round, so that every id is predicted once in all."""
+    read, predicted, counts_for = windows(ids, sizes)
+    own = np.flatnonzero(np.where(counts_for, ids[predicted], 0).sum(1) % ROUNDS == turn)
+    order = np.random.default_rng(len(own)).permutation(own)
+    read, predicted = read[order], predicted[order]
+    return coding.input[np.where(read >= 0, ids[read], coding.end)], coding.target[ids[predicted]], counts_for[order].astype(np.float32)
 
 
 def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.ndarray:
@@ -238,29 +269,26 @@ def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.n
     vector = model.vector
     training = docs.where(~held_out(docs["doc_id"])).select(text_or_empty(docs).alias("text"))
 
-    def learn(start: object):
+    def learn(start: object, turn: int):
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code, rows = WordIds(pieces.value, pattern), []
+            code, copy = WordIds(pieces.value, pattern), Training(model, start.value)
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    words = normal(text)
-                    for at, own in spans(words, zlib.crc32(text.encode())):
-                        ids = code(own)[0].tolist()
-                        ids = [coding.end] * (at == 0) + ids + [coding.end] * (at + len(own) == len(words))
-                        rows.append((ids + [-1] * (WINDOW + 1))[: WINDOW + 1])
-            if not rows:
+                for part in text_steps(batch, most=STEP):
+                    coded = Coded(part.column("text").to_pylist(), code, coding.end)
+                    ends = np.cumsum(coded.per_doc)
+                    for first, last in steps(coded.per_doc.tolist(), IDS):
+                        own = slice(ends[first] - coded.per_doc[first], ends[last - 1])
+                        copy.learn(*training_windows(coded.ids[own], coded.per_doc[first:last], coding, turn))
+            if not copy.windows:
                 return
-            ids = np.array(rows)
-            weight = (ids[:, 1:] >= 0).astype(np.float32)
-            ids = np.where(ids >= 0, ids, coding.end)
-            found = trained(model, start.value, coding.input[ids[:, :-1]], coding.target[ids[:, 1:]], weight)
-            n = np.full(len(found), float(len(rows)))
+            found = copy.vector
+            n = np.full(len(found), float(copy.windows))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(n), pa.array(found.astype(float) * n)], names=["at", "n", "x"])
 
         return fit
 
-    for _ in range(ROUNDS):
-        copies = training.mapInArrow(learn(docs.sparkSession.sparkContext.broadcast(vector)), "at long, n double, x double")
+    for turn in range(ROUNDS):
+        copies = training.mapInArrow(learn(docs.sparkSession.sparkContext.broadcast(vector), turn), "at long, n double, x double")
         mean = copies.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if mean.num_rows:
             vector = np.zeros_like(vector)
@@ -353,24 +381,14 @@ def score(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
 
         for batch in batches:
             for part in text_steps(batch, most=STEP):
-                number, found = Numbers(), []
-                for text in part.column("text").to_pylist():
-                    own = normal(text)
-                    found.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-                sizes, flat = np.array([len(f) for f in found], np.int64), np.concatenate(found)
-                own = list(number)
+                coded = Coded(part.column("text").to_pylist(), code, coding.end)
+                sizes, flat, own = coded.sizes, coded.flat, coded.words
                 place = np.array([near.get(word, -1) for word in own], np.int64)
                 c = np.append(n_of, 0)[place]
                 far = place < 0
-                # Subword ids of all words and the end of each document.
-                of_words, lengths = code(own)
-                starts = np.cumsum(lengths) - lengths
-                ids = gather(of_words, starts[flat], lengths[flat])
-                per_doc = totals(lengths[flat], sizes)
-                ids = np.insert(ids, np.cumsum(per_doc), coding.end)
                 after = np.cumsum(sizes)
                 is_end = np.insert(np.zeros(len(flat), bool), after, True)
-                logs = word_logs(ids, np.insert(lengths[flat], after, 1), is_end, per_doc + 1, coding, p)
+                logs = word_logs(coded.ids, np.insert(coded.lengths, after, 1), is_end, coded.per_doc, coding, p)
                 # Counts of words and ends; words that are not at hand are left to the join.
                 count = np.insert(c[flat], after, ends)
                 there = np.insert(far[flat], after, False)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 from newsloom.llm import language_id, lm_scoring, quality_rules, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -39,6 +40,26 @@ def test_base_scores_and_windows(spark):
     assert ((predicted[use] - 1 == read[use]) | (read[use] == -1)).all()
 
 
+def test_every_id_is_trained_on_once():
+    docs = [(i, f"d{i} " + " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([0, 1, 3, 9, 20, 40, 150, 600])] + [(50, None), (51, "")]
+    training = [text or "" for doc_id, text in docs if zlib.crc32(str(doc_id).encode()) % 7 != 2]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        end = sum(1 for _ in f)
+    code = lm_scoring.WordIds(lm_scoring.read_pieces(path), public_tokenizers.PATTERN)
+    coded = lm_scoring.Coded(training, code, end)
+    want = [i for text in training for i in [*code(lm_scoring.normal(text))[0].tolist(), end]]
+    assert coded.ids.tolist() == want and coded.per_doc.sum() == len(want)
+    counts = np.bincount(want, minlength=end + 1)
+    coding = lm_scoring.Coding(counts, np.ones(end + 1))
+    coding.target = np.arange(end + 1)
+    seen = collections.Counter()
+    for turn in range(lm_scoring.ROUNDS):
+        _, target, weight = lm_scoring.training_windows(coded.ids, coded.per_doc, coding, turn)
+        seen.update(target[weight > 0].tolist())
+    assert seen == collections.Counter(want)
+
+
 def test_automaton_is_edit_distance():
     terms, rnd = ["idiot", "worthless", "scum", "disgusting", "moron"], random.Random(1)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, near_dedup, quality_rules, ranked_search, token_counts, token_files, toxicity, whitening
+from newsloom.llm import byte_bpe, decontamination, extraction, language_id, line_dedup, lm_scoring, near_dedup, quality_rules, ranked_search, token_counts, token_files, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, None),
     "op9_near_dedup": (op9_near_dedup, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_extraction": (op11_extraction, None),
     "op12_whitening": (op12_whitening, None),
     "op13_ranked_search": (op13_ranked_search, OP13_SQL),
 }

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from newsloom.operators.dedup import _first_block, drop_stored, first_kept, keep_first, only_stored
+from newsloom.operators.components import components
+from newsloom.operators.dedup import drop_stored, first_blocks, first_kept, keep_first, only_stored, settled
 
 SCHEMA = "seq bigint, url string, title string"
 
@@ -31,7 +32,7 @@ def test_a_dropped_item_blocks_nobody(spark):
 def test_rounds_agree_with_a_loop(spark, urls, titles):
     rng = random.Random(urls)
     rows = [(i * 7, f"u{rng.randrange(urls)}", f"t{rng.randrange(titles)}") for i in range(1000)]
-    assert kept_by_spark(spark, rows, rest_rows=0) == one_by_one(rows)
+    assert kept_by_spark(spark, rows) == one_by_one(rows)
 
 
 def test_hot_keys_agree_with_a_loop(spark):
@@ -40,24 +41,66 @@ def test_hot_keys_agree_with_a_loop(spark):
         (i, "hot" if rng.random() < 0.4 else f"u{rng.randrange(300)}", "hot" if rng.random() < 0.3 else f"t{rng.randrange(300)}")
         for i in range(1500)
     ]
-    assert kept_by_spark(spark, rows, min_rows=50, rest_rows=0) == one_by_one(rows)
+    assert kept_by_spark(spark, rows, min_rows=50) == one_by_one(rows)
+
+
+def chain(length, start=0):
+    """Items each of which shares its url with the one before it and its title with the one after it, or the other way round."""
+    return [(start + i, f"u{start}-{i // 2}", f"t{start}-{(i + 1) // 2}") for i in range(length)]
 
 
-def test_a_chain_is_settled_in_blocks(spark):
-    rows = [(i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(600)]
-    assert kept_by_spark(spark, rows, block_rows=150) == one_by_one(rows)
+def test_a_long_chain_is_settled_in_blocks(spark):
+    rows = chain(300)
+    rng = random.Random(1)
+    order = rng.sample(range(300), 300)
+    rows = [(seq, url, title) for seq, (_, url, title) in zip(order, rows)]
+    assert kept_by_spark(spark, rows, block_rows=60) == one_by_one(rows)
 
 
-def test_a_short_rest_is_settled_as_one_block(spark):
-    rows = [(i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(200)]
+def test_many_chains_are_settled_side_by_side(spark):
+    rng = random.Random(9)
+    rows = [row for start in range(0, 3000, 20) for row in chain(15, start)]
+    order = rng.sample(range(len(rows)), len(rows))
+    rows = [(seq, url, title) for seq, (_, url, title) in zip(order, rows)]
     assert kept_by_spark(spark, rows) == one_by_one(rows)
 
 
-def test_first_block_is_bounded_and_holds_the_first_rows(spark):
-    live = spark.range(10_000).withColumnRenamed("id", "seq")
-    block = sorted(r.seq for r in _first_block(live, "seq", 10_000, 700).collect())
-    assert 0 < len(block) <= 700
-    assert block == list(range(len(block)))
+def test_components_share_tasks_and_no_task_has_all(spark):
+    """Settling 150 components of 10 rows takes as many tasks as a shuffle has, each with some of them."""
+    rows = [(c * 100 + i, i // 2, (i + 1) // 2, c) for c in range(150) for i in range(10)]
+    labelled = spark.createDataFrame(rows, "seq bigint, u bigint, t bigint, _component bigint")
+    frame = settled(labelled, "seq", ["u", "t"], len(rows), 1_000_000)
+    assert frame.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_part = frame.rdd.glom().map(len).collect()
+    assert sum(by_part) == 150 * 5 and max(by_part) < 150 * 5 / 3
+
+
+def test_first_blocks_are_bounded_and_hold_the_first_rows(spark):
+    large = spark.range(10_000).selectExpr("id AS seq", "id % 2 AS _component")
+    for component in (0, 1):
+        block = sorted(r.seq for r in first_blocks(large, "seq", 5_000, 700).collect() if r._component == component)
+        assert 0 < len(block) <= 700
+        assert block == list(range(component, 2 * len(block), 2))
+
+
+@pytest.mark.parametrize("min_rows", [500_000, 20])
+def test_components_agree_with_union_find(spark, min_rows):
+    rng = random.Random(3)
+    edges = [(i + 1, i) for i in range(60)] + [(i, 100) for i in range(101, 300)] + [(5, 2)] * 3
+    edges += [tuple(sorted(rng.sample(range(400, 700), 2), reverse=True)) for _ in range(200)]
+    parent = {node: node for edge in edges for node in edge}
+
+    def root(node):
+        while parent[node] != node:
+            node = parent[node]
+        return node
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), min_rows).collect()}
+    assert got == {node: root(node) for node in parent if root(node) != node}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_empty_batch(spark):

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import join_url
-from newsloom.schemas import CAPTURES
 from newsloom.session import scratch_path
+from newsloom.sources.capture_log import CaptureLog
 
 NOW = "2026-02-10 00:00:00"
 ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
@@ -168,18 +168,18 @@ def source_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TABLES_OF: dict[tuple[str, str], str] = {}
+TABLES_OF: dict[tuple[str, str], CaptureLog] = {}
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capture log, which jobs read as a table: written to the shared folder once per session."""
+def captures(spark: SparkSession, sf_dir: str) -> CaptureLog:
+    """The capture log that jobs read: written to the shared folder once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in TABLES_OF:
         plain, drawn = (article_captures(spark, sf_dir, rendered) for rendered in (False, True))
-        path = scratch_path(spark, "captures")
-        source_captures(spark, sf_dir).unionByName(plain).unionByName(drawn).write.parquet(path)
-        TABLES_OF[key] = path
-    return spark.read.schema(CAPTURES).parquet(TABLES_OF[key])
+        log = CaptureLog(spark, scratch_path(spark, "captures"))
+        log.append(source_captures(spark, sf_dir).unionByName(plain).unionByName(drawn))
+        TABLES_OF[key] = log
+    return TABLES_OF[key]
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

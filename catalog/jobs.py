@@ -129,7 +129,7 @@ def q_incremental_ingest(spark, sf):
 def q_incremental_captures(spark, sf):
     """What sources gave arrives first, articles later, in one stream that is stopped and started again."""
     path, arriving, log, state = (scratch_path(spark, name) for name in ("news", "arriving", "log", "stream"))
-    sources, everything = registry(spark, sf), captures(spark, sf)
+    sources, everything = registry(spark, sf), captures(spark, sf).captures()
     take = ingest_captures(sources, log, path, lambda batch_id: NOW, limit=3)
     for how in ("left_semi", "left_anti"):
         everything.join(sources.select("url").distinct(), "url", how).select(*everything.columns).write.mode("append").parquet(arriving)

@@ -9,28 +9,32 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import is_filled
 from newsloom.operators.skew import HOT_ROWS, hot_keys, spread_join
+from newsloom.sources.capture_log import CaptureLog
 
 
 def with_body(
-    rows: DataFrame, captures: DataFrame, row_id: Sequence[str] = (), min_rows: int = HOT_ROWS
+    rows: DataFrame, captures: DataFrame | CaptureLog, row_id: Sequence[str] = (), min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Rows (``url``, ``rendered``) that have a successful capture of that kind, with the body of the newest one.
 
-    Captures are a log by url, kind and time, in which a row may come twice. Only those of wanted urls go on; the newest time is found on narrow columns, with map-side
-    combining. Of several bodies with that time the one with the least hash counts, so a url and kind has one body. Rows that may share a url come with a
-    ``row_id``: if many do, each body is found once and given to all of them.
+    Captures are a log by url, kind and time, in which a row may come twice. The newest capture is found on narrow columns, with map-side
+    combining; of several with that time the one whose body has the least hash counts, so a url and kind has one body. Then each wanted body is read: from a
+    :class:`CaptureLog` where it lies, from a frame by one join. Rows that may share a url come with a ``row_id``: if many do, each body is found
+    once and given to all of them.
     """
     page = ["url", "rendered"]
     hot = hot_keys(rows, page, min_rows) if row_id else []
     if hot:
         bodies = with_body(rows.select(*page).distinct(), captures)
         return spread_join(rows, bodies, page, "inner", row_id, hot=hot)
-    wanted = rows.select(*page).distinct()
-    usable = captures.where("ok").select(*page, "fetched_at", "body").join(wanted, page, "left_semi")
-    newest = usable.groupBy(*page).agg(F.max("fetched_at").alias("fetched_at"))
-    of_newest = usable.join(newest, [*page, "fetched_at"])
-    bodies = of_newest.groupBy(*page).agg(F.min_by("body", F.xxhash64("body")).alias("body"))
-    return rows.join(bodies, page)
+    if isinstance(captures, CaptureLog):
+        return captures.with_body(rows)
+    usable = captures.where("ok").select(*page, "fetched_at", "body").withColumn("_hash", F.xxhash64("body"))
+    wanted = usable.drop("body").join(rows.select(*page).distinct(), page, "left_semi")
+    newest = wanted.groupBy(*page).agg(F.max(F.struct("fetched_at", F.bitwise_not("_hash").alias("_hash"))).alias("n"))
+    chosen = newest.select(*page, "n.fetched_at", F.bitwise_not("n._hash").alias("_hash"))
+    found = usable.join(chosen, [*page, "fetched_at", "_hash"])
+    return rows.join(found.groupBy(*page).agg(F.first("body").alias("body")), page)
 
 
 def fill_content(items: DataFrame, texts: DataFrame, row_id: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.inputs import ALL_FETCHED, SQL, captures, kept_in_order, keyed_documents, news, ntz, registry, table, with_tables
@@ -14,10 +16,11 @@ from newsloom.operators import caps, dedup, rollup, store
 from newsloom.operators.requests import post_requests
 from newsloom.plans.analyze import analyze
 from newsloom.plans.chain import run, stages_of
-from newsloom.plans.collect import collect
-from newsloom.plans.publish import publish
+from newsloom.plans.collect import collect, collect_and_report
+from newsloom.plans.publish import label_now, publish
 from newsloom.schemas import CAPTURES, ITEMS
 from newsloom.session import cut_lineage, scratch_path
+from newsloom.sources.digests import read_digest
 from newsloom.streaming.ingest import ingest_captures, ingest_items, start_ingest
 
 NOW = datetime(2026, 2, 10, tzinfo=timezone.utc)
@@ -81,9 +84,7 @@ def _published(spark, sf, output=None):
     rows = news(spark, sf)
     heads = rollup.digest_heads(rows.select("iso_year", "iso_week").distinct(), F.lit("2026-02-10"), **LAYOUT)
     parts = cut_lineage(rollup.digest_parts(rollup.entry_blocks(rows), heads, part_entries=100))
-    answer = F.concat(F.lit("# Post of "), F.col("key"), F.lit("\n\nText "), F.md5("input"), F.lit("."))
-    answers = post_requests(parts).select("request_id", answer.alias("output"), F.lit(None).cast("string").alias("error"))
-    return publish(spark, parts, answers, NOW, output=output, **LAYOUT)
+    return publish(spark, parts, _answers(parts), NOW, output=output, **LAYOUT)
 
 
 def q_post_files(spark, sf):
@@ -97,14 +98,51 @@ def q_post_files(spark, sf):
     )
 
 
+def q_silent_sources(spark, sf):
+    """Sources that gave no item: some were never fetched, some payloads hold no list where they should, some lists lead nowhere."""
+    number = F.col("source_id") % 10
+    api = F.col("howto.api").withField("items_path", F.when(number == 3, "data.none").otherwise(F.col("howto.api.items_path")))
+    howto = F.col("howto").withField("api", F.when(F.col("howto.api").isNotNull(), api))
+    url = F.when(number == 0, F.concat("url", F.lit("/gone"))).otherwise(F.col("url"))
+    sources = registry(spark, sf).withColumn("howto", howto).withColumn("url", url)
+    return collect_and_report(spark, sources, captures(spark, sf), scratch_path(spark, "news"), NOW, limit=3)[1]
+
+
 def q_chain(spark, sf):
+    """Collector and analyzer, and with the answers to their digest all three; the digest that the blogger takes is the one handed on."""
     path = scratch_path(spark, "news")
     inputs = {
         "collector": {"sources": registry(spark, sf), "captures": captures(spark, sf), "limit": 3},
         "analyzer": {"skip_summaries": True, **LAYOUT},
     }
-    results = run(spark, stages_of("collector,analyzer"), NOW, path, inputs)
-    return results["digest"].select("iso_year", "iso_week", "part", F.md5("markdown").alias("markdown_md5"))
+    digest = run(spark, stages_of("collector,analyzer"), NOW, path, inputs)["digest"]
+    posts = run(spark, stages_of("pipeline"), NOW, path, inputs | {"blogger": {"responses": _answers(digest), **LAYOUT}})["posts"]
+    parts = digest.select("iso_year", "iso_week", "part", F.lit("digest").alias("kind"), F.md5("markdown").alias("markdown_md5"))
+    return parts.unionAll(posts.select("iso_year", "iso_week", "part", F.lit("post"), F.md5("markdown")))
+
+
+def _answers(parts):
+    """An answer to the request of each part."""
+    answer = F.concat(F.lit("# Post of "), F.col("key"), F.lit("\n\nText "), F.md5("input"), F.lit("."))
+    return post_requests(parts).select("request_id", answer.alias("output"), F.lit(None).cast("string").alias("error"))
+
+
+def q_blogger_alone(spark, sf):
+    """The blogger on the file of the current week, on that of the setting, and on that of the argument."""
+    rows = news(spark, sf).where("iso_week = 1")
+    folders, posts = {}, []
+    for day, case in ((10, "current"), (11, "setting"), (12, "argument")):
+        heads = rollup.digest_heads(rows.select("iso_year", "iso_week").distinct(), F.lit(f"2026-02-{day}"), **LAYOUT)
+        folders[case] = scratch_path(spark, case)
+        rollup.write_digests(rollup.digest_parts(rollup.entry_blocks(rows), heads), folders[case])
+    file = {case: f"{folder}/news_2024_01.md" for case, folder in folders.items()}
+    cases = {"current": {}, "setting": {"digest_setting": file["setting"]}, "argument": {"digest_path": file["argument"], "digest_setting": file["setting"]}}
+    for case, paths in cases.items():
+        answers = _answers(label_now(read_digest(spark, file[case]), MID_JANUARY))
+        inputs = {"blogger": {"responses": answers, **LAYOUT}}
+        made = run(spark, ["blogger"], MID_JANUARY, "unused", inputs, digest_folder=folders["current"], **paths)["posts"]
+        posts.append(made.select(F.lit(case).alias("kind"), "iso_year", "iso_week", F.md5("markdown").alias("markdown_md5")))
+    return reduce(DataFrame.unionAll, posts)
 
 
 def q_incremental_ingest(spark, sf):
@@ -235,7 +273,33 @@ GROUP BY file""",
 inserted AS (SELECT url, title, published_date, TIMESTAMP '2026-02-10 00:00:00' AS collected_at, source_id * 4294967296 + pos AS ingest_seq,
   NULL::VARCHAR AS summary, 2026 AS iso_year, 7 AS iso_week FROM batch JOIN kept USING (n))"""
         + window_digest("2026-02-09 00:00:00", "2026-02-16 00:00:00", 5000, "News Summary (2026-07)", 7, "2026-02-10", source="inserted")
-        + "SELECT iso_year, iso_week, part, md5(markdown) AS markdown_md5 FROM digests",
+        + """,
+posts AS (SELECT iso_year, iso_week, part, concat_ws(chr(10), '---', 'title: Post of 2026-07/0', 'description:', 'date: 2026-02-10', 'scheduled: 2026-02-10',
+    'tags:', '  - x', 'layout: post', '---', '') || 'Text ' || md5(markdown) || '.'
+  || concat_ws(chr(10), '', '', '---', '', '- [AI news summary — 2026-07](../weekly_news/news_2026_07)', '') AS markdown FROM digests)
+SELECT iso_year, iso_week, part, 'digest' AS kind, md5(markdown) AS markdown_md5 FROM digests
+UNION ALL SELECT iso_year, iso_week, part, 'post', md5(markdown) FROM posts""",
+    ),
+    "blogger_alone": (
+        q_blogger_alone,
+        with_tables("news", then="," + WEEK_SQL.format(size=5000) + """,
+cases(kind, day) AS (VALUES ('current', 10), ('setting', 11), ('argument', 12)),
+texts AS (SELECT kind, md5(replace(markdown, '2026-02-10', '2026-02-' || day)) AS digest_md5 FROM cases JOIN digests ON iso_year = 2024 AND iso_week = 1 AND part = 0)
+SELECT kind, 2024 AS iso_year, 1 AS iso_week, md5(concat_ws(chr(10), '---', 'title: Post of 2024-01/0', 'description:', 'date: 2024-01-03', 'scheduled: 2024-01-03',
+    'tags:', '  - x', 'layout: post', '---', '') || 'Text ' || digest_md5 || '.'
+  || concat_ws(chr(10), '', '', '---', '', '- [AI news summary — 2024-01](../weekly_news/news_2024_01)', '')) AS markdown_md5
+FROM texts"""),
+    ),
+    "silent_sources": (
+        q_silent_sources,
+        with_tables(
+            *ALL_FETCHED,
+            then="""SELECT page_id::INTEGER AS source_id,
+  CASE WHEN page_id % 10 = 0 THEN url || '/gone' WHEN page_id % 5 = 0 THEN url ELSE 'source ' || page_id END AS name,
+  ['rss', 'html', 'js', 'api'][page_id % 4 + 1] AS type,
+  CASE WHEN page_id % 10 = 0 THEN 'no_capture' WHEN page_id % 4 = 3 AND page_id % 10 = 3 THEN 'unreadable' ELSE 'no_items' END AS reason
+FROM pages WHERE page_id % 10 = 0 OR page_id % 4 = 3 AND page_id % 10 = 3 OR page_id NOT IN (SELECT source_id FROM fetched)""",
+        ),
     ),
     "incremental_captures": (
         q_incremental_captures,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
@@ -12,7 +15,7 @@ from newsloom.functions import text, times
 from newsloom.operators import caps, dedup, filters, merge, requests, rollup, store
 from newsloom.plans.publish import posts_of
 from newsloom.session import scratch_path
-from newsloom.sources.digests import read_digest
+from newsloom.sources.digests import read_digests
 
 
 def events_as_news(spark, sf):
@@ -107,6 +110,17 @@ def q_keep_first_links(spark, sf):
     return dedup.keep_first(items, "seq")
 
 
+def q_keep_first_chains(spark, sf):
+    """Orders in many chains, in each of which every item shares its url or its title with the next one."""
+    key = F.col("o_orderkey")
+    chain = (key - key % 10).cast("string")
+    items = table(spark, sf, "orders").select(
+        (key * 7919 % 1000003).alias("seq"), F.concat(F.lit("u"), chain, F.lit("-"), F.expr("(o_orderkey div 2) % 5").cast("string")).alias("url"),
+        F.concat(F.lit("t"), chain, F.lit("-"), F.expr("((o_orderkey % 10) + 1) div 2").cast("string")).alias("title"),
+    )
+    return dedup.keep_first(items, "seq")
+
+
 def q_fill_summaries(spark, sf):
     labels = table(spark, sf, "labels").where("toxic = 1")
     new = labels.join(news(spark, sf).select("url", "ingest_seq"), F.col("doc_id") == F.col("ingest_seq")).select(
@@ -130,6 +144,23 @@ def q_ingest(spark, sf):
     return store.ingest(items, stored).select("source_id", "pos", "url", "title", "outcome")
 
 
+def q_ingest_twice(spark, sf):
+    """A batch in which every item comes twice, and that batch again: of each item one counts, once."""
+    path = scratch_path(spark, "news")
+    items = _fetched_like(spark, sf)
+    twice = items.unionAll(items)
+    tables = []
+    for run in ("first", "again"):
+        table_ = store.News.now(spark, path)
+        outcomes = store.ingest(twice, table_)
+        store.append_news(store.as_news(outcomes, now()), path, table_)
+        tables.append(outcomes.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), "outcome", "n"))
+    stored = store.read_news(spark, path)
+    for column in ("ingest_seq", "url", "title"):
+        tables.append(stored.select(F.lit("stored").alias("run"), F.lit(column).alias("outcome"), column).distinct().groupBy("run", "outcome").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionAll, tables)
+
+
 def q_tally(spark, sf):
     items = _fetched_like(spark, sf)
     stored = items.where("source_id % 5 = 0 AND pos = 0").select("url", "title").distinct()
@@ -179,11 +210,11 @@ def q_digest_files(spark, sf):
 
 
 def q_read_digest(spark, sf):
-    """The files of one written digest, read whole and in order."""
+    """The files of every written digest, read whole and in order."""
     path = scratch_path(spark, "digests")
     rollup.write_digests(_digests(spark, sf, 100), path)
-    files = read_digest(spark, f"{path}/file=news_2024_01.md")
-    return files.agg(F.sum(F.length("markdown")).alias("chars"), F.min("part").alias("first_part"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "markdown"))), lambda pair: pair.markdown)
+    return read_digests(spark, path).groupBy("file").agg(F.md5(F.array_join(texts, "")).alias("markdown_md5"), F.min("part").alias("first_part"))
 
 
 def q_events_per_week(spark, sf):
@@ -412,6 +443,20 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7""",
         )
         + "\nSELECT seq, url, title FROM batch JOIN kept USING (n)",
     ),
+    "keep_first_chains": (
+        q_keep_first_chains,
+        """WITH RECURSIVE items AS (
+  SELECT o_orderkey * 7919 % 1000003 AS seq, 'u' || (o_orderkey - o_orderkey % 10) || '-' || (o_orderkey // 2) % 5 AS url,
+    't' || (o_orderkey - o_orderkey % 10) || '-' || (o_orderkey % 10 + 1) // 2 AS title, o_orderkey // 10 AS chain FROM orders),
+batch AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq) AS n FROM items),
+walk AS (
+  SELECT DISTINCT chain, 0::BIGINT AS n, []::VARCHAR[] AS urls, []::VARCHAR[] AS titles, FALSE AS stays, 0::BIGINT AS seq, '' AS url, '' AS title FROM items
+  UNION ALL
+  SELECT chain, n, CASE WHEN free THEN list_append(urls, url) ELSE urls END, CASE WHEN free THEN list_append(titles, title) ELSE titles END, free, seq, url, title
+  FROM (SELECT b.*, w.urls, w.titles, NOT list_contains(w.urls, b.url) AND NOT list_contains(w.titles, b.title) AS free
+        FROM walk w JOIN batch b ON b.chain = w.chain AND b.n = w.n + 1))
+SELECT seq, url, title FROM walk WHERE stays""",
+    ),
     "fill_summaries": (
         q_fill_summaries,
         with_tables(
@@ -421,6 +466,15 @@ FROM news LEFT JOIN labels ON doc_id = ingest_seq""",
         ),
     ),
     "ingest": (q_ingest, OUTCOMES_SQL + "SELECT * FROM outcomes"),
+    "ingest_twice": (
+        q_ingest_twice,
+        kept_in_order("SELECT row_number() OVER (ORDER BY source_id, pos) AS n, * FROM items WHERE content <> ''", TABLES["links"] + "," + ITEMS_SQL)
+        + """,
+counts AS (SELECT (SELECT count(*) FROM kept) AS kept, count(*) FILTER (content <> '') AS filled, count(*) FILTER (content = '') AS bare FROM items)
+SELECT 'first' AS run, 'inserted' AS outcome, kept AS n FROM counts UNION ALL SELECT 'first', 'duplicate', 2 * filled - kept FROM counts
+UNION ALL SELECT 'first', 'no_content', 2 * bare FROM counts UNION ALL SELECT 'again', 'duplicate', 2 * filled FROM counts UNION ALL SELECT 'again', 'no_content', 2 * bare FROM counts
+UNION ALL SELECT 'stored', unnest(['ingest_seq', 'url', 'title']), kept FROM counts""",
+    ),
     "tally": (
         q_tally,
         OUTCOMES_SQL
@@ -464,7 +518,8 @@ GROUP BY file""",
             then=","
             + WEEK_SQL.format(size=100)
             + """
-SELECT sum(length(markdown) + CASE WHEN part = 0 THEN 0 ELSE 1 END)::BIGINT AS chars, 0 AS first_part FROM digests WHERE iso_year = 2024 AND iso_week = 1""",
+SELECT printf('news_%04d_%02d.md', iso_year, iso_week) AS file, md5(string_agg(markdown, chr(10) ORDER BY part)) AS markdown_md5, 0 AS first_part
+FROM digests GROUP BY iso_year, iso_week""",
         ),
     ),
     "events_per_week": (

@@ -58,8 +58,7 @@ def analyze(
     rows = collected_between(read_news(spark, news_path), start, end)
     if not skip_summaries:
         summaries = cut_lineage(new_summaries(rows, summarizer, responses))
-        # Rows are read before their files are replaced.
-        rows = cut_lineage(fill_summaries(rows, summaries))
+        rows = fill_summaries(rows, summaries)
         update_summaries(spark, news_path, summaries, (start, end))
     label = {"iso_year": times.iso_year(moment), "iso_week": times.iso_week(moment)}
     heads = digest_heads(spark.range(1).withColumns(label), F.date_format(moment, "yyyy-MM-dd"), days, **layout)

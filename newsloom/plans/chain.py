@@ -9,9 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.plans.analyze import analyze
-from newsloom.plans.collect import collect
+from newsloom.plans.collect import collect_and_report
 from newsloom.plans.publish import label_now, publish
-from newsloom.sources.digests import read_digest
+from newsloom.sources.digests import DIGEST_FOLDER, choose_digest, current_digest, read_digest
 
 STAGES = ("collector", "analyzer", "blogger")
 
@@ -38,23 +38,25 @@ def run(
     news_path: str,
     inputs: Mapping[str, Any],
     digest_path: str | None = None,
+    digest_setting: str | None = None,
+    digest_folder: str = DIGEST_FOLDER,
 ) -> dict[str, DataFrame]:
     """Run stages in their order; ``inputs`` holds the arguments of each stage by its name.
 
-    A digest path takes precedence over the digest that the analyzer hands on.
+    The blogger takes the digest of ``digest_path`` if that is given, else the one that the analyzer hands on, else that of the setting,
+    else the file of the current week in ``digest_folder``. The collector gives its outcomes and the sources that were silent.
     """
     check_stages(stages)
     results: dict[str, DataFrame] = {}
     if "collector" in stages:
-        results["outcomes"] = collect(spark, news_path=news_path, now=now, **inputs["collector"])
+        results["outcomes"], results["silent"] = collect_and_report(spark, news_path=news_path, now=now, **inputs["collector"])
     if "analyzer" in stages:
         results["digest"] = analyze(spark, news_path, now, **inputs.get("analyzer", {}))
     if "blogger" in stages:
-        if digest_path:
-            parts = label_now(read_digest(spark, digest_path), now)
-        elif "digest" in results:
+        if "digest" in results and not digest_path:
             parts = results["digest"]
         else:
-            raise ValueError("the blogger needs a digest path when it runs alone")
+            path = choose_digest(digest_path, digest_setting, current_digest(digest_folder, now))
+            parts = label_now(read_digest(spark, path), now)
         results["posts"] = publish(spark, parts, now=now, **inputs["blogger"])
     return results

@@ -42,3 +42,10 @@ def cut_lineage_measured(df: DataFrame, *measures: Column) -> tuple[DataFrame, t
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for a staged table in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder as a table and read from there: lineage ends, and readers take the columns they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,10 @@ from newsloom.functions.text import is_filled
 from newsloom.operators.filters import is_extracted
 from newsloom.operators.merge import with_body
 from newsloom.operators.skew import spread_join
+from newsloom.sources.capture_log import CaptureLog
+
+#: Hot article keys, where the caller has counted them.
+Hot = dict[int, int] | None
 
 SELECTORS = ("title_selector", "date_selector", "content_selector")
 #: What is read from which page: selectors may be null, ``rendered`` tells which kind of capture to read.
@@ -25,25 +29,26 @@ def article_key() -> Column:
     return F.to_json(F.struct(*WANTED)).alias("article_key")
 
 
-def read_articles(wanted: DataFrame, captures: DataFrame) -> DataFrame:
-    """(article_key, article): each wanted page parsed once, however many links lead to it."""
+def read_articles(wanted: DataFrame, captures: DataFrame | CaptureLog) -> DataFrame:
+    """(article_key, article, readable): each wanted page parsed once, however many links lead to it. One with a title and content is readable."""
     bodies = with_body(wanted.select(*WANTED).distinct(), captures)
     article = read_article(F.col("body"), *(F.col(name) for name in SELECTORS), F.col("rendered"))
-    return bodies.select(article_key(), once(article).alias("article"))
+    read = bodies.select(article_key(), once(article).alias("article"))
+    return read.withColumn("readable", is_extracted(F.col("article.title"), F.col("article.content")))
 
 
-def with_article(links: DataFrame, articles: DataFrame) -> DataFrame:
-    """Those of the links (source_id, pos, and what is wanted) whose article has a title and content."""
-    good = articles.where(is_extracted(F.col("article.title"), F.col("article.content"))).select("article_key")
+def with_article(links: DataFrame, articles: DataFrame, hot: Hot = None) -> DataFrame:
+    """Those of the links (source_id, pos, and what is wanted) that lead to a readable article. No content is read for this."""
+    good = articles.where("readable").select("article_key")
     keyed = links.withColumn("article_key", article_key())
-    return spread_join(keyed, good, ["article_key"], "left_semi", ["source_id", "pos"]).select(*links.columns)
+    return spread_join(keyed, good, ["article_key"], "left_semi", ["source_id", "pos"], hot=hot).select(*links.columns)
 
 
-def article_items(links: DataFrame, articles: DataFrame) -> DataFrame:
+def article_items(links: DataFrame, articles: DataFrame, hot: Hot = None) -> DataFrame:
     """Items of links with their article."""
-    good = articles.where(is_extracted(F.col("article.title"), F.col("article.content")))
+    good = articles.where("readable").select("article_key", "article")
     keyed = links.select("source_id", "pos", "url", article_key())
-    joined = spread_join(keyed, good, ["article_key"], "inner", ["source_id", "pos"])
+    joined = spread_join(keyed, good, ["article_key"], "inner", ["source_id", "pos"], hot=hot)
     date = F.nullif(F.col("article.date_text"), F.lit("")).alias("published_date")
     return joined.select("source_id", "pos", "url", "article.title", date, "article.content")
 
@@ -61,14 +66,15 @@ def wanted_texts(entries: DataFrame) -> DataFrame:
     )
 
 
-def with_full_text(entries: DataFrame, articles: DataFrame) -> DataFrame:
+def with_full_text(entries: DataFrame, articles: DataFrame, hot: Hot = None) -> DataFrame:
     """Entries with the text of their article as ``full_text``, null or empty where there is none."""
     keyed = wanted_texts(entries).withColumn("article_key", article_key()).select(*entries.columns, "article_key")
-    joined = spread_join(keyed, articles, ["article_key"], "left", ["source_id", "pos"])
-    return joined.withColumn("full_text", F.col("article.content")).select(*entries.columns, "full_text")
+    texts = articles.select("article_key", F.col("article.content").alias("full_text"))
+    joined = spread_join(keyed, texts, ["article_key"], "left", ["source_id", "pos"], hot=hot)
+    return joined.select(*entries.columns, "full_text")
 
 
-def full_texts(urls: DataFrame, captures: DataFrame) -> DataFrame:
+def full_texts(urls: DataFrame, captures: DataFrame | CaptureLog) -> DataFrame:
     """Full text of each captured url: (url, text)."""
     wanted = wanted_texts(urls.select("url").distinct()).withColumn("article_key", article_key())
     read = wanted.join(read_articles(wanted, captures), "article_key").select("url", F.col("article.content").alias("text"))

@@ -130,9 +130,9 @@ def titled_entries(opened: DataFrame, now: Column, lookback_days: int, limit: in
     return first_per_group(titled, limit, ["source_id"], ["pos"])
 
 
-def feed_items(entries: DataFrame, articles: DataFrame) -> DataFrame:
+def feed_items(entries: DataFrame, articles: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
     """Items of feed entries. The article behind a link replaces the text of the feed where it was captured."""
-    joined = with_full_text(entries, articles)
+    joined = with_full_text(entries, articles, hot)
     # Feed text is only parsed where it is needed.
     own = html_text(F.when(~is_filled(F.col("full_text")), F.col("html")))
     return joined.select(

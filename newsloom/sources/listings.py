@@ -10,11 +10,7 @@ from newsloom.functions.html import select_links
 from newsloom.functions.urls import join_url
 from newsloom.operators.caps import first_per_group
 from newsloom.operators.filters import has_href, is_not_source
-from newsloom.operators.skew import hot_keys, spread_join
-from newsloom.session import cut_lineage
-from newsloom.sources.articles import (
-    CONTENT_SELECTOR, TITLE_SELECTOR, WANTED, article_items, article_key, read_articles, with_article,
-)
+from newsloom.sources.articles import CONTENT_SELECTOR, TITLE_SELECTOR, WANTED, article_items, with_article
 
 
 def links_of(opened: DataFrame, kind: str) -> DataFrame:
@@ -45,24 +41,10 @@ def first_links(links: DataFrame, limit: int) -> DataFrame:
     return first_per_group(links, limit, ["source_id"], ["pos"])
 
 
-def full_listings(links: DataFrame, captures: DataFrame, limit: int, tried: DataFrame, articles: DataFrame) -> DataFrame:
+def full_listings(links: DataFrame, articles: DataFrame, limit: int, hot: dict[int, int] | None = None) -> DataFrame:
     """Items of plain listings. The cap counts articles, so later links make up for those that give none.
 
-    ``articles`` holds those of the links ``tried`` so far. Listings that are not full get more of their links tried,
-    in growing steps, until they are full or have none left; so long listings are not read to their end, and no
-    article is read twice. Contents are joined when the links are known.
+    ``articles`` holds all that the links lead to. The cut is made on narrow links that lead to a readable article; only those before it
+    get their contents.
     """
-    found, step = cut_lineage(with_article(tried, articles)), limit
-    rest = links
-    while True:
-        full = found.groupBy("source_id").count().where(F.col("count") >= limit).select("source_id")
-        untried = rest.join(tried.select("source_id", "pos"), ["source_id", "pos"], "left_anti")
-        hot = hot_keys(rest, ["source_id"])
-        rest = cut_lineage(spread_join(untried, full, ["source_id"], "left_anti", ["source_id", "pos"], hot=hot))
-        if rest.isEmpty():
-            return article_items(first_links(found, limit), articles)
-        step *= 2
-        tried = cut_lineage(first_links(rest.select(*links.columns), step))
-        unread = tried.withColumn("article_key", article_key()).join(articles.select("article_key"), "article_key", "left_anti")
-        articles = articles.unionByName(cut_lineage(read_articles(unread, captures)))
-        found = cut_lineage(found.unionByName(with_article(tried, articles)))
+    return article_items(first_links(with_article(links, articles, hot), limit), articles, hot)

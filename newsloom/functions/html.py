@@ -1,8 +1,8 @@
-"""Reading HTML captures: one small tokenizer behind Arrow UDFs.
+"""Reading HTML captures: an Arrow UDF takes markup apart, Spark expressions find and pick elements.
 
-Parsing markup is the one step that Spark expressions cannot express (entities, unclosed elements, selectors). The
-UDFs are scalar, so that Catalyst moves filters and column pruning below them, and each takes a whole body and gives
-back a narrow struct.
+Taking markup apart is the one step that Spark expressions cannot express (entities, unclosed elements). The UDF is scalar, so that Catalyst moves
+filters and column pruning below it, and gives the text of a page with the elements that lie in it. Selectors are parsed and matched, and links, titles,
+dates, contents and marks picked, by higher-order functions over those elements.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.pandas.types import to_arrow_type
+
+from newsloom.functions.binding import let
 
 # Executors get this module with the UDFs, so that they need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,10 +47,6 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
-BETWEEN = re.compile(r"\s*([>,])\s*|\s+")
-SIMPLE = re.compile(
-    r"([A-Za-z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*)?\]"
-)
 
 
 def events(body: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -81,280 +80,274 @@ def events(body: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         yield "text", unescape(body[at:]), {}
 
 
-Element = tuple[str, dict[str, str]]
-Compound = list[tuple[str, str, str, str]]
-
-
-def compile_selector(selector: str) -> list[list[tuple[str, Compound]]]:
-    """Alternatives, each a list of ``(combinator, tests)``. Types, classes, ids, attributes, descendants, children."""
-    alternatives: list[list[tuple[str, Compound]]] = [[(" ", [])]]
-    at, selector = 0, selector.strip()
-    while at < len(selector):
-        found = BETWEEN.match(selector, at)
-        if found:
-            sign = found.group(1) or " "
-            if sign == ",":
-                alternatives.append([(" ", [])])
-            else:
-                alternatives[-1].append((sign, []))
-            at = found.end()
-            continue
-        found = SIMPLE.match(selector, at)
-        if not found:
-            break
-        tag, css_class, css_id, attribute, relation, *values = found.groups()
-        tests = alternatives[-1][-1][1]
-        if tag:
-            tests.append(("tag", tag.lower(), "", ""))
-        elif css_class:
-            tests.append(("attr", "class", "~=", css_class))
-        elif css_id:
-            tests.append(("attr", "id", "=", css_id))
-        else:
-            tests.append(("attr", attribute.lower(), relation or "", next((v for v in values if v is not None), "")))
-        at = found.end()
-    if at < len(selector) or not all(tests for steps in alternatives for _, tests in steps):
-        raise ValueError(f"unsupported selector: {selector!r}")
-    return alternatives
-
-
-RELATIONS = {
-    "": lambda have, want: True,
-    "=": lambda have, want: have == want,
-    "~=": lambda have, want: want in have.split(),
-    "^=": lambda have, want: bool(want) and have.startswith(want),
-    "$=": lambda have, want: bool(want) and have.endswith(want),
-    "*=": lambda have, want: bool(want) and want in have,
-    "|=": lambda have, want: have == want or have.startswith(want + "-"),
-}
-
-
-def _passes(element: Element, tests: Compound) -> bool:
-    name, attributes = element
-    for kind, key, relation, want in tests:
-        if kind == "tag":
-            if key not in ("*", name):
-                return False
-        elif key not in attributes or not RELATIONS[relation](attributes[key], want):
-            return False
-    return True
-
-
-class Chain:
-    """The steps of one selector, and which of them each open element satisfies: as bits, for the element and for all above it.
-
-    The bits of an element are found once while it is open, when they are first asked for; so a page takes linear time.
-    """
-
-    __slots__ = ("steps", "bits")
-
-    def __init__(self, steps: list[tuple[str, Compound]]):
-        self.steps, self.bits = steps, []
+class Text:
+    """Text with its white space collapsed as it comes."""
 
-    def fits(self, path: list[Element]) -> bool:
-        """Does the innermost open element match the selector?"""
-        combinator, tests = self.steps[-1]
-        if not _passes(path[-1], tests):
-            return False
-        if len(self.steps) == 1:
-            return True
-        for depth in range(len(self.bits), len(path) - 1):
-            parent, higher = self.bits[-1] if self.bits else (0, 0)
-            higher |= parent
-            own = 0
-            for step, (sign, needed) in enumerate(self.steps[:-1]):
-                before = step == 0 or (parent if sign == ">" else higher) >> (step - 1) & 1
-                if before and _passes(path[depth], needed):
-                    own |= 1 << step
-            self.bits.append((own, higher))
-        parent, higher = self.bits[-1] if self.bits else (0, 0)
-        return bool((parent if combinator == ">" else parent | higher) >> (len(self.steps) - 2) & 1)
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.length = 0
+        self.spaced = True
 
+    def add(self, piece: str) -> None:
+        words = " ".join(piece.split())
+        if words and not self.spaced and piece[0].isspace():
+            words = f" {words}"
+        if (piece[-1:].isspace() if words else piece and not self.spaced):
+            words += " "
+        if words:
+            self.parts.append(words)
+            self.length += len(words)
+            self.spaced = words[-1] == " "
 
-class Match:
-    """A matched element; its text is a run of the pieces of text of the document."""
 
-    __slots__ = ("attributes", "depth", "pieces", "start", "end")
+#: An open element: where it is in the list of all, its name, and whether its text is read.
+Elements = list[list]
 
-    def __init__(self, attributes: dict[str, str], depth: int, pieces: list[str]):
-        self.attributes, self.depth, self.pieces, self.start, self.end = attributes, depth, pieces, len(pieces), None
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.pieces[self.start : self.end]).split())
-
-
-COMPILED: dict[str, list[list[tuple[str, Compound]]]] = {}
-
-
-def compiled_selector(selector: str) -> list[list[tuple[str, Compound]]]:
-    """The compiled selector, remembered for the next rows; registries may name many, so not for ever."""
-    if selector not in COMPILED:
-        if len(COMPILED) >= 10_000:
-            COMPILED.clear()
-        COMPILED[selector] = compile_selector(selector)
-    return COMPILED[selector]
-
-
-def find(body: str, wanted: dict[str, tuple[str, bool]], rendered: bool = False) -> tuple[dict[str, list[Match]], str]:
-    """Matches per ``wanted`` selector (``(selector, first only)``) and the text of the whole document.
+def read_page(body: str, rendered: bool = False) -> tuple[str, Elements]:
+    """The text of a page, and its elements in document order: name, attributes, parent, last element inside, and where its text begins and ends.
 
     A captured document separates text at every tag; a rendered one only where a block or line begins, and it shows
     no text of its head.
     """
-    found: dict[str, list[Match]] = {key: [] for key in wanted}
-    # Selectors by the element name they end in, None for any.
-    ending: dict[str | None, list[tuple[str, bool, Chain]]] = {}
-    chains: list[Chain] = []
-    for key, (selector, first) in wanted.items():
-        for steps in compiled_selector(selector):
-            tags = [name for kind, name, _, _ in steps[-1][1] if kind == "tag" and name != "*"]
-            ending.setdefault(tags[0] if tags else None, []).append((key, first, Chain(steps)))
-            if len(steps) > 1:
-                chains.append(ending[tags[0] if tags else None][-1][2])
-    for_any = ending.pop(None, [])
-
     unread = UNSEEN if rendered else HIDDEN
-    pieces: list[str] = []
-    path: list[Element] = []
+    text, elements = Text(), []
+    path: list[int] = []
     names: dict[str, int] = {}
-    open_matches: list[Match] = []
     muted = 0
 
     def leave(depth: int) -> None:
         nonlocal muted
         while len(path) > depth:
-            name = path.pop()[0]
-            names[name] -= 1
-            muted -= name in unread
-        for chain in chains:
-            del chain.bits[depth:]
-        while open_matches and open_matches[-1].depth >= depth:
-            open_matches.pop().end = len(pieces)
+            element = elements[path.pop()]
+            names[element[0]] -= 1
+            muted -= element[0] in unread
+            element[3], element[5] = len(elements) - 1, text.length
 
     for kind, value, attributes in events(body):
         if kind == "text":
             if not muted:
-                pieces.append(value)
+                text.add(value)
             continue
         if not rendered or (kind != "gap" and value not in INLINE):
-            pieces.append(" ")
+            text.add(" ")
         if kind == "open":
             if value in CLOSES_PARAGRAPH or value in SIBLINGS:
                 ends = SIBLINGS.get(value, PARAGRAPH)
                 for depth in range(len(path) - 1, -1, -1) if any(names.get(name) for name in ends) else ():
-                    if path[depth][0] in ends:
+                    name = elements[path[depth]][0]
+                    if name in ends:
                         leave(depth)
                         break
-                    if path[depth][0] in BARRIERS:
+                    if name in BARRIERS:
                         break
-            path.append((value, attributes))
+            elements.append([value, attributes, path[-1] if path else -1, 0, text.length, 0])
+            path.append(len(elements) - 1)
             names[value] = names.get(value, 0) + 1
             muted += value in unread
-            if for_any or value in ending:
-                for key, first, chain in (*ending.get(value, ()), *for_any):
-                    matches = found[key]
-                    if matches and (first or (matches[-1].end is None and matches[-1].depth == len(path) - 1)):
-                        continue
-                    if chain.fits(path):
-                        matches.append(Match(attributes, len(path) - 1, pieces))
-                        open_matches.append(matches[-1])
             if value in VOID:
                 leave(len(path) - 1)
         elif kind == "close" and names.get(value):
             for depth in range(len(path) - 1, -1, -1):
-                if path[depth][0] == value:
+                name = elements[path[depth]][0]
+                if name == value:
                     leave(depth)
                     break
                 # An inline end tag does not close the blocks around it.
-                if value in INLINE and path[depth][0] in BARRIERS:
+                if value in INLINE and name in BARRIERS:
                     break
-    return found, " ".join("".join(pieces).split())
+    leave(0)
+    return "".join(text.parts), elements
+
+
+_INTS = ("parent", "last", "start", "end")
+ELEMENT = T.StructType().add("tag", T.StringType()).add("attributes", T.MapType(T.StringType(), T.StringType()))
+for _name in _INTS:
+    ELEMENT = ELEMENT.add(_name, T.IntegerType())
+PAGE = T.StructType().add("text", T.StringType()).add("elements", T.ArrayType(ELEMENT))
+
+
+def _page_array(pages: list[tuple[str, Elements] | None]) -> pa.Array:
+    """Pages as one Arrow array, put together by column."""
+    flat = [element for page in pages if page for element in page[1]]
+    attributes = [element[1] for element in flat]
+    bounds, total = [0], 0
+    for given in attributes:
+        total += len(given)
+        bounds.append(total)
+    pairs = [pair for given in attributes for pair in given.items()]
+    maps = pa.MapArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    columns = [pa.array([element[0] for element in flat], pa.string()), maps, *(pa.array([element[i] for element in flat], pa.int32()) for i in range(2, 6))]
+    struct = pa.StructArray.from_arrays(columns, names=["tag", "attributes", *_INTS])
+    bounds, total = [0], 0
+    for page in pages:
+        total += len(page[1]) if page else 0
+        bounds.append(total)
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)
+    texts = pa.array([page[0] if page else None for page in pages], pa.string())
+    return pa.StructArray.from_arrays([texts, lists], names=["text", "elements"], mask=pa.array([page is None for page in pages]))
+
+
+@arrow_udf(PAGE)
+def page_of(body: pa.Array, rendered: pa.Array) -> pa.Array:
+    """A page as ``struct<text, elements>``; null for a null body."""
+    return _page_array([None if text is None else read_page(text, bool(drawn)) for text, drawn in zip(body.to_pylist(), rendered.to_pylist())])
 
 
-LINK_TYPE = T.StructType(
-    [
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("href", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("classes", T.ArrayType(T.StringType())),
-    ]
-)
-LINKS_TYPE = T.ArrayType(LINK_TYPE)
-ARTICLE_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in ("title", "date_text", "content")])
-PROFILE_TYPE = T.StructType([T.StructField("links", LINKS_TYPE), T.StructField("marks", T.ArrayType(T.StringType()))])
-LINKS, ARTICLE, PROFILE = (to_arrow_type(t) for t in (LINKS_TYPE, ARTICLE_TYPE, PROFILE_TYPE))
+@arrow_udf(T.StringType())
+def html_text(body: pa.Array) -> pa.Array:
+    """Text of a fragment or document, collapsed."""
+    return pa.array([None if text is None else read_page(text)[0].strip() for text in body.to_pylist()], type=pa.string())
 
-# What marks the date of a page, in order of preference.
-DATE_MARKS = ("time", ".date", ".published", ".timestamp")
-MARKS = ("h1", *DATE_MARKS, "article", "main")
 
+# Selectors: types, classes, ids and attributes of an element, and of its parent or those around it; alternatives.
+_VALUE = """(?:"([^"]*)"|'([^']*)'|([^\\]\\s]+))"""
+_ATTRIBUTE = f"\\[\\s*([\\w-]+)\\s*(?:([~^$*|]?=)\\s*{_VALUE}\\s*)?\\]"
+_SELECTOR = f"(?U)\\s*[>,]\\s*|\\s+|[A-Za-z][\\w-]*|\\*|[.#][\\w-]+|{_ATTRIBUTE}"
+
+TEST = "struct<relation: string, key: string, value: string>"
+STEP = f"struct<alternative: int, sign: string, tests: array<{TEST}>>"
+
+
+def _test(token: Column) -> Column:
+    """One test of an element: how the value of an attribute, or its name, relates to a value."""
+    parts = [F.regexp_extract(token, f"(?U)^{_ATTRIBUTE}$", group) for group in range(1, 6)]
+
+    def test(relation: Column, key: Column, value: Column) -> Column:
+        return F.struct(relation.alias("relation"), key.alias("key"), value.alias("value"))
+
+    return (
+        F.when(token.startswith("."), test(F.lit("~="), F.lit("class"), F.substring(token, 2, 2**31 - 1)))
+        .when(token.startswith("#"), test(F.lit("="), F.lit("id"), F.substring(token, 2, 2**31 - 1)))
+        .when(token.startswith("["), test(parts[1], F.lower(parts[0]), F.concat(*parts[2:])))
+        .otherwise(test(F.lit("tag"), F.lit(""), F.lower(token)))
+    )
+
+
+def selector_steps(selector: Column) -> Column:
+    """A selector as its steps from the outermost one on, with the number of the alternative that each is of; null if it is not supported."""
+    nothing = F.array().cast(f"array<{TEST}>")
+
+    def step(alternative: Column, sign: Column, tests: Column) -> Column:
+        return F.struct(alternative.cast("int").alias("alternative"), sign.alias("sign"), tests.alias("tests"))
+
+    def take(steps: Column, token: Column) -> Column:
+        last, sign = F.element_at(steps, -1), F.trim(F.regexp_replace(token, r"(?U)\s+", " "))
+        further = step(last["alternative"] + (sign == ",").cast("int"), F.when(sign == ">", ">").otherwise(" "), nothing)
+        same = step(last["alternative"], last["sign"], F.concat(last["tests"], F.array(_test(token))))
+        return F.when(sign.isin("", ">", ","), F.concat(steps, F.array(further))).otherwise(F.concat(F.slice(steps, 1, F.size(steps) - 1), F.array(same)))
+
+    bare = F.regexp_replace(selector, r"(?U)^\s+|\s+$", "")
+    tokens = F.regexp_extract_all(bare, F.lit(_SELECTOR), F.lit(0))
+    steps = F.aggregate(tokens, F.array(step(F.lit(0), F.lit(" "), nothing)), take)
+    whole = (F.array_join(tokens, "") == bare) & F.forall(steps, lambda s: F.size(s["tests"]) > 0)
+    return F.when(whole, steps)
 
-def _links(matches: list[Match]) -> list[dict]:
-    return [
-        {"pos": pos, "href": m.attributes.get("href"), "text": m.text, "classes": m.attributes.get("class", "").split()}
-        for pos, m in enumerate(matches)
-    ]
 
+def _passes(element: Column, test: Column) -> Column:
+    have, value, relation = F.try_element_at(element["attributes"], test["key"]), test["value"], test["relation"]
+    related = (
+        F.when(relation == "", True)
+        .when(relation == "=", have == value)
+        .when(relation == "~=", F.array_contains(F.split(have, r"(?U)\s+"), value) & (value != ""))
+        .when(relation == "|=", (have == value) | have.startswith(F.concat(value, F.lit("-"))))
+        .when(value == "", False)
+        .when(relation == "^=", have.startswith(value))
+        .when(relation == "$=", have.endswith(value))
+        .otherwise(F.contains(have, value))
+    )
+    return F.when(relation == "tag", (value == "*") | (element["tag"] == value)).otherwise(have.isNotNull() & related)
 
-@arrow_udf(LINKS_TYPE)
-def select_links(body: pa.Array, selector: pa.Array) -> pa.Array:
-    """Elements of a page that match a selector, in document order."""
-    out = []
-    for text, css in zip(body.to_pylist(), selector.to_pylist()):
-        out.append(None if text is None or not css else _links(find(text, {"link": (css, False)})[0]["link"]))
-    return pa.array(out, type=LINKS)
 
+def _matched(elements: Column, steps: Column) -> Column:
+    """Places of the elements that match the steps of one alternative.
 
-@arrow_udf(ARTICLE_TYPE)
-def read_article(
-    body: pa.Array, title_selector: pa.Array, date_selector: pa.Array, content_selector: pa.Array, rendered: pa.Array
-) -> pa.Array:
+    What a step has found are stretches of the page: an element and what lies in it. The next one looks in them, for children of their first element or
+    for anything. Stretches in others say nothing new for the latter, so they are left out: the search ends at the first one that begins
+    behind the element.
+    """
+    everything = F.array(F.struct(F.lit(-1).alias("first"), F.lit(2**31 - 1).alias("last")))
+
+    def within(found: Column, place: Column, element: Column, sign: Column) -> Column:
+        parent = F.exists(found, lambda f: f["first"] == element["parent"])
+        around = F.exists(found, lambda f: (f["first"] < place) & (place <= f["last"]))
+        return F.when(sign == ">", parent).otherwise(around)
+
+    def take(found: Column, step: Column) -> Column:
+        stretches = F.transform(elements, lambda e, i: F.struct(i.alias("first"), e["last"].alias("last")))
+
+        def fits(stretch: Column) -> Column:
+            return let(F.element_at(elements, stretch["first"] + 1), lambda e: F.forall(step["tests"], lambda t: _passes(e, t)) & within(found, stretch["first"], e, step["sign"]))
+
+        return F.filter(stretches, fits)
+
+    return F.transform(F.aggregate(steps, everything, take), lambda f: f["first"])
+
+
+def matching(page: Column, selector: Column) -> Column:
+    """Places (from 0) of the elements of a page that match a selector, in document order; null without a page or selector."""
+
+    def places(steps: Column) -> Column:
+        alternatives = F.array_distinct(F.transform(steps, lambda s: s["alternative"]))
+        found = F.transform(alternatives, lambda a: _matched(page["elements"], F.filter(steps, lambda s: s["alternative"] == a)))
+        return F.array_sort(F.array_distinct(F.flatten(found)))
+
+    refused = F.raise_error(F.concat(F.lit("unsupported selector: "), selector)).cast("array<int>")
+    known = let(selector_steps(selector), lambda steps: F.when(steps.isNull(), refused).otherwise(places(steps)))
+    return F.when(page.isNotNull() & (selector != ""), known)
+
+
+def element_text(page: Column, place: Column) -> Column:
+    """The text of an element, without the text around it."""
+    element = F.get(page["elements"], place)
+    return F.trim(F.substring(page["text"], element["start"] + 1, element["end"] - element["start"]))
+
+
+def first_text(page: Column, selector: Column) -> Column:
+    """The text of the first element that matches; null if none does."""
+    return element_text(page, F.get(matching(page, selector), F.lit(0)))
+
+
+def _links(page: Column, places: Column) -> Column:
+    def link(place: Column, pos: Column) -> Column:
+        given = F.get(page["elements"], place)["attributes"]
+        classes = F.filter(F.split(F.coalesce(F.try_element_at(given, F.lit("class")), F.lit("")), r"(?U)\s+"), lambda name: name != "")
+        return F.struct(pos.alias("pos"), F.try_element_at(given, F.lit("href")).alias("href"), element_text(page, place).alias("text"), classes.alias("classes"))
+
+    return F.transform(places, link)
+
+
+def select_links(body: Column, selector: Column) -> Column:
+    """Elements of a page that match a selector, in document order: ``array<struct<pos, href, text, classes>>``."""
+    return let(page_of(body, F.lit(False)), lambda page: _links(page, matching(page, selector)))
+
+
+def read_article(body: Column, title_selector: Column, date_selector: Column, content_selector: Column, rendered: Column) -> Column:
     """Title, date text and content of an article page; the content falls back to the whole document."""
-    out = []
-    columns = (body, title_selector, date_selector, content_selector, rendered)
-    for text, title, date, content, drawn in zip(*(column.to_pylist() for column in columns)):
-        if text is None:
-            out.append(None)
-            continue
-        selectors = {"title": title, "date_text": date, "content": content}
-        found, whole = find(text, {key: (css, True) for key, css in selectors.items() if css}, bool(drawn))
-        row = {key: found[key][0].text if found.get(key) else None for key in selectors}
-        if row["content"] is None:
-            row["content"] = whole
-        out.append(row)
-    return pa.array(out, type=ARTICLE)
 
+    def picked(page: Column) -> Column:
+        content = F.coalesce(first_text(page, content_selector), F.trim(page["text"]))
+        article = F.struct(first_text(page, title_selector).alias("title"), first_text(page, date_selector).alias("date_text"), content.alias("content"))
+        return F.when(page.isNotNull(), article)
 
-@arrow_udf(T.StringType())
-def bad_selector(selectors: pa.Array) -> pa.Array:
+    return let(page_of(body, rendered), picked)
+
+
+def bad_selector(selectors: Column) -> Column:
     """The first of an array of selectors that is not supported; null when all are."""
+    return F.get(F.filter(selectors, lambda s: (s != "") & selector_steps(s).isNull()), F.lit(0))
 
-    def supported(selector: str) -> bool:
-        try:
-            compiled_selector(selector)
-        except ValueError:
-            return False
-        return True
 
-    return pa.array([next((s for s in some or () if s and not supported(s)), None) for some in selectors.to_pylist()], type=pa.string())
+# What marks the date of a page, in order of preference.
+DATE_MARKS = ("time", ".date", ".published", ".timestamp")
+MARKS = ("h1", *DATE_MARKS, "article", "main")
 
 
-@arrow_udf(T.StringType())
-def html_text(body: pa.Array) -> pa.Array:
-    """Text of a fragment or document, collapsed."""
-    return pa.array([None if text is None else find(text, {})[1] for text in body.to_pylist()], type=pa.string())
+def profile_page(body: Column) -> Column:
+    """Anchors of a page, and which of the telling elements it has: ``struct<links, marks>``."""
 
+    def profile(page: Column) -> Column:
+        marks = F.filter(F.array(*map(F.lit, MARKS)), lambda mark: F.size(matching(page, mark)) > 0)
+        return F.when(page.isNotNull(), F.struct(_links(page, matching(page, F.lit("a[href]"))).alias("links"), marks.alias("marks")))
 
-@arrow_udf(PROFILE_TYPE)
-def profile_page(body: pa.Array) -> pa.Array:
-    """Anchors of a page, and which of the telling elements it has."""
-    wanted = {"link": ("a[href]", False), **{mark: (mark, True) for mark in MARKS}}
-    out = []
-    for text in body.to_pylist():
-        if text is None:
-            out.append(None)
-            continue
-        found, _ = find(text, wanted)
-        out.append({"links": _links(found["link"]), "marks": [mark for mark in MARKS if found[mark]]})
-    return pa.array(out, type=PROFILE)
+    return let(page_of(body, F.lit(False)), profile)

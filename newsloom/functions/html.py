@@ -237,11 +237,14 @@ def selector_steps(selector: Column) -> Column:
         same = step(last["alternative"], last["sign"], F.concat(last["tests"], F.array(_test(token))))
         return F.when(sign.isin("", ">", ","), F.concat(steps, F.array(further))).otherwise(F.concat(F.slice(steps, 1, F.size(steps) - 1), F.array(same)))
 
+    def whole(tokens: Column, bare: Column) -> Column:
+        steps = F.aggregate(tokens, F.array(step(F.lit(0), F.lit(" "), nothing)), take)
+        return F.when(F.array_join(tokens, "") == bare, let(steps, lambda made: F.when(F.forall(made, lambda s: F.size(s["tests"]) > 0), made)))
+
     bare = F.regexp_replace(selector, r"(?U)^\s+|\s+$", "")
-    tokens = F.regexp_extract_all(bare, F.lit(_SELECTOR), F.lit(0))
-    steps = F.aggregate(tokens, F.array(step(F.lit(0), F.lit(" "), nothing)), take)
-    whole = (F.array_join(tokens, "") == bare) & F.forall(steps, lambda s: F.size(s["tests"]) > 0)
-    return F.when(whole, steps)
+    parsed = let(bare, lambda text: let(F.regexp_extract_all(text, F.lit(_SELECTOR), F.lit(0)), lambda tokens: whole(tokens, text)))
+    # Most selectors are the name of an element.
+    return F.when(selector.rlike("^[A-Za-z][A-Za-z0-9]*$"), F.array(step(F.lit(0), F.lit(" "), F.array(_test(selector))))).otherwise(parsed)
 
 
 def _passes(element: Column, test: Column) -> Column:
@@ -274,12 +277,11 @@ def _matched(elements: Column, steps: Column) -> Column:
         return F.when(sign == ">", parent).otherwise(around)
 
     def take(found: Column, step: Column) -> Column:
-        stretches = F.transform(elements, lambda e, i: F.struct(i.alias("first"), e["last"].alias("last")))
-
-        def fits(stretch: Column) -> Column:
-            return let(F.element_at(elements, stretch["first"] + 1), lambda e: F.forall(step["tests"], lambda t: _passes(e, t)) & within(found, stretch["first"], e, step["sign"]))
+        def stretch(element: Column, place: Column) -> Column:
+            fits = F.forall(step["tests"], lambda test: _passes(element, test)) & within(found, place, element, step["sign"])
+            return F.when(fits, F.struct(place.alias("first"), element["last"].alias("last")))
 
-        return F.filter(stretches, fits)
+        return F.array_compact(F.transform(elements, stretch))
 
     return F.transform(F.aggregate(steps, everything, take), lambda f: f["first"])
 

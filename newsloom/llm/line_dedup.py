@@ -51,7 +51,7 @@ def run_starts(docs: DataFrame, min_words: int) -> DataFrame:
     ``ahead`` holds lines from this one on, without a gap; ``need`` says how many of them have ``min_words`` words, and is null where
     too few follow. After these, ``ahead`` goes on as long as the lines after the first have fewer words than that.
     """
-    rows = repeated(lines_of(docs), ["x", "y"]).repartition("a", "b").dropDuplicates(["a", "b", "at"])
+    rows = repeated(staged(lines_of(docs), "lines"), ["x", "y"]).repartition("a", "b").dropDuplicates(["a", "b", "at"])
     rows = rows.withColumn("segment", F.col("at") - F.row_number().over(Window.partitionBy("a", "b").orderBy("at")))
     segment = Window.partitionBy("a", "b", "segment").orderBy("at")
     rows = rows.withColumn("total", F.sum("words").over(segment))

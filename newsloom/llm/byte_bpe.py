@@ -1,9 +1,8 @@
 """Byte-level BPE: ranked merges folded over byte arrays by Spark's higher-order functions, and decoding by joined pieces.
 
-Distinct words are merged by column expressions. The ranks are one literal, an array of small maps from a piece's bytes to its rank;
-a checksum of the bytes says which map to look in. A short word is folded one merge at a time, with the ranks of its
-neighbouring pairs kept beside it; a long one by sweeps, each of which merges every pair of the least rank from left to right.
-That is the same: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank.
+Distinct words are byte arrays that column expressions merge. A piece is named by its rank, and the ranks are one literal: each pair of pieces that make a piece, as
+one number with its rank, lies in one of two places that its remainders name. A short word is folded one merge at a time; a long one by sweeps, each of which merges every pair of the least rank from left to right.
+That is the same: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank, and a word that is a piece becomes it.
 
 Documents are cut into units on which merging works independently (``units.py``), and units into words. The words of the frequent units of all texts, a
 bounded number, are encoded once and broadcast. Other words are encoded once for each run of documents: a run is one row with the numbers of its
@@ -14,9 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
+import json
+import math
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +29,9 @@ from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
 #: Units whose words are broadcast at most, and characters of text in a run of documents.
-FREQUENT, STEP = 100_000, 8_000_000
-#: Small maps that the ranks are dealt out to.
-MAPS = 16_384
+FREQUENT, STEP = 100_000, 4_000_000
+#: Bits of a piece's name.
+NAME = 17
 #: Bytes up to which a word is folded one merge at a time.
 SHORT = 48
 #: A pair without a rank.
@@ -45,68 +45,107 @@ def read_ranks(path: str | None = None) -> list[bytes]:
     return [ranks[rank] for rank in range(len(ranks))]
 
 
-def rank_map(pieces: list[bytes], maps: int = MAPS) -> Column:
-    """The ranks as one literal: an array of maps from the hexadecimal form of a piece to its rank, a checksum saying which map."""
-    dealt: list[list[str]] = [[] for _ in range(maps)]
-    for rank, piece in enumerate(pieces):
-        dealt[zlib.crc32(piece) % maps].append(f'"{piece.hex().upper()}":{rank}')
-    return F.from_json(F.lit("[" + ",".join("{" + ",".join(entries) + "}" for entries in dealt) + "]"), "array<map<string,int>>")
+def pairs_of(pieces: list[bytes]) -> dict[int, int]:
+    """The ranks of all pairs of pieces that make a piece; a piece is named by its rank, so a pair of pieces is one number."""
+    names = {piece: rank for rank, piece in enumerate(pieces)}
+    found = {}
+    for piece, rank in names.items():
+        for cut in range(1, len(piece)):
+            left, right = names.get(piece[:cut]), names.get(piece[cut:])
+            if left is not None and right is not None:
+                found[left << NAME | right] = rank
+    return found
+
+
+def laid_out(ranks: dict[int, int], places: tuple[int, int]) -> list[int] | None:
+    """Every pair, with its rank, in one of the two places that the remainders of its number name (cuckoo hashing); none if that fails."""
+    one, two = places
+    table = [0] * (one + two)
+    for key, rank in ranks.items():
+        entry, at = key << NAME | rank, key % one
+        for _ in range(200):
+            entry, table[at] = table[at], entry
+            if not entry:
+                break
+            key = entry >> NAME
+            at = one + key % two if at < one else key % one
+        else:
+            return None
+    return table
+
+
+def next_prime(n: int) -> int:
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def rank_map(pieces: list[bytes]) -> tuple[Column, tuple[int, int]]:
+    """The ranks of pairs as one literal, ``struct<bytes, pairs>``, and the two numbers whose remainders say where in ``pairs`` a pair is.
+
+    ``bytes`` has the names of single bytes.
+    """
+    if len(pieces) >= 1 << NAME:
+        raise ValueError(f"a rank file has at most {1 << NAME} pieces")
+    names = {piece: rank for rank, piece in enumerate(pieces)}
+    ranks, size = pairs_of(pieces), 64
+    while True:
+        size = max(size, len(ranks)) * 5 // 4
+        places = next_prime(size), next_prime(size + size // 50)
+        table = laid_out(ranks, places)
+        if table is not None:
+            break
+    singles = json.dumps([names[bytes([byte])] for byte in range(256)])
+    bytes_, pairs = F.from_json(F.lit(singles), "array<int>"), F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    return F.struct(bytes_.alias("bytes"), pairs.alias("pairs")), places
+
 
+def merged(word: Column, table: Column, places: tuple[int, int]) -> Column:
+    """Ids of a word given as an array of its bytes, by the ranks of ``table``: the fold of all merges."""
 
-def merged(word: Column, table: Column) -> Column:
-    """Ids of the bytes ``word`` by the ranks of ``table``: the fold of all merges. Empty bytes give none; a piece is itself."""
+    def rank(left: Column, right: Column) -> Column:
+        key = F.shiftleft(left.cast("bigint"), NAME).bitwiseOR(right)
+        here, there = (F.get(table["pairs"], at) for at in ((key % places[0]).cast("int"), (key % places[1]).cast("int") + places[0]))
+        found = F.when(F.shiftright(here, NAME) == key, here).when(F.shiftright(there, NAME) == key, there)
+        return F.coalesce(found.bitwiseAND((1 << NAME) - 1).cast("int"), F.lit(NONE))
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, (F.crc32(piece) % MAPS).cast("int")), F.hex(piece)), F.lit(NONE))
+    start = F.transform(word, lambda byte: F.get(table["bytes"], byte.cast("int")))
+    return F.when(F.size(word) <= SHORT, folded(start, rank)).otherwise(swept(start, rank))
 
-    start = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    pieces = F.when(F.length(word) <= SHORT, folded(start, rank)).otherwise(swept(start, rank))
-    ids = let(rank(word), lambda known: F.when(known < NONE, F.array(known)).otherwise(F.transform(pieces, rank)))
-    return F.when(F.length(word) > 0, ids).otherwise(F.array().cast("array<int>"))
 
+Rank = Callable[[Column, Column], Column]
 
-def pair_ranks(pieces: Column, rank: Callable[[Column], Column]) -> Column:
+
+def pair_ranks(pieces: Column, rank: Rank) -> Column:
     """Ranks of all neighbouring pairs."""
-    return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: rank(F.concat(p, F.get(pieces, i + 1))))
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda right, i: rank(F.get(pieces, i), right))
 
 
 def turns(pieces: Column) -> Column:
     """One item for each merge that is possible at most."""
-    return F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.slice(pieces, F.lit(2), F.size(pieces))
 
 
-def folded(start: Column, rank: Callable[[Column], Column]) -> Column:
+def folded(start: Column, rank: Rank) -> Column:
     """Pieces left when no pair has a rank, merging the leftmost pair of the least rank each time."""
 
-    def state(p: Column, r: Column) -> Column:
-        return F.struct(p.alias("p"), r.alias("r"))
-
-    def merge(s: Column, i: Column) -> Column:
-        p, r = s["p"], s["r"]
-        return let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), lambda piece: state(
-            F.concat(F.slice(p, F.lit(1), i - 1), F.array(piece), F.slice(p, i + 2, F.size(p))),
-            F.concat(
-                F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), piece)))).otherwise(F.array().cast("array<int>")),
-                F.when(i + 1 < F.size(p), F.array(rank(F.concat(piece, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>")),
-                F.slice(r, i + 2, F.size(p)),
-            ),
+    def merge(p: Column, r: Column, least: Column) -> Column:
+        # As many pieces as there were pairs: those before the merged pair, the piece it makes, those after it.
+        return let(F.array_position(r, least).cast("int") - 1, lambda at: F.transform(
+            r, lambda _, i: F.when(i < at, F.get(p, i)).when(i > at, F.get(p, i + 1)).otherwise(least)
         ))
 
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["r"]), lambda least: F.when(
-            least < NONE, let(F.array_position(s["r"], least).cast("int"), lambda i: merge(s, i))
-        ).otherwise(s))
+    def step(p: Column, _: Column) -> Column:
+        return let(pair_ranks(p, rank), lambda r: let(F.array_min(r), lambda least: F.when(least < NONE, merge(p, r, least)).otherwise(p)))
 
-    first = let(start, lambda p: state(p, F.when(F.size(p) > 1, pair_ranks(p, rank)).otherwise(F.array().cast("array<int>"))))
-    return F.aggregate(turns(start), first, step, lambda s: s["p"])
+    return let(start, lambda p: F.aggregate(turns(p), p, step))
 
 
-def swept(start: Column, rank: Callable[[Column], Column]) -> Column:
+def swept(start: Column, rank: Rank) -> Column:
     """The same, merging all pairs of the least rank in one sweep."""
 
     def state(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.when(F.size(p) > 1, pair_ranks(p, rank)).otherwise(F.array().cast("array<int>")).alias("r"))
+        return F.struct(p.alias("p"), pair_ranks(p, rank).alias("r"))
 
     def sweep(s: Column, least: Column) -> Column:
         # '1' where a pair of the least rank begins. Of pairs that overlap, the left one goes first: in a run of
@@ -114,10 +153,8 @@ def swept(start: Column, rank: Callable[[Column], Column]) -> Column:
         marks = F.array_join(F.transform(s["r"], lambda r: F.when(r == least, F.lit("1")).otherwise(F.lit("0"))), "")
         chosen = F.split(F.concat(F.lit("0"), F.replace(marks, F.lit("11"), F.lit("10")), F.lit("0")), "")
         return let(chosen, lambda c: let(
-            F.transform(s["p"], lambda p, i: F.when(F.get(c, i) == "1", F.lit(None)).when(
-                F.get(c, i + 1) == "1", F.concat(p, F.get(s["p"], i + 1))
-            ).otherwise(p)),
-            lambda p: let(F.filter(p, lambda x: x.isNotNull()), state),
+            F.transform(s["p"], lambda p, i: F.when(F.get(c, i) == "1", F.lit(None)).when(F.get(c, i + 1) == "1", least).otherwise(p)),
+            lambda p: let(F.array_compact(p), state),
         ))
 
     def step(s: Column, _: Column) -> Column:
@@ -126,9 +163,17 @@ def swept(start: Column, rank: Callable[[Column], Column]) -> Column:
     return F.aggregate(turns(start), let(start, state), step, lambda s: s["p"])
 
 
-def encode_words(words: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """``words`` (word: bytes) with their ids."""
-    return words.select("word", let(rank_map(pieces), lambda table: merged(F.col("word"), table)).alias("ids"))
+def byte_array(word: Column) -> Column:
+    """The bytes of a binary, as numbers."""
+    places = F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("smallint"))
+
+
+def encode_words(words: DataFrame, pieces: list[bytes], *keys: str) -> DataFrame:
+    """The ids of ``words`` (word: bytes), beside the columns ``keys``."""
+    ranks, places = rank_map(pieces)
+    ids = let(ranks, lambda table: let(byte_array(F.col("word")), lambda word: merged(word, table, places)))
+    return words.select(*keys, ids.alias("ids"))
 
 
 class WordIds:
@@ -167,7 +212,7 @@ def encode(
             number[word]
     words = spark.createDataFrame(pa.table({"at": pa.array(range(len(number)), pa.int64()), "word": pa.array(list(number), pa.binary())}))
     spread = words.repartition(max(1, spark.sparkContext.defaultParallelism), "at")
-    found = spread.select("at", let(rank_map(pieces), lambda ranks: merged(F.col("word"), ranks)).alias("ids")).toArrow().sort_by("at")
+    found = encode_words(spread.select("at", "word"), pieces, "at").toArrow().sort_by("at")
     known = WordIds(found["ids"])
     near_words = spark.sparkContext.broadcast(list(number))
     near_ids = spark.sparkContext.broadcast((known.flat, known.starts, known.lengths))
@@ -193,7 +238,7 @@ def encode(
                         pa.array([numbers.astype(np.int32).tobytes()], pa.binary()),
                         pa.array([of_sizes.tobytes()], pa.binary()),
                         pa.array([of_units.tobytes()], pa.binary()),
-                        pa.array([list(new)], pa.list_(pa.binary())),
+                        pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), byte_lists(new)),
                     ],
                     names=["doc_ids", "sizes", "units", "unit_sizes", "unit_words", "words"],
                 )
@@ -218,12 +263,20 @@ def encode(
                 yield make(batch.column("doc_ids")[at].as_py(), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     kinds = "doc_ids array<long>, sizes binary, units binary, unit_sizes binary, unit_words binary"
-    of_runs = rows.mapInArrow(runs, f"{kinds}, words array<binary>")
-    ids_of_words = let(rank_map(pieces), lambda table: F.transform("words", lambda word: merged(word, table)))
+    of_runs = rows.mapInArrow(runs, f"{kinds}, words array<array<smallint>>")
+    literal, places = rank_map(pieces)
+    ids_of_words = let(literal, lambda table: F.transform("words", lambda word: merged(word, table, places)))
     with_ids = of_runs.withColumn("ids", ids_of_words).drop("words")
     return with_ids.mapInArrow(join, columns)
 
 
+def byte_lists(words: Collection[bytes]) -> pa.ListArray:
+    """Words as lists of their bytes."""
+    bounds = np.zeros(len(words) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=bounds[1:])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+
+
 def as_binary(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "ids"])
 

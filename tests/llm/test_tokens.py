@@ -72,3 +72,35 @@ def test_every_piece_is_reached_by_merges():
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(own._core_bpe.encode_single_piece(piece) == [rank] for piece, rank in ranks.items())
     assert zlib.crc32(b"") == 0
+
+
+def test_every_piece_is_what_its_bytes_are_merged_to():
+    pieces = byte_bpe.read_ranks()
+    pairs = byte_bpe.pairs_of(pieces)
+    names = {piece: rank for rank, piece in enumerate(pieces)}
+    for rank, piece in enumerate(pieces):
+        word = [names[bytes([byte])] for byte in piece]
+        while len(word) > 1:
+            least, at = min((pairs.get(a << byte_bpe.NAME | b, byte_bpe.NONE), i) for i, (a, b) in enumerate(zip(word, word[1:])))
+            assert least < byte_bpe.NONE
+            word[at : at + 2] = [least]
+        assert word == [rank]
+
+
+def test_every_pair_lies_in_one_of_its_places():
+    pieces = byte_bpe.read_ranks()[:2_000]
+    pairs = byte_bpe.pairs_of(pieces)
+    size = byte_bpe.next_prime(len(pairs) * 5 // 4), byte_bpe.next_prime(len(pairs) * 4 // 3)
+    table = byte_bpe.laid_out(pairs, size)
+    for key, rank in pairs.items():
+        assert key << byte_bpe.NAME | rank in (table[key % size[0]], table[size[0] + key % size[1]])
+    assert sum(map(bool, table)) == len(pairs) and byte_bpe.laid_out(pairs, (7, 11)) is None
+
+
+def test_words_are_folded_and_swept_alike(spark):
+    rnd = np.random.default_rng(5)
+    words = [bytes(rnd.choice(list(b"abcdeth e\xc3\xa9"), rnd.integers(0, 90)).tolist()) for _ in range(400)]
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks={p: i for i, p in enumerate(byte_bpe.read_ranks())}, special_tokens={})
+    frame = spark.createDataFrame([(i, bytearray(word)) for i, word in enumerate(words)], "at long, word binary")
+    got = {r["at"]: r["ids"] for r in byte_bpe.encode_words(frame, byte_bpe.read_ranks(), "at").collect()}
+    assert got == {i: own._core_bpe.encode_single_piece(word) if word else [] for i, word in enumerate(words)}

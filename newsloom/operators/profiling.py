@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import once
+from newsloom.functions.binding import let, once
 from newsloom.functions.html import DATE_MARKS, profile_page
 from newsloom.functions.payloads import as_list, is_object, keys_of, pick_field
 from newsloom.functions.text import collapse
@@ -124,49 +124,73 @@ def _holds_objects(value: Column) -> Column:
     return F.coalesce(is_object(F.get(as_list(value), F.lit(0))), F.lit(False))
 
 
+_OPEN = "array<struct<place: array<int>, path: string, text: string>>"
+_FOUND = "array<struct<place: array<int>, items_path: string, sample: variant>>"
+
+
+def _usual_list(members: Column) -> Column:
+    """The member under the first of the usual keys that holds a list of objects: ``struct<key, sample>``; null if there is none."""
+    usual = F.array(*(F.lit(key) for key in LIST_KEYS))
+    lists = F.filter(members, lambda m: F.array_contains(usual, m["key"]) & _holds_objects(m["value"]))
+    first = F.get(F.array_sort(F.transform(lists, lambda m: F.struct(F.array_position(usual, m["key"]).alias("rank"), m["key"].alias("key")))), F.lit(0))
+    sample = lambda key: F.get(as_list(F.get(F.filter(lists, lambda m: m["key"] == key), F.lit(0))["value"]), F.lit(0))
+    return let(first, lambda f: F.when(f.isNotNull(), F.struct(f["key"].alias("key"), sample(f["key"]).alias("sample"))))
+
+
+def _lists_within(text: Column) -> Column:
+    """The lists of items in a JSON object text, each with its place: one fold that opens a level of objects at each turn.
+
+    An object that has a list is not opened any further. There are at most as many levels as opening braces.
+    """
+    nowhere, none_open, none_found = F.array().cast("array<int>"), F.array().cast(_OPEN), F.array().cast(_FOUND)
+
+    def place(outer: Column, path: Column, inner: Column) -> Column:
+        return F.struct(outer.alias("place"), path.alias("path"), inner.alias("text"))
+
+    def opened(o: Column) -> Column:
+        def inner(m: Column, i: Column) -> Column:
+            return F.when(is_object(m["value"]), place(F.array_append(o["place"], i), F.concat(o["path"], m["key"], F.lit(".")), m["text"]))
+
+        def split(members: Column, usual: Column) -> Column:
+            found = F.struct(o["place"].alias("place"), F.concat(o["path"], usual["key"]).alias("items_path"), usual["sample"].alias("sample"))
+            return F.struct(
+                F.when(usual.isNull(), F.array_compact(F.transform(members, inner))).otherwise(none_open).alias("level"),
+                F.when(usual.isNull(), none_found).otherwise(F.array(found)).alias("found"),
+            )
+
+        return let(_members(o["text"]), lambda members: let(_usual_list(members), lambda usual: split(members, usual)))
+
+    def turn(state: Column, _: Column) -> Column:
+        def gathered(parts: Column) -> Column:
+            found = F.concat(state["found"], F.flatten(F.transform(parts, lambda part: part["found"])))
+            return F.struct(F.flatten(F.transform(parts, lambda part: part["level"])).alias("level"), found.alias("found"))
+
+        return F.when(F.size(state["level"]) == 0, state).otherwise(let(F.transform(state["level"], opened), gathered))
+
+    start = F.struct(F.array(place(nowhere, F.lit(""), text)).alias("level"), none_found.alias("found"))
+    levels = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(F.replace(text, F.lit("{"))), F.lit(1)))
+    return F.aggregate(levels, start, turn, lambda state: state["found"])
+
+
 def item_lists(captures: DataFrame, by: str = "url") -> DataFrame:
     """Where each JSON payload keeps its items: (by, items_path, sample).
 
     A list is its own answer, path ``$``. In an object, the first of the usual keys that holds a list of objects; else
-    the same inside its object members, depth first, in document order. The payloads are opened level by level until
-    no object is left, all payloads at once; places in document order pick the first find.
+    the same inside its object members, depth first, in document order: places in document order pick the first find.
     """
-    payload = F.try_parse_json("body")
-    parsed = captures.select(by, "body", payload.alias("payload"))
-    roots = parsed.where(as_list(F.col("payload")).isNotNull()).select(
-        by, F.lit("$").alias("items_path"), F.get(as_list(F.col("payload")), F.lit(0)).alias("sample")
-    )
-    nowhere = F.array().cast("array<int>")
-    level = parsed.where(is_object(F.col("payload"))).select(
-        by, nowhere.alias("place"), F.lit("").alias("path"), F.col("body").alias("text")
-    )
-    finds: list[DataFrame] = []
-    while True:
-        opened = cut_lineage(level.select(by, "place", "path", _members(F.col("text")).alias("members")))
-        if opened.isEmpty():
-            break
-        usual = F.array(*(F.lit(key) for key in LIST_KEYS))
-        lists = F.filter("members", lambda m: F.array_contains(usual, m["key"]) & _holds_objects(m["value"]))
-        first = F.get(F.array_sort(F.transform(lists, lambda m: F.struct(F.array_position(usual, m["key"]).alias("rank"), m["key"].alias("key")))), F.lit(0))
-        chosen = F.get(F.filter(lists, lambda m: m["key"] == F.col("_first.key")), F.lit(0))
-        marked = opened.withColumn("_first", first)
-        finds.append(
-            marked.where(F.col("_first").isNotNull()).select(
-                by, "place", F.concat("path", "_first.key").alias("items_path"), F.get(as_list(chosen["value"]), F.lit(0)).alias("sample")
-            )
-        )
-        inner = marked.where(F.col("_first").isNull()).select(by, "place", "path", F.posexplode("members").alias("at", "m"))
-        level = inner.where(is_object(F.col("m.value"))).select(
-            by,
-            F.array_append("place", F.col("at")).alias("place"),
-            F.concat("path", F.col("m.key"), F.lit(".")).alias("path"),
-            F.col("m.text").alias("text"),
-        )
-    if not finds:
-        return roots
-    found = reduce(DataFrame.unionByName, finds)
-    firsts = found.groupBy(by).agg(F.min("place").alias("place"))
-    return roots.unionByName(found.join(firsts, [by, "place"]).drop("place"))
+    parsed = captures.select(by, "body", F.try_parse_json("body").alias("payload"))
+    whole = F.struct(F.lit("$").alias("items_path"), F.get(as_list(F.col("payload")), F.lit(0)).alias("sample"))
+
+    def first(found: Column) -> Column:
+        least = F.array_min(F.transform(found, lambda f: f["place"]))
+        return let(least, lambda place: let(
+            F.get(F.filter(found, lambda f: f["place"] == place), F.lit(0)),
+            lambda f: F.when(f.isNotNull(), F.struct(f["items_path"].alias("items_path"), f["sample"].alias("sample"))),
+        ))
+
+    inside = F.when(is_object(F.col("payload")), let(_lists_within(F.col("body")), first))
+    answers = parsed.select(by, once(F.when(as_list(F.col("payload")).isNotNull(), whole).otherwise(inside)).alias("answer"))
+    return answers.where(F.col("answer").isNotNull()).select(by, "answer.items_path", "answer.sample")
 
 
 def item_fields(sample: Column) -> Column:

@@ -22,6 +22,16 @@ def q_selector_counts(spark, sf):
     return profiling.selector_counts(doubled, "page_id")
 
 
+def q_united_selectors(spark, sf):
+    """Targets of the selectors of whole sites, from sketches kept for each page."""
+    profiles = profiling.page_profiles(classed_pages(spark, sf), "page_id")
+    links = profiles.select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
+    sketches = profiling.selector_sketches(links, "page_id")
+    site = F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("site")
+    of_pages = sketches.join(table(spark, sf, "pages").select("page_id", site), "page_id")
+    return profiling.united_counts(of_pages, "site").select("site", "selector", "targets", "first_pos")
+
+
 def q_best_selector(spark, sf):
     profiles = profiling.page_profiles(classed_pages(spark, sf), "page_id")
     links = profiles.select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
@@ -143,6 +153,13 @@ def over_links(statement: str) -> str:
 
 QUERIES = {
     "selector_counts": (q_selector_counts, over_links("SELECT * FROM counts")),
+    "united_selectors": (
+        q_united_selectors,
+        over_links(
+            """SELECT site, 'a.nav.c' || substr(txt, 1, 1) AS selector, count(DISTINCT href) AS targets, min(pos)::INTEGER AS first_pos
+FROM links WHERE page_id % 10 <> 0 AND length(txt) >= 10 GROUP BY ALL"""
+        ),
+    ),
     "best_selector": (q_best_selector, over_links("SELECT * FROM best")),
     "list_selectors": (q_list_selectors, over_links("SELECT page_id, list_selector FROM chosen")),
     "page_marks": (

@@ -49,6 +49,25 @@ def selector_counts(links: DataFrame, by: str) -> DataFrame:
     return _counted(chosen.where(F.col("selector").isNotNull()), by)
 
 
+#: Sketches of distinct targets have two to this power of registers: counts are off by 1.6 % at most two times out of three.
+SKETCH_SIZE = 12
+
+
+def selector_sketches(links: DataFrame, *by: str) -> DataFrame:
+    """The same with a mergeable sketch of the distinct targets in place of their number: a few kilobytes however many there are.
+
+    What is kept by page or day can be united later for any span, without the links.
+    """
+    chosen = links.withColumn("selector", class_selector(F.col("classes"), F.col("text"))).where(F.col("selector").isNotNull())
+    return chosen.groupBy(*by, "selector").agg(F.hll_sketch_agg("href", F.lit(SKETCH_SIZE)).alias("sketch"), F.min("pos").alias("first_pos"))
+
+
+def united_counts(sketches: DataFrame, *by: str) -> DataFrame:
+    """Distinct targets (about) and first place of each selector, from sketches of smaller groups."""
+    united = sketches.groupBy(*by, "selector").agg(F.hll_union_agg("sketch").alias("sketch"), F.min("first_pos").alias("first_pos"))
+    return united.select(*by, "selector", F.hll_sketch_estimate("sketch").alias("targets"), "first_pos")
+
+
 def _counted(chosen: DataFrame, by: str) -> DataFrame:
     per_target = chosen.groupBy(by, "selector", "href").agg(F.min("pos").alias("pos"))
     return per_target.groupBy(by, "selector").agg(F.count("href").alias("targets"), F.min("pos").alias("first_pos"))

@@ -107,3 +107,15 @@ def test_run_errors(spark):
 def test_likely_rendered(evaluate):
     rows = [("<a.b>", "a.b"), ("x", "a.b"), (None, "a.b")]
     assert evaluate(rows, "raw string, s string", profiling.is_likely_rendered(F.col("raw"), F.col("s"))) == [False, True, True]
+
+
+def test_sketches_of_days_are_united(spark):
+    """30 days with 2,000 targets each, 400 of them new: the whole is within five percent, and small groups are exact."""
+    links = spark.range(60_000).selectExpr(
+        "id div 2000 AS day", "int(id % 2000) AS pos", "string((id div 2000) * 400 + id % 2000) AS href", "'a text of length' AS text", "array('x') AS classes"
+    )
+    sketches = profiling.selector_sketches(links, "day")
+    whole = profiling.united_counts(sketches.withColumn("all", F.lit(1)), "all").first()
+    assert (whole.selector, whole.first_pos) == ("a.x", 0) and abs(whole.targets - 13_600) < 0.05 * 13_600
+    small = profiling.united_counts(profiling.selector_sketches(links.where("pos < 100"), "day"), "day").collect()
+    assert {r.targets for r in small} == {100}

@@ -33,7 +33,7 @@ def components(edges: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
         rows = before[0]
         parents = _least(edges).select(F.col("a").alias("b"), F.col("m"))
         large = _spread_join(edges, parents, "b", "left", rows, min_rows)
-        large = large.select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = large.select("a", F.coalesce("m", "b").alias("b"))
         least = _least(large)
         small = _spread_join(large, least, "a", "inner", rows, min_rows)
         pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))

@@ -135,6 +135,10 @@ def first_kept(
         edges = reduce(DataFrame.unionAll, (live.select(F.greatest(ids[0], n).alias("a"), F.least(ids[0], n).alias("b")) for n in ids[1:]))
         roots = components(edges.where("a <> b"), min_rows).withColumnRenamed("node", ids[0])
         labelled = spread(live, roots, ids[0], "left", left).withColumn("_component", F.coalesce("root", ids[0])).drop("root")
+        if left <= block_rows:
+            # No component can be larger than that.
+            kept.append(settled(labelled, seq, ids, left, block_rows).select(seq))
+            break
         labelled = cut_lineage(labelled)
         large = labelled.groupBy("_component").count().where(F.col("count") > block_rows)
         found = large.agg(F.count("*").alias("n"), F.max("count").alias("rows")).first()
@@ -150,7 +154,7 @@ def first_kept(
         live, (left,) = cut_lineage_measured(without(rest.select(seq, *ids), first, left), F.count("*"))
         if len(kept) >= 32:
             kept = [cut_lineage(reduce(DataFrame.unionAll, kept))]
-    return cut_lineage(reduce(DataFrame.unionAll, kept)) if kept else live.select(seq)
+    return reduce(DataFrame.unionAll, kept) if kept else live.select(seq)
 
 
 def keep_first(items: DataFrame, seq: str, keys: Sequence[str] = KEYS, **tuning: int) -> DataFrame:

@@ -542,8 +542,13 @@ FROM news WHERE coalesce(summary, '') = '' AND content <> ''""",
             then=","
             + WEEK_SQL.format(size=200)
             + """
-SELECT sha256('post|' || key) AS request_id, 'post' AS kind, key, 'Write a post.' || chr(10) || chr(10) || 'Keep to this layout:' || chr(10) || 'Use ##.' AS instructions, n
-FROM (SELECT printf('%04d-%02d/%d', iso_year, iso_week, part) AS key, length(body)::INTEGER AS n FROM parts)""",
+SELECT sha256('post|' || key) AS request_id, 'post' AS kind, key, 'Write a post.' || chr(10) || chr(10) || 'Keep to this layout:' || chr(10) || 'Use ##.'
+  || CASE WHEN sections > 1 THEN chr(10) || chr(10) || 'The digest comes in ' || sections || ' sections. This is section ' || (part + 1) || '. Write this section of the post only. '
+    || CASE WHEN part = 0 THEN 'Begin the post with its title.' ELSE 'Write no title: the post has begun.' END || ' '
+    || CASE WHEN part = sections - 1 THEN 'End the post.' ELSE 'Do not close the post: it goes on.' END || ' The sections begin and end with:' || chr(10) || outline ELSE '' END AS instructions, n
+FROM (SELECT iso_year, iso_week, part, printf('%04d-%02d/%d', iso_year, iso_week, part) AS key, length(body)::INTEGER AS n FROM parts)
+JOIN (SELECT iso_year, iso_week, count(*) AS sections, string_agg((part + 1) || '. ' || titles[1] || ' … ' || titles[-1], chr(10) ORDER BY part) AS outline
+  FROM (SELECT *, regexp_extract_all(body, '(?:^|\\n)#### ([^\\n]*)', 1) AS titles FROM parts) GROUP BY ALL) USING (iso_year, iso_week)""",
         ),
     ),
     "inspection_requests": (

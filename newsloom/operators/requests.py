@@ -45,11 +45,37 @@ def summary_requests(news: DataFrame, instructions: str = SUMMARY_INSTRUCTIONS)
     return pending.select(*_request("summarize", F.col("url"), F.lit(instructions), F.col("content")))
 
 
+def outlines(parts: DataFrame) -> DataFrame:
+    """For digests of several parts: (iso_year, iso_week, sections, outline), the titles that each part begins and ends with, a line for each part."""
+    titles = F.regexp_extract_all("markdown", F.lit("(?:^|\n)#### ([^\n]*)"), F.lit(1))
+    ends = parts.select("iso_year", "iso_week", "part", F.get(titles, F.lit(0)).alias("first"), F.try_element_at(titles, F.lit(-1)).alias("last"))
+    line = F.concat((F.col("part") + 1).cast("string"), F.lit(". "), F.coalesce("first", F.lit("")), F.lit(" … "), F.coalesce("last", F.lit("")))
+    lines = F.array_sort(F.collect_list(F.struct("part", line.alias("line"))))
+    outline = F.array_join(F.transform(lines, lambda pair: pair["line"]), "\n")
+    return ends.groupBy("iso_year", "iso_week").agg(F.count("*").alias("sections"), outline.alias("outline")).where("sections > 1")
+
+
+def section_instructions(told: Column, part: Column, sections: Column, outline: Column) -> Column:
+    """What a model is told of a digest in several sections: which one it writes, and what the others are about."""
+    opening = F.when(part == 0, "Begin the post with its title.").otherwise("Write no title: the post has begun.")
+    closing = F.when(part == sections - 1, "End the post.").otherwise("Do not close the post: it goes on.")
+    return F.concat(
+        told, F.lit("\n\nThe digest comes in "), sections.cast("string"), F.lit(" sections. This is section "), (part + 1).cast("string"),
+        F.lit(". Write this section of the post only. "), opening, F.lit(" "), closing, F.lit(" The sections begin and end with:\n"), outline,
+    )
+
+
 def post_requests(parts: DataFrame, rules: str | None = None, instructions: str = POST_INSTRUCTIONS) -> DataFrame:
-    """One request for each digest part, with formatting rules if there are any."""
+    """One request for each digest part, with formatting rules if there are any.
+
+    A digest of usual size is one part and its answer the post. Answers for a larger one are the sections of its post, in order: each request names
+    its section and shows the outline of all, so that the first answer opens the post, the last one closes it and none repeats another.
+    """
     told = F.lit(f"{instructions}\n\nKeep to this layout:\n{rules}" if rules else instructions)
     key = F.format_string("%04d-%02d/%d", "iso_year", "iso_week", "part")
-    return parts.select(*_request("post", key, told, F.col("markdown")))
+    known = parts.join(outlines(parts), ["iso_year", "iso_week"], "left")
+    of_section = section_instructions(told, F.col("part"), F.col("sections"), F.col("outline"))
+    return known.select(*_request("post", key, F.when(F.col("sections").isNull(), told).otherwise(of_section), F.col("markdown")))
 
 
 def inspection_requests(

@@ -2,6 +2,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from newsloom.operators import requests, store
@@ -198,6 +199,20 @@ def test_chain(spark, tmp_path):
     assert everything["posts"].first().title == "Post"
 
 
+def test_sections_know_of_each_other(spark):
+    rows = [(2026, 6, 0, "---\nx: #### no\n---\n#### A\n- 1\n\n#### B\n- 2\n"), (2026, 6, 1, "#### C\n- 3\n"), (2026, 6, 2, "bare"), (2026, 7, 0, "#### D\n")]
+    parts = spark.createDataFrame(rows, "iso_year int, iso_week int, part int, markdown string")
+    asked = {r.key: r.instructions for r in requests.post_requests(parts, instructions="Go.").collect()}
+    outline = "The sections begin and end with:\n1. A … B\n2. C … C\n3.  … "
+    whole = "Go.\n\nThe digest comes in 3 sections. This is section {}. Write this section of the post only. {} {} " + outline
+    assert asked == {
+        "2026-06/0": whole.format(1, "Begin the post with its title.", "Do not close the post: it goes on."),
+        "2026-06/1": whole.format(2, "Write no title: the post has begun.", "Do not close the post: it goes on."),
+        "2026-06/2": whole.format(3, "Write no title: the post has begun.", "End the post."),
+        "2026-07/0": "Go.",
+    }
+
+
 def test_blogger_alone_takes_a_file(spark, tmp_path):
     path = tmp_path / "news_2020_01.md"
     path.write_text("old digest")
@@ -206,8 +221,13 @@ def test_blogger_alone_takes_a_file(spark, tmp_path):
     responses = spark.createDataFrame([(request, "text", None)], RESPONSES)
     posts = run(spark, ["blogger"], NOW, "unused", {"blogger": {"responses": responses}}, digest_path=str(path))["posts"]
     assert "- [AI news summary — 2026-06](../weekly_news/news_2020_01)\n" in posts.first().markdown
-    with pytest.raises(ValueError):
-        run(spark, ["blogger"], NOW, "unused", {"blogger": {"responses": responses}})
+    # Without a path it is the file of the current week, from the setting or the usual folder.
+    inputs = {"blogger": {"responses": responses}}
+    with pytest.raises(AnalysisException, match="output/news_summaries/.*news_2026_06.md"):
+        run(spark, ["blogger"], NOW, "unused", inputs)
+    (tmp_path / "news_2026_06.md").write_text("old digest")
+    assert run(spark, ["blogger"], NOW, "unused", inputs, digest_folder=str(tmp_path))["posts"].first().title is not None
+    assert "news_2020_01" in run(spark, ["blogger"], NOW, "unused", inputs, digest_setting=str(path))["posts"].first().markdown
 
 
 def test_a_replayed_batch_adds_nothing(spark, tmp_path):

@@ -15,7 +15,6 @@ agree in too few registers.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +37,8 @@ SKETCHED, AGREE = 63, 36
 BROADCAST_NODES = 1_000_000
 #: Pairs left to verify for each node, above which another hub is tried first, and rounds of hubs at most.
 PAIRS_FOR_EACH, HUB_ROUNDS = 8, 2
+#: Members of a part of a bucket, about, when all of its pairs are left.
+PART = 128
 #: Characters of text that get their signatures at a time.
 STEP = 2_000_000
 
@@ -232,6 +233,37 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u binary, v binary, similarity double")
 
 
+def compared_in_groups(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for ``pairs`` (g, u, v) in groups of few nodes with many pairs: a text goes to each group that it is in once, not to each pair."""
+    members = pairs.select(F.col("g").alias("g"), F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node")
+
+    def check(asked: pa.Table, own: pa.Table) -> pa.Table:
+        nodes = own.column("node").to_pylist()
+        doc, hashes, weights = shingles_of([words_of(text) for text in own.column("text").to_pylist()])
+        ends = np.searchsorted(doc, np.arange(len(nodes) + 1))
+        known = {node: (hashes[a:b], weights[a:b]) for node, a, b in zip(nodes, ends[:-1], ends[1:], strict=True)}
+        found = [similarity(known[u], known[v]) for u, v in zip(asked.column("u").to_pylist(), asked.column("v").to_pylist(), strict=True)]
+        return pa.table([asked.column("u").cast(pa.binary()), asked.column("v").cast(pa.binary()), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
+
+    return pairs.groupBy("g").cogroup(members.groupBy("g")).applyInArrow(check, "u binary, v binary, similarity double")
+
+
+def pairs_apart(current: DataFrame, near: Column) -> DataFrame:
+    """(g, u, v): all pairs of members of a bucket that are in different components and may be links, each once.
+
+    A bucket is cut into parts of about ``PART`` members by a hash, and a group is of the pairs between two of its parts. A pair that shares several buckets is of the largest one, so
+    that what is alike stays together.
+    """
+    sizes = current.groupBy("band").agg(F.count("*").alias("n"))
+    dealt = current.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & (agreement("x.sketch", "y.sketch") >= AGREE))
+    group = F.xxhash64("x.band", F.least("x.part", "y.part"), F.greatest("x.part", "y.part"))
+    best = F.min(F.struct((-F.col("x.n")).alias("n"), F.col("x.band").alias("band"), group.alias("g"))).alias("best")
+    pairs = apart.groupBy(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).agg(best)
+    return pairs.select("best.g", "u", "v")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) for all nodes of ``links`` (u, v), by large and small stars in turns."""
     edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
@@ -311,10 +343,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             if left <= PAIRS_FOR_EACH * count or turn > HUB_ROUNDS:
                 # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
                 near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))
-                x, y = current.alias("x"), current.alias("y")
-                apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & (agreement("x.sketch", "y.sketch") >= AGREE))
-                pairs = apart.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
-                links.append(staged(compared(pairs, texts).where(F.col("similarity") >= least).select("u", "v"), "verified"))
+                pairs = staged(pairs_apart(current, near), "pairs-apart")
+                links.append(staged(compared_in_groups(pairs, texts).where(F.col("similarity") >= least).select("u", "v"), "verified"))
                 break
         passed = staged(hubs(current, passed), "hubs")
         # All members are compared with the first hub, for their distances from it; with later ones if they may be similar.

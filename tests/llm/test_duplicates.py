@@ -96,6 +96,43 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_families_about_the_limit_are_compared_in_parts(spark, monkeypatch):
+    """Variants of one text, most pairs of which are a little less alike than the limit: classes are those of all pairs, each compared once."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(70):
+        text = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            text[rnd.randrange(len(text))] = f"new{i}"
+        docs.append((i, " ".join(text)))
+    docs += [(100 + i, " ".join(f"x{i}y{k}" for k in range(60))) for i in range(5)]
+    sets = [near_dedup.shingles_of([near_dedup.words_of(t)])[1:] for _, t in docs]
+    part = list(range(len(docs)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    likes = [near_dedup.similarity(sets[i], sets[j]) for i in range(70) for j in range(i)]
+    assert 0.1 < sum(x >= 0.8 for x in likes) / len(likes) < 0.9
+    for i in range(len(docs)):
+        for j in range(i):
+            if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                part[find(i)] = find(j)
+    want = {d: min(docs[j][0] for j in range(len(docs)) if find(j) == find(i)) for i, (d, _) in enumerate(docs)}
+    monkeypatch.setattr(near_dedup, "PART", 6)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 0)
+    asked = []
+    real = near_dedup.pairs_apart
+    monkeypatch.setattr(near_dedup, "pairs_apart", lambda *args: asked.append(real(*args)) or asked[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == want
+    pairs = asked[0].collect()
+    assert len(pairs) == len({(r.u, r.v) for r in pairs}) > 0 and len({r.g for r in pairs}) > 3
+
+
 def test_signatures_estimate_similarity():
     rnd = np.random.default_rng(1)
     base = rnd.integers(1, 2**62, 400).astype(np.uint64)

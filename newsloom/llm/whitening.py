@@ -12,7 +12,7 @@ A task holds one basis (d x d) and one batch of rows; the driver holds the sums
 Rows whose vector is null or has null or infinite entries or entries that are no number are dropped. Vectors of another length than the most frequent one (the longer, if two
 are as frequent) cannot share a covariance with the others and are dropped too; so are empty vectors if that length is 0, which leaves an empty result, as does an empty
 table. Repeated rows count as often as they come. A component without variance (eigenvalue at most ``NO_VARIANCE`` of the largest) has a null ``whitened`` and does not count in ``identity_error``;
-where no component has any, ``explained`` and ``identity_error`` are null. A ``deviation`` beyond BIGINT is null. Other columns, whatever their names, are not read.
+where no component has any, ``explained`` and ``identity_error`` are null. A ``deviation`` beyond BIGINT is null. Entries beyond ``FAR`` in size count as ``FAR``. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from newsloom.llm.common import staged
 
 #: Entries are counted in steps of 1/SCALE from -OFFSET on.
 SCALE, OFFSET = 1024, 100_000
+#: Entries beyond this size count as that: their steps would not fit a BIGINT.
+FAR = 2.0**30
 #: Components that are returned.
 COMPONENTS = 8
 #: Spectra that one task combines.
@@ -142,7 +144,8 @@ def counted_vectors(df: DataFrame, id_column: str = "vec_id", column: str = "emb
     entry_ok = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
     rows = df.select(df[id_column].cast("long").alias("vec_id"), df[column].alias("c"))
     rows = rows.where(F.col("c").isNotNull() & F.forall("c", entry_ok))
-    steps = F.transform("c", lambda c: F.floor(c.cast("double") * SCALE) + F.lit(OFFSET).cast("long"))
+    bounded = lambda c: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), c.cast("double")))
+    steps = F.transform("c", lambda c: F.floor(bounded(c) * SCALE) + F.lit(OFFSET).cast("long"))
     return rows.select("vec_id", steps.alias("x"))
 
 

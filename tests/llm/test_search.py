@@ -143,6 +143,8 @@ def test_whitening_without_variance(spark):
     assert [r.whitened is None for r in got] == [False] * 4 + [True] * 4 and got[0].identity_error < 1e-12
     far = spark.createDataFrame([(1, [1e9, 0.0]), (2, [-1e9, 0.0])], schema)
     assert whitening.whiten(far).first().deviation is None
+    farther = spark.createDataFrame([(1, [3e38, 0.0]), (2, [-3e38, 0.0]), (3, [1e-40, -0.0])], schema)
+    assert sorted(r.whitened for r in whitening.whiten(farther).where("component = 1").collect()) == pytest.approx([-1.5**0.5, 0, 1.5**0.5], abs=1e-6)
     for none in (same.limit(0), spark.createDataFrame([(1, [])], schema), spark.createDataFrame([(1, None)], schema)):
         empty = whitening.whiten(none)
         assert empty.count() == 0 and empty.schema.simpleString() == whitening.whiten(line).schema.simpleString()

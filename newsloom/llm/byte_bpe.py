@@ -29,7 +29,7 @@ from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
 #: Units whose words are broadcast at most, and characters of text in a run of documents.
-FREQUENT, STEP = 100_000, 4_000_000
+FREQUENT, STEP = 40_000, 4_000_000
 #: Bits of a piece's name.
 NAME = 17
 #: Bytes up to which a word is folded one merge at a time.
@@ -216,6 +216,8 @@ def encode(
     known = WordIds(found["ids"])
     near_words = spark.sparkContext.broadcast(list(number))
     near_ids = spark.sparkContext.broadcast((known.flat, known.starts, known.lengths))
+    del units, words, spread, found, known, number
+    pa.default_memory_pool().release_unused()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for a run of documents: their units by number, the units' words by number, and the words that are not frequent."""

@@ -233,8 +233,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u binary, v binary, similarity double")
 
 
-def compared_in_groups(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The same for ``pairs`` (g, u, v) in groups of few nodes with many pairs: a text goes to each group that it is in once, not to each pair."""
+def links_in_groups(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (g, u, v) with a similarity of ``least`` or more. Groups are of few nodes with many pairs: a text goes to each group that it is in once, not to each pair."""
     members = pairs.select(F.col("g").alias("g"), F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node")
 
     def check(asked: pa.Table, own: pa.Table) -> pa.Table:
@@ -242,10 +242,11 @@ def compared_in_groups(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         doc, hashes, weights = shingles_of([words_of(text) for text in own.column("text").to_pylist()])
         ends = np.searchsorted(doc, np.arange(len(nodes) + 1))
         known = {node: (hashes[a:b], weights[a:b]) for node, a, b in zip(nodes, ends[:-1], ends[1:], strict=True)}
-        found = [similarity(known[u], known[v]) for u, v in zip(asked.column("u").to_pylist(), asked.column("v").to_pylist(), strict=True)]
-        return pa.table([asked.column("u").cast(pa.binary()), asked.column("v").cast(pa.binary()), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
+        us, vs = asked.column("u").to_pylist(), asked.column("v").to_pylist()
+        linked = [(u, v) for u, v in zip(us, vs, strict=True) if similarity(known[u], known[v]) >= least]
+        return pa.table([pa.array([pair[side] for pair in linked], pa.binary()) for side in (0, 1)], names=["u", "v"])
 
-    return pairs.groupBy("g").cogroup(members.groupBy("g")).applyInArrow(check, "u binary, v binary, similarity double")
+    return pairs.groupBy("g").cogroup(members.groupBy("g")).applyInArrow(check, "u binary, v binary")
 
 
 def pairs_apart(current: DataFrame, near: Column) -> DataFrame:
@@ -344,7 +345,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
                 near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))
                 pairs = staged(pairs_apart(current, near), "pairs-apart")
-                links.append(staged(compared_in_groups(pairs, texts).where(F.col("similarity") >= least).select("u", "v"), "verified"))
+                links.append(staged(links_in_groups(pairs, texts, least), "verified"))
                 break
         passed = staged(hubs(current, passed), "hubs")
         # All members are compared with the first hub, for their distances from it; with later ones if they may be similar.

@@ -235,7 +235,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links_in_groups(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (g, u, v) with a similarity of ``least`` or more. Groups are of few nodes with many pairs: a text goes to each group that it is in once, not to each pair."""
-    members = pairs.select(F.col("g").alias("g"), F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node")
+    nodes = pairs.groupBy(F.col("g").alias("g")).agg(F.array_union(F.collect_set("u"), F.collect_set("v")).alias("nodes"))
+    members = nodes.select("g", F.explode("nodes").alias("node")).join(texts, "node")
 
     def check(asked: pa.Table, own: pa.Table) -> pa.Table:
         nodes = own.column("node").to_pylist()

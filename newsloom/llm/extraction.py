@@ -1,16 +1,20 @@
 """Main text of pages: what a page declares about its parts, and a suffix array over the pages of its host.
 
 A page is read once into blocks of text. A block is invisible (scripts, styles, head, hidden elements), furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, by element, role or words of its class and id), part of an article, part of the main element, or open. Where a page has an
-article, that is its text, whole: passages that articles share are quotations or copies, and repetition says nothing about them. Where it has none, its main or
-else its open blocks are candidates, and the pages of the host decide which parts of them are boilerplate.
+forms, reader comments, by element, role or words of its class and id), part of an article, part of the main element, or open. The candidates are the blocks
+of the article, where there is none those of the main element, else the open ones, and the pages of the host decide which parts of them are boilerplate.
 
-For that, the token streams of pages (all visible blocks outside of articles, furniture included) are concatenated, a separator after each page, tokens being told apart by host. A suffix array by prefix doubling, up
+For that, the token streams of pages (all visible blocks outside of articles, furniture included) are concatenated, a separator after each page, tokens being told apart by host; so are,
+by themselves, the blocks of articles and those of furniture, a separator after each block. A suffix array by prefix doubling, up
 to prefixes of ``LONG`` tokens, brings equal prefixes together: an interval of it whose longest common prefix is ``LONG`` or more is one repeated string. Every task does so for
 about ``CHUNK_TOKENS`` tokens at a time and hands on one row for each interval; intervals of all chunks meet by a hash of the prefix and the host, combined on the map side. A string
 is boilerplate if it is on pages that differ in their longest block: near copies of a page have the same, so they count as one page. All places of
 candidate blocks that such a string covers are removed; the runs between them are kept, in order. The places of a string that very many pages have are shared out over tasks.
 
+Passages that articles share may be quotations or copies, so repetition alone says little about them: strings count in articles if they are boilerplate among the articles and, by
+themselves, among the furniture of the host. A block goes if such strings cover it whole and most of the host's pages have it, ``PAGES`` at least, near copies counting as one:
+a notice that these pages forgot to mark. Lines that some articles share, quotations within a block and headlines that sidebars repeat stay.
+
 Text is decoded, white space becomes one space, blocks are joined by one space. A null or empty page has an empty text. Rows that come twice give two rows; page_id and url may be null (pages
 without a host belong together). Elements that are not closed end where their parent ends, an unfinished tag at the end is dropped. Other columns are not read. No bound cuts a page, a host or a string.
 """
@@ -22,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -38,6 +43,10 @@ from newsloom.operators.skew import spread_join
 LONG = 8
 #: Tokens of one suffix array, about.
 CHUNK_TOKENS = 1_000_000
+#: Pages that have a block of an article at least where it is taken for a notice.
+PAGES = 10
+#: Bits of the filter by which blocks of articles are compared with furniture before their strings are; a power of two.
+SLOTS = 1 << 24
 
 #: HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,36 +203,37 @@ def host_of(url: str | None) -> str:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """Pages with ``article`` (null if the page has none), the tokens of their other blocks, and those that are candidates."""
+    """Pages with the blocks of their ``article`` (null if they have none) and of ``furniture`` that can hold a long string, the tokens of all blocks but the article's, and those that are candidates."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in text_steps(batch, "html"):
-                out: dict[str, list] = {"row": [], "host": [], "article": [], "stream": [], "candidate": [], "longest": []}
+                out: dict[str, list] = {"row": [], "host": [], "article": [], "furniture": [], "stream": [], "candidate": [], "longest": []}
                 for url, text in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                     blocks = read_page(text or "")
                     kinds = {kind for kind, _ in blocks}
-                    article = [token for kind, tokens in blocks if kind == ARTICLE for token in tokens]
+                    article = [tokens for kind, tokens in blocks if kind == ARTICLE]
                     others = [(kind, tokens) for kind, tokens in blocks if kind != ARTICLE]
                     wanted = None if ARTICLE in kinds else MAIN if MAIN in kinds else OPEN
                     out["row"].append(row)
                     out["host"].append(host_of(url))
-                    out["article"].append(" ".join(article) if ARTICLE in kinds else None)
+                    out["article"].append([" ".join(tokens) for tokens in article] or None)
+                    out["furniture"].append([" ".join(tokens) for kind, tokens in others if kind == FURNISHED and len(tokens) >= LONG])
                     out["stream"].append([token for _, tokens in others for token in tokens])
                     out["candidate"].append([kind == wanted for kind, tokens in others for _ in tokens] if wanted is not None else [])
                     # What tells pages apart: the article, or the longest candidate block.
-                    out["longest"].append(" ".join(article or max((tokens for kind, tokens in others if kind == wanted), key=len, default=[])))
+                    out["longest"].append(" ".join(chain.from_iterable(article) if article else max((tokens for kind, tokens in others if kind == wanted), key=len, default=[])))
                     row += 1
                 arrays = [part.column("page_id"), part.column("url"), *(pa.array(out[name], kind) for name, kind in _READ)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", *out])
 
     read = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    read = read.mapInArrow(task, "page_id long, url string, row long, host string, article string, stream array<string>, candidate array<boolean>, longest string")
+    read = read.mapInArrow(task, "page_id long, url string, row long, host string, article array<string>, furniture array<string>, stream array<string>, candidate array<boolean>, longest string")
     return read.withColumn("host", F.xxhash64("host")).withColumn("longest", F.xxhash64("longest"))
 
 
-_READ = [("row", pa.int64()), ("host", pa.string()), ("article", pa.string()), ("stream", pa.list_(pa.string())), ("candidate", pa.list_(pa.bool_())), ("longest", pa.string())]
+_READ = [("row", pa.int64()), ("host", pa.string()), ("article", pa.list_(pa.string())), ("furniture", pa.list_(pa.string())), ("stream", pa.list_(pa.string())), ("candidate", pa.list_(pa.bool_())), ("longest", pa.string())]
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +287,31 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def blocks_of(read: DataFrame, name: str) -> DataFrame:
+    """The blocks of the column ``name``, each a stream of its own; those that hold no long string are left out."""
+    blocks = read.select("row", "host", "longest", F.posexplode(name).alias("block", "text"))
+    return blocks.select("row", "host", "longest", "block", F.split("text", " ").alias("stream")).where(F.size("stream") >= LONG)
+
+
+def near_furniture(blocks: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The blocks with a string whose key is among ``prefixes``, and a few others: every key has two places in a filter of ``SLOTS`` bits."""
+    ways = F.explode(F.array(F.col("key").bitwiseAND(SLOTS - 1), F.shiftright("key", 32).bitwiseAND(SLOTS - 1)))
+    taken = np.zeros(SLOTS, bool)
+    taken[prefixes.select(ways.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    bits = prefixes.sparkSession.sparkContext.broadcast(np.packbits(taken, bitorder="little"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, page, left = _coded(batch)
+            places, keys = _prefix_keys(hashes, left)
+            near = np.ones(len(keys), bool)
+            for slot in (keys & (SLOTS - 1), keys >> 32 & (SLOTS - 1)):
+                near &= (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool)
+            yield batch.filter(pa.array(np.bincount(page[places[near]], minlength=batch.num_rows) > 0))
+
+    return blocks.mapInArrow(task, blocks.schema)
+
+
 def repeated_prefixes(read: DataFrame) -> DataFrame:
     """Hashes of host and prefix (``key``) for the strings that pages with different longest blocks have."""
 
@@ -307,8 +342,8 @@ def repeated_prefixes(read: DataFrame) -> DataFrame:
     return intervals.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("key")
 
 
-def covered(read: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(row, starts): where prefixes begin in the pages that have no article."""
+def places_of(streams: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(row, block, size, start): where prefixes begin in streams (row, block, host, stream), and how long these are."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,12 +351,36 @@ def covered(read: DataFrame, prefixes: DataFrame) -> DataFrame:
             places, keys = _prefix_keys(hashes, left)
             pages = page[places]
             first = np.searchsorted(page, pages) if len(pages) else pages
-            rows = batch.column("row").to_numpy()[pages]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows, pa.int64()), pa.array((places - first).astype(np.int32))], names=["key", "row", "start"])
+            rows, blocks = (batch.column(name).to_numpy()[pages] for name in ("row", "block"))
+            starts, sizes = places - first, left[first]
+            columns = [pa.array(keys), pa.array(rows, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (blocks, sizes, starts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "row", "block", "size", "start"])
 
-    places = read.where(F.col("article").isNull()).select("row", "host", "stream").mapInArrow(task, "key long, row long, start int")
-    found = spread_join(places, prefixes, ["key"], "left_semi", ["row", "start"])
-    return found.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    places = streams.select("row", "block", "host", "stream").mapInArrow(task, "key long, row long, block int, size int, start int")
+    return spread_join(places, prefixes, ["key"], "left_semi", ["row", "block", "start"]).select("row", "block", "size", "start")
+
+
+def covered(read: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(row, starts): where prefixes begin in the pages that have no article."""
+    streams = read.where(F.col("article").isNull()).select("row", F.lit(0).alias("block"), "host", "stream")
+    return places_of(streams, prefixes).groupBy("row").agg(F.collect_list("start").alias("starts"))
+
+
+def unmarked(read: DataFrame) -> DataFrame:
+    """(row, blocks): blocks of articles that most pages of their host have, covered whole by strings that are boilerplate among the articles and among the furniture."""
+    furniture = staged(repeated_prefixes(blocks_of(read, "furniture")), "furniture-prefixes")
+    articles = staged(near_furniture(blocks_of(read, "article"), furniture), "article-blocks")
+    both = staged(repeated_prefixes(articles).join(furniture, "key", "left_semi"), "article-prefixes")
+    places = places_of(articles, both).groupBy("row", "block", "size").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    starts = F.col("starts")
+    steps = F.transform(starts, lambda start, i: F.when(i > 0, start - F.get(starts, i - 1)).otherwise(start))
+    whole = (F.get(starts, F.lit(0)) == 0) & F.forall(steps, lambda step: step <= LONG) & (F.element_at(starts, -1) + LONG == F.col("size"))
+    told = articles.select("row", "block", "host", "longest", F.xxhash64("stream").alias("text"))
+    found = staged(places.where(whole).select("row", "block").join(told, ["row", "block"]), "article-notices")
+    having = found.groupBy("host", "text").agg(F.count_distinct("longest").alias("n")).where(F.col("n") >= PAGES)
+    hosts = read.where(F.col("article").isNotNull()).groupBy("host").agg(F.count_distinct("longest").alias("all"))
+    most = having.join(hosts, "host").where(F.col("n") * 2 > F.col("all")).select("host", "text")
+    return found.join(most, ["host", "text"], "left_semi").groupBy("row").agg(F.collect_set("block").alias("blocks"))
 
 
 def _kept(stream: list[str], candidate: list[bool], starts: list[int] | None) -> str:
@@ -338,13 +397,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page (page_id, url, html): page_id, url, text, n_chars."""
     read = staged(read_pages(pages), "read-pages")
     starts = covered(read, staged(repeated_prefixes(read), "prefixes"))
+    # Hardly ever more than a few rows: once written, their size is known, and no text is shuffled to meet them.
+    gone = staged(unmarked(read), "unmarked")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_kept(*row) for row in zip(*(batch.column(name).to_pylist() for name in ("stream", "candidate", "starts")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    with_article = read.where(F.col("article").isNotNull()).select("page_id", "url", F.col("article").alias("text"))
+    blocks = F.filter("article", lambda _, i: ~F.array_contains(F.coalesce("blocks", F.array().cast("array<int>")), i))
+    articles = read.where(F.col("article").isNotNull()).select("row", "page_id", "url", "article").join(gone, "row", "left")
+    with_article = articles.select("page_id", "url", F.array_join(blocks, " ").alias("text"))
     without = read.where(F.col("article").isNull()).select("row", "page_id", "url", "stream", "candidate").join(starts, "row", "left")
     texts = with_article.unionAll(without.select("page_id", "url", "stream", "candidate", "starts").mapInArrow(task, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -104,3 +104,19 @@ def test_repeated_rows_long_pages_and_nothing(spark):
     got = extraction.extract(df).collect()
     assert sorted(r.text for r in got) == sorted([words] * 4 + ["x"])
     assert extraction.extract(df.limit(0)).count() == 0
+
+
+def test_notices_that_articles_forget_to_mark_go_by_the_furniture_of_the_host(spark):
+    rnd = random.Random(4)
+    say = lambda n: " ".join(rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(n))
+    notice, teaser, quote, early, far, line = say(21), say(10), say(12), say(9), say(9), say(11)
+    unmarked = [f"<article><h1>{say(9)}</h1><p>{say(30)}<div>{notice}</div><p>{say(4)} {notice} {say(4)}<p>{quote}<p>short one</article><aside>{teaser}</aside>" for _ in range(12)]
+    own = [f"<article><h1>{teaser}</h1><p>{say(30)}</article><footer>{far}</footer>", f"<article><p>{say(30)}</article><aside>{early}</aside><div class=ad>{teaser}</div>"]
+    marked = [f"<div class=newsletter><p>{notice}</div><aside>{line}</aside><article><p>{say(30)}<p>{quote}<p>{far}</article>" for _ in range(3)]
+    html = [*unmarked, *own, *marked, *(f"<article><p>{line}<p>{say(30)}</article>" for _ in range(2))]
+    rows = [(i, f"http://h/{i}", text) for i, text in enumerate(html)] + [(20 + i, f"http://other/{i}", f"<article><p>{say(20)}<p>{notice}<p>{early}</article>") for i in range(11)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for key, _, text in rows:
+        blocks = [" ".join(tokens) for kind, tokens in read_page(text) if kind == ARTICLE]
+        assert got[key] == " ".join(block for block in blocks if not (key < 20 and block == notice))
+    assert all(got[i].count(notice) == 1 and quote in got[i] for i in range(12)) and got[12].startswith(teaser) and line in got[18] and all(notice in got[20 + i] for i in range(11))

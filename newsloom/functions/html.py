@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,16 +189,42 @@ def _page_array(pages: list[tuple[str, Elements] | None]) -> pa.Array:
     return pa.StructArray.from_arrays([texts, lists], names=["text", "elements"], mask=pa.array([page is None for page in pages]))
 
 
+#: Bytes of markup that are taken apart at a time: a task holds the elements of so much as Python objects. A longer page is a step of its own.
+STEP_BYTES = 1_000_000
+
+
+def page_steps(body: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with about ``STEP_BYTES`` of markup; an empty one for an empty array."""
+    sizes = pc.binary_length(body).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        end = min(int(sizes.searchsorted(before + STEP_BYTES)) + 1, len(sizes))
+        yield start, end
+        start = end
+    if not len(sizes):
+        yield 0, 0
+
+
 @arrow_udf(PAGE)
 def page_of(body: pa.Array, rendered: pa.Array) -> pa.Array:
     """A page as ``struct<text, elements>``; null for a null body."""
-    return _page_array([None if text is None else read_page(text, bool(drawn)) for text, drawn in zip(body.to_pylist(), rendered.to_pylist())])
+
+    def some(start: int, end: int) -> pa.Array:
+        rows = zip(body[start:end].to_pylist(), rendered[start:end].to_pylist())
+        return _page_array([None if text is None else read_page(text, bool(drawn)) for text, drawn in rows])
+
+    return pa.concat_arrays([some(*step) for step in page_steps(body)])
 
 
 @arrow_udf(T.StringType())
 def html_text(body: pa.Array) -> pa.Array:
     """Text of a fragment or document, collapsed."""
-    return pa.array([None if text is None else read_page(text)[0].strip() for text in body.to_pylist()], type=pa.string())
+
+    def some(start: int, end: int) -> pa.Array:
+        return pa.array([None if text is None else read_page(text)[0].strip() for text in body[start:end].to_pylist()], type=pa.string())
+
+    return pa.concat_arrays([some(*step) for step in page_steps(body)])
 
 
 # Selectors: types, classes, ids and attributes of an element, and of its parent or those around it; alternatives.

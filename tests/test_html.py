@@ -116,3 +116,21 @@ def test_ancestors_may_be_skipped(texts):
     body = "<main><div class=a><p>1</p><div class=b><div><p>2</p></div></div></div></main><div class=b><p>3</p></div>"
     cases = {".a p": ["1", "2"], ".a > p": ["1"], "main .b > div p": ["2"], "main > .b p": [], "div > div p": ["2"], ".b p": ["2", "3"]}
     assert dict(zip(cases, texts(*((css, body) for css in cases)))) == cases
+
+
+def test_pages_are_taken_apart_in_steps_of_bounded_size():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<ul>" + "".join(f'<li><a href="/{i}">x</a>' for i in range(2_000))
+    bodies = pa.array([None, *[page] * 60, "", "<p>a</p>", page * 30, None])
+    tracemalloc.start()
+    out = page_of.func(bodies, pa.array([False] * len(bodies)))
+    texts = html_text.func(bodies)
+    before, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 110_000_000
+    assert [len(p["elements"]) if p else None for p in out.to_pylist()] == [None, *[4_001] * 60, 0, 1, 120_030, None]
+    assert texts.to_pylist() == [None, *[" ".join(["x"] * 2_000)] * 60, "", "a", " ".join(["x"] * 60_000), None]
+    assert len(page_of.func(bodies[:0], pa.array([], pa.bool_()))) == len(html_text.func(bodies[:0])) == 0

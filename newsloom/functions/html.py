@@ -186,7 +186,7 @@ def _page_array(pages: list[tuple[str, Elements] | None]) -> pa.Array:
         bounds.append(total)
     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)
     texts = pa.array([page[0] if page else None for page in pages], pa.string())
-    return pa.StructArray.from_arrays([texts, lists], names=["text", "elements"], mask=pa.array([page is None for page in pages]))
+    return pa.StructArray.from_arrays([texts, lists], names=["text", "elements"], mask=pa.array([page is None for page in pages], pa.bool_()))
 
 
 #: Bytes of markup that are taken apart at a time: a task holds the elements of so much as Python objects. A longer page is a step of its own.

@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded over byte arrays by Spark's higher-order functions, and decoding by joined pieces.
 
-Distinct words are byte arrays that column expressions merge. A piece is named by its rank, and the ranks are one literal: each pair of pieces that make a piece, as
+Distinct words are byte arrays that column expressions merge. A piece is named by its rank, and the ranks are one value, a subquery of one row: each pair of pieces that make a piece, as
 one number with its rank, lies in one of two places that its remainders name. A short word is folded one merge at a time; a long one by sweeps, each of which merges every pair of the least rank from left to right.
 That is the same: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank, and a word that is a piece becomes it.
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import math
 from array import array
 from collections.abc import Callable, Collection, Iterator
@@ -21,7 +20,7 @@ from collections.abc import Callable, Collection, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import let
@@ -80,10 +79,10 @@ def next_prime(n: int) -> int:
     return n
 
 
-def rank_map(pieces: list[bytes]) -> tuple[Column, tuple[int, int]]:
-    """The ranks of pairs as one literal, ``struct<bytes, pairs>``, and the two numbers whose remainders say where in ``pairs`` a pair is.
+def rank_map(spark: SparkSession, pieces: list[bytes]) -> tuple[Column, tuple[int, int]]:
+    """The ranks of pairs as one value, ``struct<bytes, pairs>``, and the two numbers whose remainders say where in ``pairs`` a pair is.
 
-    ``bytes`` has the names of single bytes.
+    ``bytes`` has the names of single bytes. The value is a subquery of one row, not a literal: each plan would be described with all of a literal.
     """
     if len(pieces) >= 1 << NAME:
         raise ValueError(f"a rank file has at most {1 << NAME} pieces")
@@ -95,9 +94,9 @@ def rank_map(pieces: list[bytes]) -> tuple[Column, tuple[int, int]]:
         table = laid_out(ranks, places)
         if table is not None:
             break
-    singles = json.dumps([names[bytes([byte])] for byte in range(256)])
-    bytes_, pairs = F.from_json(F.lit(singles), "array<int>"), F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    return F.struct(bytes_.alias("bytes"), pairs.alias("pairs")), places
+    singles = pa.array([[names[bytes([byte])] for byte in range(256)]], pa.list_(pa.int32()))
+    row = spark.createDataFrame(pa.table({"bytes": singles, "pairs": pa.array([table], pa.list_(pa.int64()))}))
+    return row.select(F.struct("bytes", "pairs")).scalar(), places
 
 
 def merged(word: Column, table: Column, places: tuple[int, int]) -> Column:
@@ -171,9 +170,9 @@ def byte_array(word: Column) -> Column:
 
 def encode_words(words: DataFrame, pieces: list[bytes], *keys: str) -> DataFrame:
     """The ids of ``words`` (word: bytes), beside the columns ``keys``."""
-    ranks, places = rank_map(pieces)
-    ids = let(ranks, lambda table: let(byte_array(F.col("word")), lambda word: merged(word, table, places)))
-    return words.select(*keys, ids.alias("ids"))
+    ranks, places = rank_map(words.sparkSession, pieces)
+    ids = let(F.col("_ranks"), lambda table: let(byte_array(F.col("word")), lambda word: merged(word, table, places)))
+    return words.withColumn("_ranks", ranks).select(*keys, ids.alias("ids"))
 
 
 class WordIds:
@@ -266,9 +265,9 @@ def encode(
 
     kinds = "doc_ids array<long>, sizes binary, units binary, unit_sizes binary, unit_words binary"
     of_runs = rows.mapInArrow(runs, f"{kinds}, words array<array<smallint>>")
-    literal, places = rank_map(pieces)
-    ids_of_words = let(literal, lambda table: F.transform("words", lambda word: merged(word, table, places)))
-    with_ids = of_runs.withColumn("ids", ids_of_words).drop("words")
+    ranks_of_pairs, places = rank_map(spark, pieces)
+    ids_of_words = let(F.col("_ranks"), lambda table: F.transform("words", lambda word: merged(word, table, places)))
+    with_ids = of_runs.withColumn("_ranks", ranks_of_pairs).withColumn("ids", ids_of_words).drop("words", "_ranks")
     return with_ids.mapInArrow(join, columns)
 
 

@@ -104,3 +104,8 @@ def test_words_are_folded_and_swept_alike(spark):
     frame = spark.createDataFrame([(i, bytearray(word)) for i, word in enumerate(words)], "at long, word binary")
     got = {r["at"]: r["ids"] for r in byte_bpe.encode_words(frame, byte_bpe.read_ranks(), "at").collect()}
     assert got == {i: own._core_bpe.encode_single_piece(word) if word else [] for i, word in enumerate(words)}
+
+
+def test_plans_do_not_show_the_ranks(docs):
+    plan = byte_bpe.digests(docs, frequent=3)._jdf.queryExecution().toString()
+    assert len(plan) < 200_000

@@ -1,12 +1,11 @@
-"""Byte-level BPE: ranked merges folded over byte arrays by Spark's higher-order functions, and decoding by joined pieces.
+"""Byte-level BPE: ranked merges of the bytes of words, all words of a run side by side, and decoding by joined pieces.
 
-Distinct words are byte arrays that column expressions merge. A piece is named by its rank, and the ranks are one value, a subquery of one row: each pair of pieces that make a piece, as
-one number with its rank, lies in one of two places that its remainders name. A short word is folded one merge at a time; a long one by sweeps, each of which merges every pair of the least rank from left to right.
-That is the same: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank, and a word that is a piece becomes it.
+A piece is named by its rank: each pair of pieces that make a piece, as one number with its rank, lies in one of two places that its remainders name. The words of a run are one
+array of pieces, beside the rank of each piece and the next. A turn merges in every word all pairs of that word's least rank, from left to right; words without a pair that has a rank leave.
+That is the same as one merge at a time: a piece is reached by merges of lower rank only, so a merge never makes a pair of a lower rank, and a word that is a piece becomes it.
 
 Documents are cut into units on which merging works independently (``units.py``), and units into words. The words of the frequent units of all texts, a
-bounded number, are encoded once and broadcast. Other words are encoded once for each run of documents: a run is one row with the numbers of its
-units, their words by number, and the words not known yet; the expression merges these, and the ids are put together in the same stage. So no text is shuffled.
+bounded number, are encoded once and broadcast. Other words are encoded once for each run of documents, where the ids are put together. So no text is shuffled.
 """
 
 from __future__ import annotations
@@ -20,10 +19,8 @@ from collections.abc import Callable, Collection, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from newsloom.functions.binding import let
 from newsloom.llm.common import frequent_terms, text_or_empty, text_steps
 from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 
@@ -31,8 +28,6 @@ from newsloom.llm.units import Numbers, cut, gather, spaced_units, totals
 FREQUENT, STEP = 40_000, 4_000_000
 #: Bits of a piece's name.
 NAME = 17
-#: Bytes up to which a word is folded one merge at a time.
-SHORT = 48
 #: A pair without a rank.
 NONE = 2**31 - 1
 
@@ -79,100 +74,90 @@ def next_prime(n: int) -> int:
     return n
 
 
-def rank_map(spark: SparkSession, pieces: list[bytes]) -> tuple[Column, tuple[int, int]]:
-    """The ranks of pairs as one value, ``struct<bytes, pairs>``, and the two numbers whose remainders say where in ``pairs`` a pair is.
+class Merges:
+    """The merges of a rank file: names of single bytes, and the ranks of pairs, each in one of two places."""
 
-    ``bytes`` has the names of single bytes. The value is a subquery of one row, not a literal: each plan would be described with all of a literal.
-    """
-    if len(pieces) >= 1 << NAME:
-        raise ValueError(f"a rank file has at most {1 << NAME} pieces")
-    names = {piece: rank for rank, piece in enumerate(pieces)}
-    ranks, size = pairs_of(pieces), 64
-    while True:
-        size = max(size, len(ranks)) * 5 // 4
-        places = next_prime(size), next_prime(size + size // 50)
-        table = laid_out(ranks, places)
-        if table is not None:
-            break
-    singles = pa.array([[names[bytes([byte])] for byte in range(256)]], pa.list_(pa.int32()))
-    row = spark.createDataFrame(pa.table({"bytes": singles, "pairs": pa.array([table], pa.list_(pa.int64()))}))
-    return row.select(F.struct("bytes", "pairs")).scalar(), places
-
-
-def merged(word: Column, table: Column, places: tuple[int, int]) -> Column:
-    """Ids of a word given as an array of its bytes, by the ranks of ``table``: the fold of all merges."""
-
-    def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("bigint"), NAME).bitwiseOR(right)
-        here, there = (F.get(table["pairs"], at) for at in ((key % places[0]).cast("int"), (key % places[1]).cast("int") + places[0]))
-        found = F.when(F.shiftright(here, NAME) == key, here).when(F.shiftright(there, NAME) == key, there)
-        return F.coalesce(found.bitwiseAND((1 << NAME) - 1).cast("int"), F.lit(NONE))
-
-    start = F.transform(word, lambda byte: F.get(table["bytes"], byte.cast("int")))
-    return F.when(F.size(word) <= SHORT, folded(start, rank)).otherwise(swept(start, rank))
-
-
-Rank = Callable[[Column, Column], Column]
-
-
-def pair_ranks(pieces: Column, rank: Rank) -> Column:
-    """Ranks of all neighbouring pairs."""
-    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda right, i: rank(F.get(pieces, i), right))
-
-
-def turns(pieces: Column) -> Column:
-    """One item for each merge that is possible at most."""
-    return F.slice(pieces, F.lit(2), F.size(pieces))
-
-
-def folded(start: Column, rank: Rank) -> Column:
-    """Pieces left when no pair has a rank, merging the leftmost pair of the least rank each time."""
-
-    def merge(p: Column, r: Column, least: Column) -> Column:
-        # As many pieces as there were pairs: those before the merged pair, the piece it makes, those after it.
-        return let(F.array_position(r, least).cast("int") - 1, lambda at: F.transform(
-            r, lambda _, i: F.when(i < at, F.get(p, i)).when(i > at, F.get(p, i + 1)).otherwise(least)
-        ))
-
-    def step(p: Column, _: Column) -> Column:
-        return let(pair_ranks(p, rank), lambda r: let(F.array_min(r), lambda least: F.when(least < NONE, merge(p, r, least)).otherwise(p)))
-
-    return let(start, lambda p: F.aggregate(turns(p), p, step))
-
-
-def swept(start: Column, rank: Rank) -> Column:
-    """The same, merging all pairs of the least rank in one sweep."""
-
-    def state(p: Column) -> Column:
-        return F.struct(p.alias("p"), pair_ranks(p, rank).alias("r"))
-
-    def sweep(s: Column, least: Column) -> Column:
-        # '1' where a pair of the least rank begins. Of pairs that overlap, the left one goes first: in a run of
-        # ones every other one counts.
-        marks = F.array_join(F.transform(s["r"], lambda r: F.when(r == least, F.lit("1")).otherwise(F.lit("0"))), "")
-        chosen = F.split(F.concat(F.lit("0"), F.replace(marks, F.lit("11"), F.lit("10")), F.lit("0")), "")
-        return let(chosen, lambda c: let(
-            F.transform(s["p"], lambda p, i: F.when(F.get(c, i) == "1", F.lit(None)).when(F.get(c, i + 1) == "1", least).otherwise(p)),
-            lambda p: let(F.array_compact(p), state),
-        ))
-
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["r"]), lambda least: F.when(least < NONE, sweep(s, least)).otherwise(s))
-
-    return F.aggregate(turns(start), let(start, state), step, lambda s: s["p"])
-
-
-def byte_array(word: Column) -> Column:
-    """The bytes of a binary, as numbers."""
-    places = F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("smallint"))
+    def __init__(self, pieces: list[bytes]) -> None:
+        if len(pieces) >= 1 << NAME:
+            raise ValueError(f"a rank file has at most {1 << NAME} pieces")
+        names = {piece: rank for rank, piece in enumerate(pieces)}
+        ranks, size = pairs_of(pieces), 64
+        while True:
+            size = max(size, len(ranks)) * 5 // 4
+            self.places = next_prime(size), next_prime(size + size // 50)
+            table = laid_out(ranks, self.places)
+            if table is not None:
+                break
+        self.bytes, self.pairs = np.array([names[bytes([byte])] for byte in range(256)], np.int64), np.array(table, np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of pieces."""
+        key = left << NAME | right
+        here, there = self.pairs[key % self.places[0]], self.pairs[key % self.places[1] + self.places[0]]
+        found = np.where(here >> NAME == key, here, there)
+        return np.where(found >> NAME == key, found & ((1 << NAME) - 1), NONE)
+
+    def __call__(self, words: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has. All words are folded side by side, each by its own least rank."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.flatnonzero(lengths)
+        sizes, done, of = lengths[number], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pieces = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        # The rank of each piece and the one after it; the last piece of a word has none after it.
+        ranks = np.full(len(pieces), NONE)
+        ranks[:-1] = self.ranks(pieces[:-1], pieces[1:])
+        ranks[np.cumsum(sizes) - 1] = NONE
+        while len(sizes):
+            least = np.minimum.reduceat(ranks, np.cumsum(sizes) - sizes)
+            going = least < NONE
+            if not going.all():
+                # Words that are done leave.
+                stay = np.repeat(going, sizes)
+                done.append(pieces[~stay])
+                of.append(np.repeat(number[~going], sizes[~going]))
+                pieces, ranks, number, sizes, least = pieces[stay], ranks[stay], number[going], sizes[going], least[going]
+                if not len(sizes):
+                    break
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(ranks == least[word])
+            at = at[every_other(at)]
+            pieces[at], ranks[at] = least[word[at]], ranks[at + 1]
+            stay = np.ones(len(pieces), bool)
+            stay[at + 1] = False
+            sizes -= np.bincount(word[at], minlength=len(sizes))
+            pieces, ranks, at = pieces[stay], ranks[stay], at - np.arange(len(at))
+            # Only pairs with a new piece have another rank.
+            last = np.cumsum(sizes) - 1
+            inner = np.ones(len(pieces), bool)
+            inner[last] = False
+            changed = np.concatenate([at, at[at > 0] - 1])
+            changed = changed[inner[changed]]
+            ranks[changed] = self.ranks(pieces[changed], pieces[changed + 1])
+            ranks[last] = NONE
+        lengths = np.bincount(of := np.concatenate(of), minlength=len(words))
+        return np.concatenate(done)[np.argsort(of, kind="stable")].astype(np.uint32), lengths
+
+
+def every_other(places: np.ndarray) -> np.ndarray:
+    """Which of ``places`` count: of pairs that overlap the left one goes first, so in a run of neighbours every other one."""
+    begins = np.append(True, np.diff(places) > 1)[: len(places)]
+    number = np.arange(len(places))
+    return (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
 
 
 def encode_words(words: DataFrame, pieces: list[bytes], *keys: str) -> DataFrame:
     """The ids of ``words`` (word: bytes), beside the columns ``keys``."""
-    ranks, places = rank_map(words.sparkSession, pieces)
-    ids = let(F.col("_ranks"), lambda table: let(byte_array(F.col("word")), lambda word: merged(word, table, places)))
-    return words.withColumn("_ranks", ranks).select(*keys, ids.alias("ids"))
+    merges = words.sparkSession.sparkContext.broadcast(Merges(pieces))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lengths = merges.value(batch.column("word").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), lists], names=[*keys, "ids"])
+
+    kept = words.select(*keys, "word")
+    kinds = [f"{key} {kept.schema[key].dataType.simpleString()}" for key in keys]
+    return kept.mapInArrow(rows, ", ".join([*kinds, "ids array<int>"]))
 
 
 class WordIds:
@@ -215,67 +200,38 @@ def encode(
     known = WordIds(found["ids"])
     near_words = spark.sparkContext.broadcast(list(number))
     near_ids = spark.sparkContext.broadcast((known.flat, known.starts, known.lengths))
+    merges = spark.sparkContext.broadcast(Merges(pieces))
     del units, words, spread, found, known, number
     pa.default_memory_pool().release_unused()
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for a run of documents: their units by number, the units' words by number, and the words that are not frequent."""
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of runs of documents: words that are not frequent are encoded once for each run."""
         near, find = {word: at for at, word in enumerate(near_words.value)}, matcher(pattern)
+        flat, starts, lengths = near_ids.value
         for batch in batches:
             for part in text_steps(batch, most=STEP):
                 numbers, sizes, spaced, lone = cut(part.column("text"))
-                new, of_units, of_sizes = Numbers(), array("i"), array("i")
+                new, unit_words, unit_sizes = Numbers(), array("q"), array("q")
                 for space, some in ((" ", spaced.to_pylist()), ("", lone)):
                     for unit in some:
                         own = find(space + unit)
-                        of_sizes.append(len(own))
+                        unit_sizes.append(len(own))
                         for word in own:
                             at = near.get(word)
-                            of_units.append(-1 - new[word] if at is None else at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([sizes.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([numbers.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([of_sizes.tobytes()], pa.binary()),
-                        pa.array([of_units.tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), byte_lists(new)),
-                    ],
-                    names=["doc_ids", "sizes", "units", "unit_sizes", "unit_words", "words"],
-                )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each document of a run."""
-        flat, starts, lengths = near_ids.value
-        for batch in batches:
-            for at in range(batch.num_rows):
-                take = lambda name, at=at: np.frombuffer(batch.column(name)[at].as_py(), np.int32)
-                sizes, numbers, unit_sizes, unit_words = (take(name) for name in ("sizes", "units", "unit_sizes", "unit_words"))
-                own = WordIds(batch.column("ids").slice(at, 1).flatten())
-                # New words are numbered from the end: -1 is the first of them.
-                word_starts = np.concatenate([starts, (own.starts + len(flat))[::-1]])[unit_words]
-                word_lengths = np.concatenate([lengths, own.lengths[::-1]])[unit_words]
-                of_units = gather(np.concatenate([flat, own.flat]), word_starts, word_lengths)
-                unit_lengths = totals(word_lengths, unit_sizes)
+                            unit_words.append(len(near) + new[word] if at is None else at)
+                own_flat, own_lengths = merges.value(new)
+                word_lengths = np.append(lengths, own_lengths)
+                word_starts = np.append(starts, np.cumsum(own_lengths) - own_lengths + len(flat))
+                words = np.frombuffer(unit_words, np.int64)
+                of_units = gather(np.append(flat, own_flat), word_starts[words], word_lengths[words])
+                unit_lengths = totals(word_lengths[words], np.frombuffer(unit_sizes, np.int64))
                 unit_starts = np.cumsum(unit_lengths) - unit_lengths
                 each = unit_lengths[numbers]
                 ids = gather(of_units, unit_starts[numbers], each).astype("<u4")
                 ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
-                yield make(batch.column("doc_ids")[at].as_py(), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-
-    kinds = "doc_ids array<long>, sizes binary, units binary, unit_sizes binary, unit_words binary"
-    of_runs = rows.mapInArrow(runs, f"{kinds}, words array<array<smallint>>")
-    ranks_of_pairs, places = rank_map(spark, pieces)
-    ids_of_words = let(F.col("_ranks"), lambda table: F.transform("words", lambda word: merged(word, table, places)))
-    with_ids = of_runs.withColumn("_ranks", ranks_of_pairs).withColumn("ids", ids_of_words).drop("words", "_ranks")
-    return with_ids.mapInArrow(join, columns)
-
+                yield make(part.column("doc_id").to_pylist(), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-def byte_lists(words: Collection[bytes]) -> pa.ListArray:
-    """Words as lists of their bytes."""
-    bounds = np.zeros(len(words) + 1, np.int32)
-    np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=bounds[1:])
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+    return rows.mapInArrow(rows_of, columns)
 
 
 def as_binary(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:

@@ -109,3 +109,22 @@ def test_words_are_folded_and_swept_alike(spark):
 def test_plans_do_not_show_the_ranks(docs):
     plan = byte_bpe.digests(docs, frequent=3)._jdf.queryExecution().toString()
     assert len(plan) < 200_000
+
+
+def test_words_of_any_kind_are_folded_side_by_side():
+    rnd = np.random.default_rng(8)
+    words = [bytes(rnd.choice(list(b"abcdeth e\xc3\xa9\xff"), rnd.integers(0, 60)).tolist()) for _ in range(3_000)]
+    words += [b"", b"a" * 5_001, b"ab" * 3_000, b"aab" * 2_000, "\u65e5\u672c".encode() * 500, bytes(range(256)) * 4, b""]
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks={p: i for i, p in enumerate(byte_bpe.read_ranks())}, special_tokens={})
+    merges = byte_bpe.Merges(byte_bpe.read_ranks())
+    ids, lengths = merges(words)
+    got = [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == [own._core_bpe.encode_single_piece(word) if word else [] for word in words]
+    for none in ([], [b""], [b"", b""]):
+        ids, lengths = merges(none)
+        assert len(ids) == 0 and lengths.tolist() == [0] * len(none)
+
+
+def test_merges_are_no_interpreted_fold(docs):
+    plan = byte_bpe.digests(docs, frequent=3)._jdf.queryExecution().toString()
+    assert "lambdafunction" not in plan

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -37,8 +39,10 @@ ROUNDS, TRAIN_BATCH = 2, 128
 RATE = 0.02
 #: The part of attention in the mixture.
 ATTENTION = 0.3
-#: Windows scored at a time, ids laid out in windows at a time, and characters of text coded at a time.
-SCORE_BATCH, IDS, STEP = 256, 500_000, 16_000_000
+#: Windows scored at a time, ids laid out in windows at a time, and characters of text counted and coded at a time.
+SCORE_BATCH, IDS, STEP, CODED = 256, 500_000, 16_000_000, 4_000_000
+#: Words of a task whose ids are kept for the texts after them at most.
+KEPT = 200_000
 
 
 def normal(text: str) -> list[bytes]:
@@ -52,17 +56,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 class WordIds:
-    """Subword ids of words, each as it is after a space."""
+    """Subword ids of words, each as it is after a space. Those of up to ``KEPT`` words are kept."""
 
     def __init__(self, pieces: dict[bytes, int], pattern: str) -> None:
         import tiktoken
 
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.flat, self.lengths = Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
-        found = [self.encode(" " + word.decode()) for word in words]
-        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+        if len(self.place) > KEPT:
+            self.forget()
+        before = len(self.place)
+        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        flat, lengths = array("i"), array("i")
+        for word in islice(self.place, before, None):
+            ids = self.encode(" " + word.decode())
+            flat.extend(ids)
+            lengths.append(len(ids))
+        self.flat = np.append(self.flat, np.array(flat, np.int32))
+        self.lengths = np.append(self.lengths, np.array(lengths, np.int32))
+        starts, own = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[places], self.lengths[places].astype(np.int64)
+        return gather(self.flat, starts, own).astype(np.int64), own
 
 
 def read_pieces(path: str) -> dict[bytes, int]:
@@ -124,7 +143,7 @@ SEEN, ONES, LIMIT = np.tri(WINDOW, dtype=np.float32), np.ones(WINDOW, np.float32
 
 
 def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int) -> dict[str, np.ndarray]:
-    """Logits of the classes after each id from ``first`` on, for a batch of windows, and what the gradient needs."""
+    """What attention makes of each id from ``first`` on, for a batch of windows, and what the gradient needs."""
     x = p["embed"][ids]
     flat = x.reshape(-1, WIDTH)
     key, value = (flat @ p["key"]).reshape(x.shape), (flat @ p["value"]).reshape(x.shape)
@@ -136,8 +155,14 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int) -> dict[str,
     np.exp(scores, out=scores)
     scores *= SEEN[first:]
     scores /= (scores.reshape(-1, WINDOW) @ ONES).reshape(*scores.shape[:2], 1)
-    hidden = own + scores @ value
-    return {"x": x, "query": query, "key": key, "value": value, "attention": scores, "hidden": hidden, "logits": hidden.reshape(-1, WIDTH) @ p["out"] + p["bias"]}
+    return {"x": x, "query": query, "key": key, "value": value, "attention": scores, "hidden": (own + scores @ value).reshape(-1, WIDTH)}
+
+
+def logits_of(p: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Logits of the classes."""
+    logits = hidden @ p["out"]
+    logits += p["bias"]
+    return logits
 
 
 def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,14 +177,18 @@ def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tu
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss of the targets (classes) that have a weight."""
     f = forward(p, ids, 0)
-    logits = f["logits"] - f["logits"].max(1, keepdims=True)
-    share = np.exp(logits)
-    share /= share.sum(1, keepdims=True)
-    share[np.arange(len(share)), target.ravel()] -= 1
-    share *= (weight.ravel() / max(weight.sum(), 1.0))[:, None]
-    hidden = f["hidden"].reshape(-1, WIDTH)
-    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": share.sum(0)}
-    d_hidden = (share @ p["out"].T).reshape(f["x"].shape)
+    # Places that are only read have no loss.
+    use = np.flatnonzero(weight)
+    hidden = f["hidden"][use]
+    share = logits_of(p, hidden)
+    share -= share.max(1, keepdims=True)
+    np.exp(share, out=share)
+    share *= (weight.ravel()[use] / max(weight.sum(), 1.0) / (share @ np.ones(CLASSES, np.float32)))[:, None]
+    share[np.arange(len(use)), target.ravel()[use]] -= weight.ravel()[use] / max(weight.sum(), 1.0)
+    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": np.ones(len(use), np.float32) @ share}
+    d_hidden = np.zeros_like(f["hidden"])
+    d_hidden[use] = share @ p["out"].T
+    d_hidden = d_hidden.reshape(f["x"].shape)
     d_value = f["attention"].transpose(0, 2, 1) @ d_hidden
     d_attention = d_hidden @ f["value"].transpose(0, 2, 1)
     d_scores = f["attention"] * (d_attention - (d_attention * f["attention"]).sum(-1, keepdims=True))
@@ -171,7 +200,7 @@ def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weig
         d = d.reshape(-1, WIDTH)
         out[name] = x.T @ d
         d_x += d @ p[name].T
-    order = np.argsort(ids.ravel(), kind="stable")
+    order = np.argsort(ids.astype(np.uint16).ravel(), kind="stable")
     own = ids.ravel()[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     embed = np.zeros_like(p["embed"])
@@ -273,7 +302,7 @@ def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.n
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, copy = WordIds(pieces.value, pattern), Training(model, start.value)
             for batch in batches:
-                for part in text_steps(batch, most=STEP):
+                for part in text_steps(batch, most=CODED):
                     coded = Coded(part.column("text").to_pylist(), code, coding.end)
                     ends = np.cumsum(coded.per_doc)
                     for first, last in steps(coded.per_doc.tolist(), IDS):
@@ -316,7 +345,7 @@ def of_documents(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str
         for at in range(0, len(places), SCORE_BATCH):
             part = places[at : at + SCORE_BATCH]
             where = predicted[part, first:].ravel()
-            found, beginning = log_shares(forward(p, inputs[part], first)["logits"], coding.target[ids[where]], coding.begins)
+            found, beginning = log_shares(logits_of(p, forward(p, inputs[part], first)["hidden"]), coding.target[ids[where]], coding.begins)
             use = counts_for[part, first:].ravel()
             each[where[use]] += found[use]
             new[where[use]] = beginning[use]
@@ -380,7 +409,7 @@ def score(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=fields)
 
         for batch in batches:
-            for part in text_steps(batch, most=STEP):
+            for part in text_steps(batch, most=CODED):
                 coded = Coded(part.column("text").to_pylist(), code, coding.end)
                 sizes, flat, own = coded.sizes, coded.flat, coded.words
                 place = np.array([near.get(word, -1) for word in own], np.int64)

@@ -60,6 +60,46 @@ def test_every_id_is_trained_on_once():
     assert seen == collections.Counter(want)
 
 
+def test_ids_of_words_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KEPT", 40)
+    pieces = lm_scoring.read_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    code, plain = (lm_scoring.WordIds(pieces, public_tokenizers.PATTERN) for _ in range(2))
+    rnd, most = random.Random(3), 0
+    for _ in range(60):
+        words = [f"wörd{rnd.randrange(90)}!".encode() for _ in range(rnd.randrange(15))]
+        words = list(dict.fromkeys(words))
+        ids, lengths = code(words)
+        assert ids.dtype == np.int64 and ids.tolist() == [i for word in words for i in plain.encode(" " + word.decode())]
+        assert lengths.tolist() == [len(plain.encode(" " + word.decode())) for word in words]
+        most = max(most, len(code.place))
+    assert 40 < most <= 55
+
+
+def test_places_without_weight_do_not_matter_to_the_gradient():
+    rnd = np.random.default_rng(2)
+    model = lm_scoring.Model(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
+    p = {name: part.astype(float) for name, part in model.parts(model.vector).items()}
+    ids, target = rnd.integers(0, 50, (5, lm_scoring.WINDOW)), rnd.integers(0, lm_scoring.CLASSES, (5, lm_scoring.WINDOW))
+    weight = (rnd.random(ids.shape) < 0.7).astype(float)
+
+    def loss():
+        logits = lm_scoring.logits_of(p, lm_scoring.forward(p, ids, 0)["hidden"])
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        return -(logits[np.arange(len(logits)), target.ravel()] * weight.ravel()).sum() / weight.sum()
+
+    found = lm_scoring.gradient(p, ids, target, weight)
+    for name, part in p.items():
+        places = [tuple(rnd.integers(0, n) for n in part.shape) for _ in range(6)]
+        for at in [(int(ids[0, 0]), 3)] if name == "embed" else places:
+            was, sides = part[at], []
+            for step in (1e-5, -1e-5):
+                part[at] = was + step
+                sides.append(loss())
+            part[at] = was
+            assert abs((sides[0] - sides[1]) / 2e-5 - found[name][at]) < 1e-6
+    assert lm_scoring.gradient(p, ids, target, weight * 0)["out"].any() == 0
+
+
 def test_automaton_is_edit_distance():
     terms, rnd = ["idiot", "worthless", "scum", "disgusting", "moron"], random.Random(1)
 

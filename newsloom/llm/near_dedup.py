@@ -9,7 +9,7 @@ Documents with the same words are one node. Nodes that agree in a band of regist
 against one of them, the one that most others are like. Verified links make components. Members of one bucket that are still in different components
 are verified against further hubs, and at last against each other, so that no link within a bucket is lost and a group of copies costs in proportion to its size.
 Pairs are left out that cannot be links: those too far apart by the triangle inequality from their distances to the first hub, and those whose sketches
-agree in too few registers.
+agree in too few registers, and in large buckets those with too many shingles of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import key_of, staged, text_steps
@@ -250,20 +250,56 @@ def links_in_groups(pairs: DataFrame, texts: DataFrame, least: float) -> DataFra
     return pairs.groupBy("g").cogroup(members.groupBy("g")).applyInArrow(check, "u binary, v binary")
 
 
-def pairs_apart(current: DataFrame, near: Column) -> DataFrame:
+def shingle_counts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n_distinct, n_all, n_shared) of ``nodes``: how many distinct shingles a text has, all of them, and how many distinct ones another of the nodes has too."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_steps(batch, most=STEP):
+                doc, hashes, weights = shingles_of([words_of(text) for text in part.column("text").to_pylist()])
+                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
+                counts = [np.diff(ends), np.bincount(doc, weights, part.num_rows).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists, *map(pa.array, counts)], names=["node", "hashes", "n_distinct", "n_all"])
+
+    hashed = texts.join(nodes, "node", "left_semi").mapInArrow(rows, "node binary, hashes array<long>, n_distinct long, n_all long")
+    hashed = staged(hashed, "shingles")
+    shared = hashed.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    alone = shared.groupBy("node").agg(F.lit(0).cast("long").alias("n_distinct"), F.lit(0).cast("long").alias("n_all"), F.count("*").alias("n_alone"))
+    sums = hashed.select("node", "n_distinct", "n_all", F.lit(0).cast("long").alias("n_alone")).unionByName(alone).groupBy("node")
+    sums = sums.agg(*(F.sum(name).alias(name) for name in ("n_distinct", "n_all", "n_alone")))
+    return sums.select("node", "n_distinct", "n_all", (F.col("n_distinct") - F.col("n_alone")).alias("n_shared"))
+
+
+def may_share(least: float) -> Column:
+    """Whether two texts x and y may be similar by their ``shingle_counts``; true where these are not known.
+
+    Both have at most the lesser ``n_shared`` as common shingles, and every other one has at least a weight of one; so at most the parts c and d of their weights are common.
+    Of all such weights the similarity is at most 1 / (1/c + 1/d - 1): each element of it is at most 1 / (1/x + (1 - d)/y), which is concave and of degree one.
+    """
+    both = F.least("x.n_shared", "y.n_shared")
+    c, d = (1 - (F.col(f"{side}.n_distinct") - both) / F.col(f"{side}.n_all") for side in "xy")
+    return F.coalesce(c * d >= (least - 1e-9) * (c + d - c * d), F.lit(True))
+
+
+def pairs_apart(current: DataFrame, near: Column, texts: DataFrame, least: float) -> DataFrame:
     """(g, u, v): all pairs of members of a bucket that are in different components and may be links, each once.
 
     A bucket is cut into parts of about ``PART`` members by a hash, and a group is of the pairs between two of its parts. A pair that shares several buckets is of the largest one, so
-    that what is alike stays together.
+    that what is alike stays together: a row has all its buckets by falling size, and the join makes a pair only in the first one that both have.
+    Members of buckets of more than one part are counted by ``shingle_counts``, which leaves out the pairs that have too few shingles in common with anyone.
     """
     sizes = current.groupBy("band").agg(F.count("*").alias("n"))
     dealt = current.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))
+    own = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "band")).over(Window.partitionBy("node")))["band"]
+    dealt = staged(dealt.select("node", "band", "component", "sketch", "far", "n", "part", own.alias("own")), "dealt")
+    known = staged(shingle_counts(dealt.where(F.col("n") > PART).select("node").distinct(), texts), "shingle-counts")
+    dealt = dealt.where(F.col("n") > PART).join(known, "node").unionByName(dealt.where(F.col("n") <= PART), allowMissingColumns=True)
     x, y = dealt.alias("x"), dealt.alias("y")
-    apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & (agreement("x.sketch", "y.sketch") >= AGREE))
+    here = F.get(F.array_intersect("x.own", "y.own"), F.lit(0)) == F.col("x.band")
+    apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & may_share(least) & (agreement("x.sketch", "y.sketch") >= AGREE) & here)
     group = F.xxhash64("x.band", F.least("x.part", "y.part"), F.greatest("x.part", "y.part"))
-    best = F.min(F.struct((-F.col("x.n")).alias("n"), F.col("x.band").alias("band"), group.alias("g"))).alias("best")
-    pairs = apart.groupBy(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).agg(best)
-    return pairs.select("best.g", "u", "v")
+    return apart.select(group.alias("g"), F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,7 +359,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = bands.join(crowded, "band")
     popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
     popularity = popularity.join(nodes.select("node", "sketch"), "node")
-    members = staged(members.join(popularity, "node").select("node", "band", "popularity", "sketch"), "buckets")
+    members = staged(members.join(popularity, "node").select("node", "band", "size", "popularity", "sketch"), "buckets")
 
     keys = own.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).select("node", "k.a", "k.b")
     keys = staged(keys, "bucket-nodes")
@@ -345,7 +381,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             if left <= PAIRS_FOR_EACH * count or turn > HUB_ROUNDS:
                 # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
                 near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))
-                pairs = staged(pairs_apart(current, near), "pairs-apart")
+                pairs = staged(pairs_apart(current, near, texts, least), "pairs-apart")
                 links.append(staged(links_in_groups(pairs, texts, least), "verified"))
                 break
         passed = staged(hubs(current, passed), "hubs")
@@ -356,6 +392,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             far = found.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("far"))
             members = members.join(passed.select("band", "hub"), "band").join(far, ["node", "hub"], "left")
             members = staged(members.withColumn("far", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far"))).drop("hub"), "buckets")
+            # The one pair of a bucket of two has been compared.
+            members = members.where("size > 2")
         turn += 1
     out = rows.select("doc_id", "a", "b", "node")
     if links:

@@ -133,6 +133,52 @@ def test_families_about_the_limit_are_compared_in_parts(spark, monkeypatch):
     assert len(pairs) == len({(r.u, r.v) for r in pairs}) > 0 and len({r.g for r in pairs}) > 3
 
 
+def test_pairs_with_too_many_shingles_of_their_own_are_not_listed(spark, monkeypatch):
+    """Variants a little too far from their text: all pairs that are links are found, and few others are listed, each once."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 60):
+        text, first = list(base), rnd.randrange(30)
+        for k in range(rnd.choice([1, 4, 4, 4])):
+            text[first + 30 * k] = f"new{i}x{k}"
+        docs.append((i, " ".join(text + ["w0 w1 w2 w3 w4 w5"] * (i % 3))))
+    sets = [near_dedup.shingles_of([near_dedup.words_of(t)])[1:] for _, t in docs]
+    likes = {(i, j): near_dedup.similarity(sets[i], sets[j]) for i in range(60) for j in range(i)}
+    monkeypatch.setattr(near_dedup, "PART", 4)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 0)
+    asked = []
+    real = near_dedup.pairs_apart
+    monkeypatch.setattr(near_dedup, "pairs_apart", lambda *args: asked.append(real(*args)) or asked[-1])
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    part = list(range(60))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for (i, j), like in likes.items():
+        if like >= 0.8:
+            part[find(i)] = find(j)
+    assert found == {i: min(j for j in range(60) if find(j) == find(i)) for i in range(60)}
+    apart = sum(0.65 < like < 0.8 for like in likes.values())
+    pairs = asked[0].collect() if asked else []
+    assert apart > 600 and len(pairs) == len({(r.u, r.v) for r in pairs}) < apart / 4
+
+
+def test_bound_of_shared_shingles_is_above_the_similarity():
+    rnd = np.random.default_rng(4)
+    for _ in range(3_000):
+        size = rnd.integers(1, 12)
+        both = [np.sort(rnd.choice(14, size, replace=False)).astype(np.uint64) for _ in range(2)]
+        x, y = ((h, rnd.integers(1, 5, size).astype(float)) for h in both)
+        shared = len(np.intersect1d(x[0], y[0]))
+        c, d = (1 - (len(h) - shared) / w.sum() for h, w in (x, y))
+        like = near_dedup.similarity(x, y)
+        assert c * d >= (like - 1e-9) * (c + d - c * d)
+
+
 def test_signatures_estimate_similarity():
     rnd = np.random.default_rng(1)
     base = rnd.integers(1, 2**62, 400).astype(np.uint64)

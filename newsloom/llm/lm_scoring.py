@@ -177,18 +177,15 @@ def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tu
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss of the targets (classes) that have a weight."""
     f = forward(p, ids, 0)
-    # Places that are only read have no loss.
-    use = np.flatnonzero(weight)
-    hidden = f["hidden"][use]
-    share = logits_of(p, hidden)
+    share = logits_of(p, f["hidden"])
     share -= share.max(1, keepdims=True)
     np.exp(share, out=share)
-    share *= (weight.ravel()[use] / max(weight.sum(), 1.0) / (share @ np.ones(CLASSES, np.float32)))[:, None]
-    share[np.arange(len(use)), target.ravel()[use]] -= weight.ravel()[use] / max(weight.sum(), 1.0)
-    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": np.ones(len(use), np.float32) @ share}
-    d_hidden = np.zeros_like(f["hidden"])
-    d_hidden[use] = share @ p["out"].T
-    d_hidden = d_hidden.reshape(f["x"].shape)
+    share /= share.sum(1, keepdims=True)
+    share[np.arange(len(share)), target.ravel()] -= 1
+    share *= (weight.ravel() / max(weight.sum(), 1.0))[:, None]
+    hidden = f["hidden"]
+    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": share.sum(0)}
+    d_hidden = (share @ p["out"].T).reshape(f["x"].shape)
     d_value = f["attention"].transpose(0, 2, 1) @ d_hidden
     d_attention = d_hidden @ f["value"].transpose(0, 2, 1)
     d_scores = f["attention"] * (d_attention - (d_attention * f["attention"]).sum(-1, keepdims=True))

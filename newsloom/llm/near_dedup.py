@@ -294,31 +294,60 @@ def pairs_apart(current: DataFrame, near: Column, texts: DataFrame, least: float
     own = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "band")).over(Window.partitionBy("node")))["band"]
     dealt = staged(dealt.select("node", "band", "component", "sketch", "far", "n", "part", own.alias("own")), "dealt")
     known = staged(shingle_counts(dealt.where(F.col("n") > PART).select("node").distinct(), texts), "shingle-counts")
-    dealt = dealt.where(F.col("n") > PART).join(known, "node").unionByName(dealt.where(F.col("n") <= PART), allowMissingColumns=True)
+    # What has too few shingles in common with all others is in no pair.
+    shares = F.col("n_distinct") - F.col("n_shared") <= (1 - least + 1e-9) * F.col("n_all")
+    dealt = dealt.where(F.col("n") > PART).join(known.where(shares), "node").unionByName(dealt.where(F.col("n") <= PART), allowMissingColumns=True)
     x, y = dealt.alias("x"), dealt.alias("y")
     here = F.get(F.array_intersect("x.own", "y.own"), F.lit(0)) == F.col("x.band")
     apart = x.join(y, F.expr("x.band = y.band and x.component < y.component") & near & may_share(least) & (agreement("x.sketch", "y.sketch") >= AGREE) & here)
     group = F.xxhash64("x.band", F.least("x.part", "y.part"), F.greatest("x.part", "y.part"))
-    return apart.select(group.alias("g"), F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its least node) for all nodes of ``links`` (u, v), by large and small stars in turns."""
-    edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u")
-        edges = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = staged(edges.where("u > v").distinct(), "links")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    apart = apart.select(group.alias("g"), F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
+    # A large bucket is split on both sides of the join, into many small tasks.
+    context = current.sparkSession.sparkContext
+    return apart.coalesce(max(int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that connect the same nodes as ``edges`` do: in each batch every node hangs below the least one that the batch connects it to."""
+
+    def hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            above: dict[bytes, bytes] = {}
+
+            def top(node: bytes, above: dict[bytes, bytes] = above) -> bytes:
+                while (up := above.get(node)) is not None:
+                    above[node] = node = above.get(up, up)
+                return node
+
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                u, v = top(u), top(v)
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in (list(above), list(map(top, list(above))))], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(hung, "u binary, v binary")
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(u, v): every node of ``links`` (u, v) but the least of its component, and that least node. By large and small stars in turns.
+
+    Batches of links are contracted where they lie, so a node begins with at most one parent for each batch; no turn makes more rows than it gets. It is over when a
+    turn changes nothing: then no parent has a parent, and every node has one.
+    """
+    edges = staged(contracted(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")), "links")
+    mark = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+    before, now = None, edges.agg(*mark).first()
+    by_node = Window.partitionBy("u").orderBy("v")
+    while now[0] and now != before:
+        # Every edge goes on to the least parent of its own.
+        parents = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        large = edges.join(parents, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Each node keeps its least parent, and the others hang below that.
+        small = large.select("u", "v", F.first("v").over(by_node).alias("m"), F.lag("v").over(by_node).alias("last"))
+        small = small.where("last is null or v != last").select(F.when(F.col("last").isNull(), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = staged(small, "links")
+        before, now = now, edges.agg(*mark).first()
+    return edges
 
 
 def hubs(members: DataFrame, passed: DataFrame | None) -> DataFrame:
@@ -337,7 +366,7 @@ def hubs(members: DataFrame, passed: DataFrame | None) -> DataFrame:
 def to_hubs(members: DataFrame, found: DataFrame, agree: int) -> DataFrame:
     """Pairs of a member (u) and a hub (v) of its bucket that are in different components and may be similar."""
     pairs = members.join(found, "band").where((F.col("component") != F.col("of")) & (agreement("sketch", "hub_sketch") >= agree))
-    return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v")).repartition("u").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -356,10 +385,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bands = nodes.select("node", F.posexplode("bands").alias("number", "value"))
     bands = bands.select("node", F.xxhash64("number", "value").alias("band"))
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = bands.join(crowded, "band")
-    popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
-    popularity = popularity.join(nodes.select("node", "sketch"), "node")
-    members = staged(members.join(popularity, "node").select("node", "band", "size", "popularity", "sketch"), "buckets")
+    members = bands.join(crowded, "band").withColumn("popularity", F.sum("size").over(Window.partitionBy("node")))
+    members = staged(members.join(nodes.select("node", "sketch"), "node").select("node", "band", "size", "popularity", "sketch"), "buckets")
 
     keys = own.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).select("node", "k.a", "k.b")
     keys = staged(keys, "bucket-nodes")
@@ -367,27 +394,30 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = keyed(docs).join(F.broadcast(keys) if count <= BROADCAST_NODES else keys, ["a", "b"]).select("node", "text")
     texts = staged(texts.dropDuplicates(["node"]), "bucket-texts")
 
-    links: list[DataFrame] = []
+    # A node without a row is the least of its component, or has no link.
+    links, node_of, own_of = None, F.col("u").alias("node"), F.col("v").alias("component")
     current, turn, passed = members.withColumn("component", F.col("node")), 0, None
     while count:
         if turn:
-            found = components(reduce(DataFrame.unionByName, links))
-            current = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            current = staged(split_only(current), "split-buckets")
+            current = staged(members.drop("component").join(links.select(node_of, own_of), "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
             size = current.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-            left = size.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+            size = staged(size.select("band", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("left")).where("left > 0"), "split")
+            left = size.agg(F.sum("left")).first()[0] or 0
             if not left:
                 break
+            # A bucket of one component stays so: only the others go on.
+            members = current = staged(current.join(size.select("band"), "band"), "split-buckets")
             if left <= PAIRS_FOR_EACH * count or turn > HUB_ROUNDS:
                 # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
                 near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))
                 pairs = staged(pairs_apart(current, near, texts, least), "pairs-apart")
-                links.append(staged(links_in_groups(pairs, texts, least), "verified"))
+                links = stars(links.unionByName(staged(links_in_groups(pairs, texts, least), "verified")))
                 break
         passed = staged(hubs(current, passed), "hubs")
         # All members are compared with the first hub, for their distances from it; with later ones if they may be similar.
         found = staged(compared(to_hubs(current, passed, AGREE if turn else 0), texts), "compared")
-        links.append(found.where(F.col("similarity") >= least).select("u", "v"))
+        new = found.where(F.col("similarity") >= least).select("u", "v")
+        links = stars(links.unionByName(new) if turn else new)
         if not turn:
             far = found.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("far"))
             members = members.join(passed.select("band", "hub"), "band").join(far, ["node", "hub"], "left")
@@ -396,9 +426,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             members = members.where("size > 2")
         turn += 1
     out = rows.select("doc_id", "a", "b", "node")
-    if links:
-        found = components(reduce(DataFrame.unionByName, links))
-        out = out.join(found, "node", "left")
+    if links is not None:
+        out = out.join(links.select(node_of, own_of), "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("binary"))
     # A text without words has a component of its own, made from its key.
@@ -409,12 +438,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return joined.select("doc_id", "a", "b", F.col("first.doc_id").alias("class_id"), "class_size", (place == F.col("first")).alias("is_first"))
 
 
-def split_only(members: DataFrame) -> DataFrame:
-    """Members of buckets that have several components."""
-    split = members.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("band")
-    return members.join(split, "band")
-
-
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The first document of each class, all columns as they are; of rows that are the same document, one stays."""
     a, b = key_of(docs["doc_id"], docs["text"].cast("string"))

@@ -133,6 +133,64 @@ def test_families_about_the_limit_are_compared_in_parts(spark, monkeypatch):
     assert len(pairs) == len({(r.u, r.v) for r in pairs}) > 0 and len({r.g for r in pairs}) > 3
 
 
+def test_stars_connect_what_links_connect(spark, monkeypatch):
+    """A chain, a wheel and random links, contracted a few at a time, end as stars; a turn moves its edges three times at most."""
+    rnd = random.Random(8)
+    names = [b"%04d" % i for i in rnd.sample(range(1_000, 9_999), 700)]
+    links = [(i, i + 1) for i in range(150)] + [(200, i) for i in range(201, 300)] + [(rnd.randrange(300, 700), rnd.randrange(300, 700)) for _ in range(330)] + [(5, 5), (8, 7)]
+    part = list(range(700))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, j in links:
+        part[find(i)] = find(j)
+    least = {}
+    for i, name in enumerate(names):
+        least[find(i)] = min(name, least.get(find(i), name))
+    moved, real = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, label: moved.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")) or real(df, label))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = near_dedup.stars(spark.createDataFrame([(names[i], names[j]) for i, j in links], "u binary, v binary")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((bytes(r.u), bytes(r.v)) for r in found) == sorted((name, least[find(i)]) for i, name in enumerate(names) if name != least[find(i)])
+    assert len(moved) > 2 and max(moved) <= 3
+    assert near_dedup.stars(spark.createDataFrame([], "u binary, v binary")).count() == 0
+
+
+def test_buckets_of_one_component_leave_and_turns_move_little(spark, monkeypatch):
+    """A cluster, copies and loners: after the first hubs only buckets of several components are looked at, and the whole takes few exchanges."""
+    rnd = random.Random(31)
+    docs = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for i in range(12):
+            text = list(base)
+            for _ in range(rnd.randint(1, 3 + family // 4)):
+                text[rnd.randrange(150)] = f"new{i}"
+            docs.append((100 * family + i, " ".join(text)))
+    seen, real = [], near_dedup.staged
+
+    def spied(df, label):
+        seen.append((label, df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")))
+        out = real(df, label)
+        if label in ("labelled", "split-buckets"):
+            sizes.setdefault(label, []).append(out.count())
+        return out
+
+    sizes = {}
+    monkeypatch.setattr(near_dedup, "staged", spied)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    assert all(d // 100 == c // 100 for d, c in found.items())
+    assert all(n <= 3 for label, n in seen if label in ("links", "labelled", "split-buckets")), seen
+    assert sizes["labelled"][1:] == sizes["split-buckets"][: len(sizes["labelled"]) - 1]
+
+
 def test_pairs_with_too_many_shingles_of_their_own_are_not_listed(spark, monkeypatch):
     """Variants a little too far from their text: all pairs that are links are found, and few others are listed, each once."""
     rnd = random.Random(21)

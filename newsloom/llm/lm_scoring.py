@@ -177,18 +177,25 @@ def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tu
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss of the targets (classes) that have a weight."""
     f = forward(p, ids, 0)
-    share = logits_of(p, f["hidden"])
-    share -= share.max(1, keepdims=True)
+    # Places without a weight have no loss, so they need no logits.
+    use = np.flatnonzero(weight)
+    hidden, part = f["hidden"][use], weight.ravel()[use] / max(weight.sum(), 1.0)
+    share = logits_of(p, hidden)
+    if max(share.max(initial=0.0), -share.min(initial=0.0)) > LIMIT:
+        share -= share.max(1, keepdims=True)
     np.exp(share, out=share)
-    share /= share.sum(1, keepdims=True)
-    share[np.arange(len(share)), target.ravel()] -= 1
-    share *= (weight.ravel() / max(weight.sum(), 1.0))[:, None]
-    hidden = f["hidden"]
-    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": share.sum(0)}
-    d_hidden = (share @ p["out"].T).reshape(f["x"].shape)
+    share *= (part / (share @ np.ones(share.shape[1], np.float32)))[:, None]
+    share[np.arange(len(share)), target.ravel()[use]] -= part
+    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": np.ones(len(share), np.float32) @ share}
+    d_hidden = np.zeros_like(f["hidden"])
+    d_hidden[use] = share @ p["out"].T
+    d_hidden = d_hidden.reshape(f["x"].shape)
     d_value = f["attention"].transpose(0, 2, 1) @ d_hidden
     d_attention = d_hidden @ f["value"].transpose(0, 2, 1)
-    d_scores = f["attention"] * (d_attention - (d_attention * f["attention"]).sum(-1, keepdims=True))
+    # Of the attention's own part in each place, this is the sum over what the place sees.
+    d_attention -= (d_hidden * (f["hidden"].reshape(d_hidden.shape) - f["x"])) @ np.ones((WIDTH, 1), np.float32)
+    d_scores = d_attention
+    d_scores *= f["attention"]
     out["place"] = d_scores.sum(0)
     d_query, d_key = d_scores @ f["key"], d_scores.transpose(0, 2, 1) @ f["query"]
     x = f["x"].reshape(-1, WIDTH)
@@ -219,10 +226,15 @@ class Training:
             found = gradient(self.model.parts(self.vector), ids[part], target[part], weight[part])
             g = np.concatenate([found[name].ravel() for name in self.model.shapes]).astype(np.float32)
             self.step += 1
-            self.m += 0.1 * (g - self.m)
-            self.v += 0.01 * (g * g - self.v)
+            self.m *= 0.9
+            self.m += 0.1 * g
+            self.v *= 0.99
+            g *= g
+            self.v += np.multiply(g, 0.01, out=g)
             rate = RATE / math.sqrt(1 + self.step / 50)
-            self.vector -= rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+            scale = np.sqrt(np.divide(self.v, 1 - 0.99**self.step, out=g), out=g)
+            scale += 1e-6
+            self.vector -= np.divide(self.m * (rate / (1 - 0.9**self.step)), scale, out=scale)
         self.windows += len(ids)
 
 

@@ -100,6 +100,25 @@ def test_places_without_weight_do_not_matter_to_the_gradient():
     assert lm_scoring.gradient(p, ids, target, weight * 0)["out"].any() == 0
 
 
+def test_places_without_weight_get_no_logits(monkeypatch):
+    """Only places with a weight are given logits; large logits are safe, and a step is that of Adam."""
+    rnd = np.random.default_rng(6)
+    model = lm_scoring.Model(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
+    ids, target = rnd.integers(0, 50, (9, lm_scoring.WINDOW)), rnd.integers(0, lm_scoring.CLASSES, (9, lm_scoring.WINDOW))
+    weight = (rnd.random(ids.shape) < 0.7).astype(np.float32)
+    asked, real = [], lm_scoring.logits_of
+    monkeypatch.setattr(lm_scoring, "logits_of", lambda p, hidden: asked.append(len(hidden)) or real(p, hidden))
+    found = lm_scoring.gradient(model.parts(model.vector), ids, target, weight)
+    assert asked == [int(weight.sum())]
+    copy = lm_scoring.Training(model, model.vector)
+    copy.learn(ids, target, weight)
+    g = np.concatenate([found[name].ravel() for name in model.shapes])
+    assert np.allclose(copy.vector, model.vector - lm_scoring.RATE / math.sqrt(1.02) * g / (np.abs(g) + 1e-6), atol=1e-5)
+    p = model.parts(model.vector.copy())
+    p["out"] *= 1e5
+    assert all(np.isfinite(part).all() for part in lm_scoring.gradient(p, ids, target, weight).values())
+
+
 def test_automaton_is_edit_distance():
     terms, rnd = ["idiot", "worthless", "scum", "disgusting", "moron"], random.Random(1)
 

@@ -406,7 +406,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             if not left:
                 break
             # A bucket of one component stays so: only the others go on.
-            members = current = staged(current.join(size.select("band"), "band"), "split-buckets")
+            members = current = staged(current.join(size, "band", "left_semi"), "split-buckets")
             if left <= PAIRS_FOR_EACH * count or turn > HUB_ROUNDS:
                 # One less the similarity is a metric: texts whose distances from a hub differ by more are no link.
                 near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9, F.lit(True))

@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,12 @@ ROUNDS, TRAIN_BATCH = 2, 128
 RATE = 0.02
 #: The part of attention in the mixture.
 ATTENTION = 0.3
-#: Windows scored at a time, ids laid out in windows at a time, and characters of text counted and coded at a time.
-SCORE_BATCH, IDS, STEP, CODED = 256, 500_000, 16_000_000, 4_000_000
-#: Words of a task whose ids are kept for the texts after them at most.
+#: Windows scored at a time, ids laid out in windows at a time, and characters of text (or bytes of ids) coded, counted and scored at a time.
+SCORE_BATCH, IDS, CODED = 64, 500_000, 4_000_000
+#: Words of a task whose ids are kept for the texts after them at most, or whose counts are summed before they are handed on.
 KEPT = 200_000
+#: Words that are coded in one string, and those that can be.
+TOGETHER, SOLID = 5_000, re.compile(r"\S+")
 
 
 def normal(text: str) -> list[bytes]:
@@ -62,6 +65,8 @@ class WordIds:
         import tiktoken
 
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+        #: Whether no match of the pattern goes beyond a word, and which pieces begin one.
+        self.apart, self.begins = pattern == public_tokenizers.PATTERN, beginnings(pieces)
         self.forget()
 
     def forget(self) -> None:
@@ -73,37 +78,163 @@ class WordIds:
             self.forget()
         before = len(self.place)
         places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        flat, lengths = array("i"), array("i")
-        for word in islice(self.place, before, None):
-            ids = self.encode(" " + word.decode())
-            flat.extend(ids)
-            lengths.append(len(ids))
-        self.flat = np.append(self.flat, np.array(flat, np.int32))
-        self.lengths = np.append(self.lengths, np.array(lengths, np.int32))
+        flat, lengths = self.ids([word.decode() for word in islice(self.place, before, None)])
+        self.flat, self.lengths = np.append(self.flat, flat), np.append(self.lengths, lengths)
         starts, own = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[places], self.lengths[places].astype(np.int64)
         return gather(self.flat, starts, own).astype(np.int64), own
 
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are not kept. Those without any white space of Unicode are coded many in one string."""
+        solid = np.fromiter((self.apart and SOLID.fullmatch(word) is not None for word in words), bool, len(words))
+        together, run = list(compress(words, solid)), array("i")
+        for at in range(0, len(together), TOGETHER):
+            run.extend(self.encode(" " + " ".join(together[at : at + TOGETHER])))
+        others = [self.encode(" " + word) for word in compress(words, ~solid)]
+        run, lengths = np.array(run, np.int32), np.zeros(len(words), np.int32)
+        # A space stands only before a word, so its piece begins the word.
+        lengths[solid] = np.diff(np.append(np.flatnonzero(self.begins[run]), len(run)))
+        lengths[~solid] = [len(ids) for ids in others]
+        flat, in_run = np.zeros(int(lengths.sum()), np.int32), np.repeat(solid, lengths)
+        flat[in_run] = run
+        flat[~in_run] = np.concatenate([np.zeros(0, np.int32), *others])
+        return flat, lengths
+
 
 def read_pieces(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word and n over the training documents of ``docs`` (doc_id, text); counted in parts before the shuffle."""
+def beginnings(pieces: dict[bytes, int]) -> np.ndarray:
+    """Which ids begin a word, those of pieces with a space. The end, the id after the last, does not."""
+    begins = np.zeros(len(pieces) + 1, bool)
+    begins[[i for piece, i in pieces.items() if piece[:1] == b" "]] = True
+    return begins
+
+
+class Coded:
+    """Texts as subword ids: ids of all texts one after the other, each with its end, and how many each text has."""
+
+    def __init__(self, texts: list[str] | pa.Array, code: WordIds, end: int) -> None:
+        # Arrow's lower case and white space are those of ASCII. Before and after white space at the ends of a text it gives an empty word.
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+        sizes, words = cut.value_lengths().to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        flat, empty = words.indices.to_numpy().astype(np.int64), pc.index(words.dictionary, "").as_py()
+        self.words = words.dictionary.cast(pa.binary()).to_pylist()
+        if empty >= 0:
+            del self.words[empty]
+            sizes, flat = totals(flat != empty, sizes), flat[flat != empty]
+            flat -= flat > empty
+        of_words, lengths = code(self.words)
+        starts, own = (np.cumsum(lengths) - lengths)[flat], lengths[flat]
+        per_doc = totals(own, sizes)
+        self.ids, self.per_doc = np.insert(gather(of_words, starts, own), np.cumsum(per_doc), end), per_doc + 1
+
+
+class Words:
+    """The words that runs of ids stand for. A word begins with a piece that begins with a space; its ids give its bytes."""
+
+    def __init__(self, pieces: dict[bytes, int]) -> None:
+        self.end = len(pieces)
+        self.marks = beginnings(pieces)
+        self.marks[self.end] = True
+        of = [b""] * (self.end + 1)
+        for piece, i in pieces.items():
+            of[i] = piece.removeprefix(b" ")
+        self.pieces = pa.array(of, pa.binary())
+        self.bytes, self.sizes = np.frombuffer(b"".join(of), np.uint8), np.array([len(piece) for piece in of])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, ids: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words and pieces (the end is empty), the number among them of each word and end in ``ids``, and how many ids that has.
+
+        A word of one id has the id as its number; the others come after all pieces.
+        """
+        starts = np.flatnonzero(self.marks[ids])
+        lengths = np.diff(np.append(starts, len(ids)))
+        number, several = ids[starts].astype(np.int64), np.flatnonzero(lengths > 1)
+        own = gather(ids, starts[several], lengths[several])
+        sizes = self.sizes[own]
+        offsets = np.append(0, np.cumsum(totals(sizes, lengths[several]))).astype(np.int32)
+        data = gather(self.bytes, self.starts[own], sizes)
+        found = pa.Array.from_buffers(pa.binary(), len(several), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        number[several] = found.indices.to_numpy() + (self.end + 1)
+        return pa.concat_arrays([self.pieces, found.dictionary]), number, lengths
+
+
+def packed(end: int) -> type:
+    """The kind of number that ids are staged as."""
+    return np.uint16 if end < 2**16 else np.uint32
+
+
+def code_texts(docs: DataFrame, pieces: object, pattern: str) -> DataFrame:
+    """doc_id, held_out and ids of every row of ``docs``: the text's ids and its end as little-endian numbers."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = WordIds(pieces.value, pattern), len(pieces.value)
+        for batch in batches:
+            for part in text_steps(batch, most=CODED):
+                coded = Coded(part.column("text"), words, end)
+                ids = coded.ids.astype(packed(end))
+                offsets = (np.append(0, np.cumsum(coded.per_doc)) * ids.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), column], names=["doc_id", "held_out", "ids"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_or_empty(docs).alias("text"))
+    return rows.mapInArrow(code, "doc_id long, held_out boolean, ids binary")
+
+
+def unpacked(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    kind = np.dtype(packed(end))
+    ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return ids.astype(np.int32), np.diff(offsets).astype(np.int64) // kind.itemsize
+
+
+def count_words(training: DataFrame, pieces: object) -> DataFrame:
+    """word and n over the texts of ``training`` (ids); counted in parts before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = Words(pieces.value), []
+
+        def summed() -> list[pa.RecordBatch]:
+            table = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            parts.clear()
+            return table.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
+
         for batch in batches:
-            for part in text_steps(batch, most=STEP):
-                counts: Counter = Counter()
-                for text in part.column("text").to_pylist():
-                    counts.update(normal(text))
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            for part in text_steps(batch, "ids", CODED):
+                own, number, _ = words(unpacked(part.column("ids"), words.end)[0])
+                n = np.bincount(number, minlength=len(own))
+                n[words.end] = 0
+                seen = np.flatnonzero(n)
+                parts.append(pa.table({"word": own.take(pa.array(seen)), "n": n[seen]}))
+                if sum(map(len, parts)) > KEPT:
+                    yield from summed()
+        if parts:
+            yield from summed()
 
-    training = docs.where(~held_out(docs["doc_id"])).select(text_or_empty(docs).alias("text"))
     return training.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def count_ids(training: DataFrame, end: int) -> np.ndarray:
+    """How often each id is in the texts of ``training`` (ids), the end last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(end + 1, np.int64)
+        for batch in batches:
+            for part in text_steps(batch, "ids", CODED):
+                sums += np.bincount(unpacked(part.column("ids"), end)[0], minlength=end + 1)
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["id", "n"])
+
+    found = training.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(end + 1, np.int64)
+    sums[found["id"].to_numpy()] = found["n"].to_numpy()
+    return sums
+
+
 def classed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The class of each id, the log of its share of the class, and the share of each class, from counts of ids."""
     smooth = counts + 1.0
@@ -139,76 +270,154 @@ class Model:
 
 
 #: What a place sees: itself and the ids before it. Scores and logits are held within limits in which exponentials are safe.
-SEEN, ONES, LIMIT = np.tri(WINDOW, dtype=np.float32), np.ones(WINDOW, np.float32), 60.0
+SEEN, LIMIT = np.tri(WINDOW, dtype=np.float32), 60.0
+#: Exponentials are powers of two, which numpy has faster.
+BITS = 1 / math.log(2)
+#: Windows whose attention and rows whose classes are computed at a time: what the cache holds.
+SOME_WINDOWS, SOME_ROWS = 64, 384
+
+
+class Ready:
+    """What all windows need of the parameters: scores and logits count in bits, the bias is the last row of ``out``."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.embed, self.mix, self.value = p["embed"], p["query"] @ p["key"].T, p["value"]
+        self.asks = self.mix * BITS
+        self.place = p["place"] * BITS
+        self.head = {"out": np.vstack([p["out"], p["bias"]]) * BITS}
+        self.from_out, self.from_mix, self.from_value = (np.ascontiguousarray(part.T) for part in (p["out"], self.mix, self.value))
+        self.ones = np.ones(CLASSES, p["out"].dtype)
+
+
+def safe(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials show that none of them was too large, and that those too small do not matter."""
+    return not len(sums) or bool(1e-18 < sums.min() and sums.max() < 1e18)
 
 
-def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int) -> dict[str, np.ndarray]:
+def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int, ready: "Ready | None" = None) -> dict[str, np.ndarray]:
     """What attention makes of each id from ``first`` on, for a batch of windows, and what the gradient needs."""
-    x = p["embed"][ids]
-    flat = x.reshape(-1, WIDTH)
-    key, value = (flat @ p["key"]).reshape(x.shape), (flat @ p["value"]).reshape(x.shape)
-    own = x[:, first:]
-    query = (own.reshape(-1, WIDTH) @ p["query"]).reshape(own.shape)
-    scores = query @ key.transpose(0, 2, 1)
-    scores += p["place"][first:]
-    np.clip(scores, -LIMIT, LIMIT, out=scores)
-    np.exp(scores, out=scores)
-    scores *= SEEN[first:]
-    scores /= (scores.reshape(-1, WINDOW) @ ONES).reshape(*scores.shape[:2], 1)
-    return {"x": x, "query": query, "key": key, "value": value, "attention": scores, "hidden": (own + scores @ value).reshape(-1, WIDTH)}
+    ready = ready or Ready(p)
+    x = ready.embed.take(ids, 0)
+    across = np.ones((len(ids), WIDTH + 1, WINDOW), x.dtype)
+    across[:, :WIDTH] = x.transpose(0, 2, 1)
+    own = x[:, first:].reshape(-1, WIDTH)
+    asks = (own @ ready.asks).reshape(len(ids), -1, WIDTH)
+
+    def look(limit: float) -> tuple[np.ndarray, np.ndarray]:
+        seen = asks @ across[:, :WIDTH]
+        seen += ready.place[first:]
+        if limit < math.inf:
+            np.clip(seen, -limit, limit, out=seen)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp2(seen, out=seen)
+            seen *= SEEN[first:]
+            return seen, seen.reshape(-1, WINDOW) @ np.ones(WINDOW, x.dtype)
+
+    seen, sums = look(math.inf)
+    if not safe(sums):
+        seen, sums = look(LIMIT * BITS)
+    scale = (1 / sums)[:, None]
+    read = (seen @ x).reshape(-1, WIDTH)
+    read *= scale
+    full = np.ones((len(own), WIDTH + 1), x.dtype)
+    np.add(read @ ready.value, own, out=full[:, :WIDTH])
+    return {"x": x, "across": across, "own": own, "asks": asks, "seen": seen, "scale": scale, "read": read, "full": full, "hidden": full[:, :WIDTH]}
 
 
 def logits_of(p: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
-    """Logits of the classes."""
+    """Logits of the classes; where there is no bias, it is the last row of ``out``."""
     logits = hidden @ p["out"]
-    logits += p["bias"]
+    if "bias" in p:
+        logits += p["bias"]
     return logits
 
 
-def log_shares(logits: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logs of the probabilities of each target class and of an id that begins a word. Changes ``logits``."""
-    np.clip(logits, -LIMIT, LIMIT, out=logits)
-    chosen = logits[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    sums = np.log(logits @ np.column_stack([np.ones(len(begins), np.float32), begins]) + np.float32(1e-30))
-    return chosen - sums[:, 0], sums[:, 1] - sums[:, 0]
+def log_shares(ready: Ready, hidden: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logs of the probabilities of each target class and of an id that begins a word. ``begins`` has the sums' weights: ones, and the share of each class that begins one."""
+    logits = logits_of(ready.head, hidden)
+    spots = np.arange(0, logits.size, CLASSES) + target
+    chosen = logits.ravel()[spots]
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = np.exp2(logits, out=logits) @ begins
+    if not safe(sums[:, 0]):
+        logits = np.clip(logits_of(ready.head, hidden), -LIMIT * BITS, LIMIT * BITS)
+        chosen = logits.ravel()[spots]
+        sums = np.exp2(logits, out=logits) @ begins
+    sums += np.float32(1e-30)
+    np.log2(sums, out=sums)
+    return (chosen - sums[:, 0]) / BITS, (sums[:, 1] - sums[:, 0]) / BITS
+
+
+def add_gradient(ready: Ready, ids: np.ndarray, target: np.ndarray, part: np.ndarray, first: int, out: dict[str, np.ndarray], d_x: np.ndarray) -> None:
+    """Adds the gradient of some windows to ``out`` and puts that of their input vectors into ``d_x``. No place before ``first`` has a weight."""
+    f = forward({}, ids, first, ready)
+    part, target = part[:, first:].ravel(), target[:, first:].ravel()
+    # Places without a weight have no loss, so they need no logits.
+    use = np.flatnonzero(part)
+    hidden, weight = f["full"].take(use, 0), part[use]
+    spots = np.arange(0, len(use) * CLASSES, CLASSES) + target[use]
+    d_hidden = np.zeros_like(f["own"])
+    found = d_hidden if len(use) == len(d_hidden) else np.empty_like(d_hidden[: len(use)])
+    for at in range(0, len(use), SOME_ROWS):
+        rows = slice(at, at + SOME_ROWS)
+        share = logits_of(ready.head, hidden[rows])
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp2(share, out=share)
+            sums = share @ ready.ones
+        if not safe(sums):
+            share = logits_of(ready.head, hidden[rows])
+            share -= share.max(1, keepdims=True)
+            np.exp2(share, out=share)
+            sums = share @ ready.ones
+        np.subtract.at(share.reshape(-1), spots[rows] - at * CLASSES, sums)
+        own = (weight[rows] / sums)[:, None]
+        out["out"] += (hidden[rows] * own).T @ share
+        np.multiply(share @ ready.from_out, own, out=found[rows])
+    if found is not d_hidden:
+        d_hidden[use] = found
+    d_own = d_hidden @ ready.from_value
+    d_own *= f["scale"]
+    d_read = np.empty((len(d_hidden), WIDTH + 1), d_hidden.dtype)
+    d_read[:, :WIDTH] = d_own
+    # Of the attention's own part in each place, this is the sum over what the place sees.
+    d_read[:, WIDTH] = (d_own * f["read"]) @ -np.ones(WIDTH, d_read.dtype)
+    d_read = d_read.reshape(len(ids), -1, WIDTH + 1)
+    d_seen = d_read @ f["across"]
+    d_seen *= f["seen"]
+    d_asks = (d_seen @ f["x"]).reshape(-1, WIDTH)
+    out["place"][first:] += (np.ones(len(ids), d_seen.dtype) @ d_seen.reshape(len(ids), -1)).reshape(-1, WINDOW)
+    out["value"] += f["read"].T @ d_hidden
+    out["mix"] += f["own"].T @ d_asks
+    np.matmul(f["seen"].transpose(0, 2, 1), d_own.reshape(f["asks"].shape), out=d_x)
+    f["asks"] *= 1 / BITS
+    d_x += d_seen.transpose(0, 2, 1) @ f["asks"]
+    d_hidden += d_asks @ ready.from_mix
+    d_x[:, first:] += d_hidden.reshape(len(ids), -1, WIDTH)
 
 
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss of the targets (classes) that have a weight."""
-    f = forward(p, ids, 0)
-    # Places without a weight have no loss, so they need no logits.
-    use = np.flatnonzero(weight)
-    hidden, part = f["hidden"][use], weight.ravel()[use] / max(weight.sum(), 1.0)
-    share = logits_of(p, hidden)
-    if max(share.max(initial=0.0), -share.min(initial=0.0)) > LIMIT:
-        share -= share.max(1, keepdims=True)
-    np.exp(share, out=share)
-    share *= (part / (share @ np.ones(share.shape[1], np.float32)))[:, None]
-    share[np.arange(len(share)), target.ravel()[use]] -= part
-    out: dict[str, np.ndarray] = {"out": hidden.T @ share, "bias": np.ones(len(share), np.float32) @ share}
-    d_hidden = np.zeros_like(f["hidden"])
-    d_hidden[use] = share @ p["out"].T
-    d_hidden = d_hidden.reshape(f["x"].shape)
-    d_value = f["attention"].transpose(0, 2, 1) @ d_hidden
-    d_attention = d_hidden @ f["value"].transpose(0, 2, 1)
-    # Of the attention's own part in each place, this is the sum over what the place sees.
-    d_attention -= (d_hidden * (f["hidden"].reshape(d_hidden.shape) - f["x"])) @ np.ones((WIDTH, 1), np.float32)
-    d_scores = d_attention
-    d_scores *= f["attention"]
-    out["place"] = d_scores.sum(0)
-    d_query, d_key = d_scores @ f["key"], d_scores.transpose(0, 2, 1) @ f["query"]
-    x = f["x"].reshape(-1, WIDTH)
-    d_x = d_hidden.reshape(-1, WIDTH).copy()
-    for name, d in (("query", d_query), ("key", d_key), ("value", d_value)):
-        d = d.reshape(-1, WIDTH)
-        out[name] = x.T @ d
-        d_x += d @ p[name].T
+    ready = Ready(p)
+    # Most windows have no weight before their stride; those that have stand last.
+    early = weight[:, : WINDOW - STRIDE].any(1)
+    order, late = np.argsort(early, kind="stable"), len(early) - np.count_nonzero(early)
+    ids, target, part = ids[order], target[order], weight[order] / max(weight.sum(), 1.0)
+    kind = p["embed"].dtype
+    sums = {"out": np.zeros((WIDTH + 1, CLASSES), kind), "place": np.zeros((WINDOW, WINDOW), kind), "value": np.zeros((WIDTH, WIDTH), kind), "mix": np.zeros((WIDTH, WIDTH), kind)}
+    d_x = np.empty((*ids.shape, WIDTH), kind)
+    for start, end, first in ((0, late, WINDOW - STRIDE), (late, len(ids), 0)):
+        for at in range(start, end, SOME_WINDOWS):
+            some = slice(at, min(at + SOME_WINDOWS, end))
+            add_gradient(ready, ids[some], target[some], part[some], first, sums, d_x[some])
+    out = {"place": sums["place"], "value": sums["value"], "out": sums["out"][:WIDTH], "bias": sums["out"][WIDTH]}
+    out |= {"query": sums["mix"] @ p["key"], "key": sums["mix"].T @ p["query"]}
     order = np.argsort(ids.astype(np.uint16).ravel(), kind="stable")
     own = ids.ravel()[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     embed = np.zeros_like(p["embed"])
-    embed[own[first]] = np.add.reduceat(d_x[order], first, axis=0)
+    # Two neighbours are summed as one complex number, which halves the sums.
+    pairs = d_x.reshape(-1, WIDTH).take(order, 0).view(np.result_type(kind, np.complex64))
+    embed[own[first]] = np.add.reduceat(pairs, first, axis=0).view(kind)
     out["embed"] = embed
     return out
 
@@ -224,17 +433,21 @@ class Training:
         for at in range(0, len(ids), TRAIN_BATCH):
             part = slice(at, at + TRAIN_BATCH)
             found = gradient(self.model.parts(self.vector), ids[part], target[part], weight[part])
-            g = np.concatenate([found[name].ravel() for name in self.model.shapes]).astype(np.float32)
+            g = np.concatenate([found[name].ravel() for name in self.model.shapes]).astype(np.float32, copy=False)
             self.step += 1
+            # Sums without the factors 0.1 and 0.01, which go into the rate.
             self.m *= 0.9
-            self.m += 0.1 * g
+            self.m += g
             self.v *= 0.99
             g *= g
-            self.v += np.multiply(g, 0.01, out=g)
-            rate = RATE / math.sqrt(1 + self.step / 50)
-            scale = np.sqrt(np.divide(self.v, 1 - 0.99**self.step, out=g), out=g)
-            scale += 1e-6
-            self.vector -= np.divide(self.m * (rate / (1 - 0.9**self.step)), scale, out=scale)
+            self.v += g
+            shrink = math.sqrt(0.01 / (1 - 0.99**self.step))
+            rate = RATE / math.sqrt(1 + self.step / 50) * 0.1 / (1 - 0.9**self.step) / shrink
+            np.sqrt(self.v, out=g)
+            g += 1e-6 / shrink
+            np.divide(self.m, g, out=g)
+            g *= rate
+            self.vector -= g
         self.windows += len(ids)
 
 
@@ -274,24 +487,6 @@ class Coding:
         self.input[own] = np.arange(len(own))
 
 
-class Coded:
-    """Texts as subword ids: distinct words and their ids, the word at each place, ids of all texts one after the other, each with its end."""
-
-    def __init__(self, texts: list[str], code: WordIds, end: int) -> None:
-        number, found = Numbers(), []
-        for text in texts:
-            own = normal(text)
-            found.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-        self.sizes, self.flat = np.array([len(f) for f in found], np.int64), np.concatenate(found)
-        self.words = list(number)
-        of_words, lengths = code(self.words)
-        starts = np.cumsum(lengths) - lengths
-        self.lengths = lengths[self.flat]
-        ids = gather(of_words, starts[self.flat], self.lengths)
-        per_doc = totals(self.lengths, self.sizes)
-        self.ids, self.per_doc = np.insert(ids, np.cumsum(per_doc), end), per_doc + 1
-
-
 def training_windows(ids: np.ndarray, sizes: np.ndarray, coding: Coding, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input ids, target classes and weights of the windows of a round, mixed. What a window predicts gives its round, so that every id is predicted once in all."""
     read, predicted, counts_for = windows(ids, sizes)
@@ -301,22 +496,20 @@ def training_windows(ids: np.ndarray, sizes: np.ndarray, coding: Coding, turn: i
     return coding.input[np.where(read >= 0, ids[read], coding.end)], coding.target[ids[predicted]], counts_for[order].astype(np.float32)
 
 
-def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.ndarray:
-    """The model's parameters, averaged over the tasks' copies in every round."""
+def train(training: DataFrame, coding: Coding) -> np.ndarray:
+    """The model's parameters, averaged over the tasks' copies in every round. Learned from the texts of ``training`` (ids)."""
     model = Model(coding.shares)
     vector = model.vector
-    training = docs.where(~held_out(docs["doc_id"])).select(text_or_empty(docs).alias("text"))
 
     def learn(start: object, turn: int):
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code, copy = WordIds(pieces.value, pattern), Training(model, start.value)
+            copy = Training(model, start.value)
             for batch in batches:
-                for part in text_steps(batch, most=CODED):
-                    coded = Coded(part.column("text").to_pylist(), code, coding.end)
-                    ends = np.cumsum(coded.per_doc)
-                    for first, last in steps(coded.per_doc.tolist(), IDS):
-                        own = slice(ends[first] - coded.per_doc[first], ends[last - 1])
-                        copy.learn(*training_windows(coded.ids[own], coded.per_doc[first:last], coding, turn))
+                for part in text_steps(batch, "ids", CODED):
+                    ids, sizes = unpacked(part.column("ids"), coding.end)
+                    ends = np.cumsum(sizes)
+                    for first, last in steps(sizes.tolist(), IDS):
+                        copy.learn(*training_windows(ids[ends[first] - sizes[first] : ends[last - 1]], sizes[first:last], coding, turn))
             if not copy.windows:
                 return
             found = copy.vector
@@ -326,7 +519,7 @@ def train(docs: DataFrame, coding: Coding, pieces: object, pattern: str) -> np.n
         return fit
 
     for turn in range(ROUNDS):
-        copies = training.mapInArrow(learn(docs.sparkSession.sparkContext.broadcast(vector), turn), "at long, n double, x double")
+        copies = training.mapInArrow(learn(training.sparkSession.sparkContext.broadcast(vector), turn), "at long, n double, x double")
         mean = copies.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if mean.num_rows:
             vector = np.zeros_like(vector)
@@ -348,16 +541,20 @@ def of_documents(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str
     """Adds the logs of the classes to ``each`` and puts those of a beginning into ``new``."""
     read, predicted, counts_for = windows(ids, sizes)
     inputs = coding.input[np.where(read >= 0, ids[read], coding.end)]
+    ready, sums_of = Ready(p), np.column_stack([np.ones(CLASSES, np.float32), coding.begins])
     begins = counts_for[:, 0]  # the first window of a document scores from its start on
     for kind, first in ((begins, 0), (~begins, WINDOW - STRIDE)):
         places = np.flatnonzero(kind)
         for at in range(0, len(places), SCORE_BATCH):
             part = places[at : at + SCORE_BATCH]
             where = predicted[part, first:].ravel()
-            found, beginning = log_shares(logits_of(p, forward(p, inputs[part], first)["hidden"]), coding.target[ids[where]], coding.begins)
-            use = counts_for[part, first:].ravel()
-            each[where[use]] += found[use]
-            new[where[use]] = beginning[use]
+            hidden, target = forward(p, inputs[part], first, ready)["full"], coding.target[ids[where]]
+            use = np.flatnonzero(counts_for[part, first:])
+            for some in range(0, len(use), SOME_ROWS):
+                rows = use[some : some + SOME_ROWS]
+                found, beginning = log_shares(ready, hidden.take(rows, 0), target[rows], sums_of)
+                each[where[rows]] += found
+                new[where[rows]] = beginning
 
 
 def word_logs(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str, np.ndarray]) -> np.ndarray:
@@ -380,36 +577,25 @@ def score(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     pattern = pattern or public_tokenizers.PATTERN
     table = read_pieces(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     pieces, end = spark.sparkContext.broadcast(table), len(table)
-    counts = staged(count_words(docs), "word-counts")
-    ends = docs.where(~held_out(docs["doc_id"])).count()
+    coded = staged(code_texts(docs, pieces, pattern), "coded-texts")
+    training = coded.where(~coded["held_out"]).select("ids")
+    counts = staged(count_words(training, pieces), "word-counts")
+    sums = count_ids(training, end)
+    ends = int(sums[end])
     words, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = (words or 0) + ends
     base = math.log10(total + distinct + (ends > 0) + 1)
-
-    def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, sums = WordIds(pieces.value, pattern), np.zeros(end + 1, np.int64)
-        for batch in batches:
-            ids, lengths = code(batch.column("word").to_pylist())
-            np.add.at(sums, ids, np.repeat(batch.column("n").to_numpy(), lengths))
-        seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["id", "n"])
-
-    of_ids = counts.mapInArrow(id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(end + 1, np.int64)
-    sums[of_ids["id"].to_numpy()] = of_ids["n"].to_numpy()
-    sums[end] = ends
-    begins = np.zeros(end + 1)
-    begins[[i for piece, i in table.items() if piece[:1] == b" "]] = 1
-    begins[end] = 1
+    begins = beginnings(table)
+    begins[end] = True
     coding = Coding(sums, begins)
-    vector = train(docs, coding, pieces, pattern)
+    vector = train(training, coding)
     known = most_frequent(counts, frequent)
-    shared = spark.sparkContext.broadcast((known["word"].to_pylist(), known["n"].to_numpy(), vector))
+    shared = spark.sparkContext.broadcast((known["word"].combine_chunks(), known["n"].to_numpy(), vector))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, n_of, parameters = shared.value
-        near = dict(zip(names, range(len(names)), strict=True))
-        code, p = WordIds(pieces.value, pattern), Model(coding.shares).parts(parameters)
+        words, p = Words(pieces.value), Model(coding.shares).parts(parameters)
+        n_of = np.append(n_of, 0)
         row = TaskContext.get().partitionId() << 40
 
         def frame(*columns: object) -> pa.RecordBatch:
@@ -418,33 +604,29 @@ def score(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=fields)
 
         for batch in batches:
-            for part in text_steps(batch, most=CODED):
-                coded = Coded(part.column("text").to_pylist(), code, coding.end)
-                sizes, flat, own = coded.sizes, coded.flat, coded.words
-                place = np.array([near.get(word, -1) for word in own], np.int64)
-                c = np.append(n_of, 0)[place]
-                far = place < 0
-                after = np.cumsum(sizes)
-                is_end = np.insert(np.zeros(len(flat), bool), after, True)
-                logs = word_logs(coded.ids, np.insert(coded.lengths, after, 1), is_end, coded.per_doc, coding, p)
+            for part in text_steps(batch, "ids", CODED):
+                ids, per_doc = unpacked(part.column("ids"), end)
+                own, number, lengths = words(ids)
+                place = pc.index_in(own, value_set=names).fill_null(-1).to_numpy()
                 # Counts of words and ends; words that are not at hand are left to the join.
-                count = np.insert(c[flat], after, ends)
-                there = np.insert(far[flat], after, False)
-                own_log = np.log10(count + 1) - base
-                mixed = np.log10(ATTENTION * np.exp(logs) + (1 - ATTENTION) * 10.0**own_log)
+                c, far = n_of[place], place < 0
+                c[end], far[end] = ends, False
+                own_log, there, is_end = np.log10(c + 1) - base, far[number], number == end
+                sizes = np.diff(np.flatnonzero(is_end), prepend=-1)
+                logs = word_logs(ids, lengths, is_end, per_doc, coding, p)
+                mixed = np.log10(ATTENTION * np.exp(logs) + (1 - ATTENTION) * (10.0**own_log)[number])
                 rows = row + np.arange(len(sizes), dtype=np.int64)
                 row += len(sizes)
                 nothing = [None] * len(sizes)
-                sums_of = [totals(np.where(there, 0, x), sizes + 1) for x in (count > 0, own_log, mixed)]
-                yield frame(rows, nothing, nothing, part.column("doc_id"), part.column("held_out"), sizes + 1, sums_of[0].astype(np.int64), *sums_of[1:])
+                sums_of = [totals(np.where(there, 0, x), sizes) for x in ((c > 0)[number], own_log[number], mixed)]
+                yield frame(rows, nothing, nothing, part.column("doc_id"), part.column("held_out"), sizes, sums_of[0].astype(np.int64), *sums_of[1:])
                 # Other words meet their counts, each occurrence with its own probability.
-                rest = pa.array(own, pa.binary()).take(pa.array(np.insert(flat, after, 0)[there]))
+                rest = own.take(pa.array(number[there]))
                 nothing = [None] * len(rest)
-                yield frame(np.repeat(rows, sizes + 1)[there], rest, logs[there], *[nothing] * 6)
+                yield frame(np.repeat(rows, sizes)[there], rest, logs[there], *[nothing] * 6)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_or_empty(docs).alias("text"))
     fields = "row long, word binary, log double, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    weighed = rows.mapInArrow(weigh, fields)
+    weighed = coded.mapInArrow(weigh, fields)
     # Rows of documents have no word; a key that is no word deals them out.
     key = F.coalesce("word", F.concat(F.lit(b" "), F.col("row").cast("string").cast("binary")))
     joined = weighed.withColumn("key", key).join(counts.select(F.col("word").alias("key"), F.col("n").alias("c")).hint("merge"), "key", "left")

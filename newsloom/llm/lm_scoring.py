@@ -16,9 +16,7 @@ from __future__ import annotations
 import base64
 import math
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import compress, islice
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import most_frequent, staged, steps, text_or_empty, text_steps
-from newsloom.llm.units import Numbers, gather, totals
+from newsloom.llm.units import gather, totals
 
 #: Words whose counts and ids are broadcast at most.
 FREQUENT = 250_000
@@ -40,12 +38,12 @@ ROUNDS, TRAIN_BATCH = 2, 128
 RATE = 0.02
 #: The part of attention in the mixture.
 ATTENTION = 0.3
-#: Windows scored at a time, ids laid out in windows at a time, and characters of text (or bytes of ids) coded, counted and scored at a time.
+#: Windows scored at a time, ids laid out in windows at a time, and characters of text (or bytes of ids) coded and scored at a time.
 SCORE_BATCH, IDS, CODED = 64, 500_000, 4_000_000
 #: Words of a task whose ids are kept for the texts after them at most, or whose counts are summed before they are handed on.
 KEPT = 200_000
-#: Words that are coded in one string, and those that can be.
-TOGETHER, SOLID = 5_000, re.compile(r"\S+")
+#: Words that are coded in one string, unless it has white space of Unicode within a word.
+TOGETHER, WITHIN = 5_000, re.compile(r"[^\S ]")
 
 
 def normal(text: str) -> list[bytes]:
@@ -70,34 +68,39 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.place, self.flat, self.lengths = Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.place, self.flat, self.lengths = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after the other, and how many each has."""
+    def __call__(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, which differ, one after the other, and how many each has."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
         if len(self.place) > KEPT:
             self.forget()
-        before = len(self.place)
-        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        flat, lengths = self.ids([word.decode() for word in islice(self.place, before, None)])
+        places = pc.index_in(words, value_set=self.place).fill_null(-1).to_numpy().astype(np.int64)
+        new = places < 0
+        places[new] = len(self.place) + np.arange(np.count_nonzero(new))
+        fresh = words.filter(pa.array(new))
+        flat, lengths = self.ids(fresh.to_pylist())
+        self.place = pa.concat_arrays([self.place, fresh])
         self.flat, self.lengths = np.append(self.flat, flat), np.append(self.lengths, lengths)
         starts, own = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[places], self.lengths[places].astype(np.int64)
         return gather(self.flat, starts, own).astype(np.int64), own
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words that are not kept. Those without any white space of Unicode are coded many in one string."""
-        solid = np.fromiter((self.apart and SOLID.fullmatch(word) is not None for word in words), bool, len(words))
-        together, run = list(compress(words, solid)), array("i")
-        for at in range(0, len(together), TOGETHER):
-            run.extend(self.encode(" " + " ".join(together[at : at + TOGETHER])))
-        others = [self.encode(" " + word) for word in compress(words, ~solid)]
-        run, lengths = np.array(run, np.int32), np.zeros(len(words), np.int32)
-        # A space stands only before a word, so its piece begins the word.
-        lengths[solid] = np.diff(np.append(np.flatnonzero(self.begins[run]), len(run)))
-        lengths[~solid] = [len(ids) for ids in others]
-        flat, in_run = np.zeros(int(lengths.sum()), np.int32), np.repeat(solid, lengths)
-        flat[in_run] = run
-        flat[~in_run] = np.concatenate([np.zeros(0, np.int32), *others])
-        return flat, lengths
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are not kept."""
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            text = " " + b" ".join(some).decode()
+            if self.apart and not WITHIN.search(text):
+                run = np.array(self.encode(text), np.int32)
+                # A space stands only before a word, so its piece begins the word.
+                flat.append(run)
+                lengths.append(np.diff(np.append(np.flatnonzero(self.begins[run]), len(run))).astype(np.int32))
+            else:
+                each = [self.encode(" " + word.decode()) for word in some]
+                flat += [np.array(ids, np.int32) for ids in each]
+                lengths.append(np.array([len(ids) for ids in each], np.int32))
+        return np.concatenate(flat), np.concatenate(lengths)
 
 
 def read_pieces(path: str) -> dict[bytes, int]:
@@ -113,23 +116,31 @@ def beginnings(pieces: dict[bytes, int]) -> np.ndarray:
 
 
 class Coded:
-    """Texts as subword ids: ids of all texts one after the other, each with its end, and how many each text has."""
+    """Texts as subword ids: distinct words, the word at each place, ids of all texts one after the other, each with its end."""
 
     def __init__(self, texts: list[str] | pa.Array, code: WordIds, end: int) -> None:
         # Arrow's lower case and white space are those of ASCII. Before and after white space at the ends of a text it gives an empty word.
         cut = pc.ascii_split_whitespace(pc.ascii_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
         sizes, words = cut.value_lengths().to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
-        flat, empty = words.indices.to_numpy().astype(np.int64), pc.index(words.dictionary, "").as_py()
-        self.words = words.dictionary.cast(pa.binary()).to_pylist()
+        flat, empty = words.indices.to_numpy(), pc.index(words.dictionary, "").as_py()
+        self.words = words.dictionary.cast(pa.binary())
         if empty >= 0:
-            del self.words[empty]
-            sizes, flat = totals(flat != empty, sizes), flat[flat != empty]
+            self.words = pa.concat_arrays([self.words[:empty], self.words[empty + 1 :]])
+            there = flat != empty
+            sizes, flat = totals(there, sizes), flat[there]
             flat -= flat > empty
+        self.sizes, self.flat = sizes, flat
         of_words, lengths = code(self.words)
         starts, own = (np.cumsum(lengths) - lengths)[flat], lengths[flat]
         per_doc = totals(own, sizes)
         self.ids, self.per_doc = np.insert(gather(of_words, starts, own), np.cumsum(per_doc), end), per_doc + 1
 
+    def counts(self, counted: np.ndarray) -> pa.Table:
+        """word and n over the texts that are ``counted``."""
+        n = np.bincount(self.flat[np.repeat(counted, self.sizes)], minlength=len(self.words))
+        seen = np.flatnonzero(n)
+        return pa.table({"word": self.words.take(pa.array(seen)), "n": n[seen]})
+
 
 class Words:
     """The words that runs of ids stand for. A word begins with a piece that begins with a space; its ids give its bytes."""
@@ -142,8 +153,6 @@ class Words:
         for piece, i in pieces.items():
             of[i] = piece.removeprefix(b" ")
         self.pieces = pa.array(of, pa.binary())
-        self.bytes, self.sizes = np.frombuffer(b"".join(of), np.uint8), np.array([len(piece) for piece in of])
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, ids: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Words and pieces (the end is empty), the number among them of each word and end in ``ids``, and how many ids that has.
@@ -153,11 +162,9 @@ class Words:
         starts = np.flatnonzero(self.marks[ids])
         lengths = np.diff(np.append(starts, len(ids)))
         number, several = ids[starts].astype(np.int64), np.flatnonzero(lengths > 1)
-        own = gather(ids, starts[several], lengths[several])
-        sizes = self.sizes[own]
-        offsets = np.append(0, np.cumsum(totals(sizes, lengths[several]))).astype(np.int32)
-        data = gather(self.bytes, self.starts[own], sizes)
-        found = pa.Array.from_buffers(pa.binary(), len(several), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        own = self.pieces.take(pa.array(gather(ids, starts[several], lengths[several])))
+        offsets = np.append(0, np.cumsum(lengths[several])).astype(np.int32)
+        found = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), own), b"").dictionary_encode()
         number[several] = found.indices.to_numpy() + (self.end + 1)
         return pa.concat_arrays([self.pieces, found.dictionary]), number, lengths
 
@@ -168,20 +175,37 @@ def packed(end: int) -> type:
 
 
 def code_texts(docs: DataFrame, pieces: object, pattern: str) -> DataFrame:
-    """doc_id, held_out and ids of every row of ``docs``: the text's ids and its end as little-endian numbers."""
+    """doc_id, held_out and ids of every row of ``docs``: the text's ids and its end as little-endian numbers. Between them are rows of
+    word and n, which sum up to the counts over the training documents; their ids are null."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(pieces.value, pattern), len(pieces.value)
+        words, end, counts = WordIds(pieces.value, pattern), len(pieces.value), []
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.binary(), "n": pa.int64()}
+
+        def frame(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(size, kind)) for name, kind in kinds.items()], names=list(kinds))
+
+        def counted() -> pa.RecordBatch:
+            table = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            counts.clear()
+            return frame({"word": table["word"].combine_chunks(), "n": table["n_sum"].combine_chunks()})
+
         for batch in batches:
             for part in text_steps(batch, most=CODED):
                 coded = Coded(part.column("text"), words, end)
                 ids = coded.ids.astype(packed(end))
                 offsets = (np.append(0, np.cumsum(coded.per_doc)) * ids.itemsize).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), column], names=["doc_id", "held_out", "ids"])
+                yield frame({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "ids": column})
+                counts.append(coded.counts(~part.column("held_out").to_numpy(zero_copy_only=False)))
+                if sum(map(len, counts)) > 2 * KEPT:
+                    yield counted()
+        if counts:
+            yield counted()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(code, "doc_id long, held_out boolean, ids binary")
+    return rows.mapInArrow(code, "doc_id long, held_out boolean, ids binary, word binary, n long")
 
 
 def unpacked(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,32 +216,6 @@ def unpacked(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), np.diff(offsets).astype(np.int64) // kind.itemsize
 
 
-def count_words(training: DataFrame, pieces: object) -> DataFrame:
-    """word and n over the texts of ``training`` (ids); counted in parts before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = Words(pieces.value), []
-
-        def summed() -> list[pa.RecordBatch]:
-            table = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
-            parts.clear()
-            return table.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
-
-        for batch in batches:
-            for part in text_steps(batch, "ids", CODED):
-                own, number, _ = words(unpacked(part.column("ids"), words.end)[0])
-                n = np.bincount(number, minlength=len(own))
-                n[words.end] = 0
-                seen = np.flatnonzero(n)
-                parts.append(pa.table({"word": own.take(pa.array(seen)), "n": n[seen]}))
-                if sum(map(len, parts)) > KEPT:
-                    yield from summed()
-        if parts:
-            yield from summed()
-
-    return training.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def count_ids(training: DataFrame, end: int) -> np.ndarray:
     """How often each id is in the texts of ``training`` (ids), the end last."""
 
@@ -457,20 +455,27 @@ def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     What is read at a place predicts the id after it; the first id is predicted from the end before the document. A document's last window is laid so
     that it ends with the document; places before the document's start read as the end.
     """
+    return laid(*spans(sizes))
+
+
+def spans(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window over documents: the size and the start of its document, and from where to where it predicts, counted from that start."""
     counts = np.where(sizes <= WINDOW, 1, -(-(sizes - WINDOW) // STRIDE) + 1)
-    doc = np.repeat(np.arange(len(sizes)), counts)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.cumsum(sizes) - sizes
-    # Places of predictions, counted from the document's start; the first window also scores what is before its stride.
-    first = np.where(number == 0, 0, np.minimum(WINDOW + (number - 1) * STRIDE, sizes[doc]))
-    last = np.minimum(WINDOW + number * STRIDE, np.maximum(sizes[doc], 1))
-    begin = np.where(number == 0, 0, last - WINDOW)
-    predicted = begin[:, None] + np.arange(WINDOW)
-    counts_for = (predicted >= first[:, None]) & (predicted < last[:, None]) & (predicted < sizes[doc][:, None])
-    read = predicted - 1
-    inside = (read >= 0) & (read < sizes[doc][:, None])
-    read = np.where(inside, starts[doc][:, None] + read, -1)
-    predicted = np.where(counts_for, starts[doc][:, None] + predicted, 0)
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts, own = np.repeat(np.cumsum(sizes) - sizes, counts), np.repeat(sizes, counts)
+    # The first window also scores what is before its stride.
+    first = np.where(number == 0, 0, np.minimum(WINDOW + (number - 1) * STRIDE, own))
+    return own, starts, first, np.minimum(WINDOW + number * STRIDE, np.maximum(own, 1))
+
+
+def laid(sizes: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of which ``spans`` gives the places."""
+    begin = np.where(first == 0, 0, last - WINDOW)
+    at = np.arange(WINDOW)
+    counts_for = (at >= (first - begin)[:, None]) & (at < (np.minimum(last, sizes) - begin)[:, None])
+    read = (starts + begin - 1)[:, None] + at
+    predicted = np.where(counts_for, read + 1, 0)
+    read[(at < (1 - begin)[:, None]) | (at > (sizes - begin)[:, None])] = -1
     return read, predicted, counts_for
 
 
@@ -489,11 +494,13 @@ class Coding:
 
 def training_windows(ids: np.ndarray, sizes: np.ndarray, coding: Coding, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input ids, target classes and weights of the windows of a round, mixed. What a window predicts gives its round, so that every id is predicted once in all."""
-    read, predicted, counts_for = windows(ids, sizes)
-    own = np.flatnonzero(np.where(counts_for, ids[predicted], 0).sum(1) % ROUNDS == turn)
+    places = spans(sizes)
+    own_sizes, starts, first, last = places
+    sums = np.append(0, np.cumsum(ids, dtype=np.int64))
+    own = np.flatnonzero((sums[starts + np.minimum(last, own_sizes)] - sums[starts + first]) % ROUNDS == turn)
     order = np.random.default_rng(len(own)).permutation(own)
-    read, predicted = read[order], predicted[order]
-    return coding.input[np.where(read >= 0, ids[read], coding.end)], coding.target[ids[predicted]], counts_for[order].astype(np.float32)
+    read, predicted, counts_for = laid(*(of[order] for of in places))
+    return coding.input[np.where(read >= 0, ids[read], coding.end)], coding.target[ids[predicted]], counts_for.astype(np.float32)
 
 
 def train(training: DataFrame, coding: Coding) -> np.ndarray:
@@ -577,9 +584,10 @@ def score(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     pattern = pattern or public_tokenizers.PATTERN
     table = read_pieces(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     pieces, end = spark.sparkContext.broadcast(table), len(table)
-    coded = staged(code_texts(docs, pieces, pattern), "coded-texts")
+    found = staged(code_texts(docs, pieces, pattern), "coded-texts")
+    counts = staged(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    coded = found.where("ids is not null").select("doc_id", "held_out", "ids")
     training = coded.where(~coded["held_out"]).select("ids")
-    counts = staged(count_words(training, pieces), "word-counts")
     sums = count_ids(training, end)
     ends = int(sums[end])
     words, distinct = counts.agg(F.sum("n"), F.count("*")).first()

@@ -119,6 +119,57 @@ def test_places_without_weight_get_no_logits(monkeypatch):
     assert all(np.isfinite(part).all() for part in lm_scoring.gradient(p, ids, target, weight).values())
 
 
+def test_texts_are_coded_once(spark, tmp_path):
+    """Scoring reads the ids that were staged, not the texts again."""
+    rows = [(i, f"Word{i % 7} and  more\u00a0of it\n") for i in range(40)] + [(40, None)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    scored = lm_scoring.score(spark.read.parquet(path))
+    assert scored.inputFiles() and not [name for name in scored.inputFiles() if "documents.parquet" in name]
+    assert {r.doc_id: r.n_tokens for r in scored.collect()} == {i: len((text or "").encode().split()) + 1 for i, text in rows}
+
+
+def test_words_come_back_from_their_ids():
+    pieces = lm_scoring.read_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    code, alone = (lm_scoring.WordIds(pieces, public_tokenizers.PATTERN) for _ in range(2))
+    words, rnd = lm_scoring.Words(pieces), random.Random(8)
+    odd = ["The", "don't", "x\u00a0y", "\u00a0", "a\x85", "\x1c\x1f", "\u2003z", "ÄÖß", "İ", "<|endoftext|>", "日本語", "1234567", "https://a.b/c?d=e", "e\u0301", "\ufffd", "…"]
+    texts = ["".join(rnd.choice(odd) + rnd.choice([" ", "  ", "\n", "\t\r", "\x0b", "\x0c"]) for _ in range(rnd.randrange(9))) for _ in range(80)]
+    texts += ["", " ", "\n lead", "trail \t", *odd]
+    coded = lm_scoring.Coded(texts, code, len(pieces))
+    want = [lm_scoring.normal(text) for text in texts]
+    assert coded.per_doc.tolist() == [1 + sum(len(alone.encode(" " + word.decode())) for word in own) for own in want]
+    assert coded.ids.tolist() == [i for own in want for i in [*(i for word in own for i in alone.encode(" " + word.decode())), len(pieces)]]
+    own, number, lengths = words(coded.ids)
+    assert own.take(number).to_pylist() == [word for words_of in want for word in [*words_of, b""]] and lengths.sum() == len(coded.ids)
+    counted = np.arange(len(texts)) % 3 > 0
+    counts = coded.counts(counted).to_pydict()
+    assert dict(zip(*counts.values(), strict=True)) == collections.Counter(word for own, use in zip(want, counted, strict=True) if use for word in own)
+
+
+def test_large_scores_and_logits_stay_within_limits():
+    rnd = np.random.default_rng(5)
+    model = lm_scoring.Model(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
+    ids, target = rnd.integers(0, 50, (4, lm_scoring.WINDOW)), rnd.integers(0, lm_scoring.CLASSES, 4 * (lm_scoring.WINDOW - 8))
+    begins = rnd.random(lm_scoring.CLASSES).astype(np.float32)
+    for size in (1.0, 40.0, 4000.0):
+        p = model.parts(model.vector.copy())
+        p["query"] *= size
+        p["out"] *= size
+        x = p["embed"][ids].astype(float)
+        scores = np.clip((x @ p["query"])[:, 8:] @ (x @ p["key"]).transpose(0, 2, 1), -60, 60)
+        seen = np.exp(scores) * np.tri(lm_scoring.WINDOW)[8:]
+        hidden = (x[:, 8:] + seen / seen.sum(2, keepdims=True) @ (x @ p["value"])).reshape(-1, lm_scoring.WIDTH)
+        ready = lm_scoring.Ready(p)
+        found = lm_scoring.forward(p, ids, 8, ready)
+        assert np.allclose(found["hidden"], hidden, atol=1e-3)
+        logits = np.clip(found["hidden"].astype(float) @ p["out"] + p["bias"], -60, 60)
+        log_sums = np.log(np.exp(logits).sum(1))
+        both = lm_scoring.log_shares(ready, found["full"], target, np.column_stack([np.ones_like(begins), begins]))
+        assert np.allclose(both[0], logits[np.arange(len(target)), target] - log_sums, atol=1e-2)
+        assert np.allclose(both[1], np.log(np.exp(logits) @ begins) - log_sums, atol=1e-2)
+
+
 def test_automaton_is_edit_distance():
     terms, rnd = ["idiot", "worthless", "scum", "disgusting", "moron"], random.Random(1)
 

@@ -79,25 +79,25 @@ class WordIds:
         new = places < 0
         places[new] = len(self.place) + np.arange(np.count_nonzero(new))
         fresh = words.filter(pa.array(new))
-        flat, lengths = self.ids(fresh.to_pylist())
+        flat, lengths = self.ids(fresh)
         self.place = pa.concat_arrays([self.place, fresh])
         self.flat, self.lengths = np.append(self.flat, flat), np.append(self.lengths, lengths)
         starts, own = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[places], self.lengths[places].astype(np.int64)
         return gather(self.flat, starts, own).astype(np.int64), own
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that are not kept."""
         flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            text = " " + b" ".join(some).decode()
+        ends = np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32)
+        for at, joined in zip(ends, pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), b" ").to_pylist(), strict=False):
+            text = " " + joined.decode()
             if self.apart and not WITHIN.search(text):
                 run = np.array(self.encode(text), np.int32)
                 # A space stands only before a word, so its piece begins the word.
                 flat.append(run)
                 lengths.append(np.diff(np.append(np.flatnonzero(self.begins[run]), len(run))).astype(np.int32))
             else:
-                each = [self.encode(" " + word.decode()) for word in some]
+                each = [self.encode(" " + word.decode()) for word in words[at : at + TOGETHER].to_pylist()]
                 flat += [np.array(ids, np.int32) for ids in each]
                 lengths.append(np.array([len(ids) for ids in each], np.int32))
         return np.concatenate(flat), np.concatenate(lengths)
@@ -271,8 +271,8 @@ class Model:
 SEEN, LIMIT = np.tri(WINDOW, dtype=np.float32), 60.0
 #: Exponentials are powers of two, which numpy has faster.
 BITS = 1 / math.log(2)
-#: Windows whose attention and rows whose classes are computed at a time: what the cache holds.
-SOME_WINDOWS, SOME_ROWS = 64, 384
+#: Windows whose attention, rows whose classes and parameters whose steps are computed at a time: what the cache holds.
+SOME_WINDOWS, SOME_ROWS, SOME_PARAMETERS = 64, 384, 16_384
 
 
 class Ready:
@@ -282,6 +282,8 @@ class Ready:
         self.embed, self.mix, self.value = p["embed"], p["query"] @ p["key"].T, p["value"]
         self.asks = self.mix * BITS
         self.place = p["place"] * BITS
+        #: The factor of what a place sees, 0 for what it does not.
+        self.factor = np.exp2(np.clip(self.place, -LIMIT * BITS, LIMIT * BITS)) * SEEN
         self.head = {"out": np.vstack([p["out"], p["bias"]]) * BITS}
         self.from_out, self.from_mix, self.from_value = (np.ascontiguousarray(part.T) for part in (p["out"], self.mix, self.value))
         self.ones = np.ones(CLASSES, p["out"].dtype)
@@ -301,19 +303,16 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, first: int, ready: "Ready
     own = x[:, first:].reshape(-1, WIDTH)
     asks = (own @ ready.asks).reshape(len(ids), -1, WIDTH)
 
-    def look(limit: float) -> tuple[np.ndarray, np.ndarray]:
-        seen = asks @ across[:, :WIDTH]
-        seen += ready.place[first:]
-        if limit < math.inf:
-            np.clip(seen, -limit, limit, out=seen)
-        with np.errstate(over="ignore", invalid="ignore"):
-            np.exp2(seen, out=seen)
-            seen *= SEEN[first:]
-            return seen, seen.reshape(-1, WINDOW) @ np.ones(WINDOW, x.dtype)
-
-    seen, sums = look(math.inf)
+    seen = asks @ across[:, :WIDTH]
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp2(seen, out=seen)
+        seen *= ready.factor[first:]
+        sums = seen.reshape(-1, WINDOW) @ np.ones(WINDOW, x.dtype)
     if not safe(sums):
-        seen, sums = look(LIMIT * BITS)
+        seen = np.clip(asks @ across[:, :WIDTH] + ready.place[first:], -LIMIT * BITS, LIMIT * BITS)
+        np.exp2(seen, out=seen)
+        seen *= SEEN[first:]
+        sums = seen.reshape(-1, WINDOW) @ np.ones(WINDOW, x.dtype)
     scale = (1 / sums)[:, None]
     read = (seen @ x).reshape(-1, WIDTH)
     read *= scale
@@ -332,15 +331,23 @@ def logits_of(p: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
 
 def log_shares(ready: Ready, hidden: np.ndarray, target: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The logs of the probabilities of each target class and of an id that begins a word. ``begins`` has the sums' weights: ones, and the share of each class that begins one."""
-    logits = logits_of(ready.head, hidden)
-    spots = np.arange(0, logits.size, CLASSES) + target
-    chosen = logits.ravel()[spots]
+    spots = np.arange(0, len(hidden) * CLASSES, CLASSES) + target
+
+    def found(limit: float) -> tuple[np.ndarray, np.ndarray]:
+        chosen, sums = np.empty(len(hidden), hidden.dtype), np.empty((len(hidden), 2), hidden.dtype)
+        for at in range(0, len(hidden), SOME_ROWS):
+            rows = slice(at, at + SOME_ROWS)
+            logits = logits_of(ready.head, hidden[rows])
+            if limit < math.inf:
+                np.clip(logits, -limit, limit, out=logits)
+            chosen[rows] = logits.ravel()[spots[rows] - at * CLASSES]
+            sums[rows] = np.exp2(logits, out=logits) @ begins
+        return chosen, sums
+
     with np.errstate(over="ignore", invalid="ignore"):
-        sums = np.exp2(logits, out=logits) @ begins
+        chosen, sums = found(math.inf)
     if not safe(sums[:, 0]):
-        logits = np.clip(logits_of(ready.head, hidden), -LIMIT * BITS, LIMIT * BITS)
-        chosen = logits.ravel()[spots]
-        sums = np.exp2(logits, out=logits) @ begins
+        chosen, sums = found(LIMIT * BITS)
     sums += np.float32(1e-30)
     np.log2(sums, out=sums)
     return (chosen - sums[:, 0]) / BITS, (sums[:, 1] - sums[:, 0]) / BITS
@@ -434,18 +441,20 @@ class Training:
             g = np.concatenate([found[name].ravel() for name in self.model.shapes]).astype(np.float32, copy=False)
             self.step += 1
             # Sums without the factors 0.1 and 0.01, which go into the rate.
-            self.m *= 0.9
-            self.m += g
-            self.v *= 0.99
-            g *= g
-            self.v += g
             shrink = math.sqrt(0.01 / (1 - 0.99**self.step))
             rate = RATE / math.sqrt(1 + self.step / 50) * 0.1 / (1 - 0.9**self.step) / shrink
-            np.sqrt(self.v, out=g)
-            g += 1e-6 / shrink
-            np.divide(self.m, g, out=g)
-            g *= rate
-            self.vector -= g
+            for some in range(0, len(g), SOME_PARAMETERS):
+                m, v, own, vector = (x[some : some + SOME_PARAMETERS] for x in (self.m, self.v, g, self.vector))
+                m *= 0.9
+                m += own
+                v *= 0.99
+                own *= own
+                v += own
+                np.sqrt(v, out=own)
+                own += 1e-6 / shrink
+                np.divide(m, own, out=own)
+                own *= rate
+                vector -= own
         self.windows += len(ids)
 
 
@@ -555,13 +564,10 @@ def of_documents(ids: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str
         for at in range(0, len(places), SCORE_BATCH):
             part = places[at : at + SCORE_BATCH]
             where = predicted[part, first:].ravel()
-            hidden, target = forward(p, inputs[part], first, ready)["full"], coding.target[ids[where]]
-            use = np.flatnonzero(counts_for[part, first:])
-            for some in range(0, len(use), SOME_ROWS):
-                rows = use[some : some + SOME_ROWS]
-                found, beginning = log_shares(ready, hidden.take(rows, 0), target[rows], sums_of)
-                each[where[rows]] += found
-                new[where[rows]] = beginning
+            hidden, use = forward(p, inputs[part], first, ready)["full"], np.flatnonzero(counts_for[part, first:])
+            where = where[use]
+            found, new[where] = log_shares(ready, hidden.take(use, 0), coding.target[ids[where]], sums_of)
+            each[where] += found
 
 
 def word_logs(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray, sizes: np.ndarray, coding: Coding, p: dict[str, np.ndarray]) -> np.ndarray:
